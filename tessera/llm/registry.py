@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, packing, pii
+from . import langid, ngram_join, packing, pii
 
 
 def queries() -> dict:
     return {
+        "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op7_language_id": langid.op7_language_id,
         "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
