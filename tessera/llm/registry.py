@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, ngram_join, packing, pii
+from . import langid, line_dedup, ngram_join, packing, pii, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_language_id": langid.op7_language_id,
         "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
     }

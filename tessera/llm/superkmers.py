@@ -14,7 +14,6 @@ occurrence of a minimiser form a super-k-mer. Super-k-mers tile the windows of a
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -61,15 +60,11 @@ def scan(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def released(spark) -> None:
-    """Lets Spark drop the shuffle files of finished steps, whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-#: A row key that holds for null and repeated ids: rows of one id and one text are one document.
-RID = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-MARK = F.xxhash64(F.coalesce("text", F.lit("")))
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """A row key (rid, mark) that holds for null and repeated ids; rid keeps the order of ids, null first."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.shiftrightunsigned(mark, 3))
+    return docs.select(*more, rid.alias("rid"), mark.alias("mark"), "text")
 
 
 def marked(docs: DataFrame, units: Callable[[str | None], tuple[np.ndarray, int, str]], width: int, gram: int) -> DataFrame:
@@ -90,7 +85,7 @@ def marked(docs: DataFrame, units: Callable[[str | None], tuple[np.ndarray, int,
             at.append(start << 16 | k)
         return [n, sha, mh, ch, at]
 
-    rows = docs.select("doc_id", RID.alias("rid"), MARK.alias("mark"), "text")
+    rows = keyed(docs, "doc_id")
     added = "n long, sha string, mh array<long>, ch array<int>, at array<long>"
     out = common.with_columns_by(rows, ["doc_id", "rid", "mark"], {"text": F.col("text")}, run, added)
     return common.written(out.withColumn("uid", F.monotonically_increasing_id()))
@@ -101,9 +96,9 @@ def survivors(marks: DataFrame) -> DataFrame:
     occ = marks.select("rid", "uid", F.explode(F.arrays_zip("mh", "ch", "at")).alias("k")).select("k.mh", "k.ch", "k.at", "rid", "uid")
     often = marks.select(F.explode("mh").alias("mh")).groupBy("mh").agg(F.count("*").alias("c")).filter("c > 1").select("mh")
     often = common.written(often)
-    released(marks.sparkSession)
+    common.released(marks.sparkSession)
     out = common.written(occ.join(often, "mh"))
-    released(marks.sparkSession)
+    common.released(marks.sparkSession)
     return out
 
 
@@ -126,7 +121,7 @@ def strings(docs: DataFrame, marks: DataFrame, some: DataFrame, cut: Callable, w
     need = some.select("mh", "ch", "copies", "first.*", (F.col("contents") > HOT).alias("hot"))
     need = need.groupBy("uid").agg(F.collect_list(F.struct("mh", "ch", "copies", "start", "k", "hot")).alias("need"))
     need = need.join(marks.select("uid", "rid", "mark"), "uid").drop("uid")
-    rows = docs.select(RID.alias("rid"), MARK.alias("mark"), "text").dropDuplicates(["rid", "mark"]) if False else docs.select(RID.alias("rid"), MARK.alias("mark"), "text")
+    rows = keyed(docs)
     wide = rows.join(need, ["rid", "mark"])
 
     def run(text: list, need: list) -> list[list]:
@@ -179,8 +174,8 @@ def covered(n: int, spans: list) -> np.ndarray:
 def with_spans(docs: DataFrame, marks: DataFrame, spans: DataFrame, keep: Callable, added: str) -> DataFrame:
     """Rows of docs that have spans (uid, s, e), with what keep(text, spans) returns for the columns `added`."""
     each = spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    each = each.join(marks.select("uid", "rid", "mark"), "uid").groupBy("rid", "mark").agg(F.first("spans").alias("spans"))
-    rows = docs.select(RID.alias("rid"), MARK.alias("mark"), "text")
+    each = each.join(marks.select("uid", "rid", "mark"), "uid").groupBy("rid", "mark").agg(F.min_by("spans", "uid").alias("spans"))
+    rows = keyed(docs)
 
     def run(text: list, spans: list) -> list[list]:
         return [list(x) for x in zip(*(keep(t, s) for t, s in zip(text, spans, strict=True)), strict=True)] or [[] for _ in added.split(",")]
