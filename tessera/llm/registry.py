@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, ngram_join, packing, pii, substring_dedup, suffix_dedup
+from . import ego_join, langid, line_dedup, lsh_search, ngram_join, packing, pii, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_language_id": langid.op7_language_id,
+        "op8_epsilon_grid_join": ego_join.op8_epsilon_grid_join,
         "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
+        "op10_multiprobe_lsh": lsh_search.op10_multiprobe_lsh,
     }
 
 
