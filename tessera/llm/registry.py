@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ego_join, langid, line_dedup, lsh_search, ngram_join, packing, pii, substring_dedup, suffix_dedup
+from . import ego_join, langid, line_dedup, lsh_search, ngram_join, packing, pii, sentencepiece_nbest, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_sentencepiece_nbest": sentencepiece_nbest.op6_sentencepiece_nbest,
         "op7_language_id": langid.op7_language_id,
         "op8_epsilon_grid_join": ego_join.op8_epsilon_grid_join,
         "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
