@@ -1 +1,4 @@
-"""Plans of the engine."""
+"""Queries by name, and their SQL."""
+
+from . import certify, grid, ranks, texts, vectors  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
