@@ -14,22 +14,33 @@ import numpy as np
 
 
 def shard(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Transform (uint8) and the rows' places in the concatenation of the terminated strings."""
+    """Transform (uint8) and the rows' places in the concatenation of the terminated strings.
+
+    Suffixes are ranked by their first 8 symbols, then by twice as many each round; equal suffixes of
+    different strings keep the strings' order.
+    """
     text = np.frombuffer(b"\xff".join([*strings, b""]), np.uint8) + np.uint8(1)  # 0xff ends a string and becomes 0
-    longest = max(map(len, strings)) + 1
-    wide = np.concatenate([text, np.zeros(longest, np.uint8)])
+    n, longest = len(text), max(map(len, strings)) + 1
     ends = np.flatnonzero(text == 0)
-    left = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text)) + 1
-    # columns of eight symbols as one number, the last columns first; what follows a terminator doesn't count
-    order = np.arange(len(text))
-    for at in range((longest - 1) // 8 * 8, -1, -8):
-        column = np.zeros(len(text), np.uint64)
-        for k in range(at, at + 8):
-            symbol = wide[np.minimum(np.arange(len(text)) + k, len(wide) - 1)].astype(np.uint64)
-            symbol[left <= k] = 0
-            column = (column << np.uint64(8)) | symbol
-        if column.any():
-            order = order[np.argsort(column[order], kind="stable")]
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n) + 1  # symbols to the terminator, it included
+    wide = np.concatenate([text, np.zeros(8, np.uint8)])
+    key = np.zeros(n, np.uint64)
+    for k in range(8):
+        key = key << np.uint64(8) | np.where(left > k, wide[k : n + k], 0).astype(np.uint64)
+    h = 8
+    while True:
+        order = np.argsort(key)
+        ordered = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]))
+        if h >= longest or rank[order[-1]] == n:
+            break
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - h] = rank[h:]
+        ahead[left <= h] = 0
+        key = (rank << 32 | ahead).astype(np.uint64)
+        h *= 2
+    order = np.argsort(rank << 32 | np.arange(n))
     return text[order - 1], order
 
 
@@ -37,43 +48,41 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     """Merged order, as indices into the concatenated transforms, and the common prefix of each row with the one before.
 
     The order is right for `depth` symbols, and prefixes are counted up to depth. Rows of a terminator
-    alone share nothing with each other.
+    alone share nothing with each other. Within a shard the row dealt for a symbol is the one that the
+    shard's own counting of symbols (its last-to-first map) gives, so rows are kept, and owners follow.
     """
     symbols = np.concatenate(transforms)
-    owner = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
     n = len(symbols)
-    ended = int((symbols == 0).sum())
-    rows = np.arange(n)  # the merged order so far
-    by = owner.copy()  # the interleave: the owner of each row in that order
-    block = np.zeros(n, np.int64)
-    prefix = np.full(n, -1, np.int32)
+    base = np.cumsum([0, *map(len, transforms)])[:-1]
+    first = np.empty(n, np.int32)
+    heads = []
+    for b, t in zip(base, transforms, strict=True):
+        first[b + np.argsort(t, kind="stable")] = np.arange(b, b + len(t))
+        heads.append(np.arange(b, b + int((t == 0).sum())))
+    heads = np.concatenate(heads).astype(np.int32)
+    ended = len(heads)
+    rows = np.arange(n, dtype=np.int32)  # the merged order so far
+    block = np.zeros(n, np.int32)
+    prefix = np.full(n, -1, np.int16 if depth < 1 << 15 else np.int32)
     prefix[0] = 0
-    head = np.concatenate([owner[:0], *(np.full(int((t == 0).sum()), k, np.uint16) for k, t in enumerate(transforms))])
+    edge = np.empty(n, bool)
+    edge[:ended] = True
     for h in range(1, depth + 1):
         c = symbols[rows]
-        dealt = np.argsort(c, kind="stable")
-        new_by = by[dealt]
-        new_by[:ended] = head
+        dealt = np.argsort(c, kind="stable")[ended:]
+        rows = np.concatenate([heads, first[rows[dealt]]])
         c, old = c[dealt], block[dealt]
-        edge = np.empty(n, bool)
-        edge[0] = True
-        edge[1:] = (c[1:] != c[:-1]) | (old[1:] != old[:-1])
-        edge[:ended] = True
-        fresh = edge & (prefix < 0)
-        prefix[fresh] = h - 1
-        same = np.array_equal(new_by, by)
-        by = new_by
-        if not same:
-            rows = np.empty(n, np.int64)
-            rows[np.argsort(by, kind="stable")] = np.arange(n)
-        block = np.cumsum(edge)
-        if edge.all():
+        edge[ended : ended + 1] = True
+        edge[ended + 1 :] = (c[1:] != c[:-1]) | (old[1:] != old[:-1])
+        prefix[edge & (prefix < 0)] = h - 1
+        block = np.cumsum(edge, dtype=np.int32)
+        if block[-1] == n:
             break
     prefix[prefix < 0] = depth
     return rows, prefix
 
 
-def repeats(strings: list[bytes], depth: int, shard_bytes: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats(strings: list[bytes], depth: int, shard_bytes: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String, offset and group of each suffix that shares its first `depth` bytes with another one."""
     parts, lot, size = [], [], 0
     for s in strings:

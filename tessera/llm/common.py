@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,10 +39,28 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark) -> None:
-    """Lets Spark drop the shuffle files of finished steps, whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps, whose results are written.
+
+    They go when the driver collects the last reference: the first round frees the plans, the second what they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows whose key `on` (longs) is among keys.
+
+    The semi join is Spark's, and so is the runtime filter before it: where the keys are few, a Bloom filter of
+    fixed size drops most other rows at the scan, so their texts don't move. Spark wants a comparison on the
+    keys' side to think a filter worth its cost; this one is always true.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    some = written(keys.select(*on).distinct())
+    return rows.join(some.filter(F.col(on[-1]) >= F.lit(-(1 << 63))), on, "left_semi")
 
 
 def parallelism(spark: SparkSession) -> int:

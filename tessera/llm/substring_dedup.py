@@ -81,7 +81,7 @@ def repeated_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = superkmers.strings(docs, marks, kinds, _cut, width)
     inner = common.written(rows.groupBy("bucket").applyInPandas(_by_bucket(width), "mh long, ch int, s long, e long"))
     common.released(docs.sparkSession)
-    start = F.shiftrightunsigned("at", 16)
+    start, _, _ = superkmers.places()
     spans = found.join(inner, ["mh", "ch"]).select("uid", (start + F.col("s")).alias("s"), (start + F.col("e")).alias("e"))
 
     def keep(text: str | None, spans: list) -> tuple[int, str]:
@@ -89,7 +89,8 @@ def repeated_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         gone = superkmers.covered(len(parts), spans)
         return int(gone.sum()), hashlib.sha256(b" ".join(p for p, g in zip(parts, gone, strict=True) if not g)).hexdigest()
 
-    cut = superkmers.with_spans(docs, marks, spans, keep, "n_removed long, kept_sha256 string").dropDuplicates(["rid", "mark"])
+    cut = common.written(superkmers.with_spans(docs, marks, spans, keep, "n_removed long, kept_sha256 string").dropDuplicates(["rid", "mark"]))
+    common.released(docs.sparkSession)
     out = marks.join(cut, ["rid", "mark"], "left")
     return out.select("doc_id", F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 

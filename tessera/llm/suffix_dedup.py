@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bwt, common, superkmers
-from .hashing import mix
+from .hashing import _powers, mix
 
 WIDTH = 100
-GRAM = 32
+GRAM = 40
+#: Slices of a minimiser's places within a window; the windows of a slice share a core of bytes around it.
+SLICES = 4
 
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
@@ -43,10 +45,52 @@ def _cut(text: str | None, starts: list[int], ends: list[int]) -> list[bytes]:
     return [data[s:e] for s, e in zip(starts, ends, strict=True)]
 
 
-def _bucket(width: int, pdf: pd.DataFrame) -> pd.DataFrame:
+def trimmed(pdf: pd.DataFrame, width: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The parts of the strings whose windows may repeat, with their string and place there.
+
+    The windows of a super-k-mer that hold its minimiser at nearly the same place share a core of bytes
+    around it. Windows whose core no other string of the minimiser has can't repeat, and stay out.
+    """
+    strings = pdf["string"].tolist()
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    size = pdf["string"].map(len).to_numpy()
+    first, k = np.cumsum(size) - size, size - width + 1
+    spot, mh = pdf["spot"].to_numpy().astype(np.int64), pdf["mh"].to_numpy().view(np.uint64)
+    up, down = _powers(1 << max(12, len(data).bit_length()))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
+    which, lo, hi = [], [], []
+    span = width - gram + 1
+    edges = [span * i // SLICES for i in range(SLICES + 1)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        b -= 1
+        some = np.flatnonzero((spot >= a) & (spot - b < k))
+        s = first[some] + spot[some] - a
+        e = s + a - b + width
+        core = mix((total[e] - total[s]) * down[s] + mix(mh[some]))
+        _, same, n = np.unique(core, return_inverse=True, return_counts=True)
+        some = some[n[same] > 1]
+        which.append(some)
+        lo.append(np.maximum(0, spot[some] - b))
+        hi.append(np.minimum(k[some], spot[some] - a + 1))
+    which, lo, hi = np.concatenate(which), np.concatenate(lo), np.concatenate(hi)
+    order = np.lexsort((lo, which))
+    which, lo, hi = which[order], lo[order], hi[order]
+    if not len(which):
+        return [], which, lo
+    new = np.append(True, (which[1:] != which[:-1]) | (lo[1:] != hi[:-1]))
+    at = np.flatnonzero(new)
+    end = hi[np.append(at[1:], len(hi)) - 1]
+    parts = [strings[i][a : b + width - 1] for i, a, b in zip(which[at].tolist(), lo[at].tolist(), end.tolist(), strict=True)]
+    return parts, which[at], lo[at]
+
+
+def _bucket(width: int, gram: int, pdf: pd.DataFrame) -> pd.DataFrame:
     """Windows of each class's first copy that start earlier elsewhere: one row for each string that has any."""
     strings = pdf["string"].tolist()
-    which, off, group = bwt.repeats(strings, width)
+    parts, string, place = trimmed(pdf, width, gram)
+    which, off, group = bwt.repeats(parts, width) if parts else (np.empty(0, np.int64),) * 3
+    which, off = (string[which], off + place[which]) if parts else (which, off)
     where = pdf["start"].to_numpy()[which] + off
     rid = pdf["rid"].to_numpy()[which]
     order = np.lexsort((where, rid, group))
@@ -58,8 +102,9 @@ def _bucket(width: int, pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     mh, ch, base = pdf["mh"].to_numpy(), pdf["ch"].to_numpy(), pdf["off"].to_numpy()
     by = np.argsort(which, kind="stable")
-    for i, part in zip(*np.unique(which[by], return_index=True), strict=True):
-        at = off[by[part : np.searchsorted(which[by], i, side="right")]]
+    which, off = which[by], off[by]
+    for i, part in zip(*np.unique(which, return_index=True), strict=True):
+        at = off[part : np.searchsorted(which, i, side="right")]
         mask = np.zeros(len(strings[i]), bool)
         mask[at] = True
         for r in superkmers.ranges(mask, width):
@@ -74,9 +119,9 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     found = superkmers.survivors(marks)
     kinds = superkmers.classes(found)
     rows = superkmers.strings(docs, marks, kinds.filter("contents > 1"), _cut, width)
-    inner = common.written(rows.groupBy("bucket").applyInPandas(_by_bucket(width), "mh long, ch int, s long, e long"))
+    inner = common.written(rows.groupBy("bucket").applyInPandas(_by_bucket(width, gram), "mh long, ch int, s long, e long"))
     common.released(docs.sparkSession)
-    start, k = F.shiftrightunsigned("at", 16), F.col("at").bitwiseAND(65535)
+    start, k, _ = superkmers.places()
     # all copies but the first go whole
     copies = found.join(kinds.filter("copies > 1").select("mh", "ch", F.col("first.rid").alias("rid0"), F.col("first.start").alias("start0")), ["mh", "ch"])
     copies = copies.filter((F.col("rid") != F.col("rid0")) | (start != F.col("start0"))).select("uid", start.alias("s"), (start + k + width - 1).alias("e"))
@@ -87,14 +132,15 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         gone = superkmers.covered(len(data), spans)
         return int(gone.sum()), int(np.diff(gone.astype(np.int8), prepend=0).clip(0).sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
-    cut = superkmers.with_spans(docs, marks, copies.union(firsts), keep, "n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["rid", "mark"])
+    cut = common.written(superkmers.with_spans(docs, marks, copies.union(firsts), keep, "n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["rid", "mark"]))
+    common.released(docs.sparkSession)
     out = marks.join(cut, ["rid", "mark"], "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
-def _by_bucket(width: int):
-    return lambda pdf: _bucket(width, pdf)
+def _by_bucket(width: int, gram: int):
+    return lambda pdf: _bucket(width, gram, pdf)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,13 +27,15 @@ from .hashing import _powers, mix
 SCAN = 1 << 19
 HOT = 4096
 #: Bytes of strings meant for one bucket.
-BUCKET = 1 << 20
+BUCKET = 1 << 18
 PLACE = 20
 
 
 def scan(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser (uint64), content (uint32), start and number of windows of each super-k-mer of one document."""
+    """Minimiser (uint64), content (uint32), start, and place of the minimiser << 8 | number of windows, of each super-k-mer of one document."""
     found = []
+    if width - gram + 1 > 255:
+        raise ValueError("a minimiser's place and its windows must fit in a byte each")
     n_windows = len(values) - width + 1
     for at in range(0, n_windows, SCAN):
         v = values[at : at + SCAN + width - 1]
@@ -53,7 +55,7 @@ def scan(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndar
         count = np.diff(np.append(start, n))
         end = start + count + width - 1
         content = mix((total[end] - total[start]) * down[start] + mix(end.astype(np.uint64) - start.astype(np.uint64)))
-        found.append((grams[place[start]], (content >> np.uint64(32)).astype(np.uint32), start + at, count))
+        found.append((grams[place[start]], (content >> np.uint64(32)).astype(np.uint32), start + at, (place[start] - start) << 8 | count))
     if not found:
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none.astype(np.uint32), none, none
@@ -102,16 +104,23 @@ def survivors(marks: DataFrame) -> DataFrame:
     return out
 
 
+def places() -> tuple:
+    """Start, number of windows, and place of the minimiser, as columns of what `at` packs."""
+    at = F.col("at")
+    return F.shiftrightunsigned(at, 16), at.bitwiseAND(255), F.shiftrightunsigned(at, 8).bitwiseAND(255)
+
+
 def classes(found: DataFrame) -> DataFrame:
     """mh, ch, first (rid, start, uid, k) and copies of each content; contents: number of them at the minimiser."""
-    start, k = F.shiftrightunsigned("at", 16), F.col("at").bitwiseAND(65535)
-    each = found.groupBy("mh", "ch").agg(F.min(F.struct("rid", start.alias("start"), "uid", k.alias("k"))).alias("first"), F.count("*").alias("copies"))
-    each = common.written(each)
+    start, k, spot = places()
+    first = F.struct("rid", start.alias("start"), "uid", k.alias("k"), spot.alias("spot"))
+    each = common.written(found.groupBy("mh", "ch").agg(F.min(first).alias("first"), F.count("*").alias("copies")))
+    common.released(found.sparkSession)
     return common.written(each.join(each.groupBy("mh").agg(F.count("*").alias("contents")), "mh"))
 
 
 def strings(docs: DataFrame, marks: DataFrame, some: DataFrame, cut: Callable, width: int) -> DataFrame:
-    """bucket, mh, ch, off, rid, start, copies, string: a packed string for each class of `some`, or for each window of a hot one.
+    """bucket, mh, ch, off, spot, rid, start, copies, string: a packed string for each class of `some`, or for each window of a hot one.
 
     cut: (text, starts, ends) -> the strings between those units.
     """
@@ -119,9 +128,10 @@ def strings(docs: DataFrame, marks: DataFrame, some: DataFrame, cut: Callable, w
     unit = 1 if width > 64 else 7
     buckets = max(1, -(-int(size[0] or 0) * unit // BUCKET))
     need = some.select("mh", "ch", "copies", "first.*", (F.col("contents") > HOT).alias("hot"))
-    need = need.groupBy("uid").agg(F.collect_list(F.struct("mh", "ch", "copies", "start", "k", "hot")).alias("need"))
-    need = need.join(marks.select("uid", "rid", "mark"), "uid").drop("uid")
-    rows = keyed(docs)
+    need = need.groupBy("uid").agg(F.collect_list(F.struct("mh", "ch", "copies", "start", "k", "spot", "hot")).alias("need"))
+    need = common.written(need.join(marks.select("uid", "rid", "mark"), "uid").drop("uid"))
+    common.released(docs.sparkSession)
+    rows = common.narrowed(keyed(docs), need, ["rid", "mark"])
     wide = rows.join(need, ["rid", "mark"])
 
     def run(text: list, need: list) -> list[list]:
@@ -132,16 +142,16 @@ def strings(docs: DataFrame, marks: DataFrame, some: DataFrame, cut: Callable, w
                 for off in range(x["k"]) if x["hot"] else [0]:
                     starts.append(x["start"] + off)
                     ends.append(x["start"] + (off + width if x["hot"] else x["k"] + width - 1))
-                    info.append((x["mh"], x["ch"], x["copies"], off, x["hot"]))
+                    info.append((x["mh"], x["ch"], x["copies"], off, x["spot"] - off, x["hot"]))
             out.append(
                 [
-                    {"mh": m, "ch": c, "copies": n, "off": o, "start": s, "string": b, "key": hash_bytes(b) if h else m}
-                    for b, s, (m, c, n, o, h) in zip(cut(t, starts, ends), starts, info, strict=True)
+                    {"mh": m, "ch": c, "copies": n, "off": o, "spot": p, "start": s, "string": b, "key": hash_bytes(b) if h else m}
+                    for b, s, (m, c, n, o, p, h) in zip(cut(t, starts, ends), starts, info, strict=True)
                 ]
             )
         return [out]
 
-    made = "made array<struct<mh:long,ch:int,copies:long,off:int,start:long,string:binary,key:long>>"
+    made = "made array<struct<mh:long,ch:int,copies:long,off:int,spot:int,start:long,string:binary,key:long>>"
     out = common.with_columns_by(wide, ["rid"], {"text": F.col("text"), "need": F.col("need")}, run, made)
     out = out.select("rid", F.explode("made").alias("m")).select("rid", "m.*")
     return out.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).drop("key")
@@ -175,7 +185,9 @@ def with_spans(docs: DataFrame, marks: DataFrame, spans: DataFrame, keep: Callab
     """Rows of docs that have spans (uid, s, e), with what keep(text, spans) returns for the columns `added`."""
     each = spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     each = each.join(marks.select("uid", "rid", "mark"), "uid").groupBy("rid", "mark").agg(F.min_by("spans", "uid").alias("spans"))
-    rows = keyed(docs)
+    each = common.written(each)
+    common.released(docs.sparkSession)
+    rows = common.narrowed(keyed(docs), each, ["rid", "mark"])
 
     def run(text: list, spans: list) -> list[list]:
         return [list(x) for x in zip(*(keep(t, s) for t, s in zip(text, spans, strict=True)), strict=True)] or [[] for _ in added.split(",")]
