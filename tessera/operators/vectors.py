@@ -61,7 +61,8 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, columns: list[str] | None =
     columns = columns or []
     n = blocks or block_count(rows)
     x = _blocks(rows.select("id", "u", *columns), n, "p").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    y = _blocks(queries.select("id", "u"), n, "q").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # names of its own: the queries may be the rows themselves
+    y = _blocks(queries.select("id", "u"), n, "q").select(F.col("id").alias("qid"), F.col("u").alias("qu"), "q").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     kept = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in columns}
     schema = ", ".join(["query long", "id long", "sim double", *(f"{c} {t}" for c, t in kept.items())])
 
@@ -72,10 +73,10 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, columns: list[str] | None =
             ids, u = a["id"].to_numpy(), np.stack(a["u"].to_numpy()).T
             for at in range(0, len(b), 512):
                 part = b.iloc[at : at + 512]
-                s = np.round(np.stack(part["u"].to_numpy()) @ u, 9)
-                s[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                s = np.round(np.stack(part["qu"].to_numpy()) @ u, 9)
+                s[part["qid"].to_numpy()[:, None] == ids[None, :]] = -np.inf
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                for q, row, sims in zip(part["id"], top, np.take_along_axis(s, top, axis=1), strict=True):
+                for q, row, sims in zip(part["qid"], top, np.take_along_axis(s, top, axis=1), strict=True):
                     ok = np.isfinite(sims)
                     out.append(a.iloc[row[ok]][["id", *columns]].assign(query=q, sim=sims[ok]))
         cols = ["query", "id", "sim", *columns]

@@ -1,12 +1,11 @@
 """Grid and forecast queries on the citation-shaped tables, each with its SQL.
-
-Sums of shares may fall on a rounding boundary, where the order of adding decides; 1e-12 moves both engines off it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import grid, rank
 from ..sources import tables as t
 from ..sources.tables import with_sql
@@ -50,17 +49,17 @@ def grid_cells(spark, d):
 @query("tool_features", with_sql("paper", "cit") + f""", {HIST} select work, round(ln(1 + count(*)), 6) cites, round(ln(1 + sum((year > {CUT - RECENT})::int)), 6) recent, count(distinct area) reach
 from hist group by work having count(*) >= {CITES}""")
 def tool_features(spark, d):
-    return grid.work_features(t.citations(spark, d), CUT, RECENT, CITES).select("work", F.round("cites", 6).alias("cites"), F.round("recent", 6).alias("recent"), "reach")
+    return grid.work_features(t.citations(spark, d), CUT, RECENT, CITES).select("work", rounded("cites", 6).alias("cites"), rounded("recent", 6).alias("recent"), "reach")
 
 
 @query("area_size", with_sql("paper") + f" select area, round(ln(1 + count(*)), 6) size from paper where year between {CUT - RECENT + 1} and {CUT} group by area")
 def area_size(spark, d):
-    return t.papers(spark, d).filter(F.col("year").between(CUT - RECENT + 1, CUT)).groupBy("area").agg(F.round(F.log1p(F.count("*")), 6).alias("size"))
+    return t.papers(spark, d).filter(F.col("year").between(CUT - RECENT + 1, CUT)).groupBy("area").agg(rounded(F.log1p(F.count("*")), 6).alias("size"))
 
 
-@query("flow", with_sql("paper", "cit", "home") + f", {HIST}, {FLOW} select work, area, round(flow + 1e-12::double, 6) flow from flow")
+@query("flow", with_sql("paper", "cit", "home") + f", {HIST}, {FLOW} select work, area, round(flow, 6) flow from flow")
 def flow(spark, d):
-    return grid.flows(t.citations(spark, d), t.work_areas(spark, d), CUT, RECENT).withColumn("flow", F.round(F.col("flow") + 1e-12, 6))
+    return grid.flows(t.citations(spark, d), t.work_areas(spark, d), CUT, RECENT).withColumn("flow", rounded("flow", 6))
 
 
 @query("xlist", with_sql("paper", "cit", "author", "sec") + f", {HIST}, {XLIST} select work, area, n xlist from xl")
@@ -74,11 +73,11 @@ def _rungs(spark, d):
         grid.cross_listed(cit, t.secondary(spark, d), CUT),
         grid.shared_authors(cit, papers, t.authors(spark, d), CUT),
         grid.second_hand(cit, papers, t.references(spark, d), CUT),
-        grid.flows(cit, t.work_areas(spark, d), CUT, RECENT).withColumn("flow", F.round(F.col("flow") + 1e-12, 9)),
+        grid.flows(cit, t.work_areas(spark, d), CUT, RECENT).withColumn("flow", rounded("flow", 9)),
     )
 
 
-RUNG = """lad as (select c.*, coalesce(round(fl.flow + 1e-12::double, 9), 0) flow, case when x.work is not null then 1 when s.work is not null then 2 when n.work is not null then 3 end low
+RUNG = """lad as (select c.*, coalesce(round(fl.flow, 9), 0) flow, case when x.work is not null then 1 when s.work is not null then 2 when n.work is not null then 3 end low
   from cells c left join xl x on x.work = c.work and x.area = c.area left join shared s on s.work = c.work and s.area = c.area
   left join second n on n.work = c.work and n.area = c.area left join flow fl on fl.work = c.work and fl.area = c.area),
 rungs as (select work, area, outcome, pos, coalesce(low, case when flow >= (select quantile_cont(flow, 0.75) from lad) then 4 else 5 end)::bigint rung from lad)"""
@@ -93,12 +92,12 @@ def closeness_ladder(spark, d):
 def rung_rates(spark, d):
     x = grid.ladder(labelled(spark, d), *_rungs(spark, d))
     return x.groupBy("rung").agg(
-        F.count("*").alias("cells"), F.count_if("pos").alias("jumps"), F.count_if(F.col("outcome") >= 5).alias("took_hold"), F.round(F.avg(F.col("pos").cast("int")), 6).alias("rate")
+        F.count("*").alias("cells"), F.count_if("pos").alias("jumps"), F.count_if(F.col("outcome") >= 5).alias("took_hold"), rounded(F.avg(F.col("pos").cast("int")), 6).alias("rate")
     )
 
 
 SIX = """near as (select distinct m.work, a.area from (select distinct h.work, areas.parent from hist h join areas on areas.area = h.area) m join areas a on a.parent = m.parent),
-lad6 as (select c.*, coalesce(round(fl.flow + 1e-12::double, 9), 0) flow, case when x.work is not null then 1 when s.work is not null then 2 when n.work is not null then 3 when r.work is not null then 4 end low
+lad6 as (select c.*, coalesce(round(fl.flow, 9), 0) flow, case when x.work is not null then 1 when s.work is not null then 2 when n.work is not null then 3 when r.work is not null then 4 end low
   from cells c left join xl x on x.work = c.work and x.area = c.area left join shared s on s.work = c.work and s.area = c.area left join second n on n.work = c.work and n.area = c.area
   left join near r on r.work = c.work and r.area = c.area left join flow fl on fl.work = c.work and fl.area = c.area)"""
 
@@ -110,7 +109,7 @@ def six_rung_ladder(spark, d):
 
 @query("cocitation_share", with_sql("paper", "cit") + f", {HIST}, {COC} select a, b, round(f, 6) f from f")
 def cocitation_share(spark, d):
-    return grid.cocitation(grid.history(t.citations(spark, d), CUT)).withColumn("f", F.round("f", 6))
+    return grid.cocitation(grid.history(t.citations(spark, d), CUT)).withColumn("f", rounded("f", 6))
 
 
 SPAN = """mix as (select work, area b, count(*)::double / sum(count(*)) over (partition by work) s from hist group by 1, 2),
@@ -123,9 +122,9 @@ def _spans(spark, d):
     return grid.spans(h, grid.cocitation(h), t.areas(spark, d))
 
 
-@query("span_bits", with_sql("paper", "cit", "areas") + f", {HIST}, {COC}, {SPAN} select work, area, round(bits + 1e-12::double, 6) + 0 bits from span")
+@query("span_bits", with_sql("paper", "cit", "areas") + f", {HIST}, {COC}, {SPAN} select work, area, round(bits, 6) + 0 bits from span")
 def span_bits(spark, d):
-    return _spans(spark, d).withColumn("bits", F.round(F.col("bits") + 1e-12, 6) + F.lit(0.0))
+    return _spans(spark, d).withColumn("bits", rounded("bits", 6) + F.lit(0.0))
 
 
 ARRIVE = """first as (select work, area, min(year) y0 from cit group by 1, 2),
@@ -182,9 +181,9 @@ def surprise_label(spark, d):
 GRID_STEPS = "steps as (select unnest([0.25, 0.5, 0.75, 1.0])::double bits0)"
 
 
-@query("threshold_grid", f"{LABEL_BASE}, {SPAN}, {GRID_STEPS} select bits0, label, count(*) pairs, sum((outcome >= 1)::int)::bigint crossed, sum(pos::int)::bigint jumps from lab join (select work, area, round(bits + 1e-12::double, 6) bits from span) s using (work, area) join steps on s.bits >= bits0 group by 1, 2")
+@query("threshold_grid", f"{LABEL_BASE}, {SPAN}, {GRID_STEPS} select bits0, label, count(*) pairs, sum((outcome >= 1)::int)::bigint crossed, sum(pos::int)::bigint jumps from lab join (select work, area, round(bits, 6) bits from span) s using (work, area) join steps on s.bits >= bits0 group by 1, 2")
 def threshold_grid(spark, d):
-    x = _labels(spark, d).join(_spans(spark, d).withColumn("bits", F.round(F.col("bits") + 1e-12, 6)), ["work", "area"])
+    x = _labels(spark, d).join(_spans(spark, d).withColumn("bits", rounded("bits", 6)), ["work", "area"])
     steps = [0.25, 0.5, 0.75, 1.0]
     x = x.withColumn("bits0", F.explode(F.filter(F.array(*map(F.lit, steps)), lambda e: e <= F.col("bits"))))
     return x.groupBy("bits0", "label").agg(F.count("*").alias("pairs"), F.count_if(F.col("outcome") >= 1).alias("crossed"), F.count_if("pos").alias("jumps"))
@@ -217,32 +216,32 @@ def textbook_filter(spark, d):
     return grid.textbooks(grid.home_breadth(grid.history(t.citations(spark, d), CUT))).select("work", "breadth")
 
 
-@query("top_per_area", f"{LADDER_BASE}, s as (select c.work, c.area, coalesce(round(fl.flow + 1e-12::double, 9), 0) score from cells c left join flow fl on fl.work = c.work and fl.area = c.area) select area, work, row_number() over (partition by area order by score desc, work) rank from s qualify rank <= 20")
+@query("top_per_area", f"{LADDER_BASE}, s as (select c.work, c.area, coalesce(round(fl.flow, 9), 0) score from cells c left join flow fl on fl.work = c.work and fl.area = c.area) select area, work, row_number() over (partition by area order by score desc, work) rank from s qualify rank <= 20")
 def top_per_area(spark, d):
     return _listed(spark, d).select("area", "work", "rank")
 
 
 def _scored(spark, d):
     f = grid.flows(t.citations(spark, d), t.work_areas(spark, d), CUT, RECENT)
-    return labelled(spark, d).join(f, ["work", "area"], "left").withColumn("score", F.coalesce(F.round(F.col("flow") + 1e-12, 9), F.lit(0.0)))
+    return labelled(spark, d).join(f, ["work", "area"], "left").withColumn("score", F.coalesce(rounded("flow", 9), F.lit(0.0)))
 
 
 def _listed(spark, d):
     return rank.top_per(_scored(spark, d), "area", "score", ["work"], 20)
 
 
-@query("list_lift", f"""{LADDER_BASE}, s as (select c.*, coalesce(round(fl.flow + 1e-12::double, 9), 0) score from cells c left join flow fl on fl.work = c.work and fl.area = c.area),
+@query("list_lift", f"""{LADDER_BASE}, s as (select c.*, coalesce(round(fl.flow, 9), 0) score from cells c left join flow fl on fl.work = c.work and fl.area = c.area),
 l as (select * from s qualify row_number() over (partition by area order by score desc, work) <= 20)
 select (select count(*) from l) listed, round((select avg(pos::int) from l), 6) as precision, round((select avg(pos::int) from s), 6) base, round((select avg(pos::int) from l) / (select avg(pos::int) from s), 6) lift""")
 def list_lift(spark, d):
     out = grid.list_lift(_listed(spark, d), labelled(spark, d), "pos")
-    return out.select("listed", *(F.round(c, 6).alias(c) for c in ("precision", "base", "lift")))
+    return out.select("listed", *(rounded(c, 6).alias(c) for c in ("precision", "base", "lift")))
 
 
 @query("coverage", with_sql("paper") + ", r as (select distinct l_orderkey paper from lineitem where l_returnflag = 'R') select year, count(*) papers, round(avg((r.paper is not null)::int), 6) share from paper left join r using (paper) group by year")
 def coverage(spark, d):
     r = t.load(spark, d, "lineitem", ["l_orderkey", "l_returnflag"]).filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("paper"), F.lit(1).alias("has")).distinct()
-    return t.papers(spark, d).join(r, "paper", "left").groupBy("year").agg(F.count("*").alias("papers"), F.round(F.avg(F.coalesce("has", F.lit(0))), 6).alias("share"))
+    return t.papers(spark, d).join(r, "paper", "left").groupBy("year").agg(F.count("*").alias("papers"), rounded(F.avg(F.coalesce("has", F.lit(0))), 6).alias("share"))
 
 
 @query("usable_strata", f"{BASE} select count(*) filter (where p > 0 and p < n) strata, coalesce(sum(p) filter (where p < n), 0)::bigint positives from (select area, sum(pos::int) p, count(*) n from cells group by area)")
@@ -261,4 +260,4 @@ def window_counts(spark, d):
 select area, round(avg((b <> area)::int), 6) far, count(distinct b) areas from r group by area""")
 def reference_spread(spark, d):
     r = t.citations(spark, d).join(t.work_areas(spark, d), "work")
-    return r.groupBy("area").agg(F.round(F.avg((F.col("home") != F.col("area")).cast("int")), 6).alias("far"), F.countDistinct("home").alias("areas"))
+    return r.groupBy("area").agg(rounded(F.avg((F.col("home") != F.col("area")).cast("int")), 6).alias("far"), F.countDistinct("home").alias("areas"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import rank
 from ..operators import resample as rs
 from ..sources import tables as t
@@ -27,27 +28,27 @@ def lab(spark, d):
 
 @query("plain_auc", f"with {LAB}, x as (select 0 g, s, y, 1.0::double w from lab), {CLS} select round({VALUE}, 6) auc, sum(pw) positives, sum(nw) negatives from c")
 def plain_auc(spark, d):
-    return rank.auc(lab(spark, d), "s", "y").select(F.round("auc", 6).alias("auc"), "positives", "negatives")
+    return rank.auc(lab(spark, d), "s", "y").select(rounded("auc", 6).alias("auc"), "positives", "negatives")
 
 
 @query("weighted_auc", f"with {LAB}, x as (select 0 g, s, y, w from lab), {CLS} select round({VALUE}, 6) auc, sum(pw) positives, sum(nw) negatives from c")
 def weighted_auc(spark, d):
-    return rank.auc(lab(spark, d), "s", "y", "w").select(F.round("auc", 6).alias("auc"), "positives", "negatives")
+    return rank.auc(lab(spark, d), "s", "y", "w").select(rounded("auc", 6).alias("auc"), "positives", "negatives")
 
 
 @query("grouped_auc", f"with {LAB}, x as (select g, s, y, 1.0::double w from lab), {CLS} select g, round({VALUE}, 6) auc, sum(pw) positives, sum(nw) negatives from c group by g")
 def grouped_auc(spark, d):
-    return rank.auc(lab(spark, d), "s", "y", None, ["g"]).select("g", F.round("auc", 6).alias("auc"), "positives", "negatives")
+    return rank.auc(lab(spark, d), "s", "y", None, ["g"]).select("g", rounded("auc", 6).alias("auc"), "positives", "negatives")
 
 
 @query("stratified_auc", f"with {LAB}, x as (select g, s, y, w from lab), {CLS}, e as (select sum(pw * (below + 0.5 * nw)) won, sum(pw) * sum(nw) pairs from c group by g) select round(sum(won) / sum(pairs), 6) auc from e")
 def stratified_auc(spark, d):
-    return rank.stratified_auc(lab(spark, d), "s", "y", "g", "w").select(F.round("auc", 6).alias("auc"))
+    return rank.stratified_auc(lab(spark, d), "s", "y", "g", "w").select(rounded("auc", 6).alias("auc"))
 
 
 @query("placements", f"with {LAB}, x as (select 0 g, s, y, 1.0::double w from lab), {CLS}, n as (select sum(nw) n from c) select s, round((below + 0.5 * nw) / n.n, 6) placement, pw n from c, n where pw > 0")
 def placements(spark, d):
-    return rank.placements(lab(spark, d), "s", "y").withColumn("placement", F.round("placement", 6))
+    return rank.placements(lab(spark, d), "s", "y").withColumn("placement", rounded("placement", 6))
 
 
 @query("midranks", f"with {LAB} select id, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double rank from lab")
@@ -60,9 +61,9 @@ def kind_percentile(spark, d):
     x = lab(spark, d)
     n = x.groupBy("g", "s").agg(F.count("*").alias("h"))
     c = rank.cumulative(n, "s", ["h"], ["g"]).join(F.broadcast(x.groupBy("g").agg(F.count("*").alias("n"))), "g")
-    p = F.least(F.floor(F.round((F.col("h_below") + 0.5 * F.col("h")) / F.col("n"), 9) * 1_000_000), F.lit(999_999))
+    p = F.least(F.floor(rounded((F.col("h_below") + 0.5 * F.col("h")) / F.col("n"), 9) * 1_000_000), F.lit(999_999))
     x = x.join(c.select("g", "s", p.alias("p")), ["g", "s"])
-    return rank.auc(x, "p", "y").select(F.round("auc", 6).alias("auc"))
+    return rank.auc(x, "p", "y").select(rounded("auc", 6).alias("auc"))
 
 
 @query("rank_deciles", f"with {LAB} select id, ((row_number() over (order by s, id) - 1) * 10 // count(*) over ())::bigint decile from lab")
@@ -81,7 +82,7 @@ def _placed(spark, d):
 
 @query("percentile_rank", f"with {LAB} select id, round((row_number() over (order by s, id) - 0.5::double) / count(*) over (), 6) p from lab")
 def percentile_rank(spark, d):
-    return _placed(spark, d).select("id", F.round((F.col("place") - 0.5) / F.col("n"), 6).alias("p"))
+    return _placed(spark, d).select("id", rounded((F.col("place") - 0.5) / F.col("n"), 6).alias("p"))
 
 
 @query("quantile_bands", f"with {LAB}, e as (select quantile_cont(s, [0.2, 0.4, 0.6, 0.8]) e from lab) select id, len(list_filter(e.e, lambda x: x <= s))::bigint band from lab, e")
@@ -103,7 +104,7 @@ def percentile_of_true(spark, d):
     c = rank.cumulative(n, "s", ["h"], ["g"]).join(F.broadcast(x.groupBy("g").agg(F.count("*").alias("n"))), "g")
     out = x.filter("y").join(c, ["g", "s"])
     p = (F.col("h_below") + 0.5 * F.col("h")) / F.col("n")
-    return out.select("id", F.round(p, 6).alias("p"), (F.col("n") - F.col("h_below") - F.col("h") < 10).alias("top10"))
+    return out.select("id", rounded(p, 6).alias("p"), (F.col("n") - F.col("h_below") - F.col("h") < 10).alias("top10"))
 
 
 @query("top_k_lift", f"with {LAB}, r as (select y, row_number() over (order by s desc, id) n from lab) select count(*) filter (where y and n <= 50) hits, round((count(*) filter (where y and n <= 50) / 50.0::double) / (count(*) filter (where y) / count(*)::double), 6) lift from r")
@@ -111,21 +112,21 @@ def top_k_lift(spark, d):
     x = lab(spark, d)
     top = rank.top_k(x, "s", ["id"], 50).agg(F.count_if("y").alias("hits"))
     base = x.agg(F.avg(F.col("y").cast("int")).alias("base"))
-    return top.crossJoin(base).select("hits", F.round(F.col("hits") / 50 / F.col("base"), 6).alias("lift"))
+    return top.crossJoin(base).select("hits", rounded(F.col("hits") / 50 / F.col("base"), 6).alias("lift"))
 
 
 @query("spearman", f"with {LAB}, r as (select rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double a, rank() over (order by q, y) + (count(*) over (partition by q, y) - 1) / 2.0::double b from lab) select round(corr(a, b), 6) rho from r")
 def spearman(spark, d):
     x = lab(spark, d).withColumn("o", F.col("q").cast("int") * 2 + F.col("y").cast("int"))
     x = rank.midranks(rank.midranks(x, "s", "a"), "o", "b")
-    return x.agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+    return x.agg(rounded(F.corr("a", "b"), 6).alias("rho"))
 
 
 @query("kappa", f"with {LAB}, m as (select avg((q = y)::int) o, avg(q::int) a, avg(y::int) b from lab) select round((o - (a * b + (1 - a) * (1 - b))) / (1 - (a * b + (1 - a) * (1 - b))), 6) kappa from m")
 def kappa(spark, d):
     m = lab(spark, d).agg(F.avg((F.col("q") == F.col("y")).cast("int")).alias("o"), F.avg(F.col("q").cast("int")).alias("a"), F.avg(F.col("y").cast("int")).alias("b"))
     e = F.col("a") * F.col("b") + (1 - F.col("a")) * (1 - F.col("b"))
-    return m.select(F.round((F.col("o") - e) / (1 - e), 6).alias("kappa"))
+    return m.select(rounded((F.col("o") - e) / (1 - e), 6).alias("kappa"))
 
 
 @query("weighted_kappa", f"with {LAB}, r as (select least(s, 4) a, least(q::int * 2 + y::int, 4) b from lab), ma as (select a, count(*)::double n from r group by a), mb as (select b, count(*)::double n from r group by b), o as (select sum((a - b) * (a - b)) x, count(*)::double n from r), e as (select sum(ma.n * mb.n * (a - b) * (a - b)) x from ma, mb) select round(1 - o.x * o.n / e.x, 6) kappa from o, e")
@@ -135,7 +136,7 @@ def weighted_kappa(spark, d):
     o = r.agg(F.sum(gap).alias("x"), F.count("*").cast("double").alias("n"))
     ma, mb = r.groupBy("a").agg(F.count("*").cast("double").alias("na")), r.groupBy("b").agg(F.count("*").cast("double").alias("nb"))
     e = ma.crossJoin(F.broadcast(mb)).agg(F.sum(F.col("na") * F.col("nb") * gap).alias("e"))
-    return o.crossJoin(e).select(F.round(1 - F.col("x") * F.col("n") / F.col("e"), 6).alias("kappa"))
+    return o.crossJoin(e).select(rounded(1 - F.col("x") * F.col("n") / F.col("e"), 6).alias("kappa"))
 
 
 PV = f"pv as (select src as name, round(exp(-abs(avg(s) - 20) * sqrt(count(*)) / 10), 9) p from lab group by src)"
@@ -143,7 +144,7 @@ PV = f"pv as (select src as name, round(exp(-abs(avg(s) - 20) * sqrt(count(*)) /
 
 @query("holm", f"with {LAB}, {PV}, r as (select name, p, row_number() over (order by p, name) - 1 k, count(*) over () m from pv) select name, p, min((p <= 0.05::double / (m - k))::int) over (order by p, name) = 1 rejected from r")
 def holm(spark, d):
-    p = F.round(F.exp(-F.abs(F.avg("s") - 20) * F.sqrt(F.count("*")) / 10), 9)
+    p = rounded(F.exp(-F.abs(F.avg("s") - 20) * F.sqrt(F.count("*")) / 10), 9)
     return rs.holm(lab(spark, d).groupBy(F.col("src").alias("name")).agg(p.alias("p")), "name", "p")
 
 
@@ -151,7 +152,7 @@ def holm(spark, d):
 def ols_slope(spark, d):
     x = lab(spark, d).withColumn("f", F.explode(F.array(*map(F.lit, (1, 2, 4, 8))))).filter(rs.uniform("sub", "id") < F.col("f") / 8)
     x = x.groupBy("f").agg(F.avg("s").alias("m")).withColumn("lx", F.log2(F.col("f").cast("double")))
-    return x.agg(F.round(F.regr_slope("m", "lx"), 6).alias("slope"), F.round(F.regr_intercept("m", "lx"), 6).alias("intercept"))
+    return x.agg(rounded(F.regr_slope("m", "lx"), 6).alias("slope"), rounded(F.regr_intercept("m", "lx"), 6).alias("intercept"))
 
 
 @query("jackknife_auc", f"with {LAB}, o as (select distinct src from lab), x as (select o.src g, s, y, 1.0::double w from o join lab on lab.src <> o.src), {CLS} select g left_out, round({VALUE}, 6) auc from c group by g")
@@ -160,7 +161,7 @@ def jackknife_auc(spark, d):
     c = x.groupBy("src", "s").agg(F.sum(F.col("y").cast("double")).alias("p"), F.sum((~F.col("y")).cast("double")).alias("m"))
     o = x.select(F.col("src").alias("left_out")).distinct()
     c = c.crossJoin(F.broadcast(o)).filter("src <> left_out").groupBy("left_out", "s").agg(F.sum("p").alias("pw"), F.sum("m").alias("nw"))
-    return _by(c, "left_out").select("left_out", F.round("auc", 6).alias("auc"))
+    return _by(c, "left_out").select("left_out", rounded("auc", 6).alias("auc"))
 
 
 def _by(classes, by):
@@ -180,7 +181,7 @@ def hash_bootstrap_auc(spark, d):
     x = lab(spark, d)
     c = x.groupBy("src", "s").agg(F.sum(F.col("y").cast("double")).alias("pw"), F.sum((~F.col("y")).cast("double")).alias("nw"))
     a = _by(rs.weighted_classes(c, rs.multiplicities(rs.numbered(x, "src"), "src", 50, "boot"), "src", "s"), "draw")
-    return a.agg(F.count("*").alias("draws"), F.round(F.avg("auc"), 6).alias("mean"), F.round(F.percentile("auc", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("auc", F.lit(0.975)), 6).alias("high"))
+    return a.agg(F.count("*").alias("draws"), rounded(F.avg("auc"), 6).alias("mean"), rounded(F.percentile("auc", F.lit(0.025)), 6).alias("low"), rounded(F.percentile("auc", F.lit(0.975)), 6).alias("high"))
 
 
 @query("bootstrap_gain", f"with {LAB}, {BOOT}, xa as (select draw g, s, y, mult::double w from mu join lab using (src)), xb as (select draw g, q::int::double s, y, mult::double w from mu join lab using (src)), a as (select g, auc from (with x as (select * from xa), {CLS} select g, {VALUE} auc from c group by g)), b as (select g, auc from (with x as (select * from xb), {CLS} select g, {VALUE} auc from c group by g)) select round(avg(a.auc - b.auc), 6) gain, round(quantile_cont(a.auc - b.auc, 0.025), 6) low, round(quantile_cont(a.auc - b.auc, 0.975), 6) high from a join b using (g)")
@@ -192,7 +193,7 @@ def bootstrap_gain(spark, d):
     a = _by(rs.weighted_classes(x.groupBy("src", "s").agg(*sums), mult, "src", "s"), "draw")
     b = _by(rs.weighted_classes(x.drop("s").withColumn("s", F.col("q").cast("double")).groupBy("src", "s").agg(*sums), mult, "src", "s"), "draw")
     g = a.join(b.withColumnRenamed("auc", "base"), "draw").select((F.col("auc") - F.col("base")).alias("g"))
-    return g.agg(F.round(F.avg("g"), 6).alias("gain"), F.round(F.percentile("g", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("g", F.lit(0.975)), 6).alias("high"))
+    return g.agg(rounded(F.avg("g"), 6).alias("gain"), rounded(F.percentile("g", F.lit(0.025)), 6).alias("low"), rounded(F.percentile("g", F.lit(0.975)), 6).alias("high"))
 
 
 @query("endpoint_bootstrap", f"with {LAB}, {BOOT}, pr as (select a.src i, b.src j, avg(abs(a.s - b.s)) v from lab a join lab b on a.src < b.src and a.y and b.y group by 1, 2), x as (select x.draw, sum(v * x.mult * y.mult) / sum(x.mult * y.mult) m from pr join mu x on x.src = i join mu y on y.src = j and y.draw = x.draw group by x.draw) select round(avg(m), 6) mean, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high from x")
@@ -205,7 +206,7 @@ def endpoint_bootstrap(spark, d):
     m = rs.multiplicities(rs.numbered(x, "src"), "src", 50, "boot")
     w = p.join(m.toDF("draw", "i", "mi"), "i").join(m.toDF("draw", "j", "mj"), ["draw", "j"])
     w = w.groupBy("draw").agg((F.sum(F.col("v") * F.col("mi") * F.col("mj")) / F.sum(F.col("mi") * F.col("mj"))).alias("m"))
-    return w.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+    return w.agg(rounded(F.avg("m"), 6).alias("mean"), rounded(F.percentile("m", F.lit(0.025)), 6).alias("low"), rounded(F.percentile("m", F.lit(0.975)), 6).alias("high"))
 
 
 @query("area_bootstrap", with_sql("paper", "cit") + f""", pr as (select area src, avg((year > 1999)::int) p from cit group by 1), lab as (select src from pr), {BOOT}, m as (select draw, sum(p * mult) / sum(mult) p from mu join pr using (src) group by draw) select round(avg(p), 6) mean, round(quantile_cont(p, 0.025), 6) low, round(quantile_cont(p, 0.975), 6) high from m""")
@@ -213,7 +214,7 @@ def area_bootstrap(spark, d):
     p = t.citations(spark, d).groupBy(F.col("area").alias("src")).agg(F.avg((F.col("year") > 1999).cast("int")).alias("p"))
     m = rs.multiplicities(rs.numbered(p, "src"), "src", 50, "boot").join(F.broadcast(p), "src")
     m = m.groupBy("draw").agg((F.sum(F.col("p") * F.col("mult")) / F.sum("mult")).alias("p"))
-    return m.agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.percentile("p", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("p", F.lit(0.975)), 6).alias("high"))
+    return m.agg(rounded(F.avg("p"), 6).alias("mean"), rounded(F.percentile("p", F.lit(0.025)), 6).alias("low"), rounded(F.percentile("p", F.lit(0.975)), 6).alias("high"))
 
 
 @query("permutation_null", f"with {LAB}, dr as (select unnest(range(20)) draw), k as (select count(*) filter (where y) k from lab), r as (select draw, s, row_number() over (partition by draw order by sha256('perm|' || draw || '|' || id), id) n from dr, lab), x as (select draw g, s, n <= k.k y, 1.0::double w from r, k), {CLS}, a as (select g, {VALUE} auc from c group by g) select round(avg(auc), 6) mean, round(stddev_pop(auc), 6) sd, count(*) filter (where auc >= 0.5::double) above from a")
@@ -223,7 +224,7 @@ def permutation_null(spark, d):
     n = F.row_number().over(Window.partitionBy("draw").orderBy(key, "id"))
     x = x.withColumn("n", n).crossJoin(F.broadcast(lab(spark, d).agg(F.count_if("y").alias("k"))))
     a = rank.auc(x.withColumn("hit", F.col("n") <= F.col("k")), "s", "hit", None, ["draw"])
-    return a.agg(F.round(F.avg("auc"), 6).alias("mean"), F.round(F.stddev_pop("auc"), 6).alias("sd"), F.count_if(F.col("auc") >= 0.5).alias("above"))
+    return a.agg(rounded(F.avg("auc"), 6).alias("mean"), rounded(F.stddev_pop("auc"), 6).alias("sd"), F.count_if(F.col("auc") >= 0.5).alias("above"))
 
 
 @query("cluster_null", f"""with {LAB}, dr as (select unnest(range(20)) draw), n as (select count(*) n from lab), num as (select id, s, y, row_number() over (order by id) - 1 k from lab),
@@ -235,7 +236,7 @@ def cluster_null(spark, d):
     n = x.agg(F.count("*").alias("n"))
     sw = num.withColumn("draw", rs.draws(20)).crossJoin(F.broadcast(n)).withColumn("to", F.floor(rs.uniform("null", "draw", "id") * F.col("n")).cast("long"))
     sw = sw.select("draw", "y", "to").join(num.select(F.col("k").alias("to"), "s"), "to")
-    return rank.auc(sw, "s", "y", None, ["draw"]).agg(F.round(F.avg("auc"), 6).alias("mean"), F.round(F.stddev_pop("auc"), 6).alias("sd"))
+    return rank.auc(sw, "s", "y", None, ["draw"]).agg(rounded(F.avg("auc"), 6).alias("mean"), rounded(F.stddev_pop("auc"), 6).alias("sd"))
 
 
 @query("hash_sample", f"with {LAB} select id from lab order by sha256('seed|' || id), id limit 100")
@@ -255,7 +256,7 @@ def stratified_draw(spark, d):
 @query("calibration_bands", f"with {LAB} select width_bucket band, count(*) n, round(avg(least(s / 100, 1)), 6) predicted, round(avg(y::int), 6) observed from (select *, least(floor(s / 10), 9)::bigint width_bucket from lab) group by 1")
 def calibration_bands(spark, d):
     x = lab(spark, d).withColumn("band", F.least(F.floor(F.col("s") / 10), F.lit(9)).cast("long"))
-    return x.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("s") / 100, F.lit(1.0))), 6).alias("predicted"), F.round(F.avg(F.col("y").cast("int")), 6).alias("observed"))
+    return x.groupBy("band").agg(F.count("*").alias("n"), rounded(F.avg(F.least(F.col("s") / 100, F.lit(1.0))), 6).alias("predicted"), rounded(F.avg(F.col("y").cast("int")), 6).alias("observed"))
 
 
 @query("verdicts", f"with {LAB}, x as (select g, s, y, 1.0::double w from lab), {CLS}, a as (select g, {VALUE} - 0.5::double e, sum(pw) n from c group by g) select g, case when n < 20 then 'underpowered' when e - 0.05::double > 0.05::double then 'yes' when e - 0.05::double > 0 then 'small' when e > 0 then 'unclear' else 'no' end verdict from a")

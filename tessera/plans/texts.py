@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.numbers import rounded
 from ..operators import pairs
 from ..sources import tables as t
 from ..sources.tables import with_sql
@@ -75,7 +76,7 @@ def _vocab(spark, d):
 
 @query("vocab_jaccard", f"with {TOK}, {DF}, {LOWRARE}, {VOCAB} select i, j, overlap, round(jaccard, 6) jaccard from voc")
 def vocab_jaccard(spark, d):
-    return _vocab(spark, d).withColumn("jaccard", F.round("jaccard", 6))
+    return _vocab(spark, d).withColumn("jaccard", rounded("jaccard", 6))
 
 
 @query("pair_subsets", f"""with {TOK}, {DF}, {LOWRARE}, {VOCAB}, {AREA} select count(*) all_pairs, count(*) filter (where a.area <> b.area) cross_area, count(*) filter (where jaccard < 0.2::double) low_vocab, count(*) filter (where a.area <> b.area and jaccard < 0.2::double) hard
@@ -89,7 +90,7 @@ def pair_subsets(spark, d):
 
 @query("overlap_buckets", f"with {TOK}, {DF}, {LOWRARE}, {VOCAB} select least(floor(round(jaccard, 9) * 10), 9)::bigint bucket, count(*) n from voc group by 1")
 def overlap_buckets(spark, d):
-    b = F.least(F.floor(F.round("jaccard", 9) * 10), F.lit(9)).cast("long")
+    b = F.least(F.floor(rounded("jaccard", 9) * 10), F.lit(9)).cast("long")
     return _vocab(spark, d).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -98,7 +99,7 @@ def specialisation(spark, d):
     docs = t.load(spark, d, "documents", ["doc_id"])
     x = tok(spark, d).join(pairs.document_frequency(tok(spark, d)), "key").crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
     x = x.groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.log(F.col("n") / F.col("df"))), asc=False), 1, 3).alias("v"))
-    return x.select("item", F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b) / F.size("v"), 6).alias("s"))
+    return x.select("item", rounded(F.aggregate("v", F.lit(0.0), lambda a, b: a + b) / F.size("v"), 6).alias("s"))
 
 
 TF = r"""tf as (select item, key, count(*) tf from (select doc_id item, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as key from documents) group by 1, 2),
@@ -114,7 +115,7 @@ def _tfidf(spark, d):
 
 @query("tfidf_weights", f"with {TF} select item, count(*) terms, round(sum(w), 5) total, round(max(w), 6) top from w group by item")
 def tfidf_weights(spark, d):
-    return _tfidf(spark, d).groupBy("item").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 5).alias("total"), F.round(F.max("w"), 6).alias("top"))
+    return _tfidf(spark, d).groupBy("item").agg(F.count("*").alias("terms"), rounded(F.sum("w"), 5).alias("total"), rounded(F.max("w"), 6).alias("top"))
 
 
 @query("tfidf_area_profile", f"""with {TF}, p as (select lang, key, avg_w v from (select lang, key, sum(w) avg_w from w join documents on doc_id = item group by 1, 2)), n as (select lang, sqrt(sum(v * v)) n from p group by lang)
@@ -125,7 +126,7 @@ def tfidf_area_profile(spark, d):
     n = p.groupBy("lang").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
     x = p.toDF("a", "key", "va").join(p.toDF("b", "key", "vb"), "key").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"))
     x = x.join(F.broadcast(n.toDF("a", "na")), "a").join(F.broadcast(n.toDF("b", "nb")), "b")
-    return x.select("a", "b", F.round(F.col("s") / (F.col("na") * F.col("nb")), 6).alias("cos"))
+    return x.select("a", "b", rounded(F.col("s") / (F.col("na") * F.col("nb")), 6).alias("cos"))
 
 
 @query("hashed_ngrams", r"""with w as (select item_id item, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') w from benchmark),
@@ -133,7 +134,7 @@ g as (select item, unnest(list_concat(w, list_transform(range(1, len(w)), lambda
 h as (select item, sha256(g) h from g), v as (select item, (('0x' || substr(h, 1, 6))::bigint % 256)::bigint bucket, sum(case when ('0x' || substr(h, 7, 1))::int % 2 = 0 then 1 else -1 end)::bigint v from h group by 1, 2)
 select item, bucket, round(v / sqrt(sum(v * v) over (partition by item)), 6) as value from v where v <> 0""")
 def hashed_ngrams(spark, d):
-    return tx.hashed_ngrams(t.load(spark, d, "benchmark"), "item_id", "text").withColumn("value", F.round("value", 6))
+    return tx.hashed_ngrams(t.load(spark, d, "benchmark"), "item_id", "text").withColumn("value", rounded("value", 6))
 
 
 @query("ubiquitous_text_drop", """with x as (select conv_id, text, count(*) n from conversations group by 1, 2), df as (select text, count(*) df from x group by text), n as (select count(distinct conv_id) n from conversations),
@@ -157,7 +158,7 @@ def lexical_controls(spark, d):
 
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     x = t.load(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.explode(words).alias("key"))
-    j = pairs.jaccard(x).withColumn("jaccard", F.round("jaccard", 6))
+    j = pairs.jaccard(x).withColumn("jaccard", rounded("jaccard", 6))
     both = j.select(F.col("i").alias("q"), F.col("j").alias("c"), "jaccard").union(j.select("j", "i", "jaccard"))
     return top_per(both, "q", "jaccard", ["c"], 4).select("q", "c", "jaccard")
 
@@ -196,14 +197,14 @@ def rarity_pdf(spark, d):
     n = pairs.document_frequency(tok(spark, d)).groupBy("df").agg(F.count("*").alias("keys"))
     w = Window.orderBy("df")  # one row for each frequency
     step = (F.log("keys") - F.log(F.lag("keys").over(w))) / (F.log("df") - F.log(F.lag("df").over(w)))
-    return n.select("df", "keys", F.round(step, 6).alias("slope"))
+    return n.select("df", "keys", rounded(step, 6).alias("slope"))
 
 
 @query("adamic_adar", with_sql("paper", "cit") + """, e as (select distinct area item, work as key from cit where year = 1995), w as (select key, 1 / ln(greatest(count(*), 2)) w from e group by key)
 select a.item i, b.item j, round(sum(w.w), 6) score from e a join e b on a.key = b.key and a.item < b.item join w on w.key = a.key group by 1, 2""")
 def adamic_adar(spark, d):
     e = t.citations(spark, d).filter("year = 1995").select(F.col("area").alias("item"), F.col("work").alias("key"))
-    return pairs.adamic_adar(e).withColumn("score", F.round("score", 6))
+    return pairs.adamic_adar(e).withColumn("score", rounded("score", 6))
 
 
 @query("co_cited_pairs", with_sql("paper", "cit") + " select a.work i, b.work j, count(*) n from cit a join cit b on a.paper = b.paper and a.work < b.work group by 1, 2")

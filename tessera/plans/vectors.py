@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as v
+from ..functions.numbers import rounded
 from ..operators import rank
 from ..operators import vectors as ops
 from ..sources import tables as t
@@ -33,7 +34,7 @@ def pair_angle_bands(spark, d):
         name = F.when(low < b, f"[{a:g},{b:g})").otherwise(name)
     x = hist.groupBy(name.alias("band")).agg(F.sum("pairs").alias("pairs"), F.sum("same").alias("hits"))
     total = hist.agg((F.sum("same") / F.sum("pairs")).alias("base"))
-    return x.crossJoin(F.broadcast(total)).select("band", "pairs", "hits", F.round(F.col("hits") / F.col("pairs") / F.col("base"), 6).alias("lift"))
+    return x.crossJoin(F.broadcast(total)).select("band", "pairs", "hits", rounded(F.col("hits") / F.col("pairs") / F.col("base"), 6).alias("lift"))
 
 
 AUC = """g as (select s, sum(case when y then w else 0 end) pw, sum(case when y then 0 else w end) nw from x group by s),
@@ -44,7 +45,7 @@ VALUE = "round(case when sum(pw) * sum(nw) > 0 then sum(pw * (below + 0.5 * nw))
 @query("angle_auc", f"with {U}, {PAIRS}, x as (select -angle s, same y, 1.0::double w from p), {AUC} select {VALUE} auc, sum(pw) positives, sum(nw) negatives from c")
 def angle_auc(spark, d):
     out = rank.auc(_exact(spark, d), "s", "y", "w")
-    return out.select(F.round("auc", 6).alias("auc"), "positives", "negatives")
+    return out.select(rounded("auc", 6).alias("auc"), "positives", "negatives")
 
 
 def _exact(spark, d):
@@ -64,7 +65,7 @@ def _exact(spark, d):
 @query("angle_histogram_auc", f"""with {U}, {PAIRS}, h as (select floor(angle / 0.5)::bigint bin, count(*) pairs, sum(same::int) same from p group by 1),
 c as (select *, sum(pairs - same) over () n, coalesce(sum(pairs - same) over (order by bin rows between unbounded preceding and 1 preceding), 0) below from h) select round(sum(same * (n - below - 0.5 * (pairs - same))) / (sum(same) * sum(pairs - same)), 6) auc from c""")
 def angle_histogram_auc(spark, d):
-    return ops.histogram_auc(ops.angle_histogram(rows(spark, d), "area", 0.5)).select(F.round("auc", 6).alias("auc"))
+    return ops.histogram_auc(ops.angle_histogram(rows(spark, d), "area", 0.5)).select(rounded("auc", 6).alias("auc"))
 
 
 @query("area_detector_auc", f"with {U}, {PAIRS}, x as (select same::int s, angle < 80 y, 1.0::double w from p), {AUC} select {VALUE} auc, sum(pw) positives, sum(nw) negatives from c")
@@ -72,7 +73,7 @@ def area_detector_auc(spark, d):
     h = ops.angle_histogram(rows(spark, d), "area", 5.0)
     y = F.col("bin") < 16
     x = h.select(F.lit(1).alias("s"), y.alias("y"), F.col("same").cast("double").alias("w")).union(h.select(F.lit(0), y, (F.col("pairs") - F.col("same")).cast("double")))
-    return rank.auc(x.filter("w > 0"), "s", "y", "w").select(F.round("auc", 6).alias("auc"), "positives", "negatives")
+    return rank.auc(x.filter("w > 0"), "s", "y", "w").select(rounded("auc", 6).alias("auc"), "positives", "negatives")
 
 
 @query("min_size_auc", f"with sz as (select source, lang, n_chars % 50 n, doc_id from documents), x as (select least(a.n, b.n) s, a.lang = b.lang y, 1.0::double w from sz a join sz b on a.source = b.source and a.doc_id < b.doc_id), {AUC} select {VALUE} auc, sum(pw) positives, sum(nw) negatives from c")
@@ -82,7 +83,7 @@ def min_size_auc(spark, d):
     a, b = per.toDF("source", "la", "na", "ca"), per.toDF("source", "lb", "nb", "cb")
     x = a.join(b, "source").withColumn("w", F.when((F.col("la") == F.col("lb")) & (F.col("na") == F.col("nb")), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca") * F.col("cb") / 2))
     x = x.select(F.least("na", "nb").alias("s"), (F.col("la") == F.col("lb")).alias("y"), "w").filter("w > 0")
-    return rank.auc(x, "s", "y", "w").select(F.round("auc", 6).alias("auc"), "positives", "negatives")
+    return rank.auc(x, "s", "y", "w").select(rounded("auc", 6).alias("auc"), "positives", "negatives")
 
 
 CENT = "m as (select area, pos, avg(x) m, count(*) n from (select area, unnest(u) x, generate_subscripts(u, 1) pos from u) group by 1, 2), cen as (select area, list(m order by pos) c, max(n) size from m group by 1), cu as (select area, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) c, size from cen)"
@@ -91,7 +92,7 @@ CENT = "m as (select area, pos, avg(x) m, count(*) n from (select area, unnest(u
 @query("label_centroids", f"with {U}, {CENT} select area, size, round(c[1], 6) c1, round(c[2], 6) c2, round(c[64], 6) c64 from cu")
 def label_centroids(spark, d):
     c = ops.centroids(rows(spark, d), "area")
-    return c.select("area", "size", *(F.round(F.element_at("c", k), 6).alias(f"c{k}") for k in (1, 2, 64)))
+    return c.select("area", "size", *(rounded(F.element_at("c", k), 6).alias(f"c{k}") for k in (1, 2, 64)))
 
 
 KNN = f"k as (select a.id query, b.id, b.area, round({DOT}, 9) sim, row_number() over (partition by a.id order by round({DOT}, 9) desc, b.id) rank from u a join u b on a.id <> b.id qualify rank <= 10)"
@@ -104,23 +105,23 @@ def _knn(spark, d, k=10):
 
 @query("knn_top10", f"with {U}, {KNN} select query, id, rank, round(sim, 6) sim from k")
 def knn_top10(spark, d):
-    return _knn(spark, d).select("query", "id", "rank", F.round("sim", 6).alias("sim"))
+    return _knn(spark, d).select("query", "id", "rank", rounded("sim", 6).alias("sim"))
 
 
 @query("knn_query_corpus", f"with {U}, k as (select a.id query, b.id, round({DOT}, 9) sim, row_number() over (partition by a.id order by round({DOT}, 9) desc, b.id) rank from u a join u b on a.id % 10 = 0 and b.id % 10 <> 0 qualify rank <= 5) select query, id, rank, round(sim, 6) sim from k")
 def knn_query_corpus(spark, d):
     x = rows(spark, d)
-    return ops.knn(x.filter("id % 10 <> 0"), x.filter("id % 10 = 0"), 5).select("query", "id", "rank", F.round("sim", 6).alias("sim"))
+    return ops.knn(x.filter("id % 10 <> 0"), x.filter("id % 10 = 0"), 5).select("query", "id", "rank", rounded("sim", 6).alias("sim"))
 
 
 @query("neighbour_mixing", f"with {U}, {KNN}, n as (select query, area, count(*) n, sum(sim) s from k group by 1, 2) select query, round(1 - max(n) / 10.0::double, 6) mixing, round(1 - sum(s) / 10.0::double, 6) sparsity from n group by 1")
 def neighbour_mixing(spark, d):
-    return ops.mixing(_knn(spark, d), "area", 10).select("query", F.round("mixing", 6).alias("mixing"), F.round("sparsity", 6).alias("sparsity"))
+    return ops.mixing(_knn(spark, d), "area", 10).select("query", rounded("mixing", 6).alias("mixing"), rounded("sparsity", 6).alias("sparsity"))
 
 
 @query("knn_anomaly", f"with {U}, {KNN} select query, round(avg(1 - sim), 6) score from k group by 1")
 def knn_anomaly(spark, d):
-    return _knn(spark, d).groupBy("query").agg(F.round(F.avg(1 - F.col("sim")), 6).alias("score"))
+    return _knn(spark, d).groupBy("query").agg(rounded(F.avg(1 - F.col("sim")), 6).alias("score"))
 
 
 @query("neighbourhood_kept", f"""with {U}, {KNN}, q as (select a.id query, b.id, row_number() over (partition by a.id order by round(list_sum(list_transform(range(1, 9), lambda i: a.u[i] * b.u[i])), 9) desc, b.id) rank from u a join u b on a.id <> b.id and a.id % 20 = 0 qualify rank <= 10)
@@ -143,7 +144,7 @@ def betweenness_rank(spark, d):
     x = rows(spark, d)
     ends = x.filter("id IN (0, 1)").agg(F.max_by("u", -F.col("id")).alias("a"), F.max_by("u", "id").alias("b"))
     arc = lambda p, q: F.acos(v.clip(v.dot(p, q)))
-    x = x.filter("id > 1").crossJoin(F.broadcast(ends)).select("id", F.round((arc("a", "u") + arc("u", "b")) / arc("a", "b"), 6).alias("detour"))
+    x = x.filter("id > 1").crossJoin(F.broadcast(ends)).select("id", rounded((arc("a", "u") + arc("u", "b")) / arc("a", "b"), 6).alias("detour"))
     n = x.groupBy("detour").agg(F.count("*").cast("long").alias("n"))
     below = rank.cumulative(n, "detour", ["n"]).select("detour", (F.col("n_below") + 1).cast("long").alias("rank"))
     return x.join(below, "detour").select("id", "detour", "rank")
@@ -167,7 +168,7 @@ def topk_enrichment(spark, d):
     base = ops.angle_histogram(rows(spark, d), "area", 5.0).agg((F.sum("same") / F.sum("pairs")).alias("base"))
     x = top.withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in (100, 1000, 10_000))))).filter("n <= k")
     x = x.groupBy("k").agg(F.count_if("same").alias("hits")).crossJoin(F.broadcast(base))
-    return x.select("k", "hits", F.round(F.col("hits") / F.col("k") / F.col("base"), 6).alias("lift"))
+    return x.select("k", "hits", rounded(F.col("hits") / F.col("k") / F.col("base"), 6).alias("lift"))
 
 
 @query("radial_change", f"""with {U}, {CENT}, r as (select u.area, row_number() over (partition by u.area order by sqrt(2 - 2 * least(1, {RAD.format("u.u", "c.c")})), u.id) n, sqrt(2 - 2 * least(1, {RAD.format("u.u", "c.c")})) x from u join cu c on c.area = u.area),
@@ -177,7 +178,7 @@ def radial_change(spark, d):
     r = F.sqrt(2 - 2 * F.least(F.lit(1.0), v.dot("u", "c")))
     w = Window.partitionBy("area").orderBy("x", "id")
     x = x.select("area", "id", r.alias("x")).withColumn("y", F.lag("x").over(w))
-    return x.groupBy("area").agg((F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 6) + F.lit(0.0)).alias("step"), F.round(F.max("x"), 6).alias("reach"))
+    return x.groupBy("area").agg((rounded(F.avg(F.abs(F.col("x") - F.col("y"))), 6) + F.lit(0.0)).alias("step"), rounded(F.max("x"), 6).alias("reach"))
 
 
 @query("shuffled_control_auc", f"""with {U}, o as (select id, area, row_number() over (order by sha256('shuffle:' || id)) n from u), r as (select id, row_number() over (order by id) n from u),
@@ -198,4 +199,4 @@ def shuffled_control_auc(spark, d):
         y = pd.DataFrame({"s": -np.round(np.degrees(np.arccos(c[ok])), 6), "y": same})
         return y.groupby(["s", "y"]).size().rename("w").reset_index().astype({"w": "float64"})
 
-    return rank.auc(ops.block_pairs(s, fn, "s double, y boolean, w double", ["area"]), "s", "y", "w").select(F.round("auc", 6).alias("auc"))
+    return rank.auc(ops.block_pairs(s, fn, "s double, y boolean, w double", ["area"]), "s", "y", "w").select(rounded("auc", 6).alias("auc"))
