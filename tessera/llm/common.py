@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Bytes of an Arrow batch at most, but for a single longer row.
+BATCH = 24 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,6 +81,8 @@ def with_columns_by(df: DataFrame, keep: list[str], inputs: dict, fn: Callable[.
     inputs: name -> Column, given to fn as lists by name for each Arrow batch; fn returns a list for each
     added column. With replace, an added column takes the place of a kept one of its name.
     """
+    # what a worker holds at once is bounded by bytes, however long the texts are
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     new = T.StructType.fromDDL(added)
     wide = df.select(*(F.col(f"`{c}`") for c in keep), *(c.alias(f"__in_{k}") for k, c in inputs.items()))
     kept = wide.schema.fields[: len(keep)]

@@ -14,8 +14,8 @@ frequent tokens come last, so is all that they share in the extended prefixes, a
 
 Candidates are verified on the whole sets. A first round tests each entry of a posting list against the
 list's first document only; a second round tests the pairs of a list whose documents are still in
-different components. Pairs in one component need no test, so a group of copies costs in proportion to
-its size, and no link between components is missed.
+different components. Pairs in one component need no test, and no link between components is missed. Long
+lists are tested in blocks, by set sizes and bitmaps within a task; only pairs that pass become rows.
 
 The frequent class is a bounded hint (the MAX_FREQUENT tokens that most documents hold, seen at least
 FREQUENT times): whichever tokens are in it, results are the same.
@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,12 @@ FREQUENT = 32
 #: At most so many tokens make the frequent class, 1 MB as shared with the executors.
 MAX_FREQUENT = 1 << 17
 LOCAL = 3
+#: Length of a set's bitmap at least.
+BITS = 1024
+#: Lists up to this length give their pairs as rows; longer ones are tested in blocks of BLOCK, GROUP rows to a task.
+SHORT = 6
+BLOCK = 512
+GROUP = 16_384
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -57,6 +64,13 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(windows(h, width))
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parities of tokens by a hash, as signed words: BITS of them, doubled for larger sets until there are four to a token."""
+    bits = max(BITS, 1 << (4 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mix(tokens + np.uint64(1)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shared(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
@@ -115,30 +129,32 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, two fingerprints of the set, index keys."""
+    """doc_id, n, two fingerprints and the bitmap of the set, index keys."""
     hint = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
 
     def run(doc_id: list, text: list) -> list[list]:
         frequent, rank = hint.value
         sets = [shingles(t, width) for t in text]
         marks = [digest(s) for s in sets]
-        return [[len(s) for s in sets], [a for a, _ in marks], [b for _, b in marks], [signed(keys(s, frequent, rank, percent)) for s in sets]]
+        index = [signed(keys(s, frequent, rank, percent)) for s in sets]
+        return [[len(s) for s in sets], [a for a, _ in marks], [b for _, b in marks], [bitmap(s) for s in sets], index]
 
-    return common.with_columns_by(docs.select("doc_id", "text"), ["doc_id"], {"doc_id": F.col("doc_id"), "text": F.col("text")}, run, "n long, h1 long, h2 long, keys array<long>")
+    return common.with_columns_by(docs.select("doc_id", "text"), ["doc_id"], {"doc_id": F.col("doc_id"), "text": F.col("text")}, run, "n long, h1 long, h2 long, bits array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     def run(text: list) -> list[list]:
         return [[shingles(t, width).tobytes() for t in text]]
 
-    some = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    some = common.narrowed(docs.select("doc_id", "text"), ids, ["doc_id"])
     return common.with_columns_by(some, ["doc_id"], {"text": F.col("text")}, run, "tokens binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose sets are similar."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    """Those of the pairs (u, v) whose sets are similar, as a written table."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
     sets = common.written(_sets(docs, ids, width))
+    common.released(docs.sparkSession)
     wide = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
 
     def run(a: list, b: list) -> list[list]:
@@ -151,33 +167,126 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             out.append(100 * same >= percent * (len(x) + len(y) - same))
         return [out]
 
-    return common.with_columns_by(wide, ["u", "v"], {"a": F.col("a"), "b": F.col("b")}, run, "similar boolean").filter("similar").select("u", "v")
+    out = common.with_columns_by(wide, ["u", "v"], {"a": F.col("a"), "b": F.col("b")}, run, "similar boolean")
+    out = common.written(out.filter("similar").select("u", "v"))
+    common.released(docs.sparkSession)
+    return out
+
+
+def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose set sizes and bitmaps let them be similar, as a written table.
+
+    With b(x) the parity of tokens by hash bit, tokens of one set only are at least |b(x) xor b(y)| many, so the
+    intersection is at most (|x| + |y| - |b(x) xor b(y)|) / 2 (Sandes et al., 2017). The test loses no link.
+    """
+    n = sizes.select("doc_id", "n")
+    near = pairs.distinct().join(n.toDF("u", "nu"), "u").join(n.toDF("v", "nv"), "v").filter(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
+    near = common.written(near.select("u", "v").distinct())
+    wide = near.join(sizes.toDF("u", "nu", "bu"), "u").join(sizes.toDF("v", "nv", "bv"), "v")
+    wide = wide.filter(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
+    # half a bitmap laid over its other half is the bitmap of half the length
+    fold = lambda b: F.zip_with(F.slice(b, F.lit(1), (F.size(b) / 2).cast("int")), F.slice(b, (F.size(b) / 2 + 1).cast("int"), (F.size(b) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    a = F.when(F.size("bu") > F.size("bv"), fold("bu")).otherwise(F.col("bu"))
+    b = F.when(F.size("bv") > F.size("bu"), fold("bv")).otherwise(F.col("bv"))
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    most = F.floor((F.col("nu") + F.col("nv") - apart) / 2)
+    return common.written(wide.filter(100 * most >= percent * (F.col("nu") + F.col("nv") - most)).select("u", "v").distinct())
+
+
+def _candidates(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents of different components in one block, or of its two blocks, that sizes and bitmaps allow."""
+    ids, comp, n = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), pdf["n"].to_numpy()
+    bits = pdf["bits"].to_numpy()
+    level = np.array([len(b) for b in bits])
+    side = (pdf["own"] == pdf["p"]).to_numpy()
+    values, counts = np.unique(comp, return_counts=True)
+    rare = comp != values[counts.argmax()]  # a pair has at least one document outside the commonest component
+    lone = pdf["p"].iat[0] == pdf["q"].iat[0]
+    us, vs = [ids[:0]], [ids[:0]]
+    for mine, theirs in [(rare, np.ones(len(ids), bool))] if lone else [(side & rare, ~side), (side & ~rare, ~side & rare)]:
+        for size in np.unique(level[mine]):
+            for other in (size // 2, size, 2 * size):
+                a, b = np.flatnonzero(mine & (level == size)), np.flatnonzero(theirs & (level == other))
+                if not len(a) or not len(b):
+                    continue
+                x, y = (_folded(np.stack(bits[k]).view(np.uint64), min(size, other)) for k in (a, b))
+                step = max(1, (1 << 19) // (len(b) * y.shape[1]))
+                for at in range(0, len(a), step):
+                    r = a[at : at + step]
+                    apart = np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                    both = n[r][:, None] + n[b][None, :]
+                    most = (both - apart) // 2
+                    ok = (100 * most >= percent * (both - most)) & (comp[r][:, None] != comp[b][None, :])
+                    i, j = np.nonzero(ok)
+                    us.append(ids[r[i]])
+                    vs.append(ids[b[j]])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return bits if bits.shape[1] == words else bits[:, :words] ^ bits[:, words:]
+
+
+def _across(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs u > v across components in long lists (key, doc_id, component, size), tested in blocks within the tasks, so only what passes becomes a row."""
+    spark = rows.sparkSession
+    x = rows.join(sizes, "doc_id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    x = x.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other", "blocks", "size")
+    x = common.written(x)
+    groups = max(1, -(-x.count() // GROUP))
+    common.released(spark)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        us, vs = [], []
+        for _, part in pdf.groupby(["key", "p", "q"], sort=False):
+            u, v = _candidates(part, percent)
+            us.append(np.maximum(u, v))
+            vs.append(np.minimum(u, v))
+        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
+
+    found = x.withColumn("g", F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups))).groupBy("g").applyInPandas(run, "u long, v long")
+    return common.written(found.distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id for each row."""
+    spark = docs.sparkSession
     marks = common.written(signatures(docs, width, percent))
-    sets = marks.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    sets = common.written(sets)
-    equal = marks.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "h1", "h2", "n").join(sets, ["h1", "h2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    common.released(spark)
+    full = marks.filter("n > 0 AND doc_id IS NOT NULL")
+    sets = common.written(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
+    equal = full.select("doc_id", "h1", "h2", "n").join(sets, ["h1", "h2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     equal = common.written(equal.filter("u <> v").distinct())
-    # one document of each set goes on; a doc_id whose rows differ goes on with each of its sets
-    firsts = marks.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2", "n"], "left_semi")
-    posts = firsts.select(F.explode("keys").alias("key"), "doc_id", "n")
-    lists = posts.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("first")).filter("size > 1")
-    posts = common.written(posts.join(lists.select("key", F.col("first.doc_id").alias("pivot"), F.col("first.n").alias("pivot_n")), "key"))
-    fits = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-    star = posts.filter(f"doc_id <> pivot AND {fits('n', 'pivot_n')}").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
-    star = common.written(star)
-    links = common.written(_verified(star, docs, width, percent))
+    # keys are dealt out before copies are taken away: most keys are met once and end here, and the arrays never move
+    posts = full.select(F.explode("keys").alias("key"), "doc_id")
+    often = common.written(posts.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"))
+    common.released(spark)
+    posts = common.written(posts.join(often, "key"))
+    common.released(spark)
+    # one document of each set goes on; a doc_id whose rows differ goes on with all its sets
+    posts = posts.join(sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    lists = posts.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).filter("size > 1")
+    posts = common.written(posts.join(lists.select("key", "pivot"), "key"))
+    common.released(spark)
+    sizes = full.select("doc_id", "n", "bits")
+    star = _fitting(posts.filter("doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")), sizes, percent)
+    links = _verified(star, docs, width, percent)
     parts = components(links)
-    placed = posts.select("key", "doc_id", "n").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = common.written(placed.join(split, "key", "left_semi"))
-    left, right = open_.toDF("key", "u", "nu", "cu"), open_.toDF("key", "v", "nv", "cv")
-    rest = left.join(right, "key").filter(f"u > v AND cu <> cv AND {fits('nu', 'nv')}").select("u", "v").distinct()
+    placed = posts.select("key", "doc_id").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = common.written(placed)
+    lists = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+    open_ = common.written(placed.join(lists, "key"))
+    common.released(spark)
+    short = open_.filter(F.col("size") <= SHORT)
+    left, right = short.select("key", F.col("doc_id").alias("u"), F.col("component").alias("cu")), short.select("key", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
+    rest = _fitting(left.join(right, "key").filter("u > v AND cu <> cv").select("u", "v"), sizes, percent)
+    rest = rest.union(_across(open_.filter(F.col("size") > SHORT), sizes, percent)).distinct()
     tested = star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    more = _verified(common.written(rest.join(tested, ["u", "v"], "left_anti")), docs, width, percent)
+    rest = common.written(rest.join(tested, ["u", "v"], "left_anti"))
+    common.released(spark)
+    more = _verified(rest, docs, width, percent)
     whole = components(links.union(more).union(equal))
     out = marks.select("doc_id", F.col("n").alias("n_shingles")).join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

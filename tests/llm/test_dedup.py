@@ -110,6 +110,23 @@ def test_ngram_join_with_frequent_tokens(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == components(texts)
 
 
+@pytest.mark.parametrize("seed", [10, 11])
+def test_long_lists_are_tested_in_blocks(spark, monkeypatch, seed):
+    """A group whose members are near the threshold, so that many stay apart after the first round."""
+    monkeypatch.setattr(ngram_join, "SHORT", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(seed)
+    base = [f"word{k}" for k in range(70)]
+    texts = []
+    for _ in range(45):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == components(texts)
+
+
 def test_hot_minimisers_are_split(spark, monkeypatch):
     from tessera.llm import superkmers
 
