@@ -6,7 +6,8 @@ back in the same format. The permutation depends on the key and the format alone
 equal pseudonyms in every document, and different values of a format never meet.
 
 Kinds: card (Luhn, check digit recomputed), iban (mod 97, check digits recomputed), phone, ssn, ip, date
-(ISO and d/m/y, calendar days of 1900-2099), email (local part), secret (AKIA..., ghp_..., sk-...).
+(ISO and d/m/y, calendar days of 1900-2099), email (local part), secret (AKIA..., ghp_..., sk-..., and what is
+assigned to a token, key or password).
 
 Defined results: null text stays null with no values, empty text stays empty; repeated rows are rewritten
 alike; other columns are untouched. A text is scanned whole, whatever its length.
@@ -29,6 +30,7 @@ KEY = b"tessera pseudonym key; a deployment passes its own"
 ROUNDS = 8
 KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email", "secret")
 ALPHABETS = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
+HEX = "0123456789abcdef"
 ALNUM_UPPER = string.digits + string.ascii_uppercase
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
@@ -37,10 +39,11 @@ NUMBERS = re.compile(
     r"(?<![\w.])(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
     r"|(?P<secret>AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})"
+    r"|(?P<assigned>(?i:token|secret|password|passwd|api_?key)[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9_/+-]{16,128})"
     r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
     r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})"
+    r"|(?P<phone>\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}|\+\d{10,14}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})"
     r"|(?P<card>\d(?:[ -]?\d){12,18})"
     r")(?!\w)"
 )
@@ -191,7 +194,14 @@ def secret(text: str, key: bytes) -> str:
     return head + permuted(text[len(head) :], key, f"secret{head}", (ALNUM_UPPER,) if head == "AKIA" else ALPHABETS)
 
 
-CHANGE = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "date": date, "secret": secret}
+def assigned(text: str, key: bytes) -> str:
+    """A secret by what it is assigned to: the value changes, hex within hex."""
+    value = re.search(r"[A-Za-z0-9_/+-]+$", text)[0]
+    hexes = (HEX,) if re.fullmatch("[0-9a-f]+", value) else ALPHABETS
+    return text[: -len(value)] + permuted(value, key, "assigned", hexes)
+
+
+CHANGE = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "date": date, "secret": secret, "assigned": assigned}
 
 
 class Pseudonymizer:
@@ -209,7 +219,8 @@ class Pseudonymizer:
             new = self.known(m.lastgroup, m[0])
             if new is None:
                 return m[0]
-            counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
+            kind = "secret" if m.lastgroup == "assigned" else m.lastgroup
+            counts[kind] = counts.get(kind, 0) + 1
             return new
 
         out, at = [], 0

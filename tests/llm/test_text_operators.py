@@ -96,6 +96,14 @@ def test_pseudonyms_keep_format_and_validity():
     assert p(clean)[0] == clean
 
 
+def test_neighbouring_values_are_told_apart():
+    p = pii.Pseudonymizer(b"key")
+    text = 'Des +1 (826) 555-4081 190.137.223.204 du +49 30 1234 5678 +14155552671 token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
+    new, counts = p(text)
+    assert counts == {"phone": 3, "ip": 1, "secret": 1} and not any(w in new for w in re.findall(r"[\w.-]{7,}", text))
+    assert re.search(r'token = "[0-9a-f]{40}" end$', new)
+
+
 def test_equal_values_stay_linked(spark):
     rows = pii.pseudonymize(frame(spark, ["mail x.y@example.com now", "again x.y@example.com", None, "", "nothing here"])).collect()
     got = {r["doc_id"]: r for r in rows}
