@@ -118,13 +118,13 @@ def held_out():
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on at most `sample` labelled rows that aren't held out; only text and lang are read of them."""
-    rows = (
-        docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out(), F.lit(True)))
-        .select("text", "lang", F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("tie"))
-        .orderBy("order", "tie")
-        .limit(sample)
-        .collect()
-    )
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out(), F.lit(True)))
+    usable = usable.select("text", "lang", F.xxhash64("doc_id").alias("order"))
+    # the hashes alone find the cut, so that only the sample's texts come to the driver
+    cut = usable.select("order").orderBy("order").limit(sample).agg(F.max("order")).first()[0]
+    if cut is None:
+        return None
+    rows = usable.filter(F.col("order") <= cut).orderBy("order", F.xxhash64("text")).limit(sample).collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ego_join, langid, line_dedup, lsh_search, ngram_join, packing, pii, sentencepiece_nbest, substring_dedup, suffix_dedup
+from . import ego_join, langid, line_dedup, lsh_search, ngram_join, oracle, packing, pii, sentencepiece_nbest, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_suffix_array_dedup": oracle.OP1,
+        "op2_ngram_jaccard_join": oracle.OP2,
+        "op5_substring_dedup": oracle.OP5,
+        "op8_epsilon_grid_join": oracle.OP8,
+    }
