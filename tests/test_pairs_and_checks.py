@@ -58,7 +58,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_text_functions(spark):
-    x = spark.createDataFrame([("Mathlib.Algebra.Ring",), ("Plain",)], "m string")
+    x = spark.createDataFrame([("Library.Algebra.Ring",), ("Plain",)], "m string")
     assert [r[0] for r in x.select(tx.second_part("m")).collect()] == ["Algebra", ""]
     assert [r[0] for r in x.select(tx.second_part("m", F.col("m"))).collect()] == ["Algebra", "Plain"]
     ids = spark.createDataFrame([("0704.0001",), ("math/9912345",), ("math/0001001",)], "id string")
@@ -149,3 +149,31 @@ def test_models_recover_planted_effects(spark):
     from tessera.operators.rank import auc
 
     assert auc(models.out_of_fold(y, ["a", "b"], "y", "g"), "score", "y").first()["auc"] > 0.95
+
+
+def test_encoders_run_once_for_each_text(spark):
+    from tessera.operators import encode
+
+    x = spark.createDataFrame([(1, "ab"), (2, "abc"), (3, "ab"), (4, None)], "id int, text string")
+    got = {r["id"]: r["v"] for r in encode.encoded(x, "id", "text", lambda ts: np.array([[len(t), 1.0] for t in ts])).collect()}
+    assert got == {1: [2.0, 1.0], 2: [3.0, 1.0], 3: [2.0, 1.0]}
+    v = spark.createDataFrame(list(got.items()), "id int, v array<double>")
+    p = spark.createDataFrame([(1, 2), (1, 3)], "i int, j int")
+    assert {(r["i"], r["j"]): r["score"] for r in encode.scored(p, v, lambda a, b: (a * b).sum(1)).collect()} == {(1, 2): 7.0, (1, 3): 5.0}
+
+
+def test_ranking_change_counts_strict_reversals_only(spark):
+    from tessera.operators import encode
+
+    a = spark.createDataFrame([("q", 1, 0.1), ("q", 2, 0.1), ("q", 3, 0.5)], "anchor string, id int, distance double")
+    b = spark.createDataFrame([("q", 1, 0.3), ("q", 2, 0.1), ("q", 3, 0.5)], "anchor string, id int, distance double")
+    r = encode.ranking_change(a, b).first()
+    assert (r["changed"], r["reversed"]) == (True, 0)
+
+
+def test_line_spans(spark):
+    from tessera.sources import records
+
+    src = spark.createDataFrame([("f", "one\ntwo\nthree\nfour")], "file string, text string")
+    r = spark.createDataFrame([("f", "x", 2, 3)], "file string, name string, first int, last int")
+    assert records.line_spans(r, src).first()["body"] == "two\nthree"
