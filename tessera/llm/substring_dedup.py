@@ -78,7 +78,7 @@ def repeated_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     marks = superkmers.marked(docs, _units, width, gram)
     found = superkmers.survivors(marks)
     kinds = superkmers.classes(found)
-    rows = superkmers.strings(docs, marks, kinds, _cut, width)
+    rows = superkmers.strings(docs, marks, kinds, _cut, width, 7)
     inner = common.written(rows.groupBy("bucket").applyInPandas(_by_bucket(width), "mh long, ch int, s long, e long"))
     common.released(docs.sparkSession)
     start, _, _ = superkmers.places()

@@ -119,14 +119,13 @@ def classes(found: DataFrame) -> DataFrame:
     return common.written(each.join(each.groupBy("mh").agg(F.count("*").alias("contents")), "mh"))
 
 
-def strings(docs: DataFrame, marks: DataFrame, some: DataFrame, cut: Callable, width: int) -> DataFrame:
+def strings(docs: DataFrame, marks: DataFrame, some: DataFrame, cut: Callable, width: int, unit_bytes: int) -> DataFrame:
     """bucket, mh, ch, off, spot, rid, start, copies, string: a packed string for each class of `some`, or for each window of a hot one.
 
-    cut: (text, starts, ends) -> the strings between those units.
+    cut: (text, starts, ends) -> the strings between those units. unit_bytes: bytes of a unit, about.
     """
-    size = some.agg(F.sum(F.col("first.k") + width), F.count("*")).first()
-    unit = 1 if width > 64 else 7
-    buckets = max(1, -(-int(size[0] or 0) * unit // BUCKET))
+    units = some.agg(F.sum(F.col("first.k") + width)).first()[0] or 0
+    buckets = max(1, -(-int(units) * unit_bytes // BUCKET))
     need = some.select("mh", "ch", "copies", "first.*", (F.col("contents") > HOT).alias("hot"))
     need = need.groupBy("uid").agg(F.collect_list(F.struct("mh", "ch", "copies", "start", "k", "spot", "hot")).alias("need"))
     need = common.written(need.join(marks.select("uid", "rid", "mark"), "uid").drop("uid"))
