@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 
 #: Bytes of an Arrow batch at most, but for a single longer row.
-BATCH = 24 << 20
+BATCH = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

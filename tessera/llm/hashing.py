@@ -1,7 +1,7 @@
 """Vectorised hashing of words and of word windows.
 
 Words are the runs between ASCII white space (\\x20, \\x09-\\x0D) of a UTF-8 text. Fingerprints are 64-bit.
-Memory is bounded by the slice, not by the text: a slice of about a megabyte ends at white space.
+Memory is bounded by the slice, not by the text: a slice of about a quarter of a megabyte ends at white space.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -64,8 +64,7 @@ def words(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
         if not len(start):
             continue
-        size = 1 << max(16, (len(b) + 1).bit_length())
-        up, down = _powers(size)
+        up, down = _powers(1 << max(19, (len(b) + 1).bit_length()))
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_letters(lower)[b] * up[: len(b)], out=total[1:])
         h = (total[end] - total[start]) * down[start]

@@ -28,7 +28,7 @@ GRAMS = (2, 3, 4)
 #: The part of right predictions on the calibration rows that the threshold may reject.
 REJECT = 0.001
 #: Bytes hashed at once, which bounds the memory of a task whatever the texts' lengths.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def gram_ids(data: bytes) -> np.ndarray:

@@ -46,6 +46,8 @@ FREQUENT = 32
 #: At most so many tokens make the frequent class, 1 MB as shared with the executors.
 MAX_FREQUENT = 1 << 17
 LOCAL = 3
+#: Tokens counted together where they are read; a token is passed on if LOCAL of the documents there hold it.
+POOL = 1 << 21
 #: Length of a set's bitmap at least.
 BITS = 1024
 #: Lists up to this length give their pairs as rows; longer ones are tested in blocks of BLOCK, GROUP rows to a task.
@@ -111,13 +113,22 @@ def keys(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: in
 
 
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def counted(pool: list[np.ndarray]) -> pa.RecordBatch:
+        all_ = np.sort(np.concatenate([np.empty(0, np.uint64), *pool]))
+        edge = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])) if len(all_) else np.empty(0, np.int64)
+        n = np.diff(np.append(edge, len(all_)))
+        return pa.RecordBatch.from_arrays([pa.array(signed(all_[edge][n >= LOCAL])), pa.array(n[n >= LOCAL], pa.int64())], names=["token", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, size = [], 0
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column("text")]
-            all_ = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
-            edge = np.flatnonzero(np.diff(all_, prepend=~all_[:1])) if len(all_) else np.empty(0, np.int64)
-            n = np.diff(np.append(edge, len(all_)))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(all_[edge][n >= LOCAL])), pa.array(n[n >= LOCAL], pa.int64())], names=["token", "n"])
+            for t in batch.column("text"):
+                pool.append(shingles(t.as_py(), width))
+                size += len(pool[-1])
+                if size >= POOL:
+                    yield counted(pool)
+                    pool, size = [], 0
+        yield counted(pool)
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()

@@ -48,9 +48,12 @@ def encoder(path: str | None = None):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+    @functools.cache  # few texts need it, so few workers load it
+    def slow() -> Tokenizer:
+        return Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+
     if path is not None:
-        return lambda text: slow.encode(text, add_special_tokens=False).ids
+        return lambda text: slow().encode(text, add_special_tokens=False).ids
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -58,7 +61,7 @@ def encoder(path: str | None = None):
 
     def encode(text: str) -> list[int]:
         if other.search(text):
-            return slow.encode(text, add_special_tokens=False).ids
+            return slow().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
