@@ -79,7 +79,7 @@ def repeated_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     found = superkmers.survivors(marks)
     kinds = superkmers.classes(found)
     rows = superkmers.strings(docs, marks, kinds, _cut, width, 7)
-    inner = common.written(rows.groupBy("bucket").applyInPandas(_by_bucket(width), "mh long, ch int, s long, e long"))
+    inner = common.written(rows.groupBy("bucket").applyInPandas(_by_bucket(width), "mh long, ch long, s long, e long"))
     common.released(docs.sparkSession)
     start, _, _ = superkmers.places()
     spans = found.join(inner, ["mh", "ch"]).select("uid", (start + F.col("s")).alias("s"), (start + F.col("e")).alias("e"))

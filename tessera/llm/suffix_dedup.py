@@ -119,7 +119,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     found = superkmers.survivors(marks)
     kinds = superkmers.classes(found)
     rows = superkmers.strings(docs, marks, kinds.filter("contents > 1"), _cut, width, 1)
-    inner = common.written(rows.groupBy("bucket").applyInPandas(_by_bucket(width, gram), "mh long, ch int, s long, e long"))
+    inner = common.written(rows.groupBy("bucket").applyInPandas(_by_bucket(width, gram), "mh long, ch long, s long, e long"))
     common.released(docs.sparkSession)
     start, k, _ = superkmers.places()
     # all copies but the first go whole

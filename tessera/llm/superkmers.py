@@ -32,7 +32,7 @@ PLACE = 20
 
 
 def scan(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser (uint64), content (uint32), start, and place of the minimiser << 8 | number of windows, of each super-k-mer of one document."""
+    """Minimiser (uint64), content (uint64), start, and place of the minimiser << 8 | number of windows, of each super-k-mer of one document."""
     found = []
     if width - gram + 1 > 255:
         raise ValueError("a minimiser's place and its windows must fit in a byte each")
@@ -55,10 +55,10 @@ def scan(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndar
         count = np.diff(np.append(start, n))
         end = start + count + width - 1
         content = mix((total[end] - total[start]) * down[start] + mix(end.astype(np.uint64) - start.astype(np.uint64)))
-        found.append((grams[place[start]], (content >> np.uint64(32)).astype(np.uint32), start + at, (place[start] - start) << 8 | count))
+        found.append((grams[place[start]], content, start + at, (place[start] - start) << 8 | count))
     if not found:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint32), none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -83,12 +83,12 @@ def marked(docs: DataFrame, units: Callable[[str | None], tuple[np.ndarray, int,
             n.append(count)
             sha.append(digest)
             mh.append(m.view(np.int64))
-            ch.append(c.view(np.int32))
+            ch.append(c.view(np.int64))
             at.append(start << 16 | k)
         return [n, sha, mh, ch, at]
 
     rows = keyed(docs, "doc_id")
-    added = "n long, sha string, mh array<long>, ch array<int>, at array<long>"
+    added = "n long, sha string, mh array<long>, ch array<long>, at array<long>"
     out = common.with_columns_by(rows, ["doc_id", "rid", "mark"], {"text": F.col("text")}, run, added)
     return common.written(out.withColumn("uid", F.monotonically_increasing_id()))
 
@@ -150,7 +150,7 @@ def strings(docs: DataFrame, marks: DataFrame, some: DataFrame, cut: Callable, w
             )
         return [out]
 
-    made = "made array<struct<mh:long,ch:int,copies:long,off:int,spot:int,start:long,string:binary,key:long>>"
+    made = "made array<struct<mh:long,ch:long,copies:long,off:int,spot:int,start:long,string:binary,key:long>>"
     out = common.with_columns_by(wide, ["rid"], {"text": F.col("text"), "need": F.col("need")}, run, made)
     out = out.select("rid", F.explode("made").alias("m")).select("rid", "m.*")
     return out.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).drop("key")

@@ -138,6 +138,15 @@ def test_hot_minimisers_are_split(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == removed_words(texts)
 
 
+def test_contents_of_a_minimiser_are_told_apart(spark):
+    """Texts of one window and one minimiser whose contents agree in 32 bits of their fingerprints, but not in all 64."""
+    texts = [f"the opening words that every one of these documents begins w{k:040d}" for k in (37677, 59915)]
+    assert [r["n_removed"] for r in suffix_dedup.repeated_bytes(frame(spark, texts)).collect()] == [0, 0]
+    start = "these are the opening words that every one of the documents has and they go on for a while until the part that differs at"
+    texts = [" ".join([*start.split(), *(2 * c for c in f"{k:010d}")]) for k in (63967, 170385)]
+    assert [r["n_removed"] for r in substring_dedup.repeated_words(frame(spark, texts)).collect()] == [0, 0]
+
+
 def test_empty_tables_and_null_ids(spark):
     none = spark.createDataFrame([], SCHEMA)
     for run in (suffix_dedup.repeated_bytes, substring_dedup.repeated_words, ngram_join.near_duplicates, line_dedup.deduplicate_lines):
