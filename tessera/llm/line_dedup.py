@@ -1,11 +1,9 @@
-"""Line dedup by pairwise alignment: patience diff against the documents that held a document's rare lines first.
+"""Line dedup by pairwise alignment: patience diff against the documents that held a document's lines first.
 
 Lines are compared without the white space around them. For each line of at least LINE characters, the
-document with the smallest id that holds it is its first holder. A line is rare for a document if at most
-RARE documents hold it, or at most RELATIVE times as many as hold the document's rarest shared line; so
-members of a large group of near copies, in which no line is rare by count, still find the group's first
-document. Each document is aligned with the first holders of its rare lines, which makes a number of pairs
-in proportion to the lines, whatever the size of a group. Runs of lines that a patience diff matches, of at
+document with the smallest id that holds it is its first holder. Each document is aligned with the first
+holders of all its shared lines, which makes at most one pair for each line, whatever the size of a group.
+Runs of lines that a patience diff matches, of at
 least BLOCK characters, are deleted from the later document. Documents with the same lines throughout are
 one block: the later ones lose all.
 
@@ -28,9 +26,9 @@ from . import common, superkmers
 from .hashing import digest
 
 LINE = 20
-RARE = 64
-RELATIVE = 2
 BLOCK = 30
+#: Pairs by one line of a holder that are joined in one place, about.
+SALT = 1024
 
 
 def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
@@ -117,14 +115,16 @@ def aligned(docs: DataFrame) -> DataFrame:
     tagged = full.join(kinds, ["d1", "d2"])
     whole = tagged.filter("rid <> first").select("rid", "mark", F.array(F.struct(F.lit(0).alias("s"), F.size("h").alias("e"))).alias("spans"))
     held = tagged.filter("rid = first").select("rid", "mark", F.explode(F.array_distinct(F.filter(F.arrays_zip("h", "size"), lambda x: x["size"] >= LINE))).alias("x"))
-    held = held.select("rid", "mark", F.col("x.h").alias("line"))
-    often = held.groupBy("line").agg(F.count("*").alias("df"), F.min(F.struct("rid", "mark")).alias("holder")).filter("df > 1")
-    shared = common.written(held.join(often, "line").filter("rid <> holder.rid"))
-    least = shared.groupBy("rid", "mark").agg(F.min("df").alias("least"))
-    pairs = shared.join(least, ["rid", "mark"]).filter(f"df <= greatest({RARE}, {RELATIVE} * least)")
-    pairs = pairs.select("rid", "mark", F.col("holder.rid").alias("rid0"), F.col("holder.mark").alias("mark0")).distinct()
+    held = held.select("rid", "mark", F.col("x.h").alias("key"))
+    often = held.groupBy("key").agg(F.count("*").alias("df"), F.min(F.struct("rid", "mark")).alias("holder")).filter("df > 1")
+    shared = held.join(often, "key").filter("rid <> holder.rid")
+    pairs = shared.groupBy("rid", "mark", F.col("holder.rid").alias("rid0"), F.col("holder.mark").alias("mark0")).agg(F.max("df").alias("df"))
+    # a holder that many documents share a key with is dealt out in proportion to them
+    salt = F.pmod(F.xxhash64("rid", "mark"), F.floor(F.col("df") / SALT) + 1)
+    pairs = common.written(pairs.withColumn("salt", salt).drop("df"))
     slim = lines.select("rid", "mark", "h", "size").dropDuplicates(["rid", "mark"])
-    wide = pairs.join(slim, ["rid", "mark"]).join(slim.select(F.col("rid").alias("rid0"), F.col("mark").alias("mark0"), F.col("h").alias("h0")), ["rid0", "mark0"])
+    holders = pairs.select("rid0", "mark0", "salt").distinct().join(slim.select(F.col("rid").alias("rid0"), F.col("mark").alias("mark0"), F.col("h").alias("h0")), ["rid0", "mark0"])
+    wide = pairs.join(slim, ["rid", "mark"]).join(holders, ["rid0", "mark0", "salt"])
 
     def run(h0: list, h: list, size: list) -> list[list]:
         return [[blocks(a, b, s) for a, b, s in zip(h0, h, size, strict=True)]]

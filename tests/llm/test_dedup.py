@@ -190,3 +190,12 @@ def test_line_dedup_finds_members_of_a_large_group(spark):
     texts = ["\n".join([*line, f"own line of document {k}, unlike the others"]) for k in range(100)]
     rows = line_dedup.deduplicate_lines(frame(spark, texts)).collect()
     assert sorted(r["n_removed"] for r in rows) == [0] + [6] * 99
+
+
+def test_line_dedup_finds_common_passages_beside_rare_lines(spark):
+    """A line of over 64 documents, in a document that shares a rare line with another one."""
+    common = "a license line that a great many of the documents carry"
+    texts = [f"{common}\nown opening of document {k}, unlike the others" for k in range(100)]
+    texts += ["a rare line that only two of the documents hold\nand the end", f"a beginning of its own, found nowhere else\na rare line that only two of the documents hold\nthen more of its own, found nowhere else\n{common}"]
+    rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, texts)).collect()}
+    assert [rows[k]["n_removed"] for k in range(102)] == [0] + [1] * 99 + [0, 2]
