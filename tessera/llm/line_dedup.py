@@ -1,11 +1,13 @@
-"""Line dedup by pairwise alignment: patience diff against the documents that held a document's lines first.
+"""Line dedup by pairwise alignment: patience diff against the documents that held a document's runs of lines first.
 
-Lines are compared without the white space around them. For each line of at least LINE characters, the
-document with the smallest id that holds it is its first holder. Each document is aligned with the first
-holders of all its shared lines, which makes at most one pair for each line, whatever the size of a group.
-Runs of lines that a patience diff matches, of at
-least BLOCK characters, are deleted from the later document. Documents with the same lines throughout are
-one block: the later ones lose all.
+Lines are compared without the white space around them. From each line that isn't blank, the shortest run of
+consecutive lines of at least BLOCK characters is a key; the document with the smallest id that holds a key is
+its first holder. Each document is aligned with the first holders of all its shared keys, which makes at most one
+pair for each line, whatever the size of a group. Runs of lines that a patience diff matches, of at least BLOCK
+characters, are deleted from the later document. Keys that the diff leaves although the holder may have them (in
+another order, or repeated on either side) are looked up in a suffix automaton of the holder's lines, and the
+longest runs found there are deleted as well. Documents with the same lines throughout are one block: the later
+ones lose all.
 
 Defined results: null text stays null and has no lines; blank lines match blank lines within a block only;
 rows that repeat a doc_id are no documents of each other; a null doc_id comes before all others; an empty
@@ -25,9 +27,8 @@ from pyspark.sql import functions as F
 from . import common, superkmers
 from .hashing import digest
 
-LINE = 20
 BLOCK = 30
-#: Pairs by one line of a holder that are joined in one place, about.
+#: Pairs by one key of a holder that are joined in one place, about.
 SALT = 1024
 
 
@@ -41,6 +42,56 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
     return hashes, sizes
 
 
+def key_runs(hashes: list, sizes: list, least: int = BLOCK) -> list[tuple[int, int]]:
+    """From each line that isn't blank, the shortest run (s, e) of at least `least` characters."""
+    total = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    ends = np.searchsorted(total, total[:-1] + least)
+    return [(s, e) for s, e in enumerate(ends.tolist()) if hashes[s] and e <= len(hashes)]
+
+
+def keys(hashes: list, sizes: list) -> list[int]:
+    """Signed fingerprints of the key runs, each once."""
+    packed = np.array(hashes, np.int64)
+    return list({hashes[s] if e == s + 1 else xxhash.xxh3_64_intdigest(packed[s:e].tobytes()) - (1 << 63) for s, e in key_runs(hashes, sizes)})
+
+
+def held_runs(a: list, b: list) -> list[tuple[int, int]]:
+    """Runs (s, e) of b that a holds as they are and that can't be longer to either side, by a suffix automaton of a."""
+    to, link, size, last = [{}], [-1], [0], 0
+    for x in a:
+        new, p = len(to), last
+        to.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while p >= 0 and x not in to[p]:
+            to[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = to[p][x]
+            if size[q] != size[p] + 1:
+                copy = len(to)
+                to.append(dict(to[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                while p >= 0 and to[p].get(x) == q:
+                    to[p][x] = copy
+                    p = link[p]
+                link[q] = copy
+                q = copy
+            link[new] = q
+        last = new
+    out, at, n = [], 0, 0
+    for j, x in enumerate(b):
+        if n and x not in to[at]:
+            out.append((j - n, j))
+        while at and x not in to[at]:
+            at = link[at]
+            n = size[at]
+        if x in to[at]:
+            at, n = to[at][x], n + 1
+    return [*out, (len(b) - n, len(b))] if n else out
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Matched (place in a, place in b), rising in both: common ends first, then lines unique on both sides by the longest rising run, then within the gaps."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -84,7 +135,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def blocks(a: list, b: list, sizes: list, least: int = BLOCK) -> list[dict]:
-    """Runs (s, e) of lines of b that are matched line by line, of at least `least` characters."""
+    """Runs (s, e) of lines of b, of at least `least` characters, that are matched line by line or that a holds elsewhere."""
     out, run = [], []
     for i, j in [*patience(a, b), (-1, -1)]:
         if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
@@ -93,17 +144,25 @@ def blocks(a: list, b: list, sizes: list, least: int = BLOCK) -> list[dict]:
                 out.append({"s": s, "e": e})
             run = []
         run.append((i, j))
+    left = np.append(0, np.cumsum(~superkmers.covered(len(b), out)))
+    there = set(a)
+    if any(left[e] > left[s] and there.issuperset(b[s:e]) for s, e in key_runs(b, sizes, least)):
+        out += [{"s": s, "e": e} for s, e in held_runs(a, b) if left[e] > left[s] and sum(sizes[s:e]) >= least]
     return out
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     def run(text: list) -> list[list]:
-        found = [line_hashes(t) for t in text]
-        marks = [digest(np.array(h, np.int64).view(np.uint64)) for h, _ in found]
-        return [[h for h, _ in found], [s for _, s in found], [m[0] for m in marks], [m[1] for m in marks]]
+        out: list[list] = [[] for _ in range(5)]
+        for h, size in map(line_hashes, text):
+            packed = np.array(h, np.int64)
+            row = packed, np.array(size, np.int32), np.array(keys(h, size), np.int64), *digest(packed.view(np.uint64))
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        return out
 
     rows = superkmers.keyed(docs)
-    out = common.with_columns_by(rows, ["rid", "mark"], {"text": F.col("text")}, run, "h array<long>, size array<int>, d1 long, d2 long")
+    out = common.with_columns_by(rows, ["rid", "mark"], {"text": F.col("text")}, run, "h array<long>, size array<int>, keys array<long>, d1 long, d2 long")
     return common.written(out)
 
 
@@ -114,8 +173,7 @@ def aligned(docs: DataFrame) -> DataFrame:
     kinds = common.written(full.groupBy("d1", "d2").agg(F.min("rid").alias("first")))
     tagged = full.join(kinds, ["d1", "d2"])
     whole = tagged.filter("rid <> first").select("rid", "mark", F.array(F.struct(F.lit(0).alias("s"), F.size("h").alias("e"))).alias("spans"))
-    held = tagged.filter("rid = first").select("rid", "mark", F.explode(F.array_distinct(F.filter(F.arrays_zip("h", "size"), lambda x: x["size"] >= LINE))).alias("x"))
-    held = held.select("rid", "mark", F.col("x.h").alias("key"))
+    held = tagged.filter("rid = first").select("rid", "mark", F.explode("keys").alias("key"))
     often = held.groupBy("key").agg(F.count("*").alias("df"), F.min(F.struct("rid", "mark")).alias("holder")).filter("df > 1")
     shared = held.join(often, "key").filter("rid <> holder.rid")
     pairs = shared.groupBy("rid", "mark", F.col("holder.rid").alias("rid0"), F.col("holder.mark").alias("mark0")).agg(F.max("df").alias("df"))

@@ -199,3 +199,28 @@ def test_line_dedup_finds_common_passages_beside_rare_lines(spark):
     texts += ["a rare line that only two of the documents hold\nand the end", f"a beginning of its own, found nowhere else\na rare line that only two of the documents hold\nthen more of its own, found nowhere else\n{common}"]
     rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, texts)).collect()}
     assert [rows[k]["n_removed"] for k in range(102)] == [0] + [1] * 99 + [0, 2]
+
+
+def test_line_dedup_finds_repeated_moved_and_short_lines(spark):
+    passage = [f"line {k} of the passage that is repeated" for k in range(3)]
+    verse = ["roses are red", "violets", "are blue", "", "sugar is sweet"]
+    texts = [
+        ["first opening", *passage, "first end"],
+        ["second opening", *passage, "second middle", *passage, "second end"],
+        ["third opening", *verse, "third end"],
+        ["fourth opening", *verse, "fourth middle", *passage, "fourth end", *verse],
+        ["fifth opening", *passage[::-1], "fifth end", *verse[:2]],
+    ]
+    rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, ["\n".join(t) for t in texts])).collect()}
+    assert [rows[k]["text"].split("\n") for k in range(5)] == [texts[0], ["second opening", "second middle", "second end"], texts[2], ["fourth opening", "fourth middle", "fourth end"], ["fifth opening", "fifth end", *verse[:2]]]
+
+
+@pytest.mark.parametrize("seed", [12, 13])
+def test_held_runs_equal_brute_force(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(25))] for _ in range(2))
+        have = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+        runs = [(i, j) for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in have]
+        longest = {r for r in runs if (r[0] - 1, r[1]) not in runs and (r[0], r[1] + 1) not in runs}
+        assert set(line_dedup.held_runs(a, b)) == longest
