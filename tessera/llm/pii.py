@@ -47,6 +47,8 @@ NUMBERS = re.compile(
     r"|(?P<card>\d(?:[ -]?\d){12,18})"
     r")(?!\w)"
 )
+#: The first group of letters and digits of a match; what follows it is scanned again if the match fails its check.
+GROUP = re.compile(r"\W*\w+")
 #: What comes before an @, and the domain after it.
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}$"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 
@@ -117,6 +119,11 @@ def _refill(shape: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+def _shorter(text: str) -> list[str]:
+    """The beginnings of text that end before a space or hyphen, longest first."""
+    return [text[:i] for i in range(len(text) - 1, 0, -1) if text[i] in " -"]
+
+
 def card(text: str, key: bytes) -> str | None:
     digits = _digits(text)
     if not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1:
@@ -215,24 +222,33 @@ class Pseudonymizer:
     def __call__(self, text: str) -> tuple[str, dict[str, int]]:
         counts: dict[str, int] = {}
 
-        def put(m: re.Match) -> str:
-            new = self.known(m.lastgroup, m[0])
-            if new is None:
-                return m[0]
-            kind = "secret" if m.lastgroup == "assigned" else m.lastgroup
-            counts[kind] = counts.get(kind, 0) + 1
-            return new
+        def put(part: str) -> str:
+            out, at, look = [], 0, 0
+            while m := NUMBERS.search(part, look):
+                value, new = m[0], self.known(m.lastgroup, m[0])
+                if new is None and m.lastgroup == "card":
+                    # digits behind a card may have been taken for its own
+                    value, new = next(((v, n) for v in _shorter(m[0]) if (n := self.known("card", v))), (value, None))
+                if new is None:
+                    look = GROUP.match(part, m.start()).end()
+                    continue
+                kind = "secret" if m.lastgroup == "assigned" else m.lastgroup
+                counts[kind] = counts.get(kind, 0) + 1
+                out += [part[at : m.start()], new]
+                at = look = m.start() + len(value)
+            out.append(part[at:])
+            return "".join(out)
 
         out, at = [], 0
         look = text.find("@")
         while look >= 0:
             local, domain = LOCAL.search(text, max(at, look - 64), look), DOMAIN.match(text, look + 1)
             if local and domain and any(c.isalnum() for c in local[0]):
-                out += [NUMBERS.sub(put, text[at : local.start()]), self.known("email", local[0]), text[look : domain.end()]]
+                out += [put(text[at : local.start()]), self.known("email", local[0]), text[look : domain.end()]]
                 counts["email"] = counts.get("email", 0) + 1
                 at = domain.end()
             look = text.find("@", look + 1)
-        out.append(NUMBERS.sub(put, text[at:]))
+        out.append(put(text[at:]))
         return "".join(out), counts
 
 

@@ -104,6 +104,22 @@ def test_neighbouring_values_are_told_apart():
     assert re.search(r'token = "[0-9a-f]{40}" end$', new)
 
 
+def test_cards_are_told_from_digits_beside_them():
+    p = pii.Pseudonymizer(b"key")
+    for card, more, found in [
+        ("4845168114407329", " 97.51.17.173", {"ip": 1}),
+        ("4845168114407329", " 123", {}),
+        ("4111 1111 1111 1111", " 12/25", {}),
+        ("4845168114407329", " 555-123-4567", {"phone": 1}),
+    ]:
+        new, counts = p(f"paid by {card}{more} then")
+        assert counts == {"card": 1, **found} and card not in new
+        assert (more in new) == (not found)
+        assert pii.luhn(re.sub(r"\D", "", new[8 : 8 + len(card)]))
+    new, counts = p("paid by 123 4111 1111 1111 1111 then")
+    assert counts == {"card": 1} and "1111 1111 1111 1111" not in new
+
+
 def test_equal_values_stay_linked(spark):
     rows = pii.pseudonymize(frame(spark, ["mail x.y@example.com now", "again x.y@example.com", None, "", "nothing here"])).collect()
     got = {r["doc_id"]: r for r in rows}
