@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -27,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (single-machine tests) a local folder takes its place.
+    Only where that is unset and Spark runs in one process (as in tests) a local folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -75,11 +78,11 @@ def text_bytes(col: str = "text"):
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
 
-def with_columns_by(df: DataFrame, keep: list[str], inputs: dict, fn: Callable[..., list[list]], added: str, replace: bool = False) -> DataFrame:
+def with_columns_by(df: DataFrame, keep: list[str], inputs: dict, fn: Callable[..., list[list]], added: str, replace: bool = False, raw: bool = False) -> DataFrame:
     """Columns `keep` of df, passed through as they are, and the columns of the schema `added`.
 
-    inputs: name -> Column, given to fn as lists by name for each Arrow batch; fn returns a list for each
-    added column. With replace, an added column takes the place of a kept one of its name.
+    inputs: name -> Column, given to fn as lists by name for each Arrow batch (raw: as Arrow arrays); fn returns
+    a list for each added column. With replace, an added column takes the place of a kept one of its name.
     """
     # what a worker holds at once is bounded by bytes, however long the texts are
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
@@ -93,7 +96,7 @@ def with_columns_by(df: DataFrame, keep: list[str], inputs: dict, fn: Callable[.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         for b in batches:
-            made = fn(**{k: b.column(f"__in_{k}").to_pylist() for k in names})
+            made = fn(**{k: b.column(f"__in_{k}") if raw else b.column(f"__in_{k}").to_pylist() for k in names})
             by_name = {n.name: pa.array(x, arrow.field(n.name).type) for n, x in zip(new, made, strict=True)}
             cols = [by_name[f.name] if f.name in by_name else b.column(f.name).cast(arrow.field(f.name).type) for f in schema]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)

@@ -1,217 +1,197 @@
 """Line dedup by pairwise alignment: patience diff against the documents that held a document's runs of lines first.
 
-Lines are compared without the white space around them. From each line that isn't blank, the shortest run of
-consecutive lines of at least BLOCK characters is a key; the document with the smallest id that holds a key is
-its first holder. Each document is aligned with the first holders of all its shared keys, which makes at most one
-pair for each line, whatever the size of a group. Runs of lines that a patience diff matches, of at least BLOCK
-characters, are deleted from the later document. Keys that the diff leaves although the holder may have them (in
-another order, or repeated on either side) are looked up in a suffix automaton of the holder's lines, and the
-longest runs found there are deleted as well. Documents with the same lines throughout are one block: the later
-ones lose all.
-
-Defined results: null text stays null and has no lines; blank lines match blank lines within a block only;
-rows that repeat a doc_id are no documents of each other; a null doc_id comes before all others; an empty
-table gives an empty result; other columns are passed through. Ties don't arise: ids are ordered.
+Lines are compared without the white space around them, and blank lines are passed over. What may be deleted are runs of consecutive lines of at
+least BLOCK characters that an earlier document holds as well. The keys of a document are its shortest such runs:
+one from each line onward and one from each line backward. Any longer shared run is a union of shared keys, so to
+align a document with the first holder of each of its keys finds all that aligning it with every earlier document
+would: one pair for each key at most, whatever the size of a group of copies.
+
+What travels of a pair is where both documents hold the shared keys, not their lines. On these, a patience diff
+takes the keys that the later document holds once, the longest sequence of them that rises on both sides, and then
+the others within the gaps. Keys that meet side by side make up the aligned blocks, which are deleted from the later
+document. A key that its holder has in another order, or that the later document repeats, is a moved passage: it is
+deleted too (moved=False leaves it), and counted apart.
+
+Documents with the same lines throughout are one block, however short: the later ones lose all.
+
+Defined results: null text stays null and has no lines; a blank line goes with the line before it (at the top, with the one after it); rows that repeat a
+doc_id are no documents of each other; a null doc_id comes before all others; an empty table gives an empty result;
+a line of any length is one line; other columns are passed through, but for those named like a result. Ties don't
+arise: ids are ordered, and of a holder's places for a key the first counts.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, superkmers
-from .hashing import digest
+from . import common, hashing, superkmers
 
 BLOCK = 30
-#: Pairs by one key of a holder that are joined in one place, about.
-SALT = 1024
+BLANK = " \t\n\v\f\r"
 
 
-def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
-    """Signed fingerprint and length of each line; blank lines have fingerprint 0."""
-    hashes, sizes = [], []
-    for line in (text or "").split("\n") if text else []:
-        s = line.strip()
-        hashes.append((xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) or 1) - (1 << 63) if s else 0)
-        sizes.append(len(s))
-    return hashes, sizes
-
-
-def key_runs(hashes: list, sizes: list, least: int = BLOCK) -> list[tuple[int, int]]:
-    """From each line that isn't blank, the shortest run (s, e) of at least `least` characters."""
+def key_runs(sizes: np.ndarray, least: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the shortest runs of at least `least` characters from each line, onward and backward."""
     total = np.append(0, np.cumsum(sizes, dtype=np.int64))
-    ends = np.searchsorted(total, total[:-1] + least)
-    return [(s, e) for s, e in enumerate(ends.tolist()) if hashes[s] and e <= len(hashes)]
-
-
-def keys(hashes: list, sizes: list) -> list[int]:
-    """Signed fingerprints of the key runs, each once."""
-    packed = np.array(hashes, np.int64)
-    return list({hashes[s] if e == s + 1 else xxhash.xxh3_64_intdigest(packed[s:e].tobytes()) - (1 << 63) for s, e in key_runs(hashes, sizes)})
-
-
-def held_runs(a: list, b: list) -> list[tuple[int, int]]:
-    """Runs (s, e) of b that a holds as they are and that can't be longer to either side, by a suffix automaton of a."""
-    to, link, size, last = [{}], [-1], [0], 0
-    for x in a:
-        new, p = len(to), last
-        to.append({})
-        link.append(0)
-        size.append(size[last] + 1)
-        while p >= 0 and x not in to[p]:
-            to[p][x] = new
-            p = link[p]
-        if p >= 0:
-            q = to[p][x]
-            if size[q] != size[p] + 1:
-                copy = len(to)
-                to.append(dict(to[q]))
-                link.append(link[q])
-                size.append(size[p] + 1)
-                while p >= 0 and to[p].get(x) == q:
-                    to[p][x] = copy
-                    p = link[p]
-                link[q] = copy
-                q = copy
-            link[new] = q
-        last = new
-    out, at, n = [], 0, 0
-    for j, x in enumerate(b):
-        if n and x not in to[at]:
-            out.append((j - n, j))
-        while at and x not in to[at]:
-            at = link[at]
-            n = size[at]
-        if x in to[at]:
-            at, n = to[at][x], n + 1
-    return [*out, (len(b) - n, len(b))] if n else out
-
-
-def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Matched (place in a, place in b), rising in both: common ends first, then lines unique on both sides by the longest rising run, then within the gaps."""
-    out, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            out.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            out.append((a1, b1))
-        if a0 == a1 or b0 == b1:
-            continue
-        na, nb = Counter(a[a0:a1]), Counter(b[b0:b1])
-        place = {x: j for j, x in enumerate(b[b0:b1], b0) if nb[x] == 1 and na.get(x) == 1}
-        tops, ends, back = [], [], {}
-        for i in range(a0, a1):
-            j = place.get(a[i])
-            if j is None:
-                continue
-            k = bisect_left(tops, j)
-            back[i] = ends[k - 1] if k else None
-            if k == len(tops):
-                tops.append(j)
-                ends.append(i)
-            else:
-                tops[k], ends[k] = j, i
-        run, i = [], ends[-1] if ends else None
-        while i is not None:
-            run.append((i, place[a[i]]))
-            i = back[i]
-        if not run:
-            continue
-        at = (a0, b0)
-        for i, j in [*reversed(run), (a1, b1)]:
-            if at[0] < i and at[1] < j:
-                todo.append((at[0], i, at[1], j))
-            at = (i + 1, j + 1)
-        out += run
-    return sorted(out)
-
-
-def blocks(a: list, b: list, sizes: list, least: int = BLOCK) -> list[dict]:
-    """Runs (s, e) of lines of b, of at least `least` characters, that are matched line by line or that a holds elsewhere."""
-    out, run = [], []
-    for i, j in [*patience(a, b), (-1, -1)]:
-        if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
-            s, e = run[0][1], run[-1][1] + 1
-            if sum(sizes[s:e]) >= least:
-                out.append({"s": s, "e": e})
-            run = []
-        run.append((i, j))
-    left = np.append(0, np.cumsum(~superkmers.covered(len(b), out)))
-    there = set(a)
-    if any(left[e] > left[s] and there.issuperset(b[s:e]) for s, e in key_runs(b, sizes, least)):
-        out += [{"s": s, "e": e} for s, e in held_runs(a, b) if left[e] > left[s] and sum(sizes[s:e]) >= least]
-    return out
+    n = len(sizes)
+    s = np.arange(n)
+    e = np.searchsorted(total, total[s] + least)
+    b = s + 1
+    a = np.searchsorted(total, total[b] - least, side="right") - 1
+    packed = np.unique(np.concatenate([(s << 32 | e)[e <= n], (a << 32 | b)[a >= 0]]))
+    return packed >> 32, packed & 0xFFFF_FFFF
+
+
+def rising(x: list) -> list[int]:
+    """Places of a longest strictly rising subsequence of x, by patience sorting."""
+    tops, ends, back = [], [], []
+    for i, v in enumerate(x):
+        k = bisect_left(tops, v)
+        back.append(ends[k - 1] if k else -1)
+        if k == len(tops):
+            tops.append(v)
+            ends.append(i)
+        else:
+            tops[k], ends[k] = v, i
+    out, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        out.append(i)
+        i = back[i]
+    return out[::-1]
+
+
+def patience(x: list) -> list[int]:
+    """Matches of a pair in the order of the later document, x their places in the earlier one: those aligned.
+
+    Keys met once go first, by the longest rising sequence; then those within each gap, between its ends on both sides.
+    """
+    seen: dict = {}
+    for v in x:
+        seen[v] = seen.get(v, 0) + 1
+    once = [i for i, v in enumerate(x) if seen[v] == 1]
+    out, last = [], -1
+    for stop in [*(once[k] for k in rising([x[i] for i in once])), len(x)]:
+        lo, hi = x[last] if last >= 0 else -1, x[stop] if stop < len(x) else float("inf")
+        gap = [i for i in range(last + 1, stop) if lo < x[i] < hi]
+        out += [gap[k] for k in rising([x[i] for i in gap])] + [stop]
+        last = stop
+    return out[:-1]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    def run(text: list) -> list[list]:
+    """rid, mark, n (lines that aren't blank), two fingerprints of them, keys and where they are (start << 32 | end)."""
+
+    def run(text: pa.Array) -> list[list]:
         out: list[list] = [[] for _ in range(5)]
-        for h, size in map(line_hashes, text):
-            packed = np.array(h, np.int64)
-            row = packed, np.array(size, np.int32), np.array(keys(h, size), np.int64), *digest(packed.view(np.uint64))
+        for t in text:
+            data = (t.as_py() or "").encode("utf-8", "replace")
+            h, sizes = hashing.lines(data)
+            h, sizes = h[h != 0], sizes[h != 0]
+            s, e = key_runs(sizes)
+            row = len(h), *hashing.digest(h), hashing.signed(hashing.runs(h, s, e)), s << 32 | e
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         return out
 
-    rows = superkmers.keyed(docs)
-    out = common.with_columns_by(rows, ["rid", "mark"], {"text": F.col("text")}, run, "h array<long>, size array<int>, keys array<long>, d1 long, d2 long")
-    return common.written(out)
+    added = "n long, d1 long, d2 long, keys array<long>, at array<long>"
+    return common.written(common.with_columns_by(superkmers.keyed(docs), ["rid", "mark"], {"text": F.col("text")}, run, added, raw=True))
+
+
+def _aligned(a: pa.Array, am: pa.Array, x: pa.Array, y: pa.Array) -> list[list]:
+    """Of each row's matches (holder, place there, own place), the own places that are aligned and those that are moved."""
+    size = np.diff(a.offsets.to_numpy())
+    row = np.repeat(np.arange(len(size)), size)
+    a, am, x, y = (c.flatten().to_numpy() for c in (a, am, x, y))
+    order = np.lexsort((y, am, a, row))
+    row, a, am, x, y = row[order], a[order], am[order], x[order], y[order]
+    n = len(row)
+    same = np.zeros(n, bool)
+    same[1:] = (row[1:] == row[:-1]) & (a[1:] == a[:-1]) & (am[1:] == am[:-1])
+    group = np.cumsum(~same) - 1
+    falls = np.zeros(n, bool)
+    falls[1:] = same[1:] & (x[1:] <= x[:-1])
+    fine = np.ones(n, bool)
+    starts = np.append(np.flatnonzero(~same), n)
+    for g in np.unique(group[falls]).tolist():
+        lo, hi = starts[g], starts[g + 1]
+        fine[lo:hi] = False
+        fine[lo + np.array(patience(x[lo:hi].tolist()), np.int64)] = True
+    ends = np.cumsum(size)
+    # by row, its own places in order: each row's part is then one slice
+    out = []
+    for keep in (fine, ~fine):
+        r, p = row[keep], y[keep]
+        cut = np.searchsorted(r, np.arange(len(ends) + 1))
+        out.append([np.unique(p[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+    return out
 
 
 def aligned(docs: DataFrame) -> DataFrame:
-    """rid, mark, spans (array of s, e: lines to delete) of each row that loses lines."""
+    """rid, mark, spans and moved (places of lines to delete, start << 32 | end) of each row that loses lines."""
     lines = _lines(docs)
-    full = lines.filter(F.exists("h", lambda x: x != 0))
-    kinds = common.written(full.groupBy("d1", "d2").agg(F.min("rid").alias("first")))
-    tagged = full.join(kinds, ["d1", "d2"])
-    whole = tagged.filter("rid <> first").select("rid", "mark", F.array(F.struct(F.lit(0).alias("s"), F.size("h").alias("e"))).alias("spans"))
-    held = tagged.filter("rid = first").select("rid", "mark", F.explode("keys").alias("key"))
-    often = held.groupBy("key").agg(F.count("*").alias("df"), F.min(F.struct("rid", "mark")).alias("holder")).filter("df > 1")
-    shared = held.join(often, "key").filter("rid <> holder.rid")
-    pairs = shared.groupBy("rid", "mark", F.col("holder.rid").alias("rid0"), F.col("holder.mark").alias("mark0")).agg(F.max("df").alias("df"))
-    # a holder that many documents share a key with is dealt out in proportion to them
-    salt = F.pmod(F.xxhash64("rid", "mark"), F.floor(F.col("df") / SALT) + 1)
-    pairs = common.written(pairs.withColumn("salt", salt).drop("df"))
-    slim = lines.select("rid", "mark", "h", "size").dropDuplicates(["rid", "mark"])
-    holders = pairs.select("rid0", "mark0", "salt").distinct().join(slim.select(F.col("rid").alias("rid0"), F.col("mark").alias("mark0"), F.col("h").alias("h0")), ["rid0", "mark0"])
-    wide = pairs.join(slim, ["rid", "mark"]).join(holders, ["rid0", "mark0", "salt"])
-
-    def run(h0: list, h: list, size: list) -> list[list]:
-        return [[blocks(a, b, s) for a, b, s in zip(h0, h, size, strict=True)]]
-
-    found = common.with_columns_by(wide, ["rid", "mark"], {c: F.col(c) for c in ("h0", "h", "size")}, run, "spans array<struct<s:int,e:int>>")
-    found = found.filter("size(spans) > 0").groupBy("rid", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return found.unionByName(whole.dropDuplicates(["rid", "mark"]))
-
-
-def deduplicate_lines(docs: DataFrame) -> DataFrame:
-    """docs with the aligned blocks cut out of text, and n_lines and n_removed of each row."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    spans = aligned(docs).select(F.col("rid").alias("__rid"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"))
-    keyed = superkmers.keyed(docs, *(F.col(c).alias(f"__c{k}") for k, c in enumerate(names)))
+    full = lines.filter("n > 0").select("rid", "mark", "n", "d1", "d2")
+    copies = common.written(full.groupBy("d1", "d2").agg(F.min("rid").alias("a"), F.max("rid").alias("last")).filter("a < last").drop("last"))
+    whole = full.join(copies, ["d1", "d2"]).filter("rid <> a").select("rid", "mark", "a", F.lit(0).cast("long").alias("am"), F.col("n").alias("x"), F.col("n").alias("y"))
+    posts = lines.select("rid", "mark", F.explode(F.arrays_zip("keys", "at")).alias("k")).select("rid", "mark", F.col("k.keys").alias("key"), F.col("k.at").alias("y"))
+    held = posts.groupBy("key").agg(F.min(F.struct("rid", "mark", F.col("y").alias("x"))).alias("first"), F.max("rid").alias("last")).filter("first.rid < last")
+    # written first, so that the join is dealt out anew and a key that many documents hold can be split
+    held = common.written(held.select("key", F.col("first.rid").alias("a"), F.col("first.mark").alias("am"), F.col("first.x").alias("x")))
+    shared = posts.join(held, "key").filter("rid <> a").select("rid", "mark", "a", "am", "x", "y")
+    each = shared.unionByName(whole).groupBy("rid", "mark").agg(F.collect_list(F.struct("a", "am", "x", "y")).alias("m"))
+    matches = {c: F.col(f"m.{c}") for c in ("a", "am", "x", "y")}
+    return common.with_columns_by(each, ["rid", "mark"], matches, _aligned, "spans array<long>, moved array<long>", raw=True)
+
+
+def covered(ink: np.ndarray, places: list | None) -> np.ndarray:
+    """Mask of the lines that go: those with ink between the start and the end that a place packs, and blank ones behind them."""
+    turn = np.zeros(int(ink.sum()) + 1, np.int32)
+    p = np.array(places or [], np.int64)
+    np.add.at(turn, p >> 32, 1)
+    np.add.at(turn, p & 0xFFFF_FFFF, -1)
+    gone = np.cumsum(turn[:-1]) > 0
+    if not len(gone):
+        return np.zeros(len(ink), bool)
+    return gone[np.maximum(np.cumsum(ink) - 1, 0)]
+
+
+RESULTS = ("n_lines", "n_removed", "n_moved")
+
+
+def deduplicate_lines(docs: DataFrame, moved: bool = True) -> DataFrame:
+    """docs with the aligned blocks cut out of text, and n_lines, n_removed and n_moved (removed for moved passages only) of each row."""
+    names = [c for c in docs.columns if c not in RESULTS]
+    spans = aligned(docs).withColumnsRenamed({"rid": "__rid", "mark": "__mark", "spans": "__spans", "moved": "__moved"})
+    keyed = superkmers.keyed(docs, *(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)))
     keyed = keyed.withColumnsRenamed({"rid": "__rid", "mark": "__mark"}).drop("text")
-    rows = keyed.join(spans, ["__rid", "__mark"], "left").select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(names)), "__spans")
-
-    def run(text: list, spans: list) -> list[list]:
-        out, n, cut = [], [], []
-        for t, s in zip(text, spans, strict=True):
-            parts = t.split("\n") if t else []
-            gone = superkmers.covered(len(parts), s or [])
-            out.append("\n".join(p for p, g in zip(parts, gone, strict=True) if not g) if s else t)
+    # the spans are the smaller side of each partition by far: texts stream past them unsorted
+    rows = keyed.join(spans.hint("shuffle_hash"), ["__rid", "__mark"], "left").select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(names)), "__spans", "__moved")
+
+    def run(text: list, spans: list, other: list) -> list[list]:
+        out, n, cut, apart = [], [], [], []
+        for t, s, o in zip(text, spans, other, strict=True):
+            if not s and not o:
+                out.append(t)
+                n.append(t.count("\n") + 1 if t else 0)
+                cut.append(0)
+                apart.append(0)
+                continue
+            parts = t.split("\n")
+            ink = np.array([bool(p.strip(BLANK)) for p in parts])
+            first = covered(ink, s)
+            gone = covered(ink, (s or []) + (o or [])) if moved else first
+            out.append("\n".join(p for p, g in zip(parts, gone.tolist(), strict=True) if not g))
             n.append(len(parts))
             cut.append(int(gone.sum()))
-        return [out, n, cut]
+            apart.append(int((gone & ~first).sum()))
+        return [out, n, cut, apart]
 
-    inputs = {"text": F.col("text"), "spans": F.col("__spans")}
-    return common.with_columns_by(rows, names, inputs, run, "text string, n_lines long, n_removed long", replace=True)
+    inputs = {"text": F.col("text"), "spans": F.col("__spans"), "other": F.col("__moved")}
+    return common.with_columns_by(rows, names, inputs, run, "text string, n_lines long, n_removed long, n_moved long", replace=True)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +199,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays with its own lines; one that loses all of them is a copy and goes."""
+    """Every document stays with its own lines; one that loses all of them is a copy and goes.
+
+    Null, empty and blank texts lose nothing and stay; rows that repeat a doc_id stay each.
+    """
     names = docs.columns
     out = deduplicate_lines(docs).filter(~((F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*names)

@@ -164,12 +164,68 @@ def test_suffix_dedup_of_a_null_id_comes_first(spark):
     assert got[7] == len(text) and got[None] < len(text)
 
 
-def test_patience_aligns_unique_lines_first():
-    a, b = [1, 2, 3, 9, 4, 5], [7, 1, 2, 3, 8, 4, 5]
-    assert line_dedup.patience(a, b) == [(0, 1), (1, 2), (2, 3), (4, 5), (5, 6)]
-    assert line_dedup.blocks(a, b, [20] * 7) == [{"s": 1, "e": 4}, {"s": 5, "e": 7}]
-    assert line_dedup.patience([], b) == [] and line_dedup.patience([1, 1], [1, 1, 1])[:1] == [(0, 0)]
-    assert line_dedup.patience([1, 2, 3], [3, 1, 2]) in ([(0, 1), (1, 2)], [(2, 0)])
+def test_patience_takes_what_rises_on_both_sides():
+    assert line_dedup.rising([5, 1, 2, 9, 3]) == [1, 2, 4]
+    assert line_dedup.patience([1, 2, 3]) == [0, 1, 2] and line_dedup.patience([]) == []
+    assert line_dedup.patience([7, 1, 2, 3]) == [1, 2, 3]
+    # 4 is repeated: it's taken where it fits between the ones that are met once
+    assert line_dedup.patience([4, 1, 3, 4, 8, 4]) == [1, 2, 3, 4]
+
+
+def lines_left(texts, least=line_dedup.BLOCK):
+    """Every document against all earlier ones: runs of lines of enough characters that one of them holds go."""
+    split = [[x for x in (t or "").split("\n") if x.strip(" \t\n\v\f\r")] for t in texts]
+    split = [[x.strip(" \t\n\v\f\r") for x in b] for b in split]
+    out = []
+    for j, (t, b) in enumerate(zip(texts, split, strict=True)):
+        gone = [any(a == b for a in split[:j]) and any(b)] * len(b)
+        for a in split[:j]:
+            have = {tuple(a[s:e]) for s in range(len(a)) for e in range(s + 1, len(a) + 1)}
+            for s in range(len(b)):
+                for e in range(s + 1, len(b) + 1):
+                    if sum(map(len, b[s:e])) >= least and tuple(b[s:e]) in have:
+                        gone[s:e] = [True] * (e - s)
+        kept, k = [], -1
+        for x in (t or "").split("\n"):
+            k += bool(x.strip(" \t\n\v\f\r"))
+            if not (b and gone[max(k, 0)]):
+                kept.append(x)
+        out.append("\n".join(kept) if t else t)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_equals_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    pool = ["x" * 31 + c for c in "abcd"] + ["é" * 12 + c for c in "abcdef"] + list("pqrs") + ["", "  ", "\t"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(40)]
+    texts += [None, "", texts[3], " " + texts[4].replace("\n", " \n"), "p", "p", "\n\n"]
+    rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, texts)).collect()}
+    assert [rows[i]["text"] for i in range(len(texts))] == lines_left(texts)
+    assert all(r["n_lines"] == (r["text"] or "").count("\n") + bool(r["text"]) for r in rows.values() if not r["n_removed"])
+
+
+def test_line_dedup_meets_holders_that_are_not_first(spark):
+    x, short = "the line that three documents hold in all", ["one", "two", "three"]
+    texts = [["a", x, "b"], ["c", x, *short, "d"], ["e", x, *short, "f"]]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(frame(spark, ["\n".join(t) for t in texts])).collect()}
+    assert rows == {0: "\n".join(texts[0]), 1: "c\none\ntwo\nthree\nd", 2: "e\nf"}
+
+
+def test_line_dedup_of_long_lines_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr("tessera.llm.hashing.SLICE", 64)
+    long = "long " * 40
+    texts = [f"own\n{long}\nend of the first", f"other\n  {long}\nend of the second\n", f"third\nshort ones\n{long}x\nend"]
+    rows = line_dedup.deduplicate_lines(frame(spark, [*texts, texts[1]], [0, 1, 2, 1])).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_lines"]) for r in rows) == [(0, texts[0], 3), (1, "other\nend of the second\n", 4), (1, "other\nend of the second\n", 4), (2, texts[2], 4)]
+
+
+def test_line_dedup_tells_moved_passages(spark):
+    x, y, z = (f"line {k} of the text that is moved around" for k in range(3))
+    texts = ["\n".join(t) for t in ([x, y, z, "end"], ["a", z, x, y, "b"], ["c", x, "d", x, "e"])]
+    cut = lambda **k: {r["doc_id"]: (r["text"], r["n_removed"], r["n_moved"]) for r in line_dedup.deduplicate_lines(frame(spark, texts), **k).collect()}
+    assert cut()[1] == ("a\nb", 3, 1) and cut()[2] == ("c\nd\ne", 2, 1)
+    assert cut(moved=False)[1] == (f"a\n{z}\nb", 2, 0)
 
 
 def test_line_dedup_deletes_from_the_later_document(spark):
@@ -213,14 +269,3 @@ def test_line_dedup_finds_repeated_moved_and_short_lines(spark):
     ]
     rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, ["\n".join(t) for t in texts])).collect()}
     assert [rows[k]["text"].split("\n") for k in range(5)] == [texts[0], ["second opening", "second middle", "second end"], texts[2], ["fourth opening", "fourth middle", "fourth end"], ["fifth opening", "fifth end", *verse[:2]]]
-
-
-@pytest.mark.parametrize("seed", [12, 13])
-def test_held_runs_equal_brute_force(seed):
-    rng = random.Random(seed)
-    for _ in range(200):
-        a, b = ([rng.randrange(4) for _ in range(rng.randrange(25))] for _ in range(2))
-        have = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
-        runs = [(i, j) for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in have]
-        longest = {r for r in runs if (r[0] - 1, r[1]) not in runs and (r[0], r[1] + 1) not in runs}
-        assert set(line_dedup.held_runs(a, b)) == longest
