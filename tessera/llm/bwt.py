@@ -5,13 +5,18 @@ transform comes from sorting its own suffixes. Shards are merged without sorting
 McMillan, 2014): an interleave says which shard each row of the merged transform comes from. Reading the
 transforms in the order of one interleave and dealing rows out by symbol, stably, gives the interleave that
 is right for one more symbol. Blocks of rows that agree on the symbols so far are refined alongside; the
-round in which a boundary appears is the common prefix with the row before, plus one.
+round in which a boundary appears is the common prefix with the row before, plus one. Once most rows stand alone
+in their blocks they are settled, and further rounds refine the others only: a block parts where the blocks of its
+rows' successors, one symbol on, differ.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Dealing all rows out ends when no more than one in SETTLED shares its block.
+SETTLED = 3
+
 
 def shard(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Transform (uint8) and the rows' places in the concatenation of the terminated strings.
@@ -67,7 +72,9 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     prefix[0] = 0
     edge = np.empty(n, bool)
     edge[:ended] = True
-    for h in range(1, depth + 1):
+    h = 0
+    while h < depth:
+        h += 1
         c = symbols[rows]
         dealt = np.argsort(c, kind="stable")[ended:]
         rows = np.concatenate([heads, first[rows[dealt]]])
@@ -76,14 +83,43 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         edge[ended + 1 :] = (c[1:] != c[:-1]) | (old[1:] != old[:-1])
         prefix[edge & (prefix < 0)] = h - 1
         block = np.cumsum(edge, dtype=np.int32)
-        if block[-1] == n:
+        alone = np.count_nonzero(edge[:-1] & edge[1:])
+        if alone * SETTLED > n * (SETTLED - 1):
             break
+    if h < depth:
+        _settle(rows, prefix, edge, first, symbols, h, depth)
     prefix[prefix < 0] = depth
     return rows, prefix
 
 
-def repeats(strings: list[bytes], depth: int, shard_bytes: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """String, offset and group of each suffix that shares its first `depth` bytes with another one."""
+def _settle(rows: np.ndarray, prefix: np.ndarray, edge: np.ndarray, first: np.ndarray, symbols: np.ndarray, h: int, depth: int) -> None:
+    """Goes on from round h with the blocks of several rows only; rows and prefix are brought up to date in place."""
+    n = len(rows)
+    after = np.zeros(n, np.int32)
+    inner = np.flatnonzero(symbols)
+    after[first[inner]] = inner  # the row of the suffix one symbol on
+    starts = np.flatnonzero(edge)
+    head = np.repeat(starts, np.diff(np.append(starts, n)))  # of each place, where its block starts
+    of_row = np.empty(n, np.int64)
+    of_row[rows] = head
+    some = np.flatnonzero(~(edge & np.append(edge[1:], True)))
+    while len(some) and h < depth:
+        h += 1
+        ahead = of_row[after[rows[some]]]
+        key = head[some] << 32 | ahead
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rows[some] = rows[some][order]
+        new = np.append(True, key[1:] != key[:-1])
+        old = np.append(True, head[some][1:] != head[some][:-1])
+        prefix[some[new & ~old]] = h - 1
+        head[some] = np.maximum.accumulate(np.where(new, some, 0))
+        of_row[rows[some]] = head[some]
+        some = some[~(new & np.append(new[1:], True))]
+
+
+def repeats(strings: list[bytes], depth: int, weights: np.ndarray | None = None, shard_bytes: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, offset and group of each suffix whose first `depth` bytes occur more than once; a string occurs as often as its weight says."""
     parts, lot, size = [], [], 0
     for s in strings:
         lot.append(s)
@@ -102,9 +138,13 @@ def repeats(strings: list[bytes], depth: int, shard_bytes: int = 1 << 15) -> tup
     rows, prefix = merge(transforms, depth)
     place = np.concatenate(places)[rows]
     group = np.cumsum(prefix < depth)
-    size = np.bincount(group)
-    keep = size[group] > 1
+    length = np.array([len(s) + 1 for s in strings])
+    first = np.cumsum(length) - length
+    # places that a whole window starts at; what is shorter shares no window
+    left = np.repeat(first + length, length) - np.arange(base)
+    which = np.repeat(np.arange(len(strings)), length)
+    size = np.bincount(group, weights=None if weights is None else weights[which[place]])
+    keep = (size[group] > 1) & (left[place] > depth)
     place, group = place[keep], group[keep]
-    first = np.cumsum([0, *(len(s) + 1 for s in strings)])
-    which = np.searchsorted(first, place, side="right") - 1
+    which = which[place]
     return which, place - first[which], group

@@ -5,7 +5,9 @@ doc_id, or further ahead in the same document). superkmers.py brings the strings
 each bucket builds the transforms of its shards, merges them by interleave refinement, and reads the
 repeated intervals, those of rows with a common prefix of at least `width`, off the merged transform.
 
-A copy of a super-k-mer whose content started earlier goes whole, without a look at its bytes.
+Copies of one super-k-mer (equal minimisers and 64-bit fingerprints of their contents) enter the transform as one
+string that counts as often as it occurs; what the transform finds repeated in it holds for each copy, and for the
+first one where an earlier string of the bucket holds the window.
 
 Defined results: null text is empty; texts shorter than width lose nothing; rows that repeat a doc_id count
 as one document, and what they hold at the same place starts once; a null doc_id comes before all others; an empty table gives an empty result; other columns are ignored.
@@ -56,6 +58,7 @@ def trimmed(pdf: pd.DataFrame, width: int, gram: int) -> tuple[list[bytes], np.n
     size = pdf["string"].map(len).to_numpy()
     first, k = np.cumsum(size) - size, size - width + 1
     spot, mh = pdf["spot"].to_numpy().astype(np.int64), pdf["mh"].to_numpy().view(np.uint64)
+    often = pdf["copies"].to_numpy() > 1
     up, down = _powers(1 << max(12, len(data).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
@@ -69,7 +72,7 @@ def trimmed(pdf: pd.DataFrame, width: int, gram: int) -> tuple[list[bytes], np.n
         e = s + a - b + width
         core = mix((total[e] - total[s]) * down[s] + mix(mh[some]))
         _, same, n = np.unique(core, return_inverse=True, return_counts=True)
-        some = some[n[same] > 1]
+        some = some[(n[same] > 1) | often[some]]
         which.append(some)
         lo.append(np.maximum(0, spot[some] - b))
         hi.append(np.minimum(k[some], spot[some] - a + 1))
@@ -86,30 +89,33 @@ def trimmed(pdf: pd.DataFrame, width: int, gram: int) -> tuple[list[bytes], np.n
 
 
 def _bucket(width: int, gram: int, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows of each class's first copy that start earlier elsewhere: one row for each string that has any."""
-    strings = pdf["string"].tolist()
+    """Repeated windows of each string of the bucket: runs that go from all copies, and those (first) that go from the first copy."""
+    pdf = pdf.reset_index(drop=True)
     parts, string, place = trimmed(pdf, width, gram)
-    which, off, group = bwt.repeats(parts, width) if parts else (np.empty(0, np.int64),) * 3
-    which, off = (string[which], off + place[which]) if parts else (which, off)
+    names = ["mh", "ch", "s", "e", "first"]
+    if not parts:
+        return pd.DataFrame([], columns=names)
+    copies = pdf["copies"].to_numpy()
+    which, off, group = bwt.repeats(parts, width, copies[string])
+    which, off = string[which], off + place[which]
     where = pdf["start"].to_numpy()[which] + off
-    rid = pdf["rid"].to_numpy()[which]
-    order = np.lexsort((where, rid, group))
-    later = np.ones(len(order), bool)
-    g = group[order]
-    later[0:1] = False
-    later[1:] = g[1:] == g[:-1]
-    which, off = which[order][later], off[order][later]
-    rows = []
+    order = np.lexsort((where, pdf["rid"].to_numpy()[which], group))
+    later = np.zeros(len(order), bool)
+    later[order[1:]] = group[order[1:]] == group[order[:-1]]
     mh, ch, base = pdf["mh"].to_numpy(), pdf["ch"].to_numpy(), pdf["off"].to_numpy()
-    by = np.argsort(which, kind="stable")
-    which, off = which[by], off[by]
-    for i, part in zip(*np.unique(which, return_index=True), strict=True):
-        at = off[part : np.searchsorted(which, i, side="right")]
-        mask = np.zeros(len(strings[i]), bool)
-        mask[at] = True
-        for r in superkmers.ranges(mask, width):
-            rows.append((mh[i], ch[i], r["s"] + base[i], r["e"] + base[i]))
-    return pd.DataFrame(rows, columns=["mh", "ch", "s", "e"])
+    rows = []
+    for first, keep in ((False, copies[which] > 1), (True, later)):
+        # windows by string and place, cut into runs that overlap
+        w, o = which[keep], off[keep]
+        by = np.lexsort((o, w))
+        w, o = w[by], o[by]
+        if not len(w):
+            continue
+        head = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (o[1:] - o[:-1] > width)))
+        tail = np.append(head[1:], len(w)) - 1
+        i = w[head]
+        rows.append(pd.DataFrame({"mh": mh[i], "ch": ch[i], "s": o[head] + base[i], "e": o[tail] + width + base[i], "first": first}))
+    return pd.concat(rows) if rows else pd.DataFrame([], columns=names)
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -118,14 +124,14 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     marks = superkmers.marked(docs, _units, width, gram)
     found = superkmers.survivors(marks)
     kinds = superkmers.classes(found)
-    rows = superkmers.strings(docs, marks, kinds.filter("contents > 1"), _cut, width, 1)
-    inner = common.written(rows.groupBy("bucket").applyInPandas(_by_bucket(width, gram), "mh long, ch long, s long, e long"))
+    rows = superkmers.strings(docs, marks, kinds.filter("contents > 1 OR copies > 1"), _cut, width, 1)
+    inner = common.written(rows.groupBy("bucket").applyInPandas(_by_bucket(width, gram), "mh long, ch long, s long, e long, first boolean"))
     common.released(docs.sparkSession)
-    start, k, _ = superkmers.places()
-    # all copies but the first go whole
-    copies = found.join(kinds.filter("copies > 1").select("mh", "ch", F.col("first.rid").alias("rid0"), F.col("first.start").alias("start0")), ["mh", "ch"])
-    copies = copies.filter((F.col("rid") != F.col("rid0")) | (start != F.col("start0"))).select("uid", start.alias("s"), (start + k + width - 1).alias("e"))
-    firsts = inner.join(kinds.select("mh", "ch", "first"), ["mh", "ch"]).select(F.col("first.uid").alias("uid"), (F.col("s") + F.col("first.start")).alias("s"), (F.col("e") + F.col("first.start")).alias("e"))
+    start, _, _ = superkmers.places()
+    many = kinds.filter("copies > 1").select("mh", "ch", F.col("first.rid").alias("rid0"), F.col("first.start").alias("start0"))
+    others = found.join(many.join(inner.filter("NOT first"), ["mh", "ch"]), ["mh", "ch"]).filter((F.col("rid") != F.col("rid0")) | (start != F.col("start0")))
+    copies = others.select("uid", (F.col("s") + start).alias("s"), (F.col("e") + start).alias("e"))
+    firsts = inner.filter("first").join(kinds.select("mh", "ch", "first.uid", "first.start"), ["mh", "ch"]).select("uid", (F.col("s") + F.col("start")).alias("s"), (F.col("e") + F.col("start")).alias("e"))
 
     def keep(text: str | None, spans: list) -> tuple[int, int, str]:
         data = np.frombuffer(_data(text), np.uint8)

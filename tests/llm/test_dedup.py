@@ -4,9 +4,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tessera.llm import line_dedup, ngram_join, substring_dedup, suffix_dedup
+from tessera.llm import bwt, line_dedup, ngram_join, substring_dedup, suffix_dedup
 
 SCHEMA = "text string, doc_id long, lang string, mh long, rid string, n int"
 
@@ -269,3 +270,29 @@ def test_line_dedup_finds_repeated_moved_and_short_lines(spark):
     ]
     rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, ["\n".join(t) for t in texts])).collect()}
     assert [rows[k]["text"].split("\n") for k in range(5)] == [texts[0], ["second opening", "second middle", "second end"], texts[2], ["fourth opening", "fourth middle", "fourth end"], ["fifth opening", "fifth end", *verse[:2]]]
+
+
+@pytest.mark.parametrize("settled", [1, 3, 1 << 30])
+def test_merged_transforms_find_every_repeat(monkeypatch, settled):
+    monkeypatch.setattr(bwt, "SETTLED", settled)
+    rng = random.Random(settled)
+    for _ in range(150):
+        letters, width = rng.choice([2, 4, 26]), rng.randint(1, 9)
+        strings = [bytes(rng.randrange(97, 97 + letters) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 12))]
+        strings += strings[: rng.randint(0, 2)]
+        weights = np.array([rng.randint(1, 2) for _ in strings])
+        which, off, group = bwt.repeats(strings, width, weights, shard_bytes=rng.choice([1, 30, 1000]))
+        count = Counter()
+        for s, w in zip(strings, weights, strict=True):
+            for i in range(len(s) - width + 1):
+                count[s[i : i + width]] += int(w)
+        want = {(i, j) for i, s in enumerate(strings) for j in range(len(s) - width + 1) if count[s[j : j + width]] > 1}
+        got = list(zip(which.tolist(), off.tolist(), strict=True))
+        assert len(got) == len(want) and set(got) == want
+        named = {(g, strings[i][j : j + width]) for (i, j), g in zip(got, group.tolist(), strict=True)}
+        assert len(named) == len({g for g, _ in named}) == len({w for _, w in named})
+
+
+def test_suffix_dedup_rests_on_the_transforms(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_by_bucket", lambda width, gram: lambda pdf: suffix_dedup.pd.DataFrame([], columns=["mh", "ch", "s", "e", "first"]))
+    assert sum(r["n_removed"] for r in suffix_dedup.repeated_bytes(frame(spark, prose(3))).collect()) == 0
