@@ -12,6 +12,7 @@ classes go to the first in alphabetical order; columns other than doc_id, text a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,17 +32,27 @@ REJECT = 0.001
 CHUNK = 1 << 18
 
 
-def gram_ids(data: bytes) -> np.ndarray:
-    """Bucket of each byte n-gram of the lower-cased text between two spaces."""
-    b = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint32)
-    out = []
-    for n in GRAMS:
-        if len(b) >= n:
-            h = np.full(len(b) - n + 1, 2166136261 + n, np.uint32)
-            for k in range(n):
-                h = (h ^ b[k : len(b) - n + 1 + k]) * np.uint32(16777619)
-            out.append((h ^ (h >> np.uint32(15))) % np.uint32(BUCKETS))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+def gram_ids(data: bytes) -> Iterator[np.ndarray]:
+    """Buckets of the byte n-grams of the lower-cased text between two spaces, CHUNK places at a time."""
+    whole = np.frombuffer(b" " + data + b" ", np.uint8)
+    for at in range(0, len(whole), CHUNK):
+        b = whole[at : at + CHUNK + max(GRAMS) - 1].astype(np.uint32)
+        for n in GRAMS:
+            m = min(CHUNK, len(b) - n + 1)
+            if m > 0:
+                h = np.full(m, 2166136261 + n, np.uint32)
+                for k in range(n):
+                    h = (h ^ b[k : m + k]) * np.uint32(16777619)
+                yield (h ^ (h >> np.uint32(15))) % np.uint32(BUCKETS)
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's buckets and the share of each."""
+    total = np.zeros(BUCKETS, np.int64)
+    for ids in gram_ids(text.lower().encode("utf-8", "replace")):
+        total += np.bincount(ids, minlength=BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids, (total[ids] / max(total.sum(), 1)).astype(np.float32)
 
 
 @dataclass
@@ -53,10 +64,8 @@ class Model:
     threshold: float = 0.0
 
     def logits(self, text: str) -> np.ndarray:
-        data = text.lower().encode("utf-8", "replace")
         total, n = np.zeros(len(self.classes)), 0
-        for at in range(0, len(data), CHUNK):
-            ids = gram_ids(data[at : at + CHUNK])
+        for ids in gram_ids(text.lower().encode("utf-8", "replace")):
             total += self.scores[ids].sum(axis=0, dtype=np.float64)
             n += len(ids)
         return total / max(n, 1) + self.bias
@@ -68,20 +77,10 @@ class Model:
         return self.classes[k], float(p[k] / p.sum())
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 7) -> Model | None:
-    classes = sorted(set(labels))
-    if not classes:
-        return None
-    y = np.array([classes.index(x) for x in labels])
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    held, fit = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 20 else (order, order)
-    bags = []
-    for t in texts:
-        ids, counts = np.unique(gram_ids(t.lower().encode("utf-8", "replace")), return_counts=True)
-        bags.append((ids, (counts / max(counts.sum(), 1)).astype(np.float32)))
+def descend(bags: list, y: np.ndarray, classes: int, fit: np.ndarray, rng: np.random.Generator, epochs: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embedding, layer and bias after stochastic gradient descent over the rows `fit`."""
     embed = rng.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32)
-    layer, bias = np.zeros((DIMS, len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    layer, bias = np.zeros((DIMS, classes), np.float32), np.zeros(classes, np.float32)
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         for i in rng.permutation(fit):
@@ -98,6 +97,18 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
             bias -= step * 0.1 * p
             # a bucket's share of a long text is small, so its own step is scaled up to its size
             embed[ids] -= (step * np.sqrt(len(ids)) * share)[:, None] * down
+    return embed, layer, bias
+
+
+def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 7) -> Model | None:
+    classes = sorted(set(labels))
+    if not classes:
+        return None
+    y = np.array([classes.index(x) for x in labels])
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(y))
+    held, fit = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 20 else (order, order)
+    embed, layer, bias = descend([bag(t) for t in texts], y, len(classes), fit, rng, epochs, rate)
     model = Model(classes, embed @ layer, bias.astype(np.float64))
     z = np.array([model.logits(texts[i]) for i in held])
     best = min(np.geomspace(0.05, 5, 40), key=lambda t: _loss(z / t, y[held]))
@@ -129,7 +140,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs with lang_pred, score and accepted; the texts stay where the batches are."""
+    """Columns `keep` of docs, but for those named like a result, with lang_pred, score and accepted; the texts stay where the batches are."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "accepted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(text: list, letters: list) -> list[list]:
@@ -151,6 +163,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model rejects go."""
-    names = docs.columns
-    return predict(docs.select(*names), fit(docs), names).filter("accepted").select(*names)
+    """Documents whose language the model rejects go: those without a letter (null and empty ones too) and those whose score is under the threshold.
+
+    Without any labelled row nothing is known and nothing is rejected. Repeated rows are kept or go each.
+    """
+    names, model = docs.columns, fit(docs)
+    if model is None:
+        return docs
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    return predict(docs.select(row, "text"), model, ["row"]).filter("accepted").select("row.*")

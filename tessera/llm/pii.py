@@ -1,23 +1,29 @@
 """Format-preserving pseudonyms for personal data: keyed Feistel permutations within each value's format.
 
 A value that passes its check (Luhn, mod 97, calendar, ranges) is read as a number in the mixed radix of
-its own format, permuted below that format's size by a Feistel network with cycle walking, and written
-back in the same format. The permutation depends on the key and the format alone, so equal values get
-equal pseudonyms in every document, and different values of a format never meet.
+its own written format, permuted below that format's size by a Feistel network with cycle walking, and
+written back in the same format. The permutation depends on the key and the format alone, and each is a
+bijection of the format's valid values: equal values get equal pseudonyms in every document, and different
+values of a format never meet.
 
-Kinds: card (Luhn, check digit recomputed), iban (mod 97, check digits recomputed), phone, ssn, ip, date
-(ISO and d/m/y, calendar days of 1900-2099), email (local part), secret (AKIA..., ghp_..., sk-..., and what is
-assigned to a token, key or password).
+Kinds: card (Luhn, check digit recomputed), iban (mod 97, check digits recomputed), phone, ssn, ip (v4 and
+v6), date (ISO, and d/m/y or m/d/y with one or two digits each; calendar days of 1900-2099), email (local
+part, and the domain up to its last label), secret (AKIA..., ghp_..., sk-..., and what is assigned to a
+token, key or password). A date's format is its separators, its digits, and in which orders it can be read.
 
 Defined results: null text stays null with no values, empty text stays empty; repeated rows are rewritten
-alike; other columns are untouched. A text is scanned whole, whatever its length.
+alike; other columns are untouched, but for those named like a count. A text is scanned whole, whatever its
+length. There is no key of its own: one is passed, or named in the session's KEY_SETTING.
 """
 
 from __future__ import annotations
 
+import bisect
+import calendar
 import datetime
 import functools
 import hashlib
+import ipaddress
 import re
 import string
 
@@ -26,7 +32,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEY = b"tessera pseudonym key; a deployment passes its own"
+KEY_SETTING = "spark.tessera.pii.key"
+#: For the test tables, which name nobody; a deployment sets its own.
+TABLES_KEY = b"a key for made-up people"
 ROUNDS = 8
 KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email", "secret")
 ALPHABETS = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
@@ -41,6 +49,7 @@ NUMBERS = re.compile(
     r"|(?P<secret>AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})"
     r"|(?P<assigned>(?i:token|secret|password|passwd|api_?key)[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9_/+-]{16,128})"
     r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
+    r"|(?P<ip6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})"
     r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<phone>\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}|\+\d{10,14}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})"
@@ -143,7 +152,7 @@ def _iban_number(body: str, head: str) -> int:
 def iban(text: str, key: bytes) -> str | None:
     chars = text.replace(" ", "")
     country, body = chars[:2], chars[4:]
-    if not 15 <= len(chars) <= 34 or _iban_number(body, chars[:4]) % 97 != 1:
+    if not 15 <= len(chars) <= 34 or not 2 <= int(chars[2:4]) <= 98 or _iban_number(body, chars[:4]) % 97 != 1:
         return None
     body = permuted(body, key, f"iban{country}")
     return _refill(text, f"{country}{98 - _iban_number(body, country + '00') % 97:02d}{body}")
@@ -154,8 +163,9 @@ def phone(text: str, key: bytes) -> str | None:
     head, rest = (plus[0], text[plus.end() :]) if plus else ("+", text[1:]) if text[0] == "+" else ("", text)
     if not 7 <= len(_digits(rest)) <= 14:
         return None
-    valid = lambda t: next(c for c in t if c.isdigit()) not in "01" or next(c for c in rest if c.isdigit()) in "01"
-    return head + walked(rest, valid, lambda t: permuted(t, key, f"phone{head}"))
+    low = lambda t: next(c for c in t if c.isdigit()) in "01"
+    # numbers that begin with 0 or 1 are permuted among themselves, and so are the others
+    return head + walked(rest, lambda t: low(t) == low(rest), lambda t: permuted(t, key, f"phone{head}"))
 
 
 def ssn(text: str, key: bytes) -> str | None:
@@ -174,26 +184,58 @@ def ip(text: str, key: bytes) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-def date(text: str, key: bytes) -> str | None:
-    iso = "-" in text
-    y, m, d = map(int, text.split("-") if iso else reversed(text.split("/")))
+def ip6(text: str, key: bytes) -> str | None:
+    """Hex digits are permuted where they stand. Words that could be an address without a digit or with two groups are none."""
     try:
-        day = datetime.date(y, m, d)
+        ipaddress.IPv6Address(text)
     except ValueError:
-        if iso:
-            return None
-        try:  # month first
-            day, iso = datetime.date(y, d, m), None
+        return None
+    if not any(c.isdigit() for c in text) or sum(map(bool, text.split(":"))) < 3:
+        return None
+    if text != text.lower() and text != text.upper():
+        return None
+    hexes = HEX if text == text.lower() else HEX.upper()
+    return permuted(text, key, "ip6", (hexes,))
+
+
+@functools.cache
+def _calendar(wide: tuple[int, int], readings: int) -> tuple[dict[bool, list[tuple[int, int]]], list[int]]:
+    """Of slashed dates with so many digits, those that can be read day first (1), month first (2) or both ways (3): by leap year, and how many there are before each year."""
+    def ways(a: int, b: int, leap: bool) -> int:
+        days = (31, 28 + leap, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+        return (b <= 12 and a <= days[b - 1]) + 2 * (a <= 12 and b <= days[a - 1])
+
+    span = [range(1, 10) if w == 1 else range(1, 32) for w in wide]
+    pairs = {leap: [(a, b) for a in span[0] for b in span[1] if ways(a, b, leap) == readings] for leap in (False, True)}
+    before = [0]
+    for y in range(FIRST_DAY.year, LAST_DAY.year + 1):
+        before.append(before[-1] + len(pairs[calendar.isleap(y)]))
+    return pairs, before
+
+
+def date(text: str, key: bytes) -> str | None:
+    if "-" in text:
+        try:
+            day = datetime.date(*map(int, text.split("-")))
         except ValueError:
             return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+        if not FIRST_DAY <= day <= LAST_DAY:
+            return None
+        n = (LAST_DAY - FIRST_DAY).days + 1
+        return (FIRST_DAY + datetime.timedelta(feistel((day - FIRST_DAY).days, n, key, "date iso"))).isoformat()
+    left, right, year = text.split("/")
+    wide, pair, y = (len(left), len(right)), (int(left), int(right)), int(year)
+    if not FIRST_DAY.year <= y <= LAST_DAY.year:
         return None
-    n = (LAST_DAY - FIRST_DAY).days + 1
-    # A short form (one-digit day or month) may become a longer one; the written form is the format that stays.
-    new = FIRST_DAY + datetime.timedelta(feistel((day - FIRST_DAY).days, n, key, f"date{iso}"))
-    if iso:
-        return new.isoformat()
-    return f"{new.day:02d}/{new.month:02d}/{new.year}" if iso is False else f"{new.month:02d}/{new.day:02d}/{new.year}"
+    for readings in (3, 1, 2):
+        pairs, before = _calendar(wide, readings)
+        if pair not in pairs[calendar.isleap(y)]:
+            continue
+        n = feistel(before[y - FIRST_DAY.year] + pairs[calendar.isleap(y)].index(pair), before[-1], key, f"date {wide} {readings}")
+        k = bisect.bisect_right(before, n) - 1
+        a, b = pairs[calendar.isleap(FIRST_DAY.year + k)][n - before[k]]
+        return f"{a:0{wide[0]}d}/{b:0{wide[1]}d}/{FIRST_DAY.year + k}"
+    return None
 
 
 def secret(text: str, key: bytes) -> str:
@@ -204,15 +246,27 @@ def secret(text: str, key: bytes) -> str:
 def assigned(text: str, key: bytes) -> str:
     """A secret by what it is assigned to: the value changes, hex within hex."""
     value = re.search(r"[A-Za-z0-9_/+-]+$", text)[0]
-    hexes = (HEX,) if re.fullmatch("[0-9a-f]+", value) else ALPHABETS
-    return text[: -len(value)] + permuted(value, key, "assigned", hexes)
+    is_hex = lambda t: all(c in HEX for c in t)
+    if is_hex(value):
+        return text[: -len(value)] + permuted(value, key, "assigned", (HEX,))
+    return text[: -len(value)] + walked(value, lambda t: not is_hex(t), lambda t: permuted(t, key, "assigned"))
 
 
-CHANGE = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "date": date, "secret": secret, "assigned": assigned}
+def domain(text: str, key: bytes) -> str:
+    """All but the last label, whoever's mail it is."""
+    head, dot, last = text.rpartition(".")
+    return permuted(head, key, "domain") + dot + last
+
+
+CHANGE = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "ip6": ip6, "date": date, "secret": secret, "assigned": assigned, "domain": domain}
+#: What some patterns count as.
+COUNTED = {"assigned": "secret", "ip6": "ip"}
 
 
 class Pseudonymizer:
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.key = key
         self.known = functools.lru_cache(1 << 14)(self._new)
 
@@ -232,7 +286,7 @@ class Pseudonymizer:
                 if new is None:
                     look = GROUP.match(part, m.start()).end()
                     continue
-                kind = "secret" if m.lastgroup == "assigned" else m.lastgroup
+                kind = COUNTED.get(m.lastgroup, m.lastgroup)
                 counts[kind] = counts.get(kind, 0) + 1
                 out += [part[at : m.start()], new]
                 at = look = m.start() + len(value)
@@ -244,7 +298,7 @@ class Pseudonymizer:
         while look >= 0:
             local, domain = LOCAL.search(text, max(at, look - 64), look), DOMAIN.match(text, look + 1)
             if local and domain and any(c.isalnum() for c in local[0]):
-                out += [put(text[at : local.start()]), self.known("email", local[0]), text[look : domain.end()]]
+                out += [put(text[at : local.start()]), self.known("email", local[0]), "@", self.known("domain", domain[0])]
                 counts["email"] = counts.get("email", 0) + 1
                 at = domain.end()
             look = text.find("@", look + 1)
@@ -252,7 +306,7 @@ class Pseudonymizer:
         return "".join(out), counts
 
 
-def pseudonymize(docs: DataFrame, keep: list[str] | None = None, key: bytes = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (all by default) with text rewritten, and n_pii and a count for each kind found."""
     keep = keep or docs.columns
 
@@ -271,12 +325,17 @@ def _shared(key: bytes) -> Pseudonymizer:
     return Pseudonymizer(key)
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, or the test tables' key."""
+    return (spark.conf.get(KEY_SETTING, None) or "").encode() or TABLES_KEY
+
+
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(common.table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with pseudonyms in place of the values found."""
+    """Every document stays, with pseudonyms in place of the values found; null and empty texts and repeated rows as they are."""
     names = docs.columns
-    out = pseudonymize(docs.select("doc_id", "text", *(c for c in names if c not in ("doc_id", "text"))))
+    out = pseudonymize(docs.select("doc_id", "text", *(c for c in names if c not in ("doc_id", "text"))), session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*names)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import langid, packing, pii, sentencepiece_nbest
 
@@ -74,6 +75,50 @@ def test_language_id_learns_and_rejects(spark):
     assert {r["lang_pred"] for r in langid.language_id(docs.withColumn("lang", docs["lang"].substr(9, 1)).filter("doc_id < 0").unionByName(spark.createDataFrame([(1, "abc", None)], docs.schema))).collect()} == {"und"}
 
 
+def test_folded_scores_equal_the_embedding_and_its_softmax(monkeypatch):
+    """One row of scores for each bucket against means of embeddings, a layer and a softmax, whatever the chunks."""
+    rng, made = random.Random(2), {}
+    real = langid.descend
+    monkeypatch.setattr(langid, "descend", lambda *a: made.setdefault("parts", real(*a)))
+    words = {"aa": ["ala", "bola", "cora"], "bb": ["ünk", "ströt", "plüm"], "cc": ["xi", "yo", "zu"]}
+    labels = [rng.choice(list(words)) for _ in range(90)]
+    texts = [" ".join(rng.choice(words[x]) for _ in range(rng.randint(1, 30))) for x in labels]
+    model = langid.train(texts, labels)
+    embed, layer, bias = made["parts"]
+    for t in [*texts[:20], "", "a", "é" * 700, "ala ünk " * 90]:
+        data = b" " + t.lower().encode() + b" "
+        grams = []
+        for n in langid.GRAMS:
+            for i in range(len(data) - n + 1):
+                h = 2166136261 + n
+                for c in data[i : i + n]:
+                    h = (h ^ c) * 16777619 & 0xFFFF_FFFF
+                grams.append((h ^ h >> 15) % langid.BUCKETS)
+        z = (embed[grams].mean(axis=0) if grams else 0) @ layer + bias if grams else bias
+        z = z.astype(float) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        for chunk in (3, 7, 1 << 18):
+            monkeypatch.setattr(langid, "CHUNK", chunk)
+            got, score = model.predict(t)
+            assert got == model.classes[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
+def test_language_id_of_odd_tables(spark):
+    """Clashing names, repeated rows, ties, and tables with no rows or no labels."""
+    rows = [("une phrase", 1, "fr", 9.0), ("une phrase", 1, "fr", 9.0), ("a phrase", 2, "en", 1.0), ("...", 3, None, 0.0), (None, 4, "fr", 0.0), ("", None, None, 0.0)]
+    docs = spark.createDataFrame(rows, "text string, doc_id long, lang string, score double")
+    got = langid.language_id(docs, keep=["doc_id", "score"]).collect()
+    assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
+    assert [r["lang_pred"] for r in got if r["doc_id"] in (3, 4, None)] == ["und"] * 3
+    assert len({tuple(r) for r in got if r["doc_id"] == 1}) == 1
+    assert langid.language_id(docs.limit(0)).count() == 0
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in langid.language_id(bare).collect()} == {"und"}
+    assert langid.language_stage(spark, bare, "").count() == 6
+    kept = langid.language_stage(spark, docs, "")
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} <= {1, 2}
+
+
 @pytest.mark.parametrize("size", [2, 3, 10, 97, 73049, 10**15])
 def test_feistel_is_a_permutation(size):
     some = range(size) if size < 1000 else random.Random(3).sample(range(size), 500)
@@ -120,8 +165,54 @@ def test_cards_are_told_from_digits_beside_them():
     assert counts == {"card": 1} and "1111 1111 1111 1111" not in new
 
 
+def test_different_values_never_meet():
+    """All days of some years in every written form, each within its form; and what else is checked by more than its pattern."""
+    day = datetime.date(1996, 1, 1)
+    forms = set()
+    while day.year < 2005:
+        d, m, y = day.day, day.month, day.year
+        forms |= {day.isoformat(), f"{d}/{m}/{y}", f"{d:02d}/{m:02d}/{y}", f"{m}/{d}/{y}", f"{m:02d}/{d:02d}/{y}", f"{d:02d}/{m}/{y}", f"{m:02d}/{d}/{y}"}
+        day += datetime.timedelta(1)
+    new = {t: pii.date(t, b"key") for t in forms}
+    assert len(set(new.values())) == len(forms) and None not in new.values()
+    shape = lambda t: re.sub(r"\d", "0", t)
+    assert all(shape(a) == shape(b) for a, b in new.items())
+    for a, b in new.items():
+        x, y = a.split("/")[:2] if "/" in a else (1, 1), b.split("/")[:2] if "/" in b else (1, 1)
+        assert [int(k) > 12 for k in x] == [int(k) > 12 for k in y]
+    for year in ("1899", "2100"):
+        assert pii.date(f"1/2/{year}", b"key") is None and pii.date(f"{year}-02-01", b"key") is None
+    assert pii.date("29/02/2001", b"key") is None and pii.date("31/04/2000", b"key") is None
+    phones = [f"({a}{b:02d}) 555-01{c:02d}" for a in "0129" for b in range(30) for c in range(10)]
+    assert len({pii.phone(t, b"key") for t in phones}) == len(phones)
+    ssn = [f"{a:03d}-{b:02d}-0001" for a in range(1, 60) for b in range(1, 30)]
+    assert len({pii.ssn(t, b"key") for t in ssn}) == len(ssn)
+    secrets = [f"token={v}" for v in ("0123456789abcdef", "0123456789abcdeg", "0123456789ABCDEF", "0123456789abcdeg"[::-1])]
+    assert len({pii.assigned(t, b"key") for t in secrets}) == 4
+    ibans = [f"DE{98 - pii._iban_number(str(n), 'DE00') % 97:02d}{n}" for n in range(370400440532013000, 370400440532013200)]
+    assert len({pii.iban(t, b"key") for t in ibans} - {None}) == 200
+    cards = [t for t in map(str, range(4111111111110000, 4111111111112000)) if pii.luhn(t)]
+    assert len({pii.card(t, b"key") for t in cards} - {None}) == len(cards)
+
+
+def test_addresses_and_domains():
+    p = pii.Pseudonymizer(b"key")
+    new, counts = p("from 2001:db8::ff00:42:8329 and 2001:0DB8:0000:0000:0000:FF00:0042:8329 to me@mail.example.org at 12:34:56, std::vec, a::b")
+    assert counts == {"ip": 2, "email": 1} and new.endswith(" at 12:34:56, std::vec, a::b")
+    assert "2001:db8" not in new and "example" not in new and new.split("@")[1].split()[0].endswith(".org")
+    with pytest.raises(ValueError):
+        pii.Pseudonymizer(b"")
+
+
+def test_pseudonyms_of_empty_tables_repeated_rows_and_clashing_names(spark):
+    rows = spark.createDataFrame([("card 4111111111111111", 1, 5)] * 2, "text string, doc_id long, n_card long")
+    got = pii.pseudonymize(rows, b"key").collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["n_card"] == got[0]["n_pii"] == 1 and got[0]["doc_id"] == 1
+    assert pii.pseudonymize(rows.limit(0), b"key").count() == 0
+
+
 def test_equal_values_stay_linked(spark):
-    rows = pii.pseudonymize(frame(spark, ["mail x.y@example.com now", "again x.y@example.com", None, "", "nothing here"])).collect()
+    rows = pii.pseudonymize(frame(spark, ["mail x.y@example.com now", "again x.y@example.com", None, "", "nothing here"]), b"key").collect()
     got = {r["doc_id"]: r for r in rows}
     mail = lambda t: re.search(r"\S+@\S+", t)[0]
     assert mail(got[0]["text"]) == mail(got[1]["text"]) != "x.y@example.com"
