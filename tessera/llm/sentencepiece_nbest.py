@@ -1,21 +1,26 @@
 """SentencePiece encoding and decoding by N-best segmentation over the piece lattice.
 
 Forward Viterbi gives the best score from the start to each place; read backward, that is the exact cost
-still to go, so an A* search from the end expands no path that isn't on one of the N best. Hypotheses leave
-the queue in the order of their scores.
+still to go. The segmentations, the best one included, come from an A* search backward from the end. As the
+heuristic is exact, a path that follows the best arcs loses nothing and needs no queue: the queue holds only the
+turns away from them, with what each loses, and is kept to the N cheapest. Every hypothesis that leaves it is
+one of the N best, in order.
 
 No piece of the model crosses from other characters into a space mark, so a text's lattice falls apart into
-words, each with its marks in front. The forward pass runs once over the distinct words of many texts, and
-gives each word's best segmentation and what its second best loses. In a text's N best only the N - 1 words
-with the least such losses can differ from their best; those are searched backward, and the cheapest
-combinations of their choices are the text's N best.
+words, each with its marks in front, and further wherever no piece holds the two characters next to each
+other. The forward pass runs once over the distinct words of many texts. The search over each gives its best
+segmentation and what its second best loses. In a text's N best only the N - 1 words with the least such losses
+can differ from their best; those are searched for their N best, and the cheapest combinations of their choices
+are the text's N best.
 
 Pieces score as the model has them. Characters without a piece fall back to byte pieces, at the penalty of
-UNKNOWN for each byte. Of equal segmentations the one with the longer last piece comes first.
+UNKNOWN for each byte. Of equal arcs the shorter piece comes first.
 
 Defined results: null text is null and encodes to nothing; empty text to an empty list, which decodes to
-empty text; repeated rows are encoded alike; other columns are ignored. Decoding gives the text back byte
-for byte: only the mark U+2581 itself, which the model can't tell from a space, goes through byte pieces.
+empty text; repeated rows are encoded alike; a word of any length is searched whole, in memory that grows with its
+length; other columns are ignored, but for those asked for, unless they are named like a result. Decoding gives the
+text back byte for byte: only the mark U+2581 itself, which the model can't tell from a space, goes through byte
+pieces.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ from __future__ import annotations
 import functools
 import heapq
 import zlib
+from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,10 +45,10 @@ LITERAL = "\ud800"
 N_BEST = 4
 #: Added to the lowest score of the model for a byte piece.
 UNKNOWN = -10.0
-#: Words kept by a worker with their segmentations.
-CACHE = 1 << 17
-#: Characters of one word that are searched at once. A longer word is cut there, at the same places always.
-LONGEST = 512
+#: Words that a worker keeps with their N best segmentations; words of up to SHORT characters that it keeps with their best.
+CACHE, KNOWN, SHORT = 1 << 15, 1 << 17, 16
+#: Words over so many characters are looked at for places that no piece crosses, and don't share the forward pass of others.
+LONG = 64
 #: Texts encoded together, whose distinct words are segmented once.
 LOT = 4096
 
@@ -66,7 +73,10 @@ class Lattice:
             for c in piece[:0:-1]:
                 node = node.setdefault(c, ({}, -1, 0.0))[0]
             node[piece[0]] = (node.get(piece[0], ({},))[0], i, more)
+        self.joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.n_best = functools.lru_cache(CACHE)(self._n_best)
+        self.known: dict[str, tuple[float, float, list[int]]] = {}
+        self.before: dict[str, tuple[float, float, list[int]]] = {}
 
     @classmethod
     def load(cls, path: str | None = None) -> Lattice:
@@ -84,16 +94,18 @@ class Lattice:
         low = min(s for _, s in pieces.values()) + UNKNOWN
         return cls({p: x for p, x in pieces.items() if MARK not in p.lstrip(MARK)}, [(i, low) for i, _ in bytes_])
 
-    def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, the arcs that end there: (start, score, ids), longest first."""
-        out: list[list] = [[] for _ in range(len(word) + 1)]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.widest), end):
-                piece = self.pieces.get(word[start:end])
-                if piece:
-                    out[end].append((start, piece[1], (piece[0],)))
-            if word[end - 1] not in self.pieces:
-                out[end].append(self.raw(word[end - 1], end))
+    def arcs(self, word: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """The arcs that end at a place: (start, score, ids), shortest first."""
+        out = [] if word[end - 1] in self.pieces else [self.raw(word[end - 1], end)]
+        node, start = self.reversed_, end - 1
+        while start >= 0:
+            found = node.get(word[start])
+            if found is None:
+                break
+            node, piece, more = found
+            if piece >= 0:
+                out.append((start, more, (piece,)))
+            start -= 1
         return out
 
     def raw(self, char: str, end: int) -> tuple[int, float, tuple[int, ...]]:
@@ -101,31 +113,73 @@ class Lattice:
         data = MARK.encode() if char == LITERAL else char.encode("utf-8", "replace")
         return end - 1, sum(self.bytes_[b][1] for b in data), tuple(self.bytes_[b][0] for b in data)
 
-    def _n_best(self, word: str, n: int) -> tuple[Best, ...]:
-        arcs = self.arcs(word)
-        best = [0.0] + [-np.inf] * len(word)
+    def scores(self, word: str) -> tuple[array, array]:
+        """Forward Viterbi over one word: the best score up to each place, and what the second best arc there loses."""
+        best, gap = array("d", [0.0]), array("d", [float("inf")])
         for end in range(1, len(word) + 1):
-            best[end] = max(best[start] + score for start, score, _ in arcs[end])
-        # an entry: (-(score so far + best score to the start), serial, place, score so far, (ids, tail))
-        queue, serial, out = [(-best[-1], 0, len(word), 0.0, None)], 0, []
+            two = heapq.nlargest(2, (best[start] + more for start, more, _ in self.arcs(word, end)))
+            best.append(two[0])
+            gap.append(two[0] - two[-1] if len(two) > 1 else float("inf"))
+        return best, gap
+
+    def search(self, word: str, best, n: int) -> list[Best]:
+        """The n best segmentations by backward A*. An entry of the queue is a turn: (loss of the whole, serial, place it leads to, ids from there to the end)."""
+        queue, serial, out, limit = [(0.0, 0, len(word), None)], 0, [], float("inf")
         while queue and len(out) < n:
-            _, _, place, score, path = heapq.heappop(queue)
-            if place == 0:
-                ids: list[int] = []
-                while path:
-                    ids += path[0]
-                    path = path[1]
-                out.append(Best(score, tuple(ids)))
-                continue
-            for start, more, ids in arcs[place]:
-                serial += 1
-                heapq.heappush(queue, (-(score + more + best[start]), serial, start, score + more, (ids, path)))
-        return tuple(out)
+            loss, _, place, path = heapq.heappop(queue)
+            while place:  # follow the best arcs, and note the turns away from them
+                arcs = self.arcs(word, place)
+                top, most = 0, float("-inf")
+                for k, (start, more, _) in enumerate(arcs):
+                    if best[start] + more > most:
+                        top, most = k, best[start] + more
+                for k, (start, more, ids) in enumerate(arcs):
+                    turn = loss + (most - best[start] - more)
+                    if k != top and turn <= limit:
+                        serial += 1
+                        heapq.heappush(queue, (turn, serial, start, (ids, path)))
+                if len(queue) > 8 * n:
+                    queue = heapq.nsmallest(n - len(out), queue)  # sorted, hence a heap
+                    limit = queue[-1][0]
+                place, path = arcs[top][0], (arcs[top][2], path)
+            ids = []
+            while path:
+                ids += path[0]
+                path = path[1]
+            out.append(Best(best[-1] - loss, tuple(ids)))
+        return out
+
+    def first(self, word: str, best, gap) -> tuple[list[int], float]:
+        """The same search for the best segmentation alone: ids, and the least loss of the turns, which is the second best's."""
+        root, pieces = self.reversed_, self.pieces
+        ids, second, place = [], float("inf"), len(word)
+        while place:
+            if gap[place] < second:
+                second = gap[place]
+            goal, node, start = best[place], root, place - 1
+            if word[start] not in pieces:
+                start, more, raw = self.raw(word[start], place)
+                if best[start] + more == goal:
+                    ids.extend(reversed(raw))
+                    place = start
+                    continue
+            while True:
+                node, piece, more = node[word[start]]
+                if piece >= 0 and best[start] + more == goal:
+                    break
+                start -= 1
+            ids.append(piece)
+            place = start
+        ids.reverse()
+        return ids, second
+
+    def _n_best(self, word: str, n: int) -> tuple[Best, ...]:
+        return tuple(self.search(word, self.scores(word)[0], n))
 
     def words(self, text: str) -> list[str]:
-        """The text's words with their marks in front."""
+        """The text's words with their marks in front; long ones are parted where no piece crosses."""
         parts = text.replace(MARK, LITERAL).split(" ")
-        if "" not in parts and max(map(len, parts)) < LONGEST:
+        if "" not in parts and max(map(len, parts)) < LONG:
             return [parts[0], *(MARK + p for p in parts[1:])]
         out, marks = [], 0
         for k, p in enumerate(parts):
@@ -133,27 +187,39 @@ class Lattice:
             if p or k == len(parts) - 1:
                 word = MARK * marks + p
                 marks = 0
-                out += [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+                at = 0
+                if len(word) > LONG:
+                    for i in range(1, len(word)):
+                        if word[i - 1 : i + 1] not in self.joined:
+                            out.append(word[at:i])
+                            at = i
+                if word:
+                    out.append(word[at:])
         return out
 
-    def forward(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Viterbi over many words: best score, loss of the second best, ids one after another, and where each word's ids end.
+    def forward(self, words: list[str]) -> Iterator[tuple[list[float], list[float]]]:
+        """Viterbi over many words: of each, the best score up to each place, and what the second best arc there loses.
 
-        words are sorted, so each goes on from the prefix that it shares with the one before.
+        words are sorted, so each goes on from the prefix that it shares with the one before; what is yielded holds until the next one.
         """
-        one, two, arc, before = [0.0], [-np.inf], [None], ""
-        score, loss, flat, ends = [], [], [], []
-        root, pieces, low = self.reversed_, self.pieces, -np.inf
+        one, gap, before, low = [0.0], [float("inf")], "", float("-inf")
+        root, pieces = self.reversed_, self.pieces
         for w in words:
+            if len(w) > LONG:
+                yield self.scores(w)
+                continue
             m = 0
             for x, y in zip(before, w, strict=False):
                 if x != y:
                     break
                 m += 1
-            del one[m + 1 :], two[m + 1 :], arc[m + 1 :]
+            del one[m + 1 :], gap[m + 1 :]
             for end in range(m, len(w)):
-                a = b = low
-                best, node, start = None, root, end
+                best = second = low
+                node, start = root, end
+                if w[end] not in pieces:
+                    _, more, _ = self.raw(w[end], end + 1)
+                    best = one[end] + more
                 while start >= 0:
                     found = node.get(w[start])
                     if found is None:
@@ -161,48 +227,45 @@ class Lattice:
                     node, piece, more = found
                     if piece >= 0:
                         v = one[start] + more
-                        if v >= a:
-                            a, b, best = v, a, (start, piece)
-                        elif v > b:
-                            b = v
-                        v = two[start] + more
-                        if v > b:
-                            b = v
+                        if v > best:
+                            best, second = v, best
+                        elif v > second:
+                            second = v
                     start -= 1
-                if w[end] not in pieces:
-                    start, more, ids = self.raw(w[end], end + 1)
-                    v = one[start] + more
-                    if v > a:
-                        a, b, best = v, a, (start, ids)
-                    elif v > b:
-                        b = v
-                    b = max(b, two[start] + more)
-                one.append(a)
-                two.append(b)
-                arc.append(best)
-            path, at = [], len(w)
-            while at:
-                at, ids = arc[at]
-                if isinstance(ids, tuple):
-                    path.extend(reversed(ids))
-                else:
-                    path.append(ids)
-            path.reverse()
-            flat += path
-            ends.append(len(flat))
-            score.append(one[len(w)])
-            loss.append(one[len(w)] - two[len(w)])
+                one.append(best)
+                gap.append(best - second)
+            yield one, gap
             before = w
+
+    def best_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted words: best score, loss of the second best, ids one after another, and where each word's ids end."""
+        score, loss, flat, ends = [], [], [], []
+        if len(self.known) >= KNOWN:  # words that are met again stay for one more time
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        found = [known.get(w) or before.get(w) for w in words]
+        passes = self.forward([w for w, x in zip(words, found, strict=True) if x is None])
+        for w, x in zip(words, found, strict=True):
+            if x is None:
+                one, gap = next(passes)
+                ids, second = self.first(w, one, gap)
+                x = one[-1], second, ids
+            if len(w) <= SHORT:
+                known[w] = x
+            score.append(x[0])
+            loss.append(x[1])
+            flat += x[2]
+            ends.append(len(flat))
         return np.array(score), np.array(loss), np.array(flat, np.int64), np.array(ends, np.int64)
 
-    def encode_batch(self, texts: list[str | None], n: int = N_BEST) -> list[tuple[list[float], np.ndarray] | None]:
-        """Of each text, the scores of its n best segmentations and the ids of the best."""
+    def encode_batch(self, texts: list[str | None], n: int = N_BEST) -> list[list[tuple[float, np.ndarray]] | None]:
+        """Of each text, its n best segmentations: score and ids."""
         seen: dict[str, int] = defaultdict()
         seen.default_factory = seen.__len__
         coded = [None if t is None else np.fromiter(map(seen.__getitem__, self.words(t)), np.int64) for t in texts]
         names = list(seen)
         order = sorted(range(len(names)), key=names.__getitem__)
-        score, loss, flat, ends = self.forward([names[i] for i in order])
+        score, loss, flat, ends = self.best_of([names[i] for i in order])
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         size = np.diff(ends, prepend=0)
@@ -212,14 +275,22 @@ class Lattice:
                 out.append(None)
                 continue
             c = place[words]
-            at = np.repeat(ends[c] - size[c] - np.cumsum(size[c]) + size[c], size[c]) + np.arange(size[c].sum())
+            before = np.append(0, np.cumsum(size[c]))  # of each word, the ids of the text before it
+            ids = flat[np.repeat(ends[c] - size[c] - before[:-1], size[c]) + np.arange(before[-1])]
             losses = loss[c]
             # only the n - 1 words with the least first losses can differ from their best
             some = np.argpartition(losses, n - 2)[: n - 1] if len(c) > n - 1 > 0 else np.arange(len(c) if n > 1 else 0)
-            lists = [self.n_best(names[words[k]], n) for k in some if np.isfinite(losses[k])]
-            combined = _cheapest([[x[0].score - b.score for b in x] for x in lists], n)
-            top = float(score[c].sum())
-            out.append(([top - x for x, _ in combined], flat[at]))
+            some = np.sort(some[np.isfinite(losses[some])]).tolist()
+            lists = [self.n_best(names[words[k]], n) for k in some]
+            top, found = float(score[c].sum()), []
+            for less, picks in _cheapest([[x[0].score - b.score for b in x] for x in lists], n):
+                parts, at = [], 0
+                for k, x, r in zip(some, lists, picks, strict=True):
+                    if r:
+                        parts += [ids[at : before[k]], np.array(x[r].ids, np.int64)]
+                        at = before[k + 1]
+                found.append((top - less, np.concatenate([*parts, ids[at:]]) if parts else ids))
+            out.append(found)
         return out
 
     def encode(self, text: str, n: int = N_BEST) -> list[Best]:
@@ -235,6 +306,13 @@ class Lattice:
         """Text of the ids: what pieces spell, marks as spaces, byte pieces as their bytes."""
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether two lists of ids spell the same; only what lies between their common ends is spelled."""
+        m = min(len(a), len(b))
+        lo = int(np.argmin(np.append(a[:m] == b[:m], False)))
+        hi = int(np.argmin(np.append(a[lo:][::-1][: m - lo] == b[lo:][::-1][: m - lo], False)))
+        return self.decode(a[lo : len(a) - hi].tolist()) == self.decode(b[lo : len(b) - hi].tolist())
+
 
 def _cheapest(losses: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n cheapest ways to take one of each list (lists rise from 0), with what is taken of each."""
@@ -254,24 +332,29 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def encoded(docs: DataFrame, keep: list[str], n: int = N_BEST, path: str | None = None, ids: bool = True) -> DataFrame:
-    """Columns `keep` of docs with n_pieces, scores (of the n best segmentations), ids_crc32 and decoded (whether the ids give the text back), and the ids themselves if asked for."""
+    """Columns `keep` of docs with the n best segmentations, best first.
+
+    n_pieces and ids_crc32 of the best, scores and crc32 of each, decoded (whether the ids of each give the text
+    back), and the ids of each themselves if asked for.
+    """
 
     def run(text: list) -> list[list]:
-        model, out = lattice(path), [[] for _ in range(5)]
+        model, out = lattice(path), [[] for _ in range(6)]
         for at in range(0, len(text), LOT):
             part = text[at : at + LOT]
             for t, found in zip(part, model.encode_batch(part, n), strict=True):
                 if found is None:
-                    row = (0, [], None, None, None)
+                    row = (0, None, [], [], None, [])
                 else:
-                    scores, best = found
-                    row = (len(best), scores, _crc(best), model.decode(best.tolist()) == t, best.tolist())
+                    sums = [_crc(x) for _, x in found]
+                    fine = model.decode(found[0][1].tolist()) == t and all(model.same(found[0][1], x) for _, x in found[1:])
+                    row = (len(found[0][1]), sums[0], [s for s, _ in found], sums, fine, [x for _, x in found])
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-        return out if ids else out[:4]
+        return out if ids else out[:5]
 
-    added = "n_pieces long, scores array<double>, ids_crc32 long, decoded boolean" + ", ids array<long>" * ids
-    return common.with_columns_by(docs, keep, {"text": F.col("text")}, run, added)
+    added = "n_pieces long, ids_crc32 long, scores array<double>, crc32 array<long>, decoded boolean" + ", ids array<array<long>>" * ids
+    return common.with_columns_by(docs, keep, {"text": F.col("text")}, run, added, replace=True)
 
 
 def decoded(rows: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:

@@ -220,12 +220,10 @@ def test_equal_values_stay_linked(spark):
 
 
 def segmentations(lattice, word):
-    arcs = lattice.arcs(word)
-
     def walk(end):
         if end == 0:
             yield 0.0, ()
-        for start, score, ids in arcs[end] if end else []:
+        for start, score, ids in lattice.arcs(word, end) if end else []:
             for s, i in walk(start):
                 yield s + score, i + ids
 
@@ -245,18 +243,57 @@ def test_n_best_equals_brute_force():
     text = "ab abba  ba▁c"
     words = [segmentations(lattice, w) for w in lattice.words(text)]
     whole = sorted((sum(s for s, _ in c) for c in itertools.product(*words)), reverse=True)[:4]
-    scores, ids = lattice.encode_batch([text], 4)[0]
-    assert [b.score for b in lattice.encode(text, 4)] == pytest.approx(whole) == scores
-    assert all(lattice.decode(b.ids) == text for b in lattice.encode(text, 4)) and lattice.decode(ids) == text
+    found = lattice.encode_batch([text], 4)[0]
+    assert [b.score for b in lattice.encode(text, 4)] == pytest.approx(whole) == [x for x, _ in found]
+    assert all(lattice.decode(b.ids) == text for b in lattice.encode(text, 4)) and all(lattice.decode(x) == text for _, x in found)
+    worth = {i: x for i, x in letters.values()}
+    assert [sum(worth.get(i, -20.0) for i in x) for _, x in found] == pytest.approx(whole) and len({tuple(x) for _, x in found}) == 4
+
+
+def test_long_words_are_searched_whole():
+    """Against a plain Viterbi over the whole text with all arcs, and the N best of a word against those from listing the turns of a smaller one."""
+    lattice = sentencepiece_nbest.lattice()
+    rng = random.Random(9)
+    texts = ["ab" * 400, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "\n".join(["word", "onset"] * 200), "日本語ab" * 300, "x" * 1500 + " " + "  " * 90]
+    for text, found in zip(texts, lattice.encode_batch(texts, 3), strict=True):
+        word = text.replace(" ", "▁")
+        best = [0.0]
+        for end in range(1, len(word) + 1):
+            options = [best[s] + lattice.pieces[word[s:end]][1] for s in range(max(0, end - lattice.widest), end) if word[s:end] in lattice.pieces]
+            if word[end - 1] not in lattice.pieces:
+                options.append(best[end - 1] + lattice.raw(word[end - 1], end)[1])
+            best.append(max(options))
+        assert found[0][0] == pytest.approx(best[-1]) and len(found) == 3
+        assert all(lattice.decode(x) == text for _, x in found) and len({tuple(x) for _, x in found}) == 3
+        worth = {i: m for i, m in [*lattice.pieces.values(), *lattice.bytes_]}
+        assert [sum(worth[i] for i in x) for _, x in found] == pytest.approx([s for s, _ in found])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bounded_queues_lose_no_segmentation(seed):
+    rng = random.Random(seed)
+    pieces = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))): (300 + k, -rng.randint(1, 40) / 8) for k in range(25)} | {"a": (290, -3.0), "b": (291, -3.5)}
+    lattice = sentencepiece_nbest.Lattice(pieces, [(b, -20.0) for b in range(256)])
+    for _ in range(20):
+        word = "".join(rng.choice("ab") for _ in range(12))
+        exact = [s for s, _ in segmentations(lattice, word)]
+        for n in (1, 2, 7, 60):
+            assert [b.score for b in lattice.n_best(word, n)] == exact[:n]
 
 
 def test_sentencepiece_round_trip(spark):
     texts = ["Hello  world,\n été naïve 日本語 \0 ▁ end", "", None, " ", "x" * 2000, "a b " * 500]
     rows = {r["doc_id"]: r for r in sentencepiece_nbest.encoded(frame(spark, texts), ["doc_id"]).collect()}
-    assert all(rows[i]["decoded"] for i in (0, 1, 3, 4, 5)) and rows[2]["ids"] is None and rows[1]["n_pieces"] == 0
+    assert all(rows[i]["decoded"] for i in (0, 1, 3, 4, 5)) and rows[2]["ids"] == [] and rows[1]["n_pieces"] == 0 and rows[2]["n_pieces"] == 0
     assert all(r["scores"] == sorted(r["scores"], reverse=True) for r in rows.values())
-    back = {r["doc_id"]: r["text"] for r in sentencepiece_nbest.decoded(spark.createDataFrame([(i, r["ids"]) for i, r in rows.items()], "doc_id long, ids array<long>"), ["doc_id"]).collect()}
-    assert back == dict(enumerate(texts))
+    for k in range(2):
+        ids = spark.createDataFrame([(i, (r["ids"] + [r["ids"][0]] * 2)[k] if r["ids"] else None) for i, r in rows.items()], "doc_id long, ids array<long>")
+        back = {r["doc_id"]: r["text"] for r in sentencepiece_nbest.decoded(ids, ["doc_id"]).collect()}
+        assert back == dict(enumerate(texts))
+    assert all(r["crc32"] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r["ids"]] and r["ids_crc32"] == (r["crc32"] or [None])[0] for r in rows.values())
+    clash = frame(spark, ["a b", "a b"]).withColumn("scores", F.lit(3))
+    twice = sentencepiece_nbest.encoded(clash, ["doc_id", "scores"]).collect()
+    assert twice[0]["scores"] == twice[1]["scores"] and len(twice[0]["scores"]) == len(twice[0]["ids"])
     assert sentencepiece_nbest.encoded(frame(spark, ["x"]).limit(0), ["doc_id"]).count() == 0
 
 
