@@ -1,13 +1,16 @@
 """Best-fit packing by hierarchical residual packing.
 
-Every task packs its own pieces best-fit decreasing and emits the bins that are nearly full. The
-underfull bins travel on as single items: groups of tasks are merged in a tree, each round repeating
-best fit over the leftovers, until one group is left and emits everything. A bin is one item of the
-next round, so its contents never part.
+Every group of items is packed best-fit decreasing on its own, and the bins that are nearly full, or that the
+smallest item left anywhere can't fill, are emitted. The underfull bins travel on as single items: neighbouring groups
+merge, and each round repeats best fit over the leftovers. A bin is one item of the next round, so its contents never
+part. Groups hold GROUP items or so in every round, whatever the size of the data: their number follows the count of
+the leftovers, down to one group of at most GROUP items, which emits everything. Where a round leaves nearly as many
+items as it got (they don't fit each other), it emits them as they are.
 
 Defined results: a null or empty text is the one id 2, hence one piece of length 1; repeated rows of a
-doc_id are packed as often as they occur; an empty table gives an empty result; columns other than
-doc_id and text are ignored. Any length of text works: pieces leave the tokenizer one document at a time.
+doc_id are packed as often as they occur; items of one length are taken by their keys; an empty table gives an empty
+result; columns other than doc_id and text are ignored. Any length of text works: pieces leave the tokenizer one
+document at a time.
 """
 
 from __future__ import annotations
@@ -28,7 +31,10 @@ CAPACITY = 1024
 END = 2
 #: A bin with no more than this part of its places free is emitted at once.
 SLACK = 1 / 128
-FAN_IN = 8
+#: Items of a group, about.
+GROUP = 1 << 15
+#: A round that leaves more than this part of its items is the last.
+STUCK = 0.95
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -117,21 +123,16 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _round(items: pd.DataFrame, capacity: int, slack: int, last: bool, tag: int) -> pd.DataFrame:
-    """items: columns used and members (list of piece keys with lengths), one row for each bin of the round before."""
-    sizes = items["used"].to_numpy(np.int64)
-    members = items["members"].tolist()
+def _round(capacity: int, free: int, step: int, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One group's bins. pdf: used and members (piece keys with lengths), a row for each bin of the round before; a bin with at most `free` places free gets its number."""
+    part, pdf = int(key[0]), pdf.sort_values("tie", kind="stable")
+    sizes, members, tie = pdf["used"].to_numpy(np.int64), pdf["members"].tolist(), pdf["tie"].tolist()
     rows = []
     for n, bin_ in enumerate(best_fit(sizes, capacity)):
         used = int(sizes[bin_].sum())
-        rows.append((used, [m for i in bin_ for m in members[i]], (tag << 40) + n if last or capacity - used <= slack else -1))
-    return pd.DataFrame(rows, columns=["used", "members", "sequence_id"])
-
-
-def _merge(capacity: int, free: int, last: bool, tag_base: int, fan_in: int, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    out = _round(pdf, capacity, free, last, tag_base + int(key[0]))
-    out["part"] = int(key[0]) // fan_in
-    return out
+        name = (step << 56) + (part << 22) + n
+        rows.append((used, [m for i in bin_ for m in members[i]], tie[bin_[0]], name, capacity - used <= free, part))
+    return pd.DataFrame(rows, columns=["used", "members", "tie", "sequence_id", "done", "part"])
 
 
 def _two(run):
@@ -141,29 +142,31 @@ def _two(run):
 MEMBER = "array<struct<key:long,length:int>>"
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, fan_in: int = FAN_IN) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, group: int = GROUP) -> DataFrame:
     """items (key long, length int; 1 <= length <= capacity) -> key, sequence_id, offset."""
-    spark = items.sparkSession
-    free = int(capacity * slack)
-    groups = common.parallelism(spark)
-    out_type = f"used int, members {MEMBER}, sequence_id long, part int"
-    step = 0
     current = items.select(
         F.col("length").cast("int").alias("used"),
         F.array(F.struct(F.col("key").cast("long").alias("key"), F.col("length").cast("int").alias("length"))).alias("members"),
-        F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("part"),
+        F.col("key").cast("long").alias("tie"),
+        F.lit(-1).alias("part"),
     )
     done: list[DataFrame] = []
-    while True:
-        last = groups == 1
-        run = functools.partial(_merge, capacity, free, last, (step + 1) << 16, fan_in)
-        result = common.written(current.groupBy("part").applyInPandas(_two(run), out_type))
-        done.append(result.filter("sequence_id >= 0"))
-        if last:
-            break
-        current = result.filter("sequence_id < 0").select("used", "members", "part")
-        groups = -(-groups // fan_in)
-        step += 1
+    groups, n, least = None, *current.agg(F.count("*"), F.min("used")).first()
+    while n:
+        before, groups = groups, -(-n // group)
+        # the first round deals items out evenly, later ones merge neighbours
+        part = F.pmod(F.xxhash64("tie"), F.lit(groups)) if before is None else F.floor(F.col("part") * groups / before)
+        # nothing is smaller than the smallest item, so a bin with less room than that can't be filled any more
+        free = capacity if groups == 1 else max(int(capacity * slack), least - 1)
+        run = functools.partial(_round, capacity, free, len(done) + 1)
+        out_type = f"used int, members {MEMBER}, tie long, sequence_id long, done boolean, part int"
+        result = common.written(current.withColumn("part", part.cast("int")).groupBy("part").applyInPandas(_two(run), out_type))
+        left, least = result.filter("NOT done").agg(F.count("*"), F.min("used")).first()
+        stuck = left > STUCK * n
+        done.append(result if stuck else result.filter("done"))
+        current, n = result.filter("NOT done").select("used", "members", "tie", "part"), 0 if stuck else left
+    if not done:
+        return items.select(F.col("key").cast("long").alias("key"), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     bins = functools.reduce(DataFrame.unionByName, done)
     placed = bins.select(
         "sequence_id",

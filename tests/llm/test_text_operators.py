@@ -49,9 +49,72 @@ def test_packing_is_gapless_and_whole(spark):
     assert len(by_seq) <= 11 / 9 * -(-total // 1024) + 1  # the bound of best fit decreasing
 
 
+def packed(spark, sizes, group, capacity=1024):
+    items = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "key long, length int")
+    bins = {}
+    for r in packing.pack(items, capacity, group=group).collect():
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], sizes[r["key"]]))
+    for parts in bins.values():
+        at = 0
+        for offset, size in sorted(parts):
+            assert offset == at
+            at += size
+        assert at <= capacity
+    assert sum(map(len, bins.values())) == len(sizes)
+    return len(bins)
+
+
+def fewest(sizes, capacity):
+    """The least number of bins, by trying every bin for every item."""
+    best = len(sizes)
+
+    def place(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(sizes):
+            best = len(room)
+            return
+        for i in {r: i for i, r in enumerate(room) if r >= sizes[k]}.values():
+            place(k + 1, [*room[:i], room[i] - sizes[k], *room[i + 1 :]])
+        place(k + 1, [*room, capacity - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_comes_near_the_fewest_bins(spark):
+    rng = random.Random(6)
+    for _ in range(4):
+        sizes = [rng.choice([1, 2, 3, 4, 5, 6, 7, 10]) for _ in range(11)]
+        least = fewest(sorted(sizes, reverse=True), 10)
+        assert least <= packed(spark, sizes, 100, 10) <= least + 1
+        assert packed(spark, sizes, 4, 10) <= 2 * least  # many groups, many rounds
+    even = [rng.randint(1, 400) for _ in range(3000)]
+    assert packed(spark, even, 1000) <= -(-sum(even) // 1024) * 1.02 + 1
+
+
+def test_packing_of_what_fits_nothing_else(spark, monkeypatch):
+    rounds = []
+    real = packing.common.written
+    monkeypatch.setattr(packing.common, "written", lambda df: rounds.append(1) or real(df))
+    assert packed(spark, [600] * 400, 50) == 400 and len(rounds) == 1
+    assert packed(spark, [600] * 400 + [1], 50) == 400 and len(rounds) <= 4
+    assert packed(spark, [1024] * 3, 2) == 3 and packing.pack(spark.createDataFrame([], "key long, length int")).count() == 0
+
+
+def test_packing_of_empty_tables_and_repeated_rows(spark):
+    docs = frame(spark, ["one two", "one two"]).withColumn("length", F.lit("clash"))
+    assert packing.best_fit_packing(docs.limit(0)).count() == 0
+    rows = packing.best_fit_packing(docs.union(docs)).collect()
+    assert len(rows) == 4 and len({r["offset"] for r in rows}) == 4 and len({r["sequence_id"] for r in rows}) == 1
+
+
 def test_fast_and_slow_tokenizers_agree():
+    import pyarrow.parquet as pq
     import public_tokenizers
 
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
     slow = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
     fast = packing.encoder()
     for t in ["", "a", "Ouvrez l'été, don't  stop\n\n\tnow 12345 – “quoted” €", "<|endoftext|> x", "日本語 русский", "x" * 500, "   \x0b"]:
