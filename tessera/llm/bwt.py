@@ -18,14 +18,14 @@ import numpy as np
 SETTLED = 3
 
 
-def shard(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def shard(strings: list[bytes], depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Transform (uint8) and the rows' places in the concatenation of the terminated strings.
 
     Suffixes are ranked by their first 8 symbols, then by twice as many each round; equal suffixes of
-    different strings keep the strings' order.
+    different strings keep the strings' order. With depth, the order is right for that many symbols at least.
     """
     text = np.frombuffer(b"\xff".join([*strings, b""]), np.uint8) + np.uint8(1)  # 0xff ends a string and becomes 0
-    n, longest = len(text), max(map(len, strings)) + 1
+    n, longest = len(text), min(max(map(len, strings)) + 1, depth or len(text))
     ends = np.flatnonzero(text == 0)
     left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n) + 1  # symbols to the terminator, it included
     wide = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -93,29 +93,39 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
 
 
 def _settle(rows: np.ndarray, prefix: np.ndarray, edge: np.ndarray, first: np.ndarray, symbols: np.ndarray, h: int, depth: int) -> None:
-    """Goes on from round h with the blocks of several rows only; rows and prefix are brought up to date in place."""
+    """Goes on from round h with blocks of several rows only; rows and prefix are brought up to date in place.
+
+    A block can part in a round only if a successor of its rows got another block in the round before.
+    """
     n = len(rows)
     after = np.zeros(n, np.int32)
     inner = np.flatnonzero(symbols)
     after[first[inner]] = inner  # the row of the suffix one symbol on
     starts = np.flatnonzero(edge)
-    head = np.repeat(starts, np.diff(np.append(starts, n)))  # of each place, where its block starts
-    of_row = np.empty(n, np.int64)
-    of_row[rows] = head
+    size = np.zeros(n, np.int64)
+    size[starts] = np.diff(np.append(starts, n))
+    head = np.repeat(starts, size[starts])  # of each place, where its block starts
+    of_row, place = np.empty(n, np.int64), np.empty(n, np.int64)
+    of_row[rows], place[rows] = head, np.arange(n)
     some = np.flatnonzero(~(edge & np.append(edge[1:], True)))
     while len(some) and h < depth:
         h += 1
-        ahead = of_row[after[rows[some]]]
-        key = head[some] << 32 | ahead
+        r, block = rows[some], head[some]
+        key = block << 32 | of_row[after[r]]
         order = np.argsort(key, kind="stable")
-        key = key[order]
-        rows[some] = rows[some][order]
+        key, r = key[order], r[order]
         new = np.append(True, key[1:] != key[:-1])
-        old = np.append(True, head[some][1:] != head[some][:-1])
-        prefix[some[new & ~old]] = h - 1
-        head[some] = np.maximum.accumulate(np.where(new, some, 0))
-        of_row[rows[some]] = head[some]
-        some = some[~(new & np.append(new[1:], True))]
+        cut = np.flatnonzero(new)
+        at = some[cut]
+        size[at] = np.diff(np.append(cut, len(some)))
+        now = np.repeat(at, size[at])
+        prefix[at[block[cut] != at]] = h - 1
+        rows[some], place[r], head[some], of_row[r] = r, some, now, now
+        moved = r[now != block]
+        blocks = np.unique(head[place[first[moved[symbols[moved] != 0]]]])
+        blocks = blocks[size[blocks] > 1]
+        length = size[blocks]
+        some = np.repeat(blocks - np.cumsum(length) + length, length) + np.arange(length.sum())
 
 
 def repeats(strings: list[bytes], depth: int, weights: np.ndarray | None = None, shard_bytes: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +141,7 @@ def repeats(strings: list[bytes], depth: int, weights: np.ndarray | None = None,
         parts.append(lot)
     transforms, places, base = [], [], 0
     for p in parts:
-        t, order = shard(p)
+        t, order = shard(p, depth)
         transforms.append(t)
         places.append(order + base)
         base += len(order)

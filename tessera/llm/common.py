@@ -97,7 +97,7 @@ def with_columns_by(df: DataFrame, keep: list[str], inputs: dict, fn: Callable[.
         arrow = to_arrow_schema(schema)
         for b in batches:
             made = fn(**{k: b.column(f"__in_{k}") if raw else b.column(f"__in_{k}").to_pylist() for k in names})
-            by_name = {n.name: pa.array(x, arrow.field(n.name).type) for n, x in zip(new, made, strict=True)}
+            by_name = {n.name: x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n.name).type) for n, x in zip(new, made, strict=True)}
             cols = [by_name[f.name] if f.name in by_name else b.column(f.name).cast(arrow.field(f.name).type) for f in schema]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 

@@ -26,7 +26,8 @@ from . import bwt, common, superkmers
 from .hashing import _powers, mix
 
 WIDTH = 100
-GRAM = 40
+#: Bytes of a minimiser, but for narrow windows.
+GRAM = 25
 #: Slices of a minimiser's places within a window; the windows of a slice share a core of bytes around it.
 SLICES = 4
 
@@ -120,7 +121,7 @@ def _bucket(width: int, gram: int, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    gram = min(GRAM, max(1, width // 3))
+    gram = min(GRAM, max(1, width // 4))
     marks = superkmers.marked(docs, _units, width, gram)
     found = superkmers.survivors(marks)
     kinds = superkmers.classes(found)

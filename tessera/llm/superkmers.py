@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ HOT = 4096
 #: Bytes of strings meant for one bucket.
 BUCKET = 1 << 18
 PLACE = 20
+#: What a string carries to its bucket.
+MADE = pa.struct([("mh", pa.int64()), ("ch", pa.int64()), ("copies", pa.int64()), ("off", pa.int32()), ("spot", pa.int32()), ("start", pa.int64()), ("string", pa.binary()), ("key", pa.int64())])
 
 
 def scan(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,25 +136,27 @@ def strings(docs: DataFrame, marks: DataFrame, some: DataFrame, cut: Callable, w
     rows = common.narrowed(keyed(docs), need, ["rid", "mark"])
     wide = rows.join(need, ["rid", "mark"])
 
-    def run(text: list, need: list) -> list[list]:
-        out = []
-        for t, ks in zip(text, need, strict=True):
-            starts, ends, info = [], [], []
-            for x in ks:
-                for off in range(x["k"]) if x["hot"] else [0]:
-                    starts.append(x["start"] + off)
-                    ends.append(x["start"] + (off + width if x["hot"] else x["k"] + width - 1))
-                    info.append((x["mh"], x["ch"], x["copies"], off, x["spot"] - off, x["hot"]))
-            out.append(
-                [
-                    {"mh": m, "ch": c, "copies": n, "off": o, "spot": p, "start": s, "string": b, "key": hash_bytes(b) if h else m}
-                    for b, s, (m, c, n, o, p, h) in zip(cut(t, starts, ends), starts, info, strict=True)
-                ]
-            )
-        return [out]
+    def run(text: pa.Array, need: pa.Array) -> list[pa.Array]:
+        rows, flat = np.diff(need.offsets.to_numpy()), need.flatten()
+        mh, ch, copies, start, k, spot, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(7))
+        n = np.where(hot, k, 1)  # the strings of each class
+        of = np.repeat(np.arange(len(n)), n)
+        off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        begin = start[of] + off
+        end = np.where(hot[of], begin + width, begin + k[of] + width - 1)
+        edge = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(rows))]
+        made: list[bytes] = []
+        for t, i, j in zip(text, edge[:-1], edge[1:], strict=True):
+            made += cut(t.as_py(), begin[i:j].tolist(), end[i:j].tolist())
+        key = mh[of]
+        for i in np.flatnonzero(hot[of]).tolist():
+            key[i] = hash_bytes(made[i])
+        columns = [mh[of], ch[of], copies[of], off.astype(np.int32), (spot[of] - off).astype(np.int32), begin, made, key]
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, MADE, strict=True)]
+        return [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays(arrays, fields=[MADE.field(i) for i in range(MADE.num_fields)]))]
 
     made = "made array<struct<mh:long,ch:long,copies:long,off:int,spot:int,start:long,string:binary,key:long>>"
-    out = common.with_columns_by(wide, ["rid"], {"text": F.col("text"), "need": F.col("need")}, run, made)
+    out = common.with_columns_by(wide, ["rid"], {"text": F.col("text"), "need": F.col("need")}, run, made, raw=True)
     out = out.select("rid", F.explode("made").alias("m")).select("rid", "m.*")
     return out.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).drop("key")
 
