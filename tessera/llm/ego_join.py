@@ -2,9 +2,10 @@
 
 Unit vectors with cosine >= t lie within eps = sqrt(2 - 2 t). Vectors are turned to their principal axes and
 sorted by grid cells of width eps on the leading ones (the epsilon grid order). The sorted sequence is cut
-into blocks with bounding boxes; pairs of blocks whose boxes are further apart than eps are provably
-distant and skipped, first by the cells of the first axis (an equi-join), then by the boxes. Within a pair,
-sequence intervals are joined recursively, halved until they are small or provably distant.
+into blocks with bounding boxes, and blocks into strips. The whole sequence is joined with itself recursively: a
+pair of intervals whose boxes are further apart than eps is provably distant and ends there, any other goes on as
+the pairs of its FAN parts. Down to strips these steps are joins on the parents' numbers; a pair of strips that is
+left goes to one task, each block once, where the recursion goes on over blocks and runs of vectors.
 
 Equal vectors are one with a multiplicity, so a vector that a third of all rows hold costs as one. A pair of
 blocks gives the number of links of each of its vectors and at most a spanning forest of them, never all
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, vectors
@@ -35,6 +36,9 @@ BOX = 32
 #: Vectors in a block at most: about 2 MB of doubles at 64 dimensions.
 BLOCK = 4096
 LEAF = 512
+#: Parts of an interval of strips; blocks in a strip at most.
+FAN = 8
+STRIP = 16
 
 
 def _axes(rows: DataFrame, dim: int) -> np.ndarray:
@@ -76,7 +80,7 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def join(u: np.ndarray, p: np.ndarray, w: np.ndarray, q: np.ndarray, t: float, eps: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row of u, row of w) of two blocks; p, q are their rows on the principal axes. same: a block with itself."""
+    """Links (row of u, row of w) of two blocks; p, q are their rows on the leading principal axes. same: a block with itself."""
     found, todo = [], [(0, len(u), 0, len(w))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -134,7 +138,8 @@ def _blocks(kinds: DataFrame, axes: np.ndarray, eps: float, dim: int) -> DataFra
             copies = np.concatenate([p.column("copies").to_numpy() for p in parts])
             x = np.concatenate([vectors.matrix(p.column("v")) for p in parts])
             y = vectors.unit(x) @ shared.value[:, :box]
-            values = [[y.min(0).tolist()], [y.max(0).tolist()], [ids.tobytes()], [copies.tobytes()], [x.tobytes()]]
+            slim = x.astype(np.float32)  # half the bytes, where nothing is lost
+            values = [[y.min(0).tolist()], [y.max(0).tolist()], [ids.tobytes()], [copies.tobytes()], [(slim if (slim == x).all() else x).tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in values], names=["lo", "hi", "ids", "copies", "x"])
 
         waiting, n = [], 0
@@ -151,21 +156,38 @@ def _blocks(kinds: DataFrame, axes: np.ndarray, eps: float, dim: int) -> DataFra
             yield block(waiting)
 
     out = placed.select("rep", "copies", "v").mapInArrow(pack, "lo array<double>, hi array<double>, ids binary, copies binary, x binary")
-    return common.written(out.withColumn("block", F.monotonically_increasing_id()))
+    out = common.written(out.withColumn("block", F.monotonically_increasing_id()))
+    # consecutive numbers: the count of the partitions before (as many as the session deals out), and the place within one
+    part = F.shiftrightunsigned("block", 33)
+    parts = out.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    parts = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
+    return out.withColumn("part", part).join(parts, "part").withColumn("block", F.col("before") + F.col("block").bitwiseAND((1 << 33) - 1)).drop("part", "before")
 
 
-def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b), a <= b, of blocks that may hold links."""
-    cell = lambda c: F.floor(F.col(c)[0] / eps).cast("int")
-    some = blocks.select("block", "lo", "hi")
-    left = some.select(F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
-    right = some.select(F.col("block").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("cell"))
+def _tiles(boxes: DataFrame, n: int, eps: float, box: int) -> DataFrame:
+    """Pairs (a, b), a <= b, of strips that may hold links. boxes: strip, lo, hi; n: number of strips."""
+    def level(width: int) -> DataFrame:
+        low = F.array(*(F.min(F.col("lo")[k]) for k in range(box)))
+        high = F.array(*(F.max(F.col("hi")[k]) for k in range(box)))
+        return boxes.groupBy(F.floor(F.col("strip") / width).alias("id")).agg(low.alias("lo"), high.alias("hi")).withColumn("up", F.floor(F.col("id") / FAN))
+
     gap = F.aggregate(
         F.arrays_zip("alo", "ahi", "blo", "bhi"),
         F.lit(0.0),
         lambda s, x: s + F.pow(F.greatest(F.lit(0.0), x["alo"] - x["bhi"], x["blo"] - x["ahi"]), F.lit(2.0)),
     )
-    return left.join(right, "cell").filter("a <= b").filter(gap <= eps * eps + 1e-9).select("a", "b").distinct()
+    width = 1
+    while width < n:
+        width *= FAN
+    pairs = boxes.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    while width > 1:
+        width //= FAN
+        parts = level(width)
+        left = parts.select(F.col("up").alias("pa"), F.col("id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+        right = parts.select(F.col("up").alias("pb"), F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+        pairs = pairs.toDF("pa", "pb").join(left, "pa").join(right, "pb").filter("a <= b").filter(gap <= eps * eps + 1e-9).select("a", "b")
+        pairs = common.written(pairs)
+    return pairs
 
 
 def near_vectors(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -177,9 +199,8 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links, edges = [], []
     for dim in sizes:
         some = kinds.filter(F.size("v") == dim)
-        blocks = _blocks(some, _axes(some, dim), eps, dim)
-        pairs = common.written(_pairs(blocks, eps))
-        found = common.written(_joined(pairs, blocks, threshold, eps, dim))
+        axes = _axes(some, dim)
+        found = common.written(_joined(_blocks(some, axes, eps, dim), axes, threshold, eps, dim))
         links.append(found.filter("kind = 0").select(F.col("a").alias("rep"), F.col("b").alias("n")))
         edges.append(found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     members = rows.join(kinds, "v").select("vec_id", "rep", "copies")
@@ -202,50 +223,56 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def _joined(pairs: DataFrame, blocks: DataFrame, threshold: float, eps: float, dim: int) -> DataFrame:
-    """kind 0: a vector and the number of vectors of the other block (or its own) linked to it; kind 1: a link of the forest."""
-    a = blocks.select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("copies").alias("copies_a"), F.col("x").alias("x_a"))
-    b = blocks.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("copies").alias("copies_b"), F.col("x").alias("x_b"))
-    wide = pairs.join(a, "a").join(b, "b").repartition(8 * common.parallelism(pairs.sparkSession))
-
-    def one(same, ids_a, copies_a, x_a, ids_b, copies_b, x_b):
-        x, y = np.frombuffer(x_a).reshape(-1, dim), np.frombuffer(x_b).reshape(-1, dim)
-        u, w = vectors.unit(x), vectors.unit(y)
-        box = min(BOX, dim)
-        # any orthonormal axes bound distances; the sequence is sorted, so its own leading components serve the intervals
-        i, j = join(u, u[:, :box] if dim <= box else u @ _basis(u, box), w, w[:, :box] if dim <= box else w @ _basis(u, box), threshold, eps, same)
-        keep = _exact(x, y, i, j, threshold)
-        i, j = i[keep], j[keep]
-        ids_a, ids_b = np.frombuffer(ids_a, np.int64), np.frombuffer(ids_b, np.int64)
-        na, nb = np.frombuffer(copies_a, np.int64), np.frombuffer(copies_b, np.int64)
-        left, right = np.bincount(i, nb[j], len(ids_a)), np.bincount(j, na[i], len(ids_b))
-        if same:
-            left, right = left + right, right[:0]
-        ids = ids_a if same else np.concatenate([ids_a, ids_b])
-        count = np.concatenate([left, right]).astype(np.int64)
-        label = forest(i, j if same else j + len(ids_a), len(ids))
-        some, tied = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(ids)))
-        return (
-            np.concatenate([np.zeros(len(some), np.int32), np.ones(len(tied), np.int32)]),
-            np.concatenate([ids[some], ids[tied]]),
-            np.concatenate([count[some], ids[label[tied]]]),
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                get = lambda c: batch.column(c)[k].as_buffer()  # noqa: E731,B023
-                same = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
-                made = one(same, *(get(c) for c in ("ids_a", "copies_a", "x_a", "ids_b", "copies_b", "x_b")))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["kind", "a", "b"])
-
-    return wide.mapInArrow(run, "kind int, a long, b long")
-
+def _strip(blocks: int, tasks: int) -> int:
+    """Blocks in a strip: so many that pairs of strips are several times the tasks, and each block travels seldom."""
+    return max(1, min(STRIP, int(blocks / np.sqrt(4 * tasks))))
+
+
+def _joined(blocks: DataFrame, axes: np.ndarray, threshold: float, eps: float, dim: int) -> DataFrame:
+    """kind 0: a vector and the number of vectors linked to it in a pair of strips; kind 1: a link of their forest."""
+    spark, box = blocks.sparkSession, min(BOX, dim)
+    n = blocks.count()
+    strip = _strip(n, common.parallelism(spark))
+    placed = blocks.withColumn("strip", F.floor(F.col("block") / strip))
+    tiles = _tiles(placed.select("strip", "lo", "hi"), -(-n // strip), eps, box)
+    members = tiles.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("strip"))
+    shared = spark.sparkContext.broadcast(axes[:, :box])
+
+    def run(tile: pa.Table) -> pa.Table:
+        same = tile.column("a")[0] == tile.column("b")[0]
+        parts = []
+        for r in tile.sort_by("block").to_pylist():
+            ids, copies = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64)
+            x = np.frombuffer(r["x"], np.float32 if len(r["x"]) == 4 * dim * len(ids) else np.float64).reshape(-1, dim).astype(np.float64)
+            u = vectors.unit(x)
+            parts.append((r["strip"] == r["a"], ids, copies, x, u, u @ shared.value, (np.array(r["lo"]), np.array(r["hi"]))))
+        first = np.cumsum([0, *(len(p[1]) for p in parts)])
+        ids = np.concatenate([p[1] for p in parts])
+        count, tied = np.zeros(len(ids), np.int64), []
+        for m, (left, _, na, xa, ua, pa_, ba) in enumerate(parts):
+            for k, (_, _, nb, xb, ub, pb, bb) in enumerate(parts[m:] if same else parts, m if same else 0):
+                if not same and (not left or parts[k][0]) or _apart(ba, bb) > eps + 1e-9:
+                    continue
+                i, j = join(ua, pa_, ub, pb, threshold, eps + 1e-9, m == k)
+                keep = _exact(xa, xb, i, j, threshold)
+                i, j = i[keep], j[keep]
+                if len(i):
+                    np.add.at(count, first[m] + i, nb[j])
+                    np.add.at(count, first[k] + j, na[i])
+                    i, j = first[m] + i, first[k] + j
+                    node, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                    label = forest(at[: len(i)], at[len(i) :], len(node))
+                    tied.append((node, node[label]))
+        some = np.flatnonzero(count)
+        if tied:
+            label = forest(np.concatenate([a for a, _ in tied]), np.concatenate([b for _, b in tied]), len(ids))
+        else:
+            label = np.arange(len(ids))
+        ties = np.flatnonzero(label != np.arange(len(ids)))
+        kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(ties)])
+        return pa.table({"kind": kind, "a": np.concatenate([ids[some], ids[ties]]), "b": np.concatenate([count[some], ids[label[ties]]])})
 
-def _basis(u: np.ndarray, box: int) -> np.ndarray:
-    """Leading principal axes of a block."""
-    _, axes = np.linalg.eigh(u.T @ u)
-    return axes[:, ::-1][:, :box]
+    return members.join(placed, "strip").groupBy("a", "b").applyInArrow(run, "kind int, a long, b long")
 
 
 def op8_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:

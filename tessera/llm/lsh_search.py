@@ -12,16 +12,20 @@ projections are drawn from a seed, so nothing is fitted on data.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, take no part, neither
 as queries nor as candidates; rows that repeat a vec_id and its vector count once; candidates of another
-length than the query's take no part for it; fewer candidates than K give fewer rows; an empty table gives
-an empty result; other columns are ignored.
+length than the query's take no part for it; a vec_id with several vectors counts with its nearest one; a query
+whose buckets hold fewer than K others is searched exactly, so only fewer candidates than K give fewer rows; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ SPLIT = 4096
 #: Index rows meant for one group of buckets, as one task takes them at a time.
 GROUP = 8192
 SEED = 11
+#: Queries of one exact pass over all vectors.
+EXACT = 256
 
 
 def projections(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +155,8 @@ def search(table: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """table (vec_id, embedding) -> query_id, rank, vec_id, score."""
     spark = table.sparkSession
     rows = vectors.plain(table).distinct()
+    # single precision is shipped as such
+    slim = dict(table.dtypes)["embedding"] if dict(table.dtypes)["embedding"] == "array<float>" else "array<double>"
     # the smallest k + 1 ids of each vector are all that a query can see of it; gathered in two steps, as one vector may have any number of rows
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(8 * common.parallelism(spark)))
     some = rows.groupBy("v", salt.alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
@@ -157,19 +165,54 @@ def search(table: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     index = common.with_columns_by(kinds.select("rep", "v"), ["rep"], {"v": F.col("v")}, _index, "codes array<long>")
     index = common.written(index.select("rep", F.explode("codes").alias("code")))
     parts = index.groupBy("code").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
-    index = index.join(parts, "code").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).join(kinds.select("rep", "v"), "rep")
+    index = index.join(parts, "code").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).join(kinds.select("rep", F.col("v").cast(slim).alias("v")), "rep")
     visits = common.with_columns_by(queries, ["query_id"], {"v": F.col("v")}, _visits, "codes array<long>")
     visits = visits.select("query_id", F.explode(F.array_distinct("codes")).alias("code")).join(parts, "code")
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(queries, "query_id")
+    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(queries.select("query_id", F.col("v").cast(slim).alias("v")), "query_id")
     found = _gathered(visits, index, k)
     pairs = common.written(found.distinct())
     wide = pairs.join(queries.withColumnRenamed("v", "q"), "query_id").join(kinds, "rep")
     scored = common.with_columns_by(wide.filter(F.size("q") == F.size("v")), ["query_id", "ids"], {"q": F.col("q"), "v": F.col("v")}, _scores, "score double")
-    each = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id").distinct()
+    top = common.written(_ranked(scored, k))
+    full = top.groupBy("query_id").count().filter(F.col("count") >= k)
+    short = common.written(queries.join(full, "query_id", "left_anti").select("query_id", F.col("v").alias("q")))
+    parts = -(-short.count() // EXACT)
+    if not parts:
+        return top
+    rest = [_exact(short.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p), kinds, k) for p in range(parts)]
+    again = _ranked(functools.reduce(DataFrame.unionByName, rest), k)
+    return top.join(short.select("query_id"), "query_id", "left_anti").select(*again.columns).unionByName(again)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    """scored: query_id, ids of one vector, score -> each query's k nearest."""
+    each = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _exact(some: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
+    """query_id, ids, score of the nearest vectors of each partition, for about EXACT queries against all vectors."""
+    names, vs = zip(*((r["query_id"], r["q"]) for r in some.collect()), strict=True) if not some.isEmpty() else ((), ())
+    shared = kinds.sparkSession.sparkContext.broadcast((names, vs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vs = shared.value
+        for b in batches:
+            v, ids = b.column("v").to_pylist(), b.column("ids").to_pylist()
+            out = []
+            for name, q in zip(names, vs, strict=True):
+                at = [i for i, x in enumerate(v) if len(x) == len(q)]
+                if at:
+                    score = vectors.cosine(np.array(q)[None], np.array([v[i] for i in at]))
+                    out += [(name, ids[at[i]], float(score[i])) for i in _nearest(score, np.array([ids[i][0] for i in at]), k + 1)]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.float64()), strict=True)], names=["query_id", "ids", "score"])
+
+    return kinds.select("ids", "v").mapInArrow(run, "query_id long, ids array<long>, score double")
+
+
 def _scores(q: list, v: list) -> list[list]:
     return [[float(vectors.cosine(np.array(a), np.array(b))) for a, b in zip(q, v, strict=True)]]
 

@@ -21,6 +21,7 @@ def rows(seed=1, n=300, dim=16):
 def test_grid_join_is_exact(spark, monkeypatch):
     monkeypatch.setattr(ego_join, "BLOCK", 32)
     monkeypatch.setattr(ego_join, "LEAF", 8)
+    monkeypatch.setattr(ego_join, "FAN", 2)
     x, data = rows()
     got = {r["vec_id"]: r for r in ego_join.near_vectors(spark.createDataFrame(data + data[:3], SCHEMA)).collect()}
     y = x.astype(float)
@@ -68,6 +69,33 @@ def test_few_candidates_and_empty_tables(spark):
     assert lsh_search.search(none).count() == 0 and ego_join.near_vectors(none).count() == 0
 
 
+def test_lone_queries_are_searched_exactly(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9, 64))
+    data = [(i, [float(c) for c in v], 0, "x") for i, v in enumerate(x)]
+    data.append((3, [float(c) for c in -x[3] + x[0] / 9], 0, "x"))  # a vec_id with two vectors fills one rank
+    got = lsh_search.search(spark.createDataFrame(data, SCHEMA), every=1).collect()
+    unit = {i: [np.array(v) / np.linalg.norm(v) for k, v, *_ in data if k == i] for i in range(9)}
+    for q in (0, 1, 2, 8):
+        near = sorted(((-max(float(unit[q][0] @ v) for v in unit[i]), i) for i in range(9) if i != q))[:5]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in near]
+
+
+def test_recall_on_the_tables(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows_ = table.collect()
+    ids, x = np.array([r["vec_id"] for r in rows_]), np.array([r["embedding"] for r in rows_], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in lsh_search.search(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in ids[ids % 50 == 0]:
+        s = x @ x[ids == q][0]
+        hits += len(got[q] & set(ids[np.lexsort((ids, -s))][:6]) - {q})
+    assert hits >= 0.9 * 5 * len(got)
+
+
 def test_perturbations_come_in_order_of_success():
     frac = np.array([0.1, 0.5, 0.8])
     steps = lsh_search.perturbations(frac, 12)
