@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Dealing all rows out ends when no more than one in SETTLED shares its block.
-SETTLED = 3
+SETTLED = 2
 
 
 def shard(strings: list[bytes], depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:

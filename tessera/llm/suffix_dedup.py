@@ -130,7 +130,9 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     common.released(docs.sparkSession)
     start, _, _ = superkmers.places()
     many = kinds.filter("copies > 1").select("mh", "ch", F.col("first.rid").alias("rid0"), F.col("first.start").alias("start0"))
-    others = found.join(many.join(inner.filter("NOT first"), ["mh", "ch"]), ["mh", "ch"]).filter((F.col("rid") != F.col("rid0")) | (start != F.col("start0")))
+    # written first, so that a content with very many copies can be split in the join
+    many = common.written(many.join(inner.filter("NOT first"), ["mh", "ch"]))
+    others = found.join(many, ["mh", "ch"]).filter((F.col("rid") != F.col("rid0")) | (start != F.col("start0")))
     copies = others.select("uid", (F.col("s") + start).alias("s"), (F.col("e") + start).alias("e"))
     firsts = inner.filter("first").join(kinds.select("mh", "ch", "first.uid", "first.start"), ["mh", "ch"]).select("uid", (F.col("s") + F.col("start")).alias("s"), (F.col("e") + F.col("start")).alias("e"))
 

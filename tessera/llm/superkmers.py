@@ -119,7 +119,9 @@ def classes(found: DataFrame) -> DataFrame:
     first = F.struct("rid", start.alias("start"), "uid", k.alias("k"), spot.alias("spot"))
     each = common.written(found.groupBy("mh", "ch").agg(F.min(first).alias("first"), F.count("*").alias("copies")))
     common.released(found.sparkSession)
-    return common.written(each.join(each.groupBy("mh").agg(F.count("*").alias("contents")), "mh"))
+    # written first, so that a minimiser with very many contents can be split in the join
+    contents = common.written(each.groupBy("mh").agg(F.count("*").alias("contents")).filter("contents > 1"))
+    return common.written(each.join(contents, "mh", "left").withColumn("contents", F.coalesce("contents", F.lit(1).cast("long"))))
 
 
 def strings(docs: DataFrame, marks: DataFrame, some: DataFrame, cut: Callable, width: int, unit_bytes: int) -> DataFrame:
