@@ -8,12 +8,13 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"\p{L}\p{N}_'!?"
+#: What may continue a name, dots and letter-like symbols among it.
+WORD = r"\p{L}\p{N}_'!?.\u2100-\u214F"
 
 
 def whole_name(text: str, name: str) -> Column:
     """The name stands in the text with no name character or dot joined to it on either side; the cheap test comes first."""
-    bound = f"(?<![{WORD}.]){re.escape(name)}(?![{WORD}]|\\.[{WORD}])"
+    bound = f"(?<![{WORD}]){re.escape(name)}(?![{WORD}])"
     return F.col(text).contains(name) & F.col(text).rlike(bound)
 
 
@@ -31,12 +32,12 @@ def content_view(text: str, view: str) -> str:
 
 
 OPERATORS = {"¬": (5, None), "∧": (4, np.logical_and), "∨": (3, np.logical_or), "→": (2, lambda a, b: ~a | b), "↔": (1, lambda a, b: a == b)}
-NAMES = "ABCDEFGH"
+ATOMS = 8
 
 
 def truth_table(expression: str) -> np.ndarray:
-    """Values of a propositional expression over all 256 valuations of A..H; → leans right."""
-    tokens = re.findall(r"True|False|[A-H]|[¬∧∨→↔()]|\S", expression)
+    """Values of a propositional expression over all 256 valuations of p0..p7; → leans right."""
+    tokens = re.findall(r"True|False|p\d+|[¬∧∨→↔()]|\S", expression)
     rows = np.arange(256)
     at = 0
 
@@ -54,8 +55,8 @@ def truth_table(expression: str) -> np.ndarray:
             return value
         if t in ("True", "False"):
             return np.full(256, t == "True")
-        if len(t) == 1 and t in NAMES:
-            return (rows >> NAMES.index(t)) & 1 == 1
+        if re.match(r"p\d+$", t) and int(t[1:]) < ATOMS:
+            return (rows >> int(t[1:])) & 1 == 1
         raise ValueError(f"unexpected {t!r} in {expression!r}")
 
     def binary(least: int) -> np.ndarray:
@@ -74,9 +75,11 @@ def truth_table(expression: str) -> np.ndarray:
     return value
 
 
-def truth_udf(*cols):
-    return F.udf(lambda e: [float(x) for x in np.where(truth_table(e), 1.0, -1.0) / 16], "array<double>")(*cols)
+def truth_vector(expression: Column) -> Column:
+    """Unit vectors of the values; equivalent expressions have equal ones."""
+    values = F.pandas_udf(lambda v: v.map(lambda e: np.where(truth_table(e), 1.0, -1.0) / 16), "array<double>")
+    return values(expression)
 
 
-def view_udf(*cols):
-    return F.udf(content_view, "string")(*cols)
+def viewed(text: Column, view: str) -> Column:
+    return F.pandas_udf(lambda v: v.map(lambda x: content_view(x, view)), "string")(text)

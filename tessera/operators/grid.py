@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import sinks
 from .rank import top_per
 
 
@@ -172,3 +173,42 @@ def list_lift(listed: DataFrame, population: DataFrame, hit: str) -> DataFrame:
     a = listed.agg(F.count("*").alias("listed"), F.avg(F.col(hit).cast("double")).alias("precision"))
     b = population.agg(F.avg(F.col(hit).cast("double")).alias("base"))
     return a.crossJoin(b).withColumn("lift", F.when(F.col("base") > 0, F.col("precision") / F.col("base")))
+
+
+#: Negatives offered to each anchor in the first round; every further round offers twice as many of the next ones.
+OFFERED = 4
+
+
+def negatives(anchors: DataFrame, cit: DataFrame) -> DataFrame:
+    """anchors (work, anchor, home, ...) with `negative`: the first paper of the home area, from the anchor's place on in hash order and around, that doesn't cite the work.
+
+    Papers of an area are numbered by hash: within the 256 lots of the first two digits, after the counts of the lots
+    before, so no area is ordered in one place. An anchor without a negative isn't returned.
+    """
+    h = F.sha2(F.concat_ws("|", "home", "paper"), 256)
+    pool = cit.select(F.col("area").alias("home"), "paper").distinct().withColumn("h", h).withColumn("lot", F.substring("h", 1, 2))
+    lots = pool.groupBy("home", "lot").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("home").orderBy("lot")
+    lots = lots.withColumn("first", F.sum("n").over(before) - F.col("n")).withColumn("size", F.sum("n").over(Window.partitionBy("home"))).drop("n")
+    place = F.row_number().over(Window.partitionBy("home", "lot").orderBy("h"))
+    pool = pool.withColumn("k", place).join(lots, ["home", "lot"]).select("home", (F.col("first") + F.col("k") - 1).alias("place"), F.col("paper").alias("negative"))
+    sizes = lots.select("home", "size").distinct()
+    cites = cit.select("work", F.col("paper").alias("negative")).distinct()
+    open_ = sinks.settled(anchors.join(sizes, "home").withColumn("start", F.pmod(F.xxhash64("work", "anchor"), F.col("size"))))
+    found, at, more = [], 0, OFFERED
+    keys = ["work", "anchor", "home"]
+    while True:
+        some = open_.filter(F.col("size") > at)
+        if some.isEmpty():
+            break
+        steps = F.sequence(F.lit(at), F.least(F.lit(at + more), F.col("size")).cast("int") - 1)
+        offers = some.withColumn("step", F.explode(steps)).withColumn("place", F.pmod(F.col("start") + F.col("step"), F.col("size")))
+        offers = offers.join(pool, ["home", "place"]).join(cites, ["work", "negative"], "left_anti")
+        now = sinks.settled(offers.groupBy(*keys).agg(F.min_by("negative", "step").alias("negative")))
+        found.append(now)
+        open_ = sinks.settled(some.join(now, keys, "left_anti"))
+        at, more = at + more, 2 * more
+    chosen = anchors.select(*keys).limit(0).withColumn("negative", F.lit(None).cast(dict(cit.dtypes)["paper"]))
+    for part in found:
+        chosen = chosen.unionByName(part)
+    return anchors.join(chosen, keys)

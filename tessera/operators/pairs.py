@@ -38,6 +38,18 @@ def jaccard(items: DataFrame) -> DataFrame:
     return x.select("i", "j", F.col("shared").alias("overlap"), (F.col("shared") / (F.col("ni") + F.col("nj") - F.col("shared"))).alias("jaccard"))
 
 
+def jaccard_of(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """i, j, overlap, jaccard of the given pairs (i, j), whole key sets compared.
+
+    A pair's sets meet as arrays of 64-bit hashes of their keys in one pass, so what travels is eight bytes for each key
+    of a pair, and a key that all items hold makes no rows.
+    """
+    sets = items.distinct().groupBy("item").agg(F.sort_array(F.collect_list(F.xxhash64("key"))).alias("keys"))
+    x = pairs.join(sets.toDF("i", "ki"), "i").join(sets.toDF("j", "kj"), "j")
+    x = x.select("i", "j", F.size("ki").alias("ni"), F.size("kj").alias("nj"), F.size(F.array_intersect("ki", "kj")).cast("long").alias("overlap"))
+    return x.select("i", "j", "overlap", (F.col("overlap") / (F.col("ni") + F.col("nj") - F.col("overlap"))).alias("jaccard"))
+
+
 def eligible(pairs: DataFrame, rare_items: DataFrame) -> DataFrame:
     """pairs (i, j) that share no rare key."""
     return pairs.join(sharing(rare_items.select("item", "key")).select("i", "j"), ["i", "j"], "left_anti")
@@ -68,12 +80,10 @@ def neighbours(rare_items: DataFrame, least: int = 2, cap: int = 150) -> DataFra
 
 def bridge_triples(rare_items: DataFrame, area: DataFrame, cites: DataFrame | None = None, cap: int = 150) -> DataFrame:
     """a < b, c, score: c shares rare keys with both a and b, which share none, in three different areas; the first c of each (a, b) wins."""
-    n = neighbours(rare_items, 2, cap)
-    left, right = n.toDF("c", "a", "wa"), n.toDF("c", "b", "wb")
-    x = left.join(right, "c").filter("a < b")
-    for k in ("a", "b", "c"):
-        x = x.join(area.select(F.col("item").alias(k), F.col("area").alias(f"area_{k}")), k)
-    x = x.filter("area_a <> area_b AND area_a <> area_c AND area_b <> area_c")
+    # areas go in before the two sides of a centre meet, so pairs within an area are never made
+    n = neighbours(rare_items, 2, cap).join(area.toDF("c", "area_c"), "c").join(area.toDF("x", "area_x"), "x").filter("area_c <> area_x")
+    left, right = n.select("c", F.col("x").alias("a"), F.col("weight").alias("wa"), F.col("area_x").alias("area_a")), n.select("c", F.col("x").alias("b"), F.col("weight").alias("wb"), F.col("area_x").alias("area_b"))
+    x = left.join(right, "c").filter("a < b AND area_a <> area_b")
     x = x.join(sharing(rare_items.select("item", "key")).toDF("a", "b", "shared"), ["a", "b"], "left_anti")
     if cites is not None:
         both = cites.select(F.col("item").alias("p"), F.col("cited").alias("q"))
@@ -99,12 +109,11 @@ def outermost(spans: DataFrame, by: str, start: str, end: str, key: str) -> Data
     return spans.withColumn("__reach", F.max(end).over(w)).filter(F.col("__reach").isNull() | (F.col("__reach") < F.col(end))).drop("__reach")
 
 
-def far_pairs(rare_items: DataFrame, area: DataFrame, sizes: DataFrame, all_items: DataFrame, limit: float = 0.05, per_key: int = 20) -> DataFrame:
+def far_pairs(rare_items: DataFrame, area: DataFrame, all_items: DataFrame, limit: float = 0.05, per_key: int = 20) -> DataFrame:
     """i < j, key: pairs of different areas that share a rare key though their Jaccard is below limit; the rarest key of a pair, at most per_key pairs of a key in seeded order."""
     left, right = rare_items.select("key", "df", F.col("item").alias("i")), rare_items.select("key", F.col("item").alias("j"))
     x = left.join(right, "key").filter("i < j").groupBy("i", "j").agg(F.min_by("key", F.struct("df", "key")).alias("key"))
     x = x.join(area.toDF("i", "ai"), "i").join(area.toDF("j", "aj"), "j").filter("ai <> aj")
-    j = jaccard(all_items.join(x.select(F.explode(F.array("i", "j")).alias("item")).distinct(), "item", "left_semi"))
-    x = x.join(j, ["i", "j"]).filter(F.col("jaccard") < limit)
+    x = x.join(jaccard_of(x.select("i", "j"), all_items), ["i", "j"]).filter(F.col("jaccard") < limit)
     w = Window.partitionBy("key").orderBy(F.sha2(F.concat_ws(":", F.lit("far"), "i", "j"), 256))
     return x.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= per_key).select("i", "j", "key")

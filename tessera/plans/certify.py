@@ -44,10 +44,10 @@ def registry_classes(spark, d):
     return certify.registry(ids, p)
 
 
-@query("relation_faults", "with k as (select doc_id id, n_chars % 7 c from documents where doc_id < 60), p as (select a.id a, b.id b, a.c = b.c same from k a join k b on a.id <= b.id) select 'none' fault, count(*) pairs, count(*) filter (where same) same from p")
+@query("relation_faults", "with p as (select a.n_nationkey a, b.n_nationkey b, a.n_regionkey = b.n_regionkey same from nation a join nation b on a.n_nationkey <= b.n_nationkey) select 'none' fault, count(*) pairs, count(*) filter (where same) same from p")
 def relation_faults(spark, d):
-    """A relation that is an equivalence: the check finds nothing."""
-    k = t.load(spark, d, "documents", ["doc_id", "n_chars"]).filter("doc_id < 60").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 7).alias("c"))
+    """A complete relation that is an equivalence (nations of one region): the check finds nothing. All pairs are what such a relation is, hence the small table."""
+    k = t.load(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("c"))
     p = k.toDF("a", "ca").join(k.toDF("b", "cb"), F.col("a") <= F.col("b")).select("a", "b", (F.col("ca") == F.col("cb")).alias("same"))
     bad = certify.relation_faults(k.select("id"), p).agg(F.coalesce(F.min("fault"), F.lit("none")).alias("fault"))
     return bad.crossJoin(p.agg(F.count("*").alias("pairs"), F.count_if("same").alias("same")))
@@ -131,18 +131,16 @@ def length_batches(spark, d):
 
 @query("greedy_matching", None)
 def greedy_matching(spark, d):
-    """Over the 2,000 first new pairs in hash order, the bound of what one task gets."""
     from .texts import _new_pairs
 
-    e = _new_pairs(spark, d).select("i", "j").distinct().orderBy(F.sha2(F.concat_ws("|", "i", "j"), 256)).limit(2000)
-    return greedy.matching(e.toDF("u", "v"))
+    return greedy.matching(_new_pairs(spark, d).select(F.col("i").alias("u"), F.col("j").alias("v")))
 
 
 @query("greedy_arm_fill", None)
 def greedy_arm_fill(spark, d):
     c = pairs.co_cited(t.citations(spark, d).select(F.col("paper").alias("list"), F.col("work").alias("item")))
     x = c.select(F.when(F.col("i") % 2 == 0, "even").otherwise("odd").alias("arm"), F.col("i").alias("u"), F.col("j").alias("v"), F.col("n").cast("double").alias("score"))
-    return greedy.fill(x.orderBy(F.desc("score"), "u", "v").limit(2000), ["even", "odd"], 25)
+    return greedy.fill(x, ["even", "odd"], 25)
 
 
 def _features(spark, d):
@@ -201,7 +199,7 @@ def svd_similarity(spark, d):
 @query("hull_relation", None)
 def hull_relation(spark, d):
     """Hulls of the vectors of neighbouring labels in their first three dimensions."""
-    e = t.load(spark, d, "embeddings").filter("vec_id < 200").select(F.col("label").cast("long").alias("object"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("v"))
+    e = t.load(spark, d, "embeddings").select(F.col("label").cast("long").alias("object"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("v"))
     p = e.select(F.col("object").alias("left")).distinct().withColumn("right", (F.col("left") + 1) % 10).filter("left <> right")
     return certify.hull_relations(p, e)
 
@@ -216,8 +214,4 @@ def jump_triplets(spark, d):
     early = cit.select("work", F.col("paper").alias("positive"), F.col("year").alias("py"), F.col("area").alias("home"))
     x = jump.join(early, "work").filter("py < year").groupBy("work", "area", "anchor").agg(F.min_by(F.struct("positive", "home"), h("anchor", "positive")).alias("p"))
     x = x.select("work", "area", "anchor", "p.positive", "p.home")
-    other = cit.select(F.col("area").alias("home"), "paper").distinct()
-    first_of = F.row_number().over(Window.partitionBy("home").orderBy(h("home", "paper")))
-    pool = other.withColumn("n", first_of).filter("n <= 200").select("home", F.col("paper").alias("negative"))
-    x = x.join(F.broadcast(pool), "home").join(cit.select("work", F.col("paper").alias("negative")), ["work", "negative"], "left_anti")
-    return x.groupBy("work", "area", "anchor", "positive").agg(F.min_by("negative", h("anchor", "negative")).alias("negative"))
+    return grid.negatives(x, cit).select("work", "area", "anchor", "positive", "negative")

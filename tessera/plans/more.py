@@ -80,12 +80,13 @@ def unordered_dedupe(spark, d):
     return li.groupBy(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"))
 
 
-@query("shared_rare_label", f"with {texts.TOK}, {texts.DF}, {texts.LOWRARE}, p as (select a.doc_id i, b.doc_id j from labels a join labels b on a.doc_id < b.doc_id and a.doc_id % 20 = b.doc_id % 20), s as (select distinct a.item i, b.item j from low a join low b on a.key = b.key and a.item < b.item) select count(*) pairs, count(s.i) sharing from p left join s on s.i = p.i and s.j = p.j")
+@query("shared_rare_label", f"with {texts.TOK}, {texts.DF}, {texts.LOWRARE}, n as (select count(*) n from labels), s as (select distinct a.item i, b.item j from low a join low b on a.key = b.key and a.item < b.item) select (select n * (n - 1) // 2 from n)::bigint pairs, count(*) sharing from s where i in (select doc_id from labels) and j in (select doc_id from labels)")
 def shared_rare_label(spark, d):
-    x = t.load(spark, d, "labels").select("doc_id", (F.col("doc_id") % 20).alias("g"))
-    p = x.toDF("i", "g").join(x.toDF("j", "g"), "g").filter("i < j").select("i", "j")
-    s = pairs.sharing(texts.low(spark, d).select("item", "key")).select("i", "j", F.lit(1).alias("hit"))
-    return p.join(s, ["i", "j"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("sharing"))
+    """Of all pairs of labelled documents, how many there are and how many share a rare word; the pairs that don't are counted, not made."""
+    x = t.load(spark, d, "labels").select(F.col("doc_id").alias("item"))
+    s = pairs.sharing(texts.low(spark, d).select("item", "key").join(x, "item", "left_semi"))
+    n = x.agg(F.count("*").alias("n"))
+    return s.agg(F.count("*").alias("sharing")).crossJoin(n).select(F.expr("cast(n * (n - 1) / 2 as bigint)").alias("pairs"), "sharing")
 
 
 @query("corpus_summary", "select count(*) docs, count(distinct text) texts, count(distinct lang) langs, count(distinct source) sources, count(*) filter (where n_chars > 2000) long_docs, sum(n_chars)::bigint chars from documents")
@@ -94,11 +95,11 @@ def corpus_summary(spark, d):
     return x.agg(F.count("*").alias("docs"), F.countDistinct(F.sha2("text", 256)).alias("texts"), F.countDistinct("lang").alias("langs"), F.countDistinct("source").alias("sources"), F.count_if(F.col("n_chars") > 2000).alias("long_docs"), F.sum("n_chars").alias("chars"))
 
 
-@query("pair_baselines", with_sql("paper", "cit") + ", dg as (select work, count(*) n from cit group by 1), p as (select a.work i, b.work j, count(*) n from cit a join cit b on a.paper = b.paper and a.work < b.work and a.year = 1995 group by 1, 2) select p.i, p.j, round(ln(1 + x.n) + ln(1 + y.n), 6) popular, round(p.n::double / (x.n + y.n - p.n), 6) jaccard from p join dg x on x.work = p.i join dg y on y.work = p.j")
+@query("pair_baselines", with_sql("paper", "cit") + ", dg as (select work, count(*) n from cit group by 1), p as (select a.work i, b.work j, count(*) n from cit a join cit b on a.paper = b.paper and a.work < b.work group by 1, 2) select p.i, p.j, round(ln(1 + x.n) + ln(1 + y.n), 6) popular, round(p.n::double / (x.n + y.n - p.n), 6) jaccard from p join dg x on x.work = p.i join dg y on y.work = p.j")
 def pair_baselines(spark, d):
     cit = t.citations(spark, d)
     n = cit.groupBy("work").agg(F.count("*").alias("n"))
-    p = pairs.co_cited(cit.filter("year = 1995").select(F.col("paper").alias("list"), F.col("work").alias("item"))).withColumnRenamed("n", "c")
+    p = pairs.co_cited(cit.select(F.col("paper").alias("list"), F.col("work").alias("item"))).withColumnRenamed("n", "c")
     p = p.join(n.toDF("i", "ni"), "i").join(n.toDF("j", "nj"), "j")
     return p.select("i", "j", rounded(F.log1p("ni") + F.log1p("nj"), 6).alias("popular"), rounded(F.col("c") / (F.col("ni") + F.col("nj") - F.col("c")), 6).alias("jaccard"))
 
@@ -221,17 +222,19 @@ def centroid_shift(spark, d):
     return s.agg(*(F.percentile("s", F.lit(q)).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75), 1)))
 
 
-@query("truth_vectors", None)
+@query("truth_vectors", """with f as (select p_partkey, p_partkey % 8 a, p_size % 8 b, p_partkey % 4 op from part),
+x as (select p_partkey, op, unnest(range(256)) v, a, b from f), y as (select p_partkey, op, (v >> a) & 1 l, 1 - ((v >> b) & 1) r from x)
+select p_partkey, count(*) filter (where case op when 0 then l <= r when 1 then l = 1 and r = 1 when 2 then l = 1 or r = 1 else l = r end) holds from y group by p_partkey""")
 def truth_vectors(spark, d):
-    """Equivalent formulas have equal vectors."""
-    rows = [("A → B", "¬A ∨ B"), ("¬(A ∧ B)", "¬A ∨ ¬B"), ("A ∧ (B ∨ C)", "(A ∧ B) ∨ (A ∧ C)"), ("A → B → C", "(A → B) → C")]
-    x = spark.createDataFrame(rows, "a string, b string")
-    return x.select("a", "b", (formal.truth_udf("a") == formal.truth_udf("b")).alias("equal"))
+    """Formulas made of the parts' numbers, and under how many valuations each holds."""
+    op = F.element_at(F.array(*map(F.lit, "→∧∨↔")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    f = t.load(spark, d, "part", ["p_partkey", "p_size"]).withColumn("f", F.format_string("p%d %s ¬p%d", F.col("p_partkey") % 8, op, F.col("p_size") % 8))
+    kinds = f.select("f").distinct().withColumn("holds", F.size(F.filter(formal.truth_vector(F.col("f")), lambda x: x > 0)).cast("long"))
+    return f.join(kinds, "f").select("p_partkey", "holds")
 
 
-@query("whole_name_hits", None)
+@query("whole_name_hits", r"select source, count(*) n from documents where regexp_matches(text, '(^|[^\p{L}\p{N}_''!?.\x{2100}-\x{214F}])the($|[^\p{L}\p{N}_''!?.\x{2100}-\x{214F}])') group by source")
 def whole_name_hits(spark, d):
-    """Look-around has no counterpart in the oracle's patterns."""
     return t.load(spark, d, "documents", ["source", "text"]).filter(formal.whole_name("text", "the")).groupBy("source").agg(F.count("*").alias("n"))
 
 

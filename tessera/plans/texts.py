@@ -65,13 +65,7 @@ voc as (select i, j, overlap, overlap::double / (a.n + b.n - overlap) jaccard fr
 
 def _vocab(spark, d):
     """Jaccard of whole vocabularies for the pairs that share a rare key."""
-    x = tok(spark, d)
-    size = x.groupBy("item").agg(F.count("*").alias("n"))
-    p = pairs.sharing(low(spark, d).select("item", "key")).select("i", "j")
-    sets = x.groupBy("item").agg(F.collect_list("key").alias("keys"))
-    p = p.join(sets.toDF("i", "ki"), "i").join(sets.toDF("j", "kj"), "j").select("i", "j", F.size(F.array_intersect("ki", "kj")).cast("long").alias("overlap"))
-    p = p.join(size.toDF("i", "ni"), "i").join(size.toDF("j", "nj"), "j")
-    return p.select("i", "j", "overlap", (F.col("overlap") / (F.col("ni") + F.col("nj") - F.col("overlap"))).alias("jaccard"))
+    return pairs.jaccard_of(pairs.sharing(low(spark, d).select("item", "key")).select("i", "j"), tok(spark, d))
 
 
 @query("vocab_jaccard", f"with {TOK}, {DF}, {LOWRARE}, {VOCAB} select i, j, overlap, round(jaccard, 6) jaccard from voc")
@@ -179,15 +173,7 @@ def token_containment_match(spark, d):
 x as (select k.i, k.j, k.key from k join voc on voc.i = k.i and voc.j = k.j join area a on a.item = k.i join area b on b.item = k.j where a.area <> b.area and jaccard < 0.15::double)
 select i, j, key from x qualify row_number() over (partition by key order by sha256('far:' || i || ':' || j)) <= 20""")
 def far_pairs(spark, d):
-    r = low(spark, d)
-    left, right = r.select("key", "df", F.col("item").alias("i")), r.select("key", F.col("item").alias("j"))
-    x = left.join(right, "key").filter("i < j").groupBy("i", "j").agg(F.min_by("key", F.struct("df", "key")).alias("key"))
-    a = area(spark, d)
-    x = x.join(a.toDF("i", "ai"), "i").join(a.toDF("j", "aj"), "j").filter("ai <> aj").join(_vocab(spark, d), ["i", "j"]).filter(F.col("jaccard") < F.lit(0.15))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("key").orderBy(F.sha2(F.concat_ws(":", F.lit("far"), "i", "j"), 256))
-    return x.withColumn("n", F.row_number().over(w)).filter("n <= 20").select("i", "j", "key")
+    return pairs.far_pairs(low(spark, d), area(spark, d), tok(spark, d), limit=0.15)
 
 
 @query("rarity_pdf", f"""with {TOK}, {DF}, n as (select df, count(*) keys from df group by df) select df, keys, round(case when lag(df) over (order by df) is not null then (ln(keys) - ln(lag(keys) over (order by df))) / (ln(df) - ln(lag(df) over (order by df))) end, 6) slope from n""")
@@ -200,10 +186,10 @@ def rarity_pdf(spark, d):
     return n.select("df", "keys", rounded(step, 6).alias("slope"))
 
 
-@query("adamic_adar", with_sql("paper", "cit") + """, e as (select distinct area item, work as key from cit where year = 1995), w as (select key, 1 / ln(greatest(count(*), 2)) w from e group by key)
+@query("adamic_adar", with_sql("paper", "cit") + """, e as (select distinct area item, work as key from cit), w as (select key, 1 / ln(greatest(count(*), 2)) w from e group by key)
 select a.item i, b.item j, round(sum(w.w), 6) score from e a join e b on a.key = b.key and a.item < b.item join w on w.key = a.key group by 1, 2""")
 def adamic_adar(spark, d):
-    e = t.citations(spark, d).filter("year = 1995").select(F.col("area").alias("item"), F.col("work").alias("key"))
+    e = t.citations(spark, d).select(F.col("area").alias("item"), F.col("work").alias("key"))
     return pairs.adamic_adar(e).withColumn("score", rounded("score", 6))
 
 
@@ -289,10 +275,14 @@ def asof_enclosing(spark, d):
     return pairs.as_of(x.filter("event_type <> first").select("event_id", "user_id", "ts"), heads, "user_id", "ts", "header").select("event_id", "header")
 
 
-@query("outermost_interval", """with s as (select l_orderkey k, l_linenumber n, l_partkey::bigint s, (l_partkey + l_quantity * 10)::bigint e from lineitem)
+@query("outermost_interval", """with s as (select l_orderkey k, row_number() over (partition by l_orderkey order by l_partkey, l_quantity) n, l_partkey::bigint s, (l_partkey + l_quantity * 10)::bigint e from lineitem)
 select k, n, s, e from s where not exists (select 1 from s o where o.k = s.k and o.n <> s.n and o.s <= s.s and o.e >= s.e and (o.s < s.s or o.e > s.e or o.n < s.n))""")
 def outermost_interval(spark, d):
-    s = t.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("long").alias("s"), (F.col("l_partkey") + F.col("l_quantity") * 10).cast("long").alias("e"))
+    """Lines have no key of their own: they are numbered within their order; lines that tie in that are equal spans."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_quantity")).cast("long")
+    s = t.load(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_quantity"]).select(F.col("l_orderkey").alias("k"), n.alias("n"), F.col("l_partkey").cast("long").alias("s"), (F.col("l_partkey") + F.col("l_quantity") * 10).cast("long").alias("e"))
     return pairs.outermost(s, "k", "s", "e", "n")
 
 

@@ -124,13 +124,13 @@ def knn_anomaly(spark, d):
     return _knn(spark, d).groupBy("query").agg(rounded(F.avg(1 - F.col("sim")), 6).alias("score"))
 
 
-@query("neighbourhood_kept", f"""with {U}, {KNN}, q as (select a.id query, b.id, row_number() over (partition by a.id order by round(list_sum(list_transform(range(1, 9), lambda i: a.u[i] * b.u[i])), 9) desc, b.id) rank from u a join u b on a.id <> b.id and a.id % 20 = 0 qualify rank <= 10)
+@query("neighbourhood_kept", f"""with {U}, {KNN}, q as (select a.id query, b.id, row_number() over (partition by a.id order by round(list_sum(list_transform(range(1, 9), lambda i: a.u[i] * b.u[i])), 9) desc, b.id) rank from u a join u b on a.id <> b.id qualify rank <= 10)
 select q.query, count(k.id) kept from q left join k on k.query = q.query and k.id = q.id group by 1""")
 def neighbourhood_kept(spark, d):
     x = rows(spark, d)
     flat = x.withColumn("u", F.slice("u", 1, 8))
-    low = ops.knn(flat, flat.filter("id % 20 = 0"), 10).select("query", "id")
-    full = ops.knn(x, x.filter("id % 20 = 0"), 10).select("query", "id", F.lit(1).alias("hit"))
+    low = ops.knn(flat, flat, 10).select("query", "id")
+    full = ops.knn(x, x, 10).select("query", "id", F.lit(1).alias("hit"))
     return low.join(full, ["query", "id"], "left").groupBy("query").agg(F.count("hit").alias("kept"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +17,19 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that all executors share (spark.checkpoint.dir), where its lineage ends; a local folder only where Spark is one process."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[[\d*, ]+\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("compression", "gzip").json(path)
 

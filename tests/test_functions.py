@@ -15,9 +15,9 @@ def test_exact_tests():
 
 def test_truth_tables():
     same = lambda a, b: np.array_equal(formal.truth_table(a), formal.truth_table(b))
-    assert same("A → B", "¬A ∨ B") and same("A → B → C", "A → (B → C)") and not same("A → B → C", "(A → B) → C")
-    assert same("A ∧ B ∨ C", "(A ∧ B) ∨ C") and formal.truth_table("A ∨ ¬A").all() and not formal.truth_table("False").any()
-    for bad in ("A ∧", "(A", "A B", "Z", ""):
+    assert same("p0 → p1", "¬p0 ∨ p1") and same("p0 → p1 → p2", "p0 → (p1 → p2)") and not same("p0 → p1 → p2", "(p0 → p1) → p2")
+    assert same("p0 ∧ p1 ∨ p2", "(p0 ∧ p1) ∨ p2") and formal.truth_table("p0 ∨ ¬p0").all() and not formal.truth_table("False").any()
+    for bad in ("p0 ∧", "(p0", "p0 p1", "p8", "Z", ""):
         with pytest.raises(ValueError):
             formal.truth_table(bad)
 
@@ -26,8 +26,8 @@ def test_states_and_names(spark):
     state = "x : ℕ\nh : x  > 0\n⊢ x ≠ 0"
     assert formal.content_view(state, "goal") == "x ≠ 0" and formal.content_view(state, "hypotheses") == "x : ℕ\nh : x > 0"
     assert formal.state_parts("no goals") == {"hypotheses": ["no goals"], "goal": []}
-    x = spark.createDataFrame([("use foo.bar here",), ("foo.bar'",), ("foo.bar.baz",), ("x.foo.bar",), ("(foo.bar).",)], "t string")
-    assert [r[0] for r in x.select(formal.whole_name("t", "foo.bar")).collect()] == [True, False, False, False, True]
+    x = spark.createDataFrame([("use foo.bar here",), ("foo.bar'",), ("foo.bar.baz",), ("x.foo.bar",), ("(foo.bar).",), ("by foo.bar. Then",)], "t string")
+    assert [r[0] for r in x.select(formal.whole_name("t", "foo.bar")).collect()] == [True, False, False, False, True, False]
 
 
 def test_rounding_sql():

@@ -1,13 +1,14 @@
 """Pair joins, text functions, sources, certificates, greedy choices and models on small inputs."""
 
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import certify, greedy, models, pairs
+from tessera.operators import certify, greedy, grid, models, pairs
 from tessera.operators import vectors as vec
 from tessera.sources import tables as t
 
@@ -177,3 +178,55 @@ def test_line_spans(spark):
     src = spark.createDataFrame([("f", "one\ntwo\nthree\nfour")], "file string, text string")
     r = spark.createDataFrame([("f", "x", 2, 3)], "file string, name string, first int, last int")
     assert records.line_spans(r, src).first()["body"] == "two\nthree"
+
+
+def test_matching_in_rounds_equals_one_pass(spark):
+    rng = random.Random(7)
+    for n, m in ((12, 20), (60, 400), (5, 3)):
+        edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(m)})
+        deg = {}
+        for u, v in edges:
+            if u != v:
+                deg[u], deg[v] = deg.get(u, 0) + 1, deg.get(v, 0) + 1
+        used, want = set(), set()
+        for _, u, v in sorted((deg[u] + deg[v], u, v) for u, v in edges if u != v):
+            if u not in used and v not in used:
+                used |= {u, v}
+                want.add((u, v))
+        assert {(r["u"], r["v"]) for r in greedy.matching(spark.createDataFrame(edges, "u long, v long")).collect()} == want
+
+
+def test_fill_reaches_candidates_however_far_down(spark):
+    # a hub takes the first places of both arms far beyond the length of a list
+    rows = [(arm, 0, k, 1000.0 - k) for arm in "xy" for k in range(1, 60)] + [(arm, 100 + k, 200 + k, float(-k)) for arm in "xy" for k in range(5)]
+    got = [(r["arm"], r["u"], r["v"]) for r in greedy.fill(spark.createDataFrame(rows, "arm string, u long, v long, score double"), ["x", "y"], 4).orderBy("arm", "place").collect()]
+    count, taken, want = {}, set(), []
+    for arm in "xy":
+        n = 0
+        for _, u, v, _ in sorted((r for r in rows if r[0] == arm), key=lambda r: (-r[3], r[1], r[2])):
+            if n < 4 and (u, v) not in taken and count.get(u, 0) < 2 and count.get(v, 0) < 2:
+                taken.add((u, v))
+                count[u], count[v] = count.get(u, 0) + 1, count.get(v, 0) + 1
+                want.append((arm, u, v))
+                n += 1
+    assert got == want and len(got) == 7
+
+
+def test_negatives_come_from_all_papers_of_an_area(spark):
+    cit = [(p, w, p % 2, 2000) for p in range(60) for w in range(3) if (p * 7 + w) % 5 < 4 or w == 2]
+    cit = [c for c in cit if not (c[1] == 2 and c[2] == 1 and c[0] != 59)]  # work 2: all of area 0, one of area 1
+    table = spark.createDataFrame(cit, "paper long, work long, area long, year int")
+    anchors = [(w, a, h) for w in range(3) for a in (3, 4) for h in (0, 1)]
+    got = {(r["work"], r["anchor"], r["home"]): r["negative"] for r in grid.negatives(spark.createDataFrame(anchors, "work long, anchor long, home long"), table).collect()}
+    for w, a, h in anchors:
+        fit = {p for p, _, area, _ in cit if area == h} - {p for p, x, _, _ in cit if x == w}
+        assert (w, a, h) in got if fit else (w, a, h) not in got
+        assert not fit or got[w, a, h] in fit
+    assert (2, 3, 0) not in got and len(set(got.values())) > 3
+
+
+def test_outermost_with_repeated_spans(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(4), n, s, s + rng.randrange(6)) for n in range(80) for s in [rng.randrange(12)]]
+    want = {r for r in rows if not any(o[0] == r[0] and o[1] != r[1] and o[2] <= r[2] and o[3] >= r[3] and (o[2:] != r[2:] or o[1] < r[1]) for o in rows)}
+    assert {tuple(r) for r in pairs.outermost(spark.createDataFrame(rows, "k int, n int, s int, e int"), "k", "s", "e", "n").collect()} == want

@@ -12,25 +12,31 @@ from tessera.sources import records, sinks
 
 
 def test_tex_sources_and_contexts(spark, tmp_path):
-    body = "\\section{Introduction}\nWe use \\cite{HJ, other}.\n\\begin{proof}[Proof of the main theorem]\nBy \\citep[p. 3]{HJ} done."
+    body = "Before, \\citet{HJ}. 50\\% of it % but not \\cite{HJ}\n\\section{First steps}\nWe use \\parencite[see][p. 3]{HJ, other}.\n\\subsection*{How it ends}\nBy \\citep{ other , HJ} done, and \\cite{else}."
     buf = io.BytesIO()
     with tarfile.open(fileobj=buf, mode="w") as tar:
-        for name, text in (("a.tex", body), ("a.bbl", "\\bibitem{HJ} Horn and\n Johnson. \\bibitem[x]{other} Other.")):
+        for name, text in (("A.LTX", body), ("a.bbl", "\\bibitem{HJ} Horn and\n Johnson. \\bibitem[x]{other} Other."), ("notes.txt", "no")):
             info = tarfile.TarInfo(name)
             info.size = len(text)
             tar.addfile(info, io.BytesIO(text.encode()))
     (tmp_path / "one.gz").write_bytes(gzip.compress(buf.getvalue()))
     (tmp_path / "two.gz").write_bytes(b"%PDF-1.4 \0")
+    (tmp_path / "six.gz").write_bytes(gzip.compress(b"a single file"))
     rows = {r["path"][-6:]: r for r in records.tex_sources(spark, str(tmp_path)).collect()}
-    assert rows["two.gz"]["body"] is None and rows["one.gz"]["body"].startswith("\\section")
+    assert rows["two.gz"]["body"] is None and rows["one.gz"]["body"].startswith("Before") and rows["six.gz"]["body"] == "a single file"
     got = records.citation_contexts(rows["one.gz"]["body"], {"HJ"})
-    assert [h for h, _ in got] == ["Introduction", "Proof of the main theorem"]
+    assert [h for h, _ in got] == ["(before the first section)", "First steps", "How it ends"]
+    assert "50\\% of it \\section" in got[0][1] and "but not" not in got[0][1]
+    assert len(records.citation_contexts(rows["one.gz"]["body"], {"other"})) == 2 and len(records.citation_contexts(rows["one.gz"]["body"], {"HJ"}, most=1)) == 1
     assert records.bib_entries(rows["one.gz"]["bib"]) == {"HJ": "Horn and Johnson.", "other": "Other."}
 
 
-def test_declarations_follow_namespaces_and_skip_comments():
-    source = "namespace A\n/- theorem no : True\n/- nested -/ lemma no2 -/\ntheorem one : True := trivial\nsection\n@[simp] private lemma two (x) := x\nend\nend A\n-- def three\ndef four := 1"
-    assert records.declarations(source) == [(4, "A.one"), (6, "A.two"), (10, "four")]
+def test_declarations_follow_namespaces_and_skip_comments(spark):
+    source = "namespace A\n/- theorem no : True\n/- nested -/ lemma no2 -/\ntheorem one : True := trivial\nsection\n@[simp] private lemma two (x) := x\nend\ntheorem _root_.B.three : True\n  theorem indented : True\nend A\n-- def four\ndef five := 1\ninstance : Inhabited A := six\nexample : True := trivial"
+    want = [(4, "A.one"), (6, "A.two"), (8, "B.three"), (12, None), (13, None), (14, None)]
+    assert records.declarations(source) == want
+    rows = spark.createDataFrame([("f", source), ("g", None)], "file string, text string")
+    assert [(r["line"], r["name"]) for r in records.parsed_declarations(rows, "file", "text").orderBy("line").collect()] == want
 
 
 def test_concatenated_json(spark):
