@@ -28,6 +28,7 @@ from __future__ import annotations
 import functools
 import gc
 import heapq
+import itertools
 import zlib
 from array import array
 from collections import defaultdict
@@ -66,7 +67,10 @@ class Lattice:
     def __init__(self, pieces: dict[str, tuple[int, float]], bytes_: list[tuple[int, float]]):
         self.pieces, self.bytes_ = pieces, bytes_
         self.widest = max(map(len, pieces), default=1)
-        self.spelled = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, (i, _) in enumerate(bytes_)}
+        spelled = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, (i, _) in enumerate(bytes_)}
+        self.spelling = np.full(max(spelled) + 1, b"", object)
+        for i, b in spelled.items():
+            self.spelling[i] = b
         # pieces spelled backward, as a trie: character -> (further characters, id or -1, score)
         self.reversed_: dict = {}
         for piece, (i, more) in pieces.items():
@@ -238,51 +242,43 @@ class Lattice:
             yield one, gap
             before = w
 
-    def best_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of sorted words: best score, loss of the second best, ids one after another, and where each word's ids end."""
-        score, loss, flat, ends = [], [], [], []
+    def best_of(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of words numbered from 0: best score, loss of the second best, ids one after another, and the number of each word's ids."""
         if len(self.known) >= KNOWN:  # words that are met again stay for one more time
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         found = [known.get(w) or before.get(w) for w in words]
-        passes = self.forward([w for w, x in zip(words, found, strict=True) if x is None])
-        for w, x in zip(words, found, strict=True):
-            if x is None:
-                one, gap = next(passes)
-                ids, second = self.first(w, one, gap)
-                x = one[-1], second, tuple(ids)
+        new = sorted(w for w, x in zip(words, found, strict=True) if x is None)
+        for w, (one, gap) in zip(new, self.forward(new), strict=True):
+            ids, second = self.first(w, one, gap)
+            found[words[w]] = x = one[-1], second, tuple(ids)
             if len(w) <= SHORT:
                 known[w] = x
-            score.append(x[0])
-            loss.append(x[1])
-            flat += x[2]
-            ends.append(len(flat))
-        return np.array(score), np.array(loss), np.array(flat, np.int64), np.array(ends, np.int64)
+        if before:
+            known.update((w, x) for w, x in zip(words, found, strict=True) if w in before)
+        flat = np.fromiter(itertools.chain.from_iterable(x[2] for x in found), np.int64)
+        score, loss = (np.fromiter((x[k] for x in found), np.float64, len(found)) for k in (0, 1))
+        return score, loss, flat, np.fromiter((len(x[2]) for x in found), np.int64, len(found))
 
     def encode_batch(self, texts: list[str | None], n: int = N_BEST) -> list[list[tuple[float, np.ndarray]] | None]:
         """Of each text, its n best segmentations: score and ids."""
         seen: dict[str, int] = defaultdict()
         seen.default_factory = seen.__len__
         coded = [None if t is None else np.fromiter(map(seen.__getitem__, self.words(t)), np.int64) for t in texts]
-        names = list(seen)
-        order = sorted(range(len(names)), key=names.__getitem__)
-        score, loss, flat, ends = self.best_of([names[i] for i in order])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        size = np.diff(ends, prepend=0)
+        score, loss, flat, size = self.best_of(seen)
+        names, ends = list(seen), np.cumsum(size)
         out: list = []
-        for words in coded:
-            if words is None:
+        for c in coded:
+            if c is None:
                 out.append(None)
                 continue
-            c = place[words]
             before = np.append(0, np.cumsum(size[c]))  # of each word, the ids of the text before it
             ids = flat[np.repeat(ends[c] - size[c] - before[:-1], size[c]) + np.arange(before[-1])]
             losses = loss[c]
             # only the n - 1 words with the least first losses can differ from their best
             some = np.argpartition(losses, n - 2)[: n - 1] if len(c) > n - 1 > 0 else np.arange(len(c) if n > 1 else 0)
             some = np.sort(some[np.isfinite(losses[some])]).tolist()
-            lists = [self.n_best(names[words[k]], n) for k in some]
+            lists = [self.n_best(names[c[k]], n) for k in some]
             top, found = float(score[c].sum()), []
             for less, picks in _cheapest([[x[0].score - b.score for b in x] for x in lists], n):
                 parts, at = [], 0
@@ -305,14 +301,10 @@ class Lattice:
 
     def decode(self, ids) -> str:
         """Text of the ids: what pieces spell, marks as spaces, byte pieces as their bytes."""
-        return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
+        return self.spell(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
-    def same(self, a: np.ndarray, b: np.ndarray) -> bool:
-        """Whether two lists of ids spell the same; only what lies between their common ends is spelled."""
-        m = min(len(a), len(b))
-        lo = int(np.argmin(np.append(a[:m] == b[:m], False)))
-        hi = int(np.argmin(np.append(a[lo:][::-1][: m - lo] == b[lo:][::-1][: m - lo], False)))
-        return self.decode(a[lo : len(a) - hi].tolist()) == self.decode(b[lo : len(b) - hi].tolist())
+    def spell(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.spelling[ids].tolist())
 
 
 def _cheapest(losses: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -335,7 +327,7 @@ def _crc(ids: np.ndarray) -> int:
 def encoded(docs: DataFrame, keep: list[str], n: int = N_BEST, path: str | None = None, ids: bool = True) -> DataFrame:
     """Columns `keep` of docs with the n best segmentations, best first.
 
-    n_pieces and ids_crc32 of the best, scores and crc32 of each, decoded (whether the ids of each give the text
+    n_pieces and ids_crc32 of the best, scores and crc32 of each, decoded (whether the ids of the best give the text
     back), and the ids of each themselves if asked for.
     """
 
@@ -349,7 +341,7 @@ def encoded(docs: DataFrame, keep: list[str], n: int = N_BEST, path: str | None
                     row = (0, None, [], [], None, [])
                 else:
                     sums = [_crc(x) for _, x in found]
-                    fine = model.decode(found[0][1].tolist()) == t and all(model.same(found[0][1], x) for _, x in found[1:])
+                    fine = model.spell(found[0][1]) == t.encode("utf-8", "replace")
                     row = (len(found[0][1]), sums[0], [s for s, _ in found], sums, fine, [x for _, x in found])
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
