@@ -99,17 +99,17 @@ def _bucket(width: int, gram: int, pdf: pd.DataFrame) -> pd.DataFrame:
     copies = pdf["copies"].to_numpy()
     which, off, group = bwt.repeats(parts, width, copies[string])
     which, off = string[which], off + place[which]
-    where = pdf["start"].to_numpy()[which] + off
-    order = np.lexsort((where, pdf["rid"].to_numpy()[which], group))
-    later = np.zeros(len(order), bool)
+    later = np.zeros(len(which), bool)
+    some = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)  # only these stand behind another string's window
+    where = pdf["start"].to_numpy()[which[some]] + off[some]
+    order = some[np.lexsort((where, pdf["rid"].to_numpy()[which[some]], group[some]))]
     later[order[1:]] = group[order[1:]] == group[order[:-1]]
     mh, ch, base = pdf["mh"].to_numpy(), pdf["ch"].to_numpy(), pdf["off"].to_numpy()
     rows = []
     for first, keep in ((False, copies[which] > 1), (True, later)):
         # windows by string and place, cut into runs that overlap
-        w, o = which[keep], off[keep]
-        by = np.lexsort((o, w))
-        w, o = w[by], o[by]
+        place_ = np.sort(which[keep] << 32 | off[keep])
+        w, o = place_ >> 32, place_ & 0xFFFF_FFFF
         if not len(w):
             continue
         head = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (o[1:] - o[:-1] > width)))
