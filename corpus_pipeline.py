@@ -25,7 +25,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: The classifier, the tokenizer and the keyed permutations have no SQL; tests/llm/ hold brute-force versions.
+#: The classifier, the tokenizer and the keyed permutations have no SQL; tests/llm/ hold the stages' operators against brute force.
 ORACLE_SQL = None
 
 
