@@ -206,7 +206,12 @@ def _exact(some: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
                 at = [i for i, x in enumerate(v) if len(x) == len(q)]
                 if at:
                     score = vectors.cosine(np.array(q)[None], np.array([v[i] for i in at]))
-                    out += [(name, ids[at[i]], float(score[i])) for i in _nearest(score, np.array([ids[i][0] for i in at]), k + 1)]
+                    others: set = set()  # ids other than the query's, of which some may have several vectors
+                    for i in np.lexsort(([ids[i][0] for i in at], -score)).tolist():
+                        out.append((name, ids[at[i]], float(score[i])))
+                        others.update(ids[at[i]])
+                        if len(others - {name}) >= k:
+                            break
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.float64()), strict=True)], names=["query_id", "ids", "score"])
 
