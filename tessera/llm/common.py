@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,6 +46,25 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(df: DataFrame, keys: list) -> DataFrame:
+    """df sorted over its partitions by keys, written; part and spot say where a row lies: its sorted run, and its place there."""
+    at = F.monotonically_increasing_id()
+    runs = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("spot", at)
+    return written(runs.withColumn("part", F.shiftright("spot", 33)).withColumn("spot", F.col("spot").bitwiseAND((1 << 33) - 1)))
+
+
+def bases(runs: DataFrame, group: str | None = None) -> DataFrame:
+    """part, base (and group), n: base + spot is a row's place among the n of its group, the first of the sorting keys.
+
+    The window holds a row for each sorted run, not for each row.
+    """
+    names = [group] if group else []
+    counts = runs.groupBy("part", *names).agg(F.count("*").alias("size"), F.min("spot").alias("low"))
+    whole = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    before = F.sum("size").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return written(counts.select("part", *names, (F.coalesce(before, F.lit(0)) - F.col("low")).alias("base"), F.sum("size").over(whole).alias("n")))
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps, whose results are written.
 
@@ -74,6 +93,11 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """What a worker holds at once is bounded by bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def text_bytes(col: str = "text"):
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
@@ -84,8 +108,7 @@ def with_columns_by(df: DataFrame, keep: list[str], inputs: dict, fn: Callable[.
     inputs: name -> Column, given to fn as lists by name for each Arrow batch (raw: as Arrow arrays); fn returns
     a list for each added column. With replace, an added column takes the place of a kept one of its name.
     """
-    # what a worker holds at once is bounded by bytes, however long the texts are
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    bounded_batches(df.sparkSession)
     new = T.StructType.fromDDL(added)
     wide = df.select(*(F.col(f"`{c}`") for c in keep), *(c.alias(f"__in_{k}") for k, c in inputs.items()))
     kept = wide.schema.fields[: len(keep)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ego_join, langid, line_dedup, lsh_search, ngram_join, oracle, packing, pii, sentencepiece_nbest, substring_dedup, suffix_dedup
+from . import ego_join, importance, langid, line_dedup, lsh_search, merkle, ngram_join, oracle, packing, pii, quality, sentencepiece_nbest, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_epsilon_grid_join": ego_join.op8_epsilon_grid_join,
         "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
         "op10_multiprobe_lsh": lsh_search.op10_multiprobe_lsh,
+        "op11_quality_rules": quality.op11_quality_rules,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_importance_resampling": importance.op13_importance_resampling,
     }
 
 
@@ -26,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard_join": oracle.OP2,
         "op5_substring_dedup": oracle.OP5,
         "op8_epsilon_grid_join": oracle.OP8,
+        "op12_merkle_manifest": oracle.OP12,
+        "op13_importance_resampling": oracle.OP13,
     }
