@@ -11,6 +11,10 @@ v6), date (ISO, and d/m/y or m/d/y with one or two digits each; calendar days of
 part, and the domain up to its last label), secret (AKIA..., ghp_..., sk-..., and what is assigned to a
 token, key or password). A date's format is its separators, its digits, and in which orders it can be read.
 
+Digits of other scripts are read as what they say and written back in their script, so a value is linked to
+itself in any script. Values are told from their surroundings by ASCII letters and digits alone: they are found
+inside text that is written without spaces.
+
 Defined results: null text stays null with no values, empty text stays empty; repeated rows are rewritten
 alike; other columns are untouched, but for those named like a count. A text is scanned whole, whatever its
 length. There is no key of its own: one is passed, or named in the session's KEY_SETTING.
@@ -26,6 +30,7 @@ import hashlib
 import ipaddress
 import re
 import string
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,10 +59,13 @@ NUMBERS = re.compile(
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<phone>\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}|\+\d{10,14}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})"
     r"|(?P<card>\d(?:[ -]?\d){12,18})"
-    r")(?!\w)"
+    r")(?!\w)",
+    re.ASCII,
 )
 #: The first group of letters and digits of a match; what follows it is scanned again if the match fails its check.
-GROUP = re.compile(r"\W*\w+")
+GROUP = re.compile(r"\W*\w+", re.ASCII)
+#: Decimal digits of other scripts.
+OTHER_DIGIT = re.compile(r"(?![0-9])\d")
 #: What comes before an @, and the domain after it.
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}$"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 
@@ -275,37 +283,52 @@ class Pseudonymizer:
 
     def __call__(self, text: str) -> tuple[str, dict[str, int]]:
         counts: dict[str, int] = {}
+        # the same places, with digits that the patterns and checks know
+        plain = text if text.isascii() else OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+        out: list[str] = []
 
-        def put(part: str) -> str:
-            out, at, look = [], 0, 0
-            while m := NUMBERS.search(part, look):
+        def put(at: int, end: int) -> None:
+            look = at
+            while m := NUMBERS.search(plain, look, end):
                 value, new = m[0], self.known(m.lastgroup, m[0])
                 if new is None and m.lastgroup == "card":
                     # digits behind a card may have been taken for its own
                     value, new = next(((v, n) for v in _shorter(m[0]) if (n := self.known("card", v))), (value, None))
                 if new is None:
-                    look = GROUP.match(part, m.start()).end()
+                    look = GROUP.match(plain, m.start()).end()
                     continue
                 kind = COUNTED.get(m.lastgroup, m.lastgroup)
                 counts[kind] = counts.get(kind, 0) + 1
-                out += [part[at : m.start()], new]
-                at = look = m.start() + len(value)
-            out.append(part[at:])
-            return "".join(out)
+                to = m.start() + len(value)
+                out.extend((text[at : m.start()], _written(text[m.start() : to], new)))
+                at = look = to
+            out.append(text[at:end])
 
-        out, at = [], 0
-        look = text.find("@")
+        at, look = 0, plain.find("@")
         while look >= 0:
-            local, domain = LOCAL.search(text, max(at, look - 64), look), DOMAIN.match(text, look + 1)
+            local, domain = LOCAL.search(plain, max(at, look - 64), look), DOMAIN.match(plain, look + 1)
             if local and domain and any(c.isalnum() for c in local[0]):
-                out += [put(text[at : local.start()]), self.known("email", local[0]), "@", self.known("domain", domain[0])]
+                put(at, local.start())
+                for kind, m in (("email", local), ("domain", domain)):
+                    out.append(_written(text[m.start() : m.end()], self.known(kind, m[0])))
+                    out.append("@" if kind == "email" else "")
                 counts["email"] = counts.get("email", 0) + 1
                 at = domain.end()
-            look = text.find("@", look + 1)
-        out.append(put(text[at:]))
+            look = plain.find("@", look + 1)
+        put(at, len(text))
         return "".join(out), counts
 
 
+def _written(old: str, new: str) -> str:
+    """new with its digits in the script of the digits of old, place by place where both are as long."""
+    if old.isascii():
+        return new
+    zero = [ord(c) - unicodedata.decimal(c) if c.isdecimal() else None for c in old]
+    if len(old) != len(new):
+        zero = [next(z for z in zero if z is not None)] * len(new)
+    return "".join(chr(z + int(c)) if c in string.digits and z is not None else c for c, z in zip(new, zero, strict=True))
+
+
 def pseudonymize(docs: DataFrame, key: bytes, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (all by default) with text rewritten, and n_pii and a count for each kind found."""
     keep = keep or docs.columns
