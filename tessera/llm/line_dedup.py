@@ -2,15 +2,16 @@
 
 Lines are compared without the white space around them, and blank lines are passed over. What may be deleted are runs of consecutive lines of at
 least BLOCK characters that an earlier document holds as well. The keys of a document are its shortest such runs:
-one from each line onward and one from each line backward. Any longer shared run is a union of shared keys, so to
-align a document with the first holder of each of its keys finds all that aligning it with every earlier document
-would: one pair for each key at most, whatever the size of a group of copies.
+one from each line onward and one from each line backward; any longer shared run is a union of shared keys. A document
+is paired with the first holder of each of its keys: one pair for each key at most, whatever the size of a group of
+copies or the number of documents that hold a line, and the rarest as well as the most frequent lines lead to a pair.
 
 What travels of a pair is where both documents hold the shared keys, not their lines. On these, a patience diff
 takes the keys that the later document holds once, the longest sequence of them that rises on both sides, and then
 the others within the gaps. Keys that meet side by side make up the aligned blocks, which are deleted from the later
-document. A key that its holder has in another order, or that the later document repeats, is a moved passage: it is
-deleted too (moved=False leaves it), and counted apart.
+document. A key that its holder has in another order, or that the later document repeats, isn't aligned: it is a moved
+passage, which stays. With moved=True moved passages are deleted as well, and counted apart; nothing is left then
+of what any earlier document holds.
 
 Documents with the same lines throughout are one block, however short: the later ones lose all.
 
@@ -162,8 +163,8 @@ def covered(ink: np.ndarray, places: list | None) -> np.ndarray:
 RESULTS = ("n_lines", "n_removed", "n_moved")
 
 
-def deduplicate_lines(docs: DataFrame, moved: bool = True) -> DataFrame:
-    """docs with the aligned blocks cut out of text, and n_lines, n_removed and n_moved (removed for moved passages only) of each row."""
+def deduplicate_lines(docs: DataFrame, moved: bool = False) -> DataFrame:
+    """docs with the aligned blocks cut out of text, and n_lines, n_removed and n_moved (lines of moved passages only: removed if `moved`, else left) of each row."""
     names = [c for c in docs.columns if c not in RESULTS]
     spans = aligned(docs).withColumnsRenamed({"rid": "__rid", "mark": "__mark", "spans": "__spans", "moved": "__moved"})
     keyed = superkmers.keyed(docs, *(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)))
@@ -182,12 +183,12 @@ def deduplicate_lines(docs: DataFrame, moved: bool = True) -> DataFrame:
                 continue
             parts = t.split("\n")
             ink = np.array([bool(p.strip(BLANK)) for p in parts])
-            first = covered(ink, s)
-            gone = covered(ink, (s or []) + (o or [])) if moved else first
+            first, both = covered(ink, s), covered(ink, (s or []) + (o or []))
+            gone = both if moved else first
             out.append("\n".join(p for p, g in zip(parts, gone.tolist(), strict=True) if not g))
             n.append(len(parts))
             cut.append(int(gone.sum()))
-            apart.append(int((gone & ~first).sum()))
+            apart.append(int((both & ~first).sum()))
         return [out, n, cut, apart]
 
     inputs = {"text": F.col("text"), "spans": F.col("__spans"), "other": F.col("__moved")}

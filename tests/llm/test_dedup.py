@@ -1,6 +1,7 @@
 """The dedup operators against brute force, on plain, hard and planted inputs."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -201,7 +202,7 @@ def test_line_dedup_equals_all_pairs(spark, seed):
     pool = ["x" * 31 + c for c in "abcd"] + ["é" * 12 + c for c in "abcdef"] + list("pqrs") + ["", "  ", "\t"]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(40)]
     texts += [None, "", texts[3], " " + texts[4].replace("\n", " \n"), "p", "p", "\n\n"]
-    rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, texts)).collect()}
+    rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, texts), moved=True).collect()}
     assert [rows[i]["text"] for i in range(len(texts))] == lines_left(texts)
     assert all(r["n_lines"] == (r["text"] or "").count("\n") + bool(r["text"]) for r in rows.values() if not r["n_removed"])
 
@@ -225,8 +226,68 @@ def test_line_dedup_tells_moved_passages(spark):
     x, y, z = (f"line {k} of the text that is moved around" for k in range(3))
     texts = ["\n".join(t) for t in ([x, y, z, "end"], ["a", z, x, y, "b"], ["c", x, "d", x, "e"])]
     cut = lambda **k: {r["doc_id"]: (r["text"], r["n_removed"], r["n_moved"]) for r in line_dedup.deduplicate_lines(frame(spark, texts), **k).collect()}
-    assert cut()[1] == ("a\nb", 3, 1) and cut()[2] == ("c\nd\ne", 2, 1)
-    assert cut(moved=False)[1] == (f"a\n{z}\nb", 2, 0)
+    assert cut(moved=True)[1] == ("a\nb", 3, 1) and cut(moved=True)[2] == ("c\nd\ne", 2, 1)
+    assert cut()[1] == (f"a\n{z}\nb", 2, 1) and cut()[2] == (f"c\nd\n{x}\ne", 1, 1)
+
+
+def diffed(texts, least=line_dedup.BLOCK):
+    """Every document against each earlier one that held some of its keys first: a patience diff of those keys' places, by its textbook description."""
+    split = [[x.strip(line_dedup.BLANK) for x in (t or "").split("\n") if x.strip(line_dedup.BLANK)] for t in texts]
+
+    def keys(b):
+        out = set()
+        for s in range(len(b)):
+            out |= {next(((s, e) for e in range(s + 1, len(b) + 1) if sum(map(len, b[s:e])) >= least), None)}
+            out |= {next(((a, s + 1) for a in range(s, -1, -1) if sum(map(len, b[a : s + 1])) >= least), None)}
+        return sorted(out - {None})
+
+    def longest(pairs):  # of (later, earlier) places, the longest that rises in both; of several the one that patience sorting gives
+        return [pairs[k] for k in line_dedup.rising([x for _, x in pairs])]
+
+    first, out = {}, []
+    for j, b in enumerate(split):
+        whole = next((i for i in range(j) if split[i] == b), None) if b else None
+        by = {} if whole is None else {whole: [((0, len(b)), (len(b), len(b)))]}
+        for span in keys(b):
+            holder = first.get(tuple(b[slice(*span)]))
+            if holder:
+                by.setdefault(holder[0], []).append((span, holder[1]))
+        gone = [False] * len(b)
+        for pairs in by.values():
+            # a copy's whole text is packed as (0, n) and stands at n of the holder
+            pairs = sorted((s[0] << 32 | s[1], at if isinstance(at, int) else at[0]) for s, at in pairs)
+            once = longest([(y, x) for y, x in pairs if sum(x == v for _, v in pairs) == 1])
+            fences, took = [(-1, -1), *once, (1 << 63, 1 << 70)], list(once)
+            for (y0, x0), (y1, x1) in itertools.pairwise(fences):
+                took += longest([(y, x) for y, x in pairs if y0 < y < y1 and x0 < x < x1])
+            for y, _ in took:
+                for k in range(y >> 32, y & 0xFFFF_FFFF):
+                    gone[k] = True
+        for s, e in keys(b):
+            first.setdefault(tuple(b[s:e]), (j, s << 32 | e))
+        out.append([x for x, g in zip(b, gone, strict=True) if not g])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_equals_patience_diffs_of_all_pairs(spark, seed):
+    rng = random.Random(50 + seed)
+    pool = ["x" * 31 + c for c in "abcdefgh"] + ["é" * 12 + c for c in "abcdef"] + list("pqrs") + ["", "  "]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(40)] + [None, ""]
+    rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, texts)).collect()}
+    left = [[x.strip(line_dedup.BLANK) for x in (rows[i]["text"] or "").split("\n") if x.strip(line_dedup.BLANK)] for i in range(len(texts))]
+    assert left == diffed(texts)
+    assert any(r["n_moved"] for r in rows.values()) and any(r["n_removed"] for r in rows.values())
+
+
+def test_the_alignment_decides_what_goes(spark, monkeypatch):
+    """Were everything called moved, as a diff that aligns nothing would, nothing would be deleted."""
+    texts = ["\n".join(["own opening of it", *(f"line {k} of the text that is held twice" for k in range(5)), end]) for end in ("one", "two")]
+    assert sum(r["n_removed"] for r in line_dedup.deduplicate_lines(frame(spark, texts)).collect()) == 5
+    found = line_dedup.aligned(frame(spark, texts)).collect()
+    assert [(len(r["spans"]) > 0, r["moved"]) for r in found] == [(True, [])]
+    monkeypatch.setattr(line_dedup, "_aligned", lambda a, am, x, y: [[[]] * len(a), y.to_pylist()])
+    assert sum(r["n_removed"] for r in line_dedup.deduplicate_lines(frame(spark, texts)).collect()) == 0
 
 
 def test_line_dedup_deletes_from_the_later_document(spark):
@@ -268,7 +329,7 @@ def test_line_dedup_finds_repeated_moved_and_short_lines(spark):
         ["fourth opening", *verse, "fourth middle", *passage, "fourth end", *verse],
         ["fifth opening", *passage[::-1], "fifth end", *verse[:2]],
     ]
-    rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, ["\n".join(t) for t in texts])).collect()}
+    rows = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(frame(spark, ["\n".join(t) for t in texts]), moved=True).collect()}
     assert [rows[k]["text"].split("\n") for k in range(5)] == [texts[0], ["second opening", "second middle", "second end"], texts[2], ["fourth opening", "fourth middle", "fourth end"], ["fifth opening", "fifth end", *verse[:2]]]
 
 
