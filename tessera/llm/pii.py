@@ -320,13 +320,13 @@ class Pseudonymizer:
 
 
 def _written(old: str, new: str) -> str:
-    """new with its digits in the script of the digits of old, place by place where both are as long."""
+    """new with its digits in the script of the digits of old: place by place where both are as long, else, and where old has a letter, in that of the first one."""
     if old.isascii():
         return new
     zero = [ord(c) - unicodedata.decimal(c) if c.isdecimal() else None for c in old]
-    if len(old) != len(new):
-        zero = [next(z for z in zero if z is not None)] * len(new)
-    return "".join(chr(z + int(c)) if c in string.digits and z is not None else c for c, z in zip(new, zero, strict=True))
+    first = next((z for z in zero if z is not None), ord("0"))
+    zero = [first if z is None else z for z in zero] if len(old) == len(new) else [first] * len(new)
+    return "".join(chr(z + int(c)) if c in string.digits else c for c, z in zip(new, zero, strict=True))
 
 
 def pseudonymize(docs: DataFrame, key: bytes, keep: list[str] | None = None) -> DataFrame:

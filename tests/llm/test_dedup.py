@@ -227,7 +227,7 @@ def test_line_dedup_tells_moved_passages(spark):
     texts = ["\n".join(t) for t in ([x, y, z, "end"], ["a", z, x, y, "b"], ["c", x, "d", x, "e"])]
     cut = lambda **k: {r["doc_id"]: (r["text"], r["n_removed"], r["n_moved"]) for r in line_dedup.deduplicate_lines(frame(spark, texts), **k).collect()}
     assert cut(moved=True)[1] == ("a\nb", 3, 1) and cut(moved=True)[2] == ("c\nd\ne", 2, 1)
-    assert cut()[1] == (f"a\n{z}\nb", 2, 1) and cut()[2] == (f"c\nd\n{x}\ne", 1, 1)
+    assert cut()[1] == (f"a\n{z}\nb", 2, 1) and cut()[2] == (f"c\n{x}\nd\ne", 1, 1)
 
 
 def diffed(texts, least=line_dedup.BLOCK):
@@ -282,7 +282,7 @@ def test_line_dedup_equals_patience_diffs_of_all_pairs(spark, seed):
 
 def test_the_alignment_decides_what_goes(spark, monkeypatch):
     """Were everything called moved, as a diff that aligns nothing would, nothing would be deleted."""
-    texts = ["\n".join(["own opening of it", *(f"line {k} of the text that is held twice" for k in range(5)), end]) for end in ("one", "two")]
+    texts = ["\n".join([end, *(f"line {k} of the text that is held twice" for k in range(5))]) for end in ("one", "two")]
     assert sum(r["n_removed"] for r in line_dedup.deduplicate_lines(frame(spark, texts)).collect()) == 5
     found = line_dedup.aligned(frame(spark, texts)).collect()
     assert [(len(r["spans"]) > 0, r["moved"]) for r in found] == [(True, [])]
