@@ -5,6 +5,8 @@ A check is a DataFrame of its violations; `must_be_empty` turns one into an erro
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -86,25 +88,84 @@ def vector_checks(vectors: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     return vectors.select("id", (F.abs(n - 1) <= tolerance).alias("unit"), fine.alias("finite"))
 
 
-def _nearest_point(points: np.ndarray, steps: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the convex combination nearest to the origin (pairwise conditional gradient), and that point."""
-    n = len(points)
-    w = np.zeros(n)
-    w[int(np.argmin((points**2).sum(1)))] = 1.0
-    x = w @ points
+def close_pairs(vectors: DataFrame, tolerance: float, axes: int = 3, seed: int = 5) -> DataFrame:
+    """a < b, distance of the vectors (id, v) within tolerance of each other, without meeting all others.
+
+    Points so close are as close along any direction: along a few fixed ones each falls into a cell of the tolerance's
+    width, and only neighbouring cells meet. Equal vectors are one point; of each group its first id stands for it, and
+    the others are given against that.
+    """
+    point = vectors.select("id", "v").groupBy("v").agg(F.min("id").alias("a"))
+    first = point.join(vectors.select(F.col("id").alias("b"), "v"), "v").filter("a < b").select("a", "b", F.lit(0.0).alias("distance"))
+    size = vectors.agg(F.max(F.size("v"))).first()[0] or 1
+    turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(axes, size))))[0].T.tolist()
+    along = lambda w: F.aggregate(F.zip_with("v", F.lit(w), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    names = [f"c{k}" for k in range(len(turn))]
+    cell = point.select("a", *(F.floor(along(w) / tolerance).cast("long").alias(n) for n, w in zip(names, turn, strict=True)))
+    near = cell.withColumnRenamed("a", "b")
+    for n in names:
+        near = near.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
+    d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    # numbers of cells travel, and vectors only to the pairs that meet
+    met = cell.join(near, names).filter("a < b").select("a", "b").join(point, "a").join(point.toDF("w", "b"), "b")
+    met = met.select("a", "b", d.alias("distance")).filter(F.col("distance") <= tolerance)
+    return first.unionByName(met)
+
+
+def vector_faults(vectors: DataFrame, repeat: DataFrame, tokens: DataFrame, drift: float = 1e-6, length: float = 1e-10) -> DataFrame:
+    """fault, a, b, value of an encoding (id, v): what speaks against it, none where it is sound.
+
+    missing: no repeat, or no vector for one; nonfinite, nonunit: in either encoding; drift: an id's vector moved by
+    more than `drift` in the repeat; collapse: two ids within max(drift, 10 x largest drift); tokens: two ids with equal
+    token lists (id, tokens; null lists aside). Collapse and drift look at sound vectors only.
+    """
+    n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fault = lambda df, name, a="id", b=None, value=None: df.select(F.lit(name).alias("fault"), F.col(a).alias("a"), (F.col(b) if b else F.lit(None)).cast("long").alias("b"), (value if value is not None else F.lit(None)).cast("double").alias("value"))
+    both = [x.select("id", F.transform("v", lambda c: c.cast("double")).alias("v")).withColumn("ok", F.coalesce(fine, F.lit(False))) for x in (vectors, repeat)]
+    gone = [fault(x.join(y, "id", "left_anti"), "missing") for x, y in (both, both[::-1])]
+    wild = [fault(x.filter("NOT ok"), "nonfinite") for x in both]
+    off = [fault(x.filter("ok").filter(F.abs(n - 1) > length), "nonunit", value=n) for x in both]
+    x, y = (z.filter("ok").select("id", "v") for z in both)
+    d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e))
+    moved = x.join(y.toDF("id", "w"), "id").withColumn("d", d)
+    most = moved.agg(F.max("d")).first()[0] or 0.0
+    close = close_pairs(x, max(drift, 10 * most))
+    said = tokens.filter("tokens IS NOT NULL").groupBy("tokens").agg(F.min("id").alias("a"), F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
+    said = said.select("a", F.explode("ids").alias("b")).filter("a <> b")
+    parts = [*gone, *wild, *off, fault(moved.filter(F.col("d") > drift), "drift", value=F.col("d")), fault(close, "collapse", "a", "b", F.col("distance")), fault(said, "tokens", "a", "b")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest_points(a: np.ndarray, b: np.ndarray, steps: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the convex combinations of a and of b nearest to each other, by pairwise conditional gradient.
+
+    The best difference a_i - b_j along a direction is that of the two best points, so the set of differences is never
+    made: a step costs one product with a and one with b. The pairs that carry weight are few, and kept by themselves.
+    """
+    i, j = int(np.argmin(((a - b.mean(0)) ** 2).sum(1))), 0
+    j = int(np.argmin(((b - a[i]) ** 2).sum(1)))
+    weight, x = {(i, j): 1.0}, a[i] - b[j]
     for _ in range(steps):
-        g = points @ x
-        to = int(np.argmin(g))
-        off = int(np.argmax(np.where(w > 0, g, -np.inf)))
-        d = points[to] - points[off]
-        gap, size = g[off] - g[to], float(d @ d)
+        p, q = a @ x, b @ x
+        to = (int(np.argmin(p)), int(np.argmax(q)))
+        off = max(weight, key=lambda e: p[e[0]] - q[e[1]])
+        gap = (p[off[0]] - q[off[1]]) - (p[to[0]] - q[to[1]])
+        d = (a[to[0]] - b[to[1]]) - (a[off[0]] - b[off[1]])
+        size = float(d @ d)
         if gap <= 1e-15 * max(1.0, float(x @ x)) or size == 0:
             break
-        step = min(w[off], gap / size)
-        w[to] += step
-        w[off] -= step
-        x = w @ points
-    return w, x
+        step = min(weight[off], gap / size)
+        weight[to] = weight.get(to, 0.0) + step
+        weight[off] -= step
+        if weight[off] <= 0:
+            del weight[off]
+        x = sum(w * (a[m] - b[n]) for (m, n), w in weight.items())
+    u, v = np.zeros(len(a)), np.zeros(len(b))
+    for (m, n), w in weight.items():
+        u[m] += w
+        v[n] += w
+    return u, v
 
 
 def hull_relation(a: np.ndarray, b: np.ndarray, tol: float = 1e-9) -> tuple[str, float]:
@@ -117,16 +178,15 @@ def hull_relation(a: np.ndarray, b: np.ndarray, tol: float = 1e-9) -> tuple[str,
     center = np.concatenate([a, b]).mean(0)
     scale = max(1.0, float(np.abs(np.concatenate([a, b]) - center).max()))
     a, b = (a - center) / scale, (b - center) / scale
-    diff = (a[:, None, :] - b[None, :, :]).reshape(-1, a.shape[1])
-    w, x = _nearest_point(diff)
+    p, q = _nearest_points(a, b)
+    x = p @ a - q @ b
     gap = float(np.linalg.norm(x))
     if gap * scale > tol:
         u = x / gap
         margin = float((a @ u).min() - (b @ u).max())
         if margin * scale > tol:
             return "disjoint", margin * scale
-    m = w.reshape(len(a), len(b))
-    meet = float(np.linalg.norm(m.sum(1) @ a - m.sum(0) @ b)) * scale
+    meet = gap * scale
     if meet <= 1e-12 * scale:
         return "intersect", 0.0
     return "unresolved", meet

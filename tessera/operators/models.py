@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import unit
+from ..sources.sinks import settled
+from . import resample
+from .dictionary import numbered
 
 
 def moments(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -65,6 +71,68 @@ def poisson(df: DataFrame, features: list[str], count: str) -> dict[str, float]:
     return {"intercept": float(m.intercept), **dict(zip(features, map(float, m.coefficients), strict=True))}
 
 
+def one_hot(df: DataFrame, column: str, levels: int) -> tuple[DataFrame, list[str]]:
+    """df with a 0/1 column for each level 1..levels - 1 of a code, level 0 being the base; their names."""
+    names = [f"{column}_{k}" for k in range(1, levels)]
+    return df.select("*", *((F.col(column) == k).cast("double").alias(n) for k, n in enumerate(names, 1))), names
+
+
+def poisson_draws(df: DataFrame, features: list[str], count: str, group: str, draws: int, seed: str, steps: int = 50, tolerance: float = 1e-10) -> DataFrame:
+    """draw, term, coefficient: an unpenalised Poisson regression (log link) refitted on every bootstrap draw of the groups.
+
+    All draws are fitted at once by reweighted least squares. A step reads the rows once; a task adds up, for all draws,
+    the weighted products of features (the rows' weights are how often their group was drawn), and the driver solves
+    a system of the number of features for each draw. Rows carry the draws of their group, so a group of many rows
+    isn't gathered anywhere.
+    """
+    groups = numbered(df.select(group).filter(F.col(group).isNotNull()).distinct(), [group], "k")
+    slots = groups.crossJoin(F.broadcast(groups.agg(F.count("*").alias("__n")))).withColumn("draw", resample.draws(draws))
+    taken = slots.select("draw", F.floor(resample.uniform(seed, "draw", "k") * F.col("__n")).cast("long").alias("k"))
+    taken = taken.groupBy("k").agg(F.collect_list(F.col("draw").cast("int")).alias("drawn")).join(groups, "k").select(group, "drawn")
+    x = df.select(group, *(F.col(f).cast("double").alias(f"__x{n}") for n, f in enumerate(features)), F.col(count).cast("double").alias("__y"))
+    x = settled(x.join(taken, group).drop(group))
+    p = len(features) + 1
+    upper = np.triu_indices(p)
+
+    def sums(beta: np.ndarray) -> np.ndarray:
+        """For each draw: the weighted products of features, the gradient, and the draw's rows and counts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((draws, len(upper[0]) + p + 2))
+            for b in batches:
+                m = b.num_rows
+                drawn = b.column(p)
+                row = np.repeat(np.arange(m), np.diff(drawn.offsets.to_numpy()))
+                times = np.bincount(row * draws + drawn.flatten().to_numpy(), minlength=m * draws).reshape(m, draws).astype(np.float64)
+                z = np.column_stack([np.ones(m), *(b.column(k).to_numpy() for k in range(p - 1))])
+                y = b.column(p - 1).to_numpy()
+                mu = np.exp(np.clip(z @ beta.T, -30, 30))
+                total[:, : len(upper[0])] += (times * mu).T @ (z[:, upper[0]] * z[:, upper[1]])
+                total[:, -p - 2 : -2] += (times * (y[:, None] - mu)).T @ z
+                total[:, -2] += times.sum(axis=0)
+                total[:, -1] += times.T @ y
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        parts = x.mapInArrow(run, "sums binary").rdd
+        if not parts.getNumPartitions():
+            return np.zeros((draws, len(upper[0]) + p + 2))
+        return parts.map(lambda r: np.frombuffer(r[0])).treeReduce(np.add).reshape(draws, -1)
+
+    beta = np.zeros((draws, p))
+    first = sums(beta)
+    beta[:, 0] = np.log(np.maximum(first[:, -1], 0.5) / np.maximum(first[:, -2], 1))
+    for _ in range(steps):
+        s = sums(beta)
+        h = np.zeros((draws, p, p))
+        h[:, upper[0], upper[1]] = h[:, upper[1], upper[0]] = s[:, : len(upper[0])]
+        step = np.stack([np.linalg.lstsq(a, g, rcond=1e-12)[0] for a, g in zip(h, s[:, -p - 2 : -2], strict=True)])
+        beta += np.clip(step, -4, 4)
+        if np.abs(step).max() < tolerance:
+            break
+    rows = [(d, t, float(b)) for d in range(draws) for t, b in zip(["intercept", *features], beta[d], strict=True)]
+    return df.sparkSession.createDataFrame(rows, "draw long, term string, coefficient double")
+
+
 def svd(rows: DataFrame, id_: str, key: str, weight: str, k: int) -> DataFrame:
     """id, v: rows of a long sparse matrix (id, key, weight) on its k leading right directions, unit length. The matrix of keys by keys' directions is k wide."""
     size = rows.agg(F.max(key)).first()[0]

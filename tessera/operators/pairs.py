@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
+
 
 def document_frequency(items: DataFrame) -> DataFrame:
     return items.distinct().groupBy("key").agg(F.count("*").alias("df"))
@@ -73,7 +75,7 @@ def adamic_adar(edges: DataFrame) -> DataFrame:
 def neighbours(rare_items: DataFrame, least: int = 2, cap: int = 150) -> DataFrame:
     """c, x, weight: items that share at least `least` rare keys with c, the `cap` heaviest by summed 1/df, ties by larger x."""
     left, right = rare_items.select("key", "df", F.col("item").alias("c")), rare_items.select("key", F.col("item").alias("x"))
-    n = left.join(right, "key").filter("c <> x").groupBy("c", "x").agg(F.count("*").alias("shared"), F.round(F.sum(1.0 / F.col("df")), 9).alias("weight"))
+    n = left.join(right, "key").filter("c <> x").groupBy("c", "x").agg(F.count("*").alias("shared"), rounded(F.sum(1.0 / F.col("df")), 9).alias("weight"))
     w = Window.partitionBy("c").orderBy(F.desc("weight"), F.desc("x"))
     return n.filter(F.col("shared") >= least).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap).select("c", "x", "weight")
 
@@ -94,6 +96,33 @@ def bridge_triples(rare_items: DataFrame, area: DataFrame, cites: DataFrame | No
     return x.withColumn("__n", first).filter("__n = 1").select("a", "b", "c", F.least("wa", "wb").alias("score"))
 
 
+def file_uses(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """file, used: the files whose items cite items of another file. edges: (item, cited); files: (item, file)."""
+    x = edges.join(files, "item").join(files.toDF("cited", "used"), "cited")
+    return x.filter("file <> used").select("file", "used").distinct()
+
+
+def _used_by_one(pairs: DataFrame, a: str, b: str, edges: DataFrame) -> DataFrame:
+    """The distinct (a, b) of pairs that one left end of edges (by, to) leads to both."""
+    e = edges.toDF("by", "to")
+    return pairs.select(a, b).distinct().join(e.withColumnRenamed("to", a), a).join(e.withColumnRenamed("to", b), ["by", b], "left_semi").select(a, b).distinct()
+
+
+def link_reasons(pairs: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """pairs (a, b) with the first reason to hold them linked: cited by one item, in one file, their files used by one file, their files using each other; else kept.
+
+    edges: (item, cited); files: (item, file), an item without a file being in none.
+    """
+    x = pairs.join(files.toDF("a", "file_a"), "a", "left").join(files.toDF("b", "file_b"), "b", "left")
+    uses = file_uses(edges, files)
+    both = uses.union(uses.select("used", "file")).toDF("file_a", "file_b").distinct()
+    x = x.join(_used_by_one(x, "a", "b", edges.select("item", "cited")).withColumn("__cited", F.lit(True)), ["a", "b"], "left")
+    x = x.join(_used_by_one(x, "file_a", "file_b", uses).withColumn("__used", F.lit(True)), ["file_a", "file_b"], "left")
+    x = x.join(both.withColumn("__each", F.lit(True)), ["file_a", "file_b"], "left")
+    reason = F.when(F.col("__cited"), "co-cited").when(F.col("file_a") == F.col("file_b"), "same file").when(F.col("__used"), "one file uses both").when(F.col("__each"), "files use each other")
+    return x.select(*pairs.columns, reason.alias("reason")).fillna("kept", ["reason"])
+
+
 def as_of(points: DataFrame, headers: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """points with the `value` of the last header of the same `by` at or before them (a union and one window, no range join)."""
     cols = [c for c in points.columns if c != value]

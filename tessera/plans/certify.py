@@ -64,6 +64,25 @@ def vector_checks(spark, d):
     return certify.vector_checks(t.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
 
 
+UNITS = "u0 as (select vec_id id, list_transform(embedding::double[], lambda x: x / sqrt(list_sum(list_transform(embedding::double[], lambda y: y * y)))) v from embeddings), u1 as (select id, list_transform(v, lambda x: round(x, 9)) w from u0)"
+
+
+@query("vector_faults", f"""with {UNITS}, dr as (select id, sqrt(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) d from u0 join u1 using (id)),
+cl as (select a.id a, b.id b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) d from u0 a join u0 b on a.id < b.id),
+tk as (select text, min(doc_id) a from documents join u0 on id = doc_id where text is not null group by text having count(*) > 1)
+select 'drift' fault, id a, null::bigint b from dr where d > 1e-6::double union all select 'collapse', a, b from cl where d <= 1e-6::double union all select 'nonunit', id, null from u1 where abs(sqrt(list_sum(list_transform(w, lambda y: y * y))) - 1) > 1e-7::double
+union all select 'tokens', a, doc_id from tk join documents using (text) where doc_id <> a and doc_id in (select id from u0)""")
+def vector_faults(spark, d):
+    """The vectors against a repeat of nine decimals; the texts of their numbers are the tokens."""
+    from ..functions import vector as v
+
+    e = t.load(spark, d, "embeddings")
+    x = e.select(F.col("vec_id").alias("id"), v.unit("embedding").alias("v"))
+    again = x.select("id", F.transform("v", lambda c: F.round(c, 9)).alias("v"))
+    texts = t.load(spark, d, "documents", ["doc_id", "text"]).join(x.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return certify.vector_faults(x, again, texts.toDF("id", "tokens"), length=1e-7).select("fault", "a", "b")
+
+
 @query("fail_closed_lookup", "select l.doc_id, l.quality, d.lang from labels l join documents d using (doc_id)")
 def fail_closed_lookup(spark, d):
     return certify.lookup(t.load(spark, d, "labels"), t.load(spark, d, "documents", ["doc_id", "lang"]), "doc_id").select("doc_id", "quality", "lang")
@@ -126,7 +145,8 @@ def judged_use(spark, d):
 
 @query("length_batches", None)
 def length_batches(spark, d):
-    return greedy.batches(t.load(spark, d, "documents", ["doc_id", "n_chars"]), "doc_id", "n_chars", 32_768)
+    """Batches of documents by length: at most 64 of them, and 32,768 characters with padding."""
+    return greedy.batches(t.load(spark, d, "documents", ["doc_id", "n_chars"]), "doc_id", "n_chars", 64, 32_768)
 
 
 @query("greedy_matching", None)
@@ -181,6 +201,17 @@ def poisson_slope(spark, d):
     return spark.createDataFrame(sorted(models.poisson(z, ["bits", "cites", "both"], "outcome").items()), "term string, coefficient double")
 
 
+@query("regression_bootstrap", None)
+def regression_bootstrap(spark, d, draws: int = 40):
+    """The slopes of poisson_slope with one-hot areas, refitted on draws of the works: mean and spread over the draws."""
+    x = _features(spark, d).join(g._spans(spark, d), ["work", "area"])
+    how = models.moments(x, ["bits", "cites"])
+    z = x.select("work", "area", "outcome", *(((F.col(k) - m) / F.lit(s or 1.0)).alias(k) for k, (m, s) in how.items())).withColumn("both", F.col("bits") * F.col("cites"))
+    z, areas = models.one_hot(z, "area", t.AREAS)
+    got = models.poisson_draws(z, ["bits", "cites", "both", *areas], "outcome", "work", draws, "regression")
+    return got.groupBy("term").agg(F.count("*").alias("draws"), F.avg("coefficient").alias("mean"), F.stddev_pop("coefficient").alias("sd"), F.min("coefficient").alias("low"), F.max("coefficient").alias("high"))
+
+
 @query("svd_similarity", None)
 def svd_similarity(spark, d):
     """Cosines of language profiles on the leading directions of hashed TF-IDF rows."""

@@ -14,8 +14,8 @@ from .registry import query
 TOK = "tok as (select distinct doc_id item, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.'']*')) as key from documents)"
 DF = "df as (select key, count(*) df from tok group by key)"
 RARE = "rare as (select item, tok.key, df.df from tok join df on df.key = tok.key where df.df between 2 and 200)"
-#: The pair queries use keys that 2 to LOW documents hold.
-LOW = 8
+#: The pair queries use the keys that `rare` keeps, those of 2 to 200 documents.
+LOW = 200
 LOWRARE = f"low as (select item, tok.key, df.df from tok join df on df.key = tok.key where df.df between 2 and {LOW})"
 
 
@@ -49,13 +49,14 @@ def shared_rare_pairs(spark, d):
     return pairs.sharing(low(spark, d).select("item", "key"))
 
 
-@query("eligible_pairs", f"""with {TOK}, {DF}, {LOWRARE}, cand as (select distinct a.doc_id i, b.doc_id j from benchdocs a join benchdocs b on a.doc_id < b.doc_id),
-e as (select i, j from cand where not exists (select 1 from low a join low b on a.key = b.key where a.item = cand.i and b.item = cand.j)) select count(*) eligible, (select count(*) from cand) pairs from e""".replace("cand as", "benchdocs as (select doc_id, source, lang from documents), cand as").replace("a.doc_id < b.doc_id)", "a.doc_id < b.doc_id and a.source = b.source and a.lang = b.lang)"))
+@query("eligible_pairs", f"""with {TOK}, {DF}, {LOWRARE}, sh as (select distinct a.item i, b.item j from low a join low b on a.key = b.key and a.item < b.item), n as (select count(*) n from documents)
+select n * (n - 1) // 2 - (select count(*) from sh) eligible, n * (n - 1) // 2 pairs from n""")
 def eligible_pairs(spark, d):
-    docs = t.load(spark, d, "documents", ["doc_id", "source", "lang"])
-    cand = docs.withColumnRenamed("doc_id", "i").join(docs.withColumnRenamed("doc_id", "j"), ["source", "lang"]).filter("i < j").select("i", "j")
-    e = pairs.eligible(cand, low(spark, d))
-    return e.agg(F.count("*").alias("eligible")).crossJoin(cand.agg(F.count("*").alias("pairs")))
+    """Of all pairs of documents, those that share no rare key: all less those that do."""
+    n = t.load(spark, d, "documents", ["doc_id"]).agg(F.count("*").alias("n"))
+    linked = pairs.sharing(low(spark, d).select("item", "key")).agg(F.count("*").alias("linked"))
+    every = F.expr("n * (n - 1) div 2")
+    return n.crossJoin(linked).select((every - F.col("linked")).alias("eligible"), every.alias("pairs"))
 
 
 VOCAB = """sz as (select item, count(*) n from tok group by item), ov as (select a.item i, b.item j from low a join low b on a.key = b.key and a.item < b.item group by 1, 2),
@@ -254,15 +255,34 @@ def bridge_triples(spark, d):
     return pairs.bridge_triples(low(spark, d), area(spark, d))
 
 
-@query("triple_filter", f"""with {TOK}, {DF}, {LOWRARE}, {AREA}, {TRI}, x as (select tri.*, da.lang la, db.lang lb, dc.lang lc from tri join documents da on da.doc_id = a join documents db on db.doc_id = b join documents dc on dc.doc_id = c)
-select case when abs(a - b) <= 2 then 'co-cited' when la = lb and lb = lc then 'same file' when la = lb then 'common user' else 'kept' end reason, count(*) n from x group by 1""")
+CITED = with_sql("paper", "cit", "ref") + """, low as (select paper item, work as key, df from cit join (select work, count(*) df from cit group by work having count(*) between 2 and 200) using (work)), area as (select paper item, area from paper),
+ck as (select paper p, cited q from ref union select cited, paper from ref), """ + TRI.replace(
+    "qualify row_number() over (partition by l.x, r.x", "and not exists (select 1 from ck where p = l.x and q = r.x) and not exists (select 1 from ck where p = l.x and q = l.c) and not exists (select 1 from ck where p = r.x and q = l.c) qualify row_number() over (partition by l.x, r.x"
+) + ", best as (select * from tri order by round(score, 9) desc, a, b limit 4000)"
+
+
+def _cited_triples(spark, d):
+    """Papers c that share at least two rare works with both a and b, which share none; three areas, and no citation among the three. The 4,000 best."""
+    rare = pairs.rare(t.citations(spark, d).select(F.col("paper").alias("item"), F.col("work").alias("key")), 2, 200)
+    area = t.papers(spark, d).select(F.col("paper").alias("item"), "area")
+    cites = t.references(spark, d).select(F.col("paper").alias("item"), "cited")
+    x = pairs.bridge_triples(rare, area, cites)
+    return x.orderBy(F.desc(F.round("score", 9)), "a", "b").limit(4000)
+
+
+@query("cited_triples", f"{CITED} select a, b, c, round(score, 6) score from best")
+def cited_triples(spark, d):
+    return _cited_triples(spark, d).withColumn("score", rounded("score", 6))
+
+
+@query("triple_filter", f"""{CITED}, fl as (select o_orderkey item, o_custkey as file from orders), us as (select distinct x.file, y.file used from ref join fl x on x.item = ref.paper join fl y on y.item = ref.cited where x.file <> y.file),
+r as (select case when exists (select 1 from ref m join ref n using (paper) where m.cited = a and n.cited = b) then 'co-cited' when x.file = y.file then 'same file' when exists (select 1 from us m join us n using (file) where m.used = x.file and n.used = y.file) then 'one file uses both'
+ when exists (select 1 from us m where (m.file = x.file and m.used = y.file) or (m.file = y.file and m.used = x.file)) then 'files use each other' else 'kept' end reason from best join fl x on x.item = a join fl y on y.item = b) select reason, count(*) n from r group by reason""")
 def triple_filter(spark, d):
-    docs = t.load(spark, d, "documents", ["doc_id", "lang"])
-    x = pairs.bridge_triples(low(spark, d), area(spark, d))
-    for k in ("a", "b", "c"):
-        x = x.join(docs.toDF(k, f"l{k}"), k)
-    r = F.when(F.abs(F.col("a") - F.col("b")) <= 2, "co-cited").when((F.col("la") == F.col("lb")) & (F.col("lb") == F.col("lc")), "same file").when(F.col("la") == F.col("lb"), "common user").otherwise("kept")
-    return x.groupBy(r.alias("reason")).agg(F.count("*").alias("n"))
+    """What already links the ends of the best triples: a paper that cites both, or the files (customers) of the two."""
+    files = t.load(spark, d, "orders", ["o_orderkey", "o_custkey"]).toDF("item", "file")
+    edges = t.references(spark, d).select(F.col("paper").alias("item"), "cited")
+    return pairs.link_reasons(_cited_triples(spark, d), edges, files).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("asof_enclosing", """with p as (select event_id, user_id, ts from events where event_type <> (select min(event_type) from events)), h as (select user_id, ts, max(event_id) header from events where event_type = (select min(event_type) from events) group by 1, 2)

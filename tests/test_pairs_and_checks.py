@@ -114,6 +114,47 @@ def test_hull_contact():
     assert certify.contact_extent(square, square + 5)[0] == "none"
 
 
+def test_hulls_of_many_points_need_no_differences():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(3000, 3))
+    assert certify.hull_relation(a, a[:200] * 0.1)[0] == "intersect"
+    kind, gap = certify.hull_relation(a, rng.normal(size=(2500, 3)) + [20, 0, 0])
+    assert kind == "disjoint" and gap > 5
+
+
+def test_vector_faults_are_each_reported(spark):
+    unit = np.eye(4)
+    far = (unit[0] + unit[1]) / np.sqrt(2)
+    v = {0: unit[0], 1: unit[1], 2: unit[2], 3: unit[3], 4: far, 5: unit[2] * 2, 6: unit[3] * np.nan, 7: -unit[0], 8: far}
+    again = {**v, 3: unit[3] + [0, 0, 0, 1e-5], 7: v[7]}
+    again.pop(1)
+    frame = lambda x: spark.createDataFrame([(k, [float(c) for c in r]) for k, r in x.items()], "id long, v array<double>")
+    tokens = spark.createDataFrame([(0, [1, 2]), (1, [1, 2]), (2, [3]), (3, None), (4, None), (7, [1, 2])], "id long, tokens array<int>")
+    got = {(r["fault"], r["a"], r["b"]) for r in certify.vector_faults(frame(v), frame(again), tokens).collect()}
+    assert got == {("missing", 1, None), ("nonfinite", 6, None), ("nonunit", 5, None), ("nonunit", 3, None), ("drift", 3, None), ("collapse", 4, 8), ("tokens", 0, 1), ("tokens", 0, 7)}
+
+
+def test_close_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 5))
+    x[50:90] = x[:40] + rng.normal(scale=0.02, size=(40, 5))
+    x[100:103] = x[5]
+    got = {(r["a"], r["b"]) for r in certify.close_pairs(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>"), 0.05).collect()}
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= 0.05), strict=True) if a < b}
+    # of equal vectors the first stands for all
+    first = {k: min(j for j in range(200) if (x[j] == x[k]).all()) for k in range(200)}
+    assert got == {(a, b) for a, b in want if first[a] == a and (first[b] == b or first[b] == a)} and len(got) > 20
+
+
+def test_link_reasons_in_order(spark):
+    files = spark.createDataFrame([(1, "f"), (2, "g"), (3, "f"), (4, "h"), (5, "i"), (6, "j"), (7, "k"), (8, "j")], "item long, file string")
+    edges = spark.createDataFrame([(7, 1), (7, 2), (4, 5), (6, 4), (8, 3), (3, 1)], "item long, cited long")
+    triples = spark.createDataFrame([(1, 2, 0), (1, 3, 0), (3, 4, 0), (4, 5, 0), (2, 5, 0), (1, 99, 0), (3, 1, 0)], "a long, b long, c long")
+    got = {(r["a"], r["b"]): r["reason"] for r in pairs.link_reasons(triples, edges, files).collect()}
+    assert got == {(1, 2): "co-cited", (1, 3): "same file", (3, 1): "same file", (3, 4): "one file uses both", (4, 5): "files use each other", (2, 5): "kept", (1, 99): "kept"}
+
+
 def test_greedy_choices(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (2, 4)], "u int, v int")
     got = {(r["u"], r["v"]) for r in greedy.matching(e).collect()}
@@ -121,7 +162,7 @@ def test_greedy_choices(spark):
     c = spark.createDataFrame([("x", 1, 2, 9.0), ("x", 1, 3, 8.0), ("x", 1, 4, 7.0), ("y", 1, 2, 9.0), ("y", 5, 6, 1.0)], "arm string, u int, v int, score double")
     got = {(r["arm"], r["u"], r["v"]) for r in greedy.fill(c, ["x", "y"], 3).collect()}
     assert got == {("x", 1, 2), ("x", 1, 3), ("y", 5, 6)}
-    b = greedy.batches(spark.createDataFrame([(i, n) for i, n in enumerate([5, 6, 7, 4, 5])], "id int, n int"), "id", "n", 12).collect()
+    b = greedy.batches(spark.createDataFrame([(i, n) for i, n in enumerate([5, 6, 7, 4, 5])], "id int, n int"), "id", "n", 64, 12).collect()
     size = {}
     for r in b:
         size.setdefault(r["batch"], []).append([5, 6, 7, 4, 5][r["id"]])
