@@ -2,8 +2,12 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams; a linear layer and a softmax follow.
 As the mean and the layer are linear, prediction needs only the product of both matrices: one row of
-class scores for each hash bucket. The temperature and the rejection threshold are set on a part of
-the labelled sample that the training doesn't see.
+class scores for each hash bucket.
+
+Rejection is calibrated on a part of the labelled sample that the training doesn't see, and on strangers: languages are
+left out of the training in turn, and what a model without them says of their texts is known to be wrong. A score is the
+chance to be right that the lead of the best class over the next gives, and the threshold lies where nearly no right
+prediction does. With fewer than three languages there are no strangers, and only texts without letters are rejected.
 
 Defined results: null text, and text without a letter, gives `und` with score 0, rejected. Without any
 labelled row every text gives `und`. Repeated rows are predicted alike and each returned; ties between
@@ -26,8 +30,10 @@ SAMPLE = 3000
 BUCKETS = 1 << 16
 DIMS = 16
 GRAMS = (2, 3, 4)
-#: The part of right predictions on the calibration rows that the threshold may reject.
-REJECT = 0.001
+#: The threshold stands at SAFETY times the lead below which this part of right predictions on calibration rows lies.
+REJECT, SAFETY = 0.001, 0.65
+#: Classes that are left out in turn to see what strangers score, and rows of a model without one.
+LEFT_OUT, LEFT_ROWS = 8, 1000
 #: Bytes hashed at once, which bounds the memory of a task whatever the texts' lengths.
 CHUNK = 1 << 18
 
@@ -57,10 +63,13 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
+    """A text's score is the chance that its best class is right, a logistic function of how far that class leads the next one."""
+
     classes: list[str]
     scores: np.ndarray  # (BUCKETS, classes): embedding times layer
     bias: np.ndarray
-    temperature: float = 1.0
+    slope: float = 1.0
+    offset: float = 0.0
     threshold: float = 0.0
 
     def logits(self, text: str) -> np.ndarray:
@@ -70,11 +79,20 @@ class Model:
             n += len(ids)
         return total / max(n, 1) + self.bias
 
+    def score(self, lead: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * lead + self.offset, -50, 50))))
+
     def predict(self, text: str) -> tuple[str, float]:
-        z = self.logits(text) / self.temperature
-        p = np.exp(z - z.max())
-        k = int(p.argmax())
-        return self.classes[k], float(p[k] / p.sum())
+        z = self.logits(text)
+        return self.classes[int(z.argmax())], self.score(float(lead(z[None])[0]))
+
+
+def lead(z: np.ndarray) -> np.ndarray:
+    """By row, the largest value less the second; of a single class without bound."""
+    if z.shape[1] < 2:
+        return np.full(len(z), np.inf)
+    top = np.partition(z, -2, axis=1)
+    return top[:, -1] - top[:, -2]
 
 
 def descend(bags: list, y: np.ndarray, classes: int, fit: np.ndarray, rng: np.random.Generator, epochs: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,6 +118,41 @@ def descend(bags: list, y: np.ndarray, classes: int, fit: np.ndarray, rng: np.ra
     return embed, layer, bias
 
 
+def _logits(bags: list, rows: np.ndarray, embed: np.ndarray, layer: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.array([bags[i][1] @ embed[bags[i][0]] for i in rows]).reshape(-1, DIMS) @ layer + bias
+
+
+def strangers(bags: list, y: np.ndarray, fit: np.ndarray, held: np.ndarray, classes: int, rng: np.random.Generator, epochs: int, rate: float) -> np.ndarray:
+    """Leads that texts of a class get from a model that never saw it: LEFT_OUT classes are left out in turn."""
+    found = [np.empty(0)]
+    for c in range(min(classes, LEFT_OUT)) if classes > 2 else ():
+        rows = fit[y[fit] != c][:LEFT_ROWS]
+        of_it = np.append(held[y[held] == c], fit[y[fit] == c])[:LEFT_ROWS]
+        left = np.where(y > c, y - 1, y)
+        found.append(lead(_logits(bags, of_it, *descend(bags, left, classes - 1, rows, rng, epochs, rate))))
+    return np.concatenate(found)
+
+
+def calibrated(inside: np.ndarray, outside: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic function that tells leads of right predictions from those of strangers, both sides weighing the same."""
+    if not len(inside) or not len(outside) or not np.isfinite(inside).all():
+        return 1.0, 0.0
+    x = np.column_stack([np.append(inside, outside), np.ones(len(inside) + len(outside))])
+    t = np.append(np.ones(len(inside)), np.zeros(len(outside)))
+    w = np.append(np.full(len(inside), 0.5 / len(inside)), np.full(len(outside), 0.5 / len(outside)))
+    b = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -50, 50)))
+        # a little of the squared slope keeps it finite where the two sides don't overlap
+        g = x.T @ (w * (p - t)) + [1e-3 * b[0], 0]
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-9])
+        step = np.clip(np.linalg.solve(h, g), -2, 2)
+        b -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(b[0]), float(b[1])
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 7) -> Model | None:
     classes = sorted(set(labels))
     if not classes:
@@ -108,21 +161,18 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, fit = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 20 else (order, order)
-    embed, layer, bias = descend([bag(t) for t in texts], y, len(classes), fit, rng, epochs, rate)
+    bags = [bag(t) for t in texts]
+    embed, layer, bias = descend(bags, y, len(classes), fit, rng, epochs, rate)
     model = Model(classes, embed @ layer, bias.astype(np.float64))
-    z = np.array([model.logits(texts[i]) for i in held])
-    best = min(np.geomspace(0.05, 5, 40), key=lambda t: _loss(z / t, y[held]))
-    model.temperature = float(best)
-    right = [s for i in held for c, s in [model.predict(texts[i])] if c == classes[y[i]]]
-    model.threshold = float(min(np.quantile(right, REJECT), 0.9)) * 0.5 if right else 0.0
+    z = _logits(bags, held, embed, layer, bias)
+    inside = lead(z)[z.argmax(axis=1) == y[held]]
+    outside = strangers(bags, y, fit, held, len(classes), rng, epochs, rate)
+    model.slope, model.offset = calibrated(inside, outside)
+    if len(inside) and len(outside):
+        model.threshold = model.score(float(np.quantile(inside, REJECT)) * SAFETY)
     return model
 
 
-def _loss(z: np.ndarray, y: np.ndarray) -> float:
-    z = z - z.max(axis=1, keepdims=True)
-    return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]))
-
-
 def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 

@@ -139,11 +139,17 @@ def test_language_id_learns_and_rejects(spark):
     assert {r["lang_pred"] for r in langid.language_id(docs.withColumn("lang", docs["lang"].substr(9, 1)).filter("doc_id < 0").unionByName(spark.createDataFrame([(1, "abc", None)], docs.schema))).collect()} == {"und"}
 
 
-def test_folded_scores_equal_the_embedding_and_its_softmax(monkeypatch):
-    """One row of scores for each bucket against means of embeddings, a layer and a softmax, whatever the chunks."""
+def test_folded_scores_equal_the_embedding_and_its_layer(monkeypatch):
+    """One row of scores for each bucket against means of embeddings and a layer, whatever the chunks; the score follows the lead of the best class."""
     rng, made = random.Random(2), {}
     real = langid.descend
-    monkeypatch.setattr(langid, "descend", lambda *a: made.setdefault("parts", real(*a)))
+
+    def descend(*a):
+        parts = real(*a)
+        made.setdefault("parts", parts)
+        return parts
+
+    monkeypatch.setattr(langid, "descend", descend)
     words = {"aa": ["ala", "bola", "cora"], "bb": ["ünk", "ströt", "plüm"], "cc": ["xi", "yo", "zu"]}
     labels = [rng.choice(list(words)) for _ in range(90)]
     texts = [" ".join(rng.choice(words[x]) for _ in range(rng.randint(1, 30))) for x in labels]
@@ -159,12 +165,29 @@ def test_folded_scores_equal_the_embedding_and_its_softmax(monkeypatch):
                     h = (h ^ c) * 16777619 & 0xFFFF_FFFF
                 grams.append((h ^ h >> 15) % langid.BUCKETS)
         z = (embed[grams].mean(axis=0) if grams else 0) @ layer + bias if grams else bias
-        z = z.astype(float) / model.temperature
-        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        z = z.astype(float)
+        second, first = np.sort(z)[-2:]
+        want = 1 / (1 + np.exp(-(model.slope * (first - second) + model.offset)))
         for chunk in (3, 7, 1 << 18):
             monkeypatch.setattr(langid, "CHUNK", chunk)
             got, score = model.predict(t)
-            assert got == model.classes[int(p.argmax())] and abs(score - p.max()) < 1e-4
+            assert got == model.classes[int(z.argmax())] and abs(score - want) < 1e-4
+
+
+def test_unseen_languages_are_rejected():
+    """Each language left out of the training in turn: its texts are rejected, those of the others aren't."""
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist() if r["text"] and r["lang"]]
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    fit = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5][:1200]
+    gone = {}
+    for out in ("de", "en", "es"):
+        model = langid.train([r["text"] for r in fit if r["lang"] != out], [r["lang"] for r in fit if r["lang"] != out])
+        accepted = lambda lang, among: np.mean([model.predict(r["text"])[1] >= model.threshold for r in held if (r["lang"] == lang) == among])  # noqa: E731, B023
+        gone[out] = 1 - accepted(out, True)
+        assert accepted(out, False) > 0.98
+    assert min(gone.values()) > 0.5 and np.mean(list(gone.values())) > 0.8, gone
 
 
 def test_language_id_of_odd_tables(spark):
