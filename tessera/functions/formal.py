@@ -83,3 +83,36 @@ def truth_vector(expression: Column) -> Column:
 
 def viewed(text: Column, view: str) -> Column:
     return F.pandas_udf(lambda v: v.map(lambda x: content_view(x, view)), "string")(text)
+
+
+#: Fixed words that name no concept: sorts, binders of universes, and the mark of an inaccessible name.
+NO_CONCEPT = re.compile(r"(?:Type|Sort|Prop|fun|[uvw](?:_\d+)?|✝)\Z")
+TOKEN = re.compile(r"[A-Za-z_][A-Za-z0-9_.']*|[^\x00-\x7f\s]")
+
+
+def concepts(text: str) -> set[str]:
+    """What a printed state speaks of: the names in its goal and in the types of its hypotheses, without the names that the hypotheses bind.
+
+    A line `names : type` binds its names; of instances only these count. A name behind a bound one and a dot is the
+    concept by itself; dots at the end of a name don't belong to it.
+    """
+    bound, spoken = set(), []
+    for line in text.split("\n"):
+        names, colon, kind = line.partition(" : ")
+        if line.startswith("⊢"):
+            spoken.append(line[1:])
+        elif not colon or not names or names[0].isspace():
+            spoken.append(line)
+        else:
+            bound.update(TOKEN.findall(names))
+            if not names.startswith("inst"):
+                spoken.append(kind)
+    found = (t.rstrip(".") for s in spoken for t in TOKEN.findall(s))
+    parts = ((t, *t.partition(".")) for t in found)
+    bare = {rest if rest and head in bound else t for t, head, _, rest in parts}
+    return {t for t in bare if t and t not in bound and not NO_CONCEPT.match(t)}
+
+
+def concept_lists(text: str | Column) -> Column:
+    """Sorted concepts of each state, in Arrow batches."""
+    return F.pandas_udf(lambda v: v.map(lambda s: sorted(concepts(s or ""))), "array<string>")(text)

@@ -39,8 +39,8 @@ def completeness(records: DataFrame, vectors: DataFrame, by: str, key: str) -> D
     return out.withColumn("missing", F.col("records") - F.col("vectors")).withColumn("complete", F.col("missing") == 0)
 
 
-def relation_faults(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """fault, a, b: what keeps pairs (a <= b, same) over ids (id) from being a complete equivalence relation.
+def relation_faults(ids: DataFrame, pairs: DataFrame, complete: bool = True) -> DataFrame:
+    """fault, a, b: what keeps pairs (a <= b, same) over ids (id) from being a complete equivalence relation; without `complete`, pairs that are absent count as not the same.
 
     Transitivity needs no triples: under an equivalence each id has the same smallest partner as all its
     partners, and a class of n has n (n + 1) / 2 pairs.
@@ -56,7 +56,8 @@ def relation_faults(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     full = same.join(least.toDF("a", "la"), "a").groupBy("la").agg(F.count("*").alias("m"))
     full = full.join(least.toDF("x", "la").groupBy("la").agg(F.count("*").alias("n")), "la").filter("m <> n * (n + 1) / 2")
     full = full.select(F.lit("transitive").alias("fault"), F.col("la").alias("a"), F.col("n").alias("b"))
-    return twice.union(odd).union(loops).union(size).union(split).union(full)
+    faults = twice.union(odd).union(loops).union(split).union(full)
+    return faults.union(size) if complete else faults
 
 
 def _least(same: DataFrame) -> DataFrame:
@@ -241,3 +242,51 @@ def _cut(points: np.ndarray, axis: int, at: float, sign: int) -> np.ndarray:
     t = (at - inside[:, None, axis]) / (outside[None, :, axis] - inside[:, None, axis])
     crossing = inside[:, None, :] + t[:, :, None] * (outside[None] - inside[:, None])
     return np.concatenate([inside, crossing.reshape(-1, points.shape[1])])
+
+
+def fitting(records: DataFrame, length: str, limit: int, critical: DataFrame, key: str = "id") -> DataFrame:
+    """records with `fits` (length within the limit); a record that critical (key) names and doesn't fit, or that has no length, raises."""
+    x = records.withColumn("fits", F.coalesce(F.col(length) <= limit, F.lit(False)))
+    must_be_empty(x.filter("NOT fits").select(key).join(critical.select(key), key, "left_semi"), f"critical but longer than {limit}")
+    return x
+
+
+#: The axioms that any proof may rest on.
+FOUNDATIONS = ("propext", "Classical.choice", "Quot.sound")
+
+
+def target_axioms(messages: DataFrame, allowed: tuple[str, ...] = FOUNDATIONS) -> DataFrame:
+    """target, reports, axioms, outside, accepted of messages (target, data): what the reports on a target itself, no longer or other text, say it rests on.
+
+    A target without a report isn't accepted.
+    """
+    said = F.trim("data")
+    name = F.concat(F.lit("'"), F.col("target"), F.lit("'"))
+    head, end = F.concat(name, F.lit(" depends on axioms: [")), F.lit("]")
+    inner = F.expr("substring(trim(data), length(target) + 24, length(trim(data)) - length(target) - 24)")
+    lists = said.startswith(head) & said.endswith(end) & ~F.contains(inner, F.lit("]"))
+    none = said == F.concat(name, F.lit(" does not depend on any axioms"))
+    names = F.filter(F.transform(F.split(inner, ","), lambda s: F.trim(s)), lambda s: s != "")
+    x = messages.withColumn("__names", F.when(lists, names).when(none, F.array().cast("array<string>")))
+    x = x.groupBy("target").agg(F.count("__names").alias("reports"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__names")))).alias("axioms"))
+    outside = F.filter("axioms", lambda s: ~s.isin(*allowed))
+    return x.withColumn("outside", outside).withColumn("accepted", (F.col("reports") > 0) & (F.size("outside") == 0))
+
+
+def replay_faults(records: DataFrame, replays: DataFrame, environment: str | None = None, whole: str = "mathlib:") -> DataFrame:
+    """proof_id, field: where a replay belongs to another source, target or environment than its record, or to none.
+
+    records: (id, theorem_id, body, source_artifact); replays: (proof_id, theorem_id, body_sha256, environment,
+    source_artifact). Theorems whose id begins with `whole` are replayed with all of their file, so the artifact counts.
+    """
+    r = records.select(F.col("id").alias("proof_id"), F.col("theorem_id").alias("__t"), F.sha2("body", 256).alias("__b"), F.col("source_artifact").alias("__s"))
+    x = replays.join(r.withColumn("__has", F.lit(True)), "proof_id", "left")
+    same = lambda a, b: F.col(a).eqNullSafe(b)
+    checks = {"proof_id": F.coalesce("__has", F.lit(False)), "theorem_id": same("theorem_id", F.col("__t")), "body_sha256": same("body_sha256", F.col("__b"))}
+    if environment is not None:
+        checks["environment"] = same("environment", F.lit(environment))
+    checks["source_artifact"] = ~F.coalesce(F.col("__t").startswith(whole), F.lit(False)) | same("source_artifact", F.col("__s"))
+    wrong = F.array_compact(F.array(*(F.when(~ok, F.lit(field)) for field, ok in checks.items())))
+    # a replay of no record has one fault
+    wrong = F.when(F.col("__has"), wrong).otherwise(F.array(F.lit("proof_id")))
+    return x.select("proof_id", F.explode(wrong).alias("field"))

@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import settled
+from .rank import midranks
+from .vectors import knn
+
 
 def encoded(texts: DataFrame, id_: str, text: str, encode: Callable[[list[str]], np.ndarray], batch: int = 256) -> DataFrame:
     """id, v: each distinct text is encoded once, in batches of like length, and joined back to its rows."""
@@ -28,6 +32,63 @@ def encoded(texts: DataFrame, id_: str, text: str, encode: Callable[[list[str]],
     return keyed.select(id_, "h").join(distinct.mapInPandas(run, "h string, v array<double>"), "h").select(id_, "v")
 
 
+def pooled(texts: DataFrame, id_: str, text: str, tokens: Callable[[str], list[int]], encode: Callable[[list[list[int]]], np.ndarray], window: int = 254, batch: int = 64) -> DataFrame:
+    """id, v: mean of a text's token windows, each weighing its number of tokens, to unit length.
+
+    encode gives the mean vector of each of up to `batch` windows; windows of all texts of an Arrow batch share its calls,
+    like lengths together. A text without tokens is an error; null texts are left out.
+    """
+    kind = dict(texts.dtypes)[id_]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            ids = [tokens(t) for t in pdf[text]]
+            if not all(map(len, ids)):
+                raise ValueError("a text has no tokens")
+            cut = [(row, x[at : at + window]) for row, x in enumerate(ids) for at in range(0, len(x), window)]
+            cut.sort(key=lambda c: len(c[1]))
+            total = None
+            for at in range(0, len(cut), batch):
+                part = cut[at : at + batch]
+                v = np.asarray(encode([w for _, w in part]), float)
+                total = np.zeros((len(ids), v.shape[1])) if total is None else total
+                np.add.at(total, [row for row, _ in part], v * np.array([[len(w)] for _, w in part]))
+            if total is not None:
+                mean = total / np.array([[len(x)] for x in ids])
+                yield pd.DataFrame({id_: pdf[id_], "v": list(mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12))})
+
+    return texts.select(id_, text).filter(F.col(text).isNotNull()).mapInPandas(run, f"`{id_}` {kind}, v array<double>")
+
+
+def reranked(pairs: DataFrame, vectors: DataFrame, predict: Callable[[np.ndarray, np.ndarray], np.ndarray], top: int = 10_000) -> DataFrame:
+    """The `top` pairs (i, j) by score, with novelty, reach and novel, the mean of the average ranks of all three.
+
+    predict says from the vectors (id, u; unit length) of a pair where what joins the two would lie, as a unit vector.
+    novelty is its distance (1 - cosine) from the nearest item but the two, reach that from the nearer of the two. Only
+    the pairs that the first score leaves are predicted and meet the items, block by block.
+    """
+    first = settled(pairs.select("i", "j", "score").orderBy(F.desc("score"), "i", "j").limit(top).withColumn("pair", F.monotonically_increasing_id()))
+    x = first.join(vectors.select("id", "u").toDF("i", "ui"), "i").join(vectors.select("id", "u").toDF("j", "uj"), "j")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                a, b = np.stack(pdf["ui"].to_numpy()), np.stack(pdf["uj"].to_numpy())
+                p = np.asarray(predict(a, b), float)
+                yield pd.DataFrame({"id": pdf["pair"], "u": list(p), "reach": 1 - np.maximum((p * a).sum(1), (p * b).sum(1))})
+
+    made = settled(x.select("pair", "ui", "uj").mapInPandas(run, "id long, u array<double>, reach double"))
+    # three items at least hold one that isn't of the pair; ids of pairs and items are told apart by their sign
+    query = made.select((-1 - F.col("id")).alias("id"), "u")
+    near = knn(vectors.select("id", "u"), query, 3).select((-1 - F.col("query")).alias("pair"), "id", "sim")
+    near = near.join(first.select("pair", "i", "j"), "pair").filter("id <> i AND id <> j").groupBy("pair").agg((1 - F.max("sim")).alias("novelty"))
+    y = first.join(made.select(F.col("id").alias("pair"), "reach"), "pair").join(near, "pair", "left")
+    y = settled(y.withColumns({c: F.round(c, 9) for c in ("novelty", "reach")}))
+    for c in ("score", "novelty", "reach"):
+        y = midranks(y, c, f"__{c}")
+    return y.select("i", "j", "score", "novelty", "reach", ((F.col("__score") + F.col("__novelty") + F.col("__reach")) / 3).alias("novel"))
+
+
 def scored(pairs: DataFrame, vectors: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """pairs (i, j) with score(rows of i, rows of j). vectors: (id, v)."""
     x = pairs.join(vectors.toDF("i", "vi"), "i").join(vectors.toDF("j", "vj"), "j")

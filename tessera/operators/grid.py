@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import sinks
-from .rank import top_per
+from .rank import quantiles, top_per
 
 
 def history(cit: DataFrame, cutoff: int) -> DataFrame:
@@ -83,7 +83,7 @@ def ladder(cells: DataFrame, xlist: DataFrame, shared: DataFrame, second: DataFr
     keys = ["work", "area"]
     x = cells.join(mark(xlist, "one"), keys, "left").join(mark(shared, "two"), keys, "left").join(mark(second, "three"), keys, "left")
     x = x.join(flow, keys, "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
-    edge = x.agg(F.percentile("flow", F.lit(quantile)).alias("edge"))
+    edge = quantiles(x, "flow", [quantile]).select(F.get("edges", F.lit(0)).alias("edge"))
     rung = F.when(F.col("one"), 1).when(F.col("two"), 2).when(F.col("three"), 3).when(F.col("flow") >= F.col("edge"), 4).otherwise(5)
     return x.crossJoin(F.broadcast(edge)).select(*cells.columns, "flow", rung.cast("long").alias("rung"))
 
@@ -98,7 +98,7 @@ def six_rungs(cells: DataFrame, cit: DataFrame, areas: DataFrame, xlist: DataFra
     for df, name in ((xlist, "one"), (shared, "two"), (second, "three"), (near, "four")):
         x = x.join(mark(df, name), keys, "left")
     x = x.join(flow, keys, "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
-    edge = x.filter("flow > 0").agg(F.percentile("flow", F.lit(0.75)).alias("edge"))
+    edge = quantiles(x.filter("flow > 0"), "flow", [0.75]).select(F.get("edges", F.lit(0)).alias("edge"))
     warm = (F.col("flow") > 0) & (F.col("flow") >= F.col("edge"))
     rung = F.when(F.col("one"), 1).when(F.col("two"), 2).when(F.col("three"), 3).when(F.col("four"), 4).when(warm, 5).otherwise(6)
     return x.crossJoin(F.broadcast(edge)).select(*cells.columns, rung.cast("long").alias("rung"))
@@ -164,7 +164,7 @@ def surprise(cells: DataFrame, cit: DataFrame, xlist: DataFrame, f: DataFrame, c
 
 def textbooks(breadths: DataFrame, q: float = 0.9) -> DataFrame:
     """Works whose breadth reaches the quantile."""
-    edge = breadths.agg(F.percentile("breadth", F.lit(q)).alias("edge"))
+    edge = quantiles(breadths, "breadth", [q]).select(F.get("edges", F.lit(0)).alias("edge"))
     return breadths.crossJoin(F.broadcast(edge)).filter("breadth >= edge").drop("edge")
 
 

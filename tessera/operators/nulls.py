@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from . import corpus as cp
 from . import resample as rs
+from .dictionary import numbered
+from .rank import midranks
 
 #: Fewest pairs that a draw has to keep.
 LEAST = 10
@@ -62,24 +64,35 @@ def substituted(pairs: DataFrame, items: int, draws: int, seed: str) -> DataFram
     return _wired(pairs.select("i", "j").withColumn("draw", rs.draws(draws)), to("i"), to("j"))
 
 
-def permutation(points: DataFrame, draws: int, seed: str, size: int = CLASS) -> DataFrame:
-    """draw, e, to: in every draw the endpoints e change places among themselves."""
-    count = points.count()
-    classes = max(1, -(-count // size))
-    slots = points.withColumn("slot", F.row_number().over(Window.orderBy("e")).cast("long") - 1) if classes == 1 else _slots(points)
+def slots(points: DataFrame, draws: int, seed: str, size: int = CLASS) -> DataFrame:
+    """draw, e, slot: every draw's order of the points e, by hash, from 0."""
+    classes = max(1, -(-points.count() // size))
     x = points.withColumn("draw", rs.draws(draws)).withColumn("u", rs.uniform(seed, "draw", "e"))
     x = x.withColumn("c", F.floor(F.col("u") * classes))
     sizes = x.groupBy("draw", "c").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("draw").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = F.row_number().over(Window.partitionBy("draw", "c").orderBy("u", "e")) - 1
     x = x.withColumn("at", at).join(before.select("draw", "c", "before"), ["draw", "c"])
-    return x.select("draw", "e", (F.col("before") + F.col("at")).alias("slot")).join(slots.withColumnRenamed("e", "to"), "slot").select("draw", "e", "to")
+    return x.select("draw", "e", (F.col("before") + F.col("at")).alias("slot"))
+
 
+def permutation(points: DataFrame, draws: int, seed: str, size: int = CLASS) -> DataFrame:
+    """draw, e, to: in every draw the points e change places among themselves."""
+    own = numbered(points.select(F.col("e").alias("to")), ["to"], "slot")
+    return slots(points.select("e"), draws, seed, size).join(own, "slot").select("draw", "e", "to")
 
-def _slots(points: DataFrame) -> DataFrame:
-    from .dictionary import numbered
 
-    return numbered(points, ["e"], "slot")
+def label_permutation(items: DataFrame, draws: int, seed: str, size: int = CLASS) -> DataFrame:
+    """draw, auc where as many items as are positive, the first in the draw's order, count as positive. items: (id, s, y).
+
+    Ranks stay as they are, so a draw is a sum of average ranks, not an order of its own.
+    """
+    ranked = midranks(items.select(F.col("id").alias("e"), "s"), "s", "__rank").select("e", "__rank")
+    n = items.agg(F.count("*").alias("n"), F.count_if("y").alias("k"))
+    x = slots(items.select(F.col("id").alias("e")), draws, seed, size).crossJoin(F.broadcast(n)).filter("slot < k").join(ranked, "e")
+    s = x.groupBy("draw").agg(F.sum("__rank").alias("r"), F.max("k").alias("k"), F.max("n").alias("n"))
+    k, rest = F.col("k"), F.col("n") - F.col("k")
+    return s.select("draw", F.when(rest > 0, (F.col("r") - k * (k + 1) / 2) / (k * rest)).alias("auc"))
 
 
 def permuted(pairs: DataFrame, draws: int, seed: str, size: int = CLASS) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import settled
+
 BUCKETS = 64
 
 
@@ -93,7 +95,24 @@ def top_per(df: DataFrame, group: str, score: str, ids: list[str], k: int) -> Da
     return df.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def quantiles(df: DataFrame, value: str, cuts: list[float], interpolate: bool = True, out: str = "edges") -> DataFrame:
+    """One row: the values at the quantiles `cuts`, linear between two rows (interpolate) or the first row to reach them; empty without values.
+
+    From counts of distinct values and the sums below them, so no task holds all values.
+    """
+    counts = settled(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")))
+    total = counts.agg(F.sum("__n").alias("__t"))
+    at = lambda q: F.lit(float(q)) * (F.col("__t") - 1) if interpolate else F.greatest(F.ceil(F.lit(float(q)) * F.col("__t")) - 1, F.lit(0)).cast("double")
+    places = total.filter("__t > 0").select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), at(q).alias("h")) for k, q in enumerate(cuts)))).alias("p")).select("p.*")
+    low, high = F.floor("h"), F.ceil("h")
+    holds = lambda place: (F.col("__n_below") <= place) & (place < F.col("__n_below") + F.col("__n"))
+    met = cumulative(counts, "__v", ["__n"]).join(F.broadcast(places), holds(low) | holds(high))
+    each = met.groupBy("k").agg(F.max(F.when(holds(low), F.col("__v"))).alias("a"), F.max(F.when(holds(high), F.col("__v"))).alias("b"), F.max("h").alias("h"))
+    each = each.select("k", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).alias("e"))
+    return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "e"))), lambda x: x["e"]).alias(out))
+
+
 def quantile_band(df: DataFrame, value: str, cuts: list[float], out: str = "band") -> DataFrame:
     """Number of quantile edges (linear interpolation) at or below the value."""
-    edges = df.agg(F.percentile(value, F.lit(cuts)).alias("__e"))
+    edges = quantiles(df, value, cuts, out="__e")
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.size(F.filter("__e", lambda e: e <= F.col(value))).cast("long")).drop("__e")

@@ -52,6 +52,18 @@ def block_pairs(rows: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame, np.nd
     return left.groupBy("p", "q").applyInPandas(run, schema)
 
 
+def largest(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row, largest first, ties by column; only rows that tie at the k-th are sorted whole."""
+    if s.shape[1] <= k:
+        return np.argsort(-s, axis=1, kind="stable")
+    top = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
+    values = np.take_along_axis(s, top, axis=1)
+    top = np.take_along_axis(top, np.argsort(-values, axis=1, kind="stable"), axis=1)
+    tied = (s >= values.min(axis=1, keepdims=True)).sum(axis=1) > k
+    top[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+    return top
+
+
 def knn(rows: DataFrame, queries: DataFrame, k: int, columns: list[str] | None = None, blocks: int | None = None) -> DataFrame:
     """query, id, sim, rank and kept columns of the k nearest rows of each query, itself excluded, ties by id.
 
@@ -75,7 +87,7 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, columns: list[str] | None =
                 part = b.iloc[at : at + 512]
                 s = np.round(np.stack(part["qu"].to_numpy()) @ u, 9)
                 s[part["qid"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                top = largest(s, k)
                 for q, row, sims in zip(part["qid"], top, np.take_along_axis(s, top, axis=1), strict=True):
                     ok = np.isfinite(sims)
                     out.append(a.iloc[row[ok]][["id", *columns]].assign(query=q, sim=sims[ok]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formal, stats
 from ..functions.numbers import rounded
-from ..operators import grid, pairs, rank
+from ..operators import grid, nulls, pairs, rank
 from ..operators import resample as rs
 from ..operators import vectors as vec
 from ..sources import tables as t
@@ -113,8 +113,8 @@ def query_ranks(spark, d):
 @query("degree_quintiles", with_sql("paper", "cit") + ", n as (select work, count(*) n from cit group by 1), e as (select quantile_disc(n, [0.2, 0.4, 0.6, 0.8]) e from n) select work, len(list_filter(e.e, lambda x: x <= n))::bigint band from n, e")
 def degree_quintiles(spark, d):
     n = t.citations(spark, d).groupBy("work").agg(F.count("*").alias("n"))
-    e = n.agg(*(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY n)").alias(f"e{k}") for k, q in enumerate((0.2, 0.4, 0.6, 0.8))))
-    band = sum((F.col(f"e{k}") <= F.col("n")).cast("long") for k in range(4))
+    e = rank.quantiles(n, "n", [0.2, 0.4, 0.6, 0.8], interpolate=False)
+    band = F.size(F.filter("edges", lambda x: x <= F.col("n"))).cast("long")
     return n.crossJoin(F.broadcast(e)).select("work", band.alias("band"))
 
 
@@ -164,12 +164,10 @@ def accumulated_sets(spark, d):
 
 
 @query("endpoint_permutation", f"with {ranks.LAB}, dr as (select unnest(range(20)) draw), a as (select id, s, row_number() over (order by id) k from lab), o as (select draw, id, row_number() over (partition by draw order by sha256('ends|' || draw || '|' || id), id) k from dr, lab), m as (select o.draw, avg(abs(a.s - b.s)) v from o join a on a.k = o.k join a b on b.id = o.id group by o.draw) select round(avg(v), 6) mean, round(stddev_pop(v), 6) sd from m")
-def endpoint_permutation(spark, d):
+def endpoint_permutation(spark, d, draws: int = 20):
     x = ranks.lab(spark, d).select("id", "s")
-    a = x.withColumn("k", F.row_number().over(Window.orderBy("id")))
-    key = F.sha2(F.concat_ws("|", F.lit("ends"), F.col("draw").cast("string"), F.col("id").cast("string")), 256)
-    o = x.withColumn("draw", rs.draws(20)).withColumn("k", F.row_number().over(Window.partitionBy("draw").orderBy(key, "id"))).select("draw", "k", F.col("s").alias("t"))
-    m = o.join(a, "k").groupBy("draw").agg(F.avg(F.abs(F.col("s") - F.col("t"))).alias("v"))
+    o = nulls.permutation(x.select(F.col("id").alias("e")), draws, "ends").join(x.toDF("e", "t"), "e").join(x.toDF("to", "s"), "to")
+    m = o.groupBy("draw").agg(F.avg(F.abs(F.col("s") - F.col("t"))).alias("v"))
     return m.agg(rounded(F.avg("v"), 6).alias("mean"), rounded(F.stddev_pop("v"), 6).alias("sd"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
-from ..operators import rank
+from ..operators import nulls, rank
 from ..operators import resample as rs
 from ..sources import tables as t
 from ..sources.tables import with_sql
@@ -177,18 +177,18 @@ mu as (select draw, k2.src, count(*) mult from (select draw, floor({U('boot', 'd
 
 
 @query("hash_bootstrap_auc", f"with {LAB}, {BOOT}, x as (select draw g, s, y, mult::double w from mu join lab using (src)), {CLS}, a as (select g draw, {VALUE} auc from c group by g) select count(*) draws, round(avg(auc), 6) mean, round(quantile_cont(auc, 0.025), 6) low, round(quantile_cont(auc, 0.975), 6) high from a")
-def hash_bootstrap_auc(spark, d):
+def hash_bootstrap_auc(spark, d, draws: int = 50):
     x = lab(spark, d)
     c = x.groupBy("src", "s").agg(F.sum(F.col("y").cast("double")).alias("pw"), F.sum((~F.col("y")).cast("double")).alias("nw"))
-    a = _by(rs.weighted_classes(c, rs.multiplicities(rs.numbered(x, "src"), "src", 50, "boot"), "src", "s"), "draw")
+    a = _by(rs.weighted_classes(c, rs.multiplicities(rs.numbered(x, "src"), "src", draws, "boot"), "src", "s"), "draw")
     return a.agg(F.count("*").alias("draws"), rounded(F.avg("auc"), 6).alias("mean"), rounded(F.percentile("auc", F.lit(0.025)), 6).alias("low"), rounded(F.percentile("auc", F.lit(0.975)), 6).alias("high"))
 
 
 @query("bootstrap_gain", f"with {LAB}, {BOOT}, xa as (select draw g, s, y, mult::double w from mu join lab using (src)), xb as (select draw g, q::int::double s, y, mult::double w from mu join lab using (src)), a as (select g, auc from (with x as (select * from xa), {CLS} select g, {VALUE} auc from c group by g)), b as (select g, auc from (with x as (select * from xb), {CLS} select g, {VALUE} auc from c group by g)) select round(avg(a.auc - b.auc), 6) gain, round(quantile_cont(a.auc - b.auc, 0.025), 6) low, round(quantile_cont(a.auc - b.auc, 0.975), 6) high from a join b using (g)")
-def bootstrap_gain(spark, d):
+def bootstrap_gain(spark, d, draws: int = 50):
     """Paired: both scores are weighed by the same draws."""
     x = lab(spark, d)
-    mult = rs.multiplicities(rs.numbered(x, "src"), "src", 50, "boot")
+    mult = rs.multiplicities(rs.numbered(x, "src"), "src", draws, "boot")
     sums = [F.sum(F.col("y").cast("double")).alias("pw"), F.sum((~F.col("y")).cast("double")).alias("nw")]
     a = _by(rs.weighted_classes(x.groupBy("src", "s").agg(*sums), mult, "src", "s"), "draw")
     b = _by(rs.weighted_classes(x.drop("s").withColumn("s", F.col("q").cast("double")).groupBy("src", "s").agg(*sums), mult, "src", "s"), "draw")
@@ -197,44 +197,40 @@ def bootstrap_gain(spark, d):
 
 
 @query("endpoint_bootstrap", f"with {LAB}, {BOOT}, pr as (select a.src i, b.src j, avg(abs(a.s - b.s)) v from lab a join lab b on a.src < b.src and a.y and b.y group by 1, 2), x as (select x.draw, sum(v * x.mult * y.mult) / sum(x.mult * y.mult) m from pr join mu x on x.src = i join mu y on y.src = j and y.draw = x.draw group by x.draw) select round(avg(m), 6) mean, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high from x")
-def endpoint_bootstrap(spark, d):
+def endpoint_bootstrap(spark, d, draws: int = 50):
     """A pair weighs the product of its two ends' multiplicities."""
     x = lab(spark, d)
     y = x.filter("y").groupBy("src", "s").agg(F.count("*").alias("n"))
     p = y.toDF("i", "si", "ni").join(y.toDF("j", "sj", "nj"), F.col("i") < F.col("j"))
     p = p.groupBy("i", "j").agg((F.sum(F.col("ni") * F.col("nj") * F.abs(F.col("si") - F.col("sj"))) / F.sum(F.col("ni") * F.col("nj"))).alias("v"))
-    m = rs.multiplicities(rs.numbered(x, "src"), "src", 50, "boot")
+    m = rs.multiplicities(rs.numbered(x, "src"), "src", draws, "boot")
     w = p.join(m.toDF("draw", "i", "mi"), "i").join(m.toDF("draw", "j", "mj"), ["draw", "j"])
     w = w.groupBy("draw").agg((F.sum(F.col("v") * F.col("mi") * F.col("mj")) / F.sum(F.col("mi") * F.col("mj"))).alias("m"))
     return w.agg(rounded(F.avg("m"), 6).alias("mean"), rounded(F.percentile("m", F.lit(0.025)), 6).alias("low"), rounded(F.percentile("m", F.lit(0.975)), 6).alias("high"))
 
 
 @query("area_bootstrap", with_sql("paper", "cit") + f""", pr as (select area src, avg((year > 1999)::int) p from cit group by 1), lab as (select src from pr), {BOOT}, m as (select draw, sum(p * mult) / sum(mult) p from mu join pr using (src) group by draw) select round(avg(p), 6) mean, round(quantile_cont(p, 0.025), 6) low, round(quantile_cont(p, 0.975), 6) high from m""")
-def area_bootstrap(spark, d):
+def area_bootstrap(spark, d, draws: int = 50):
     p = t.citations(spark, d).groupBy(F.col("area").alias("src")).agg(F.avg((F.col("year") > 1999).cast("int")).alias("p"))
-    m = rs.multiplicities(rs.numbered(p, "src"), "src", 50, "boot").join(F.broadcast(p), "src")
+    m = rs.multiplicities(rs.numbered(p, "src"), "src", draws, "boot").join(F.broadcast(p), "src")
     m = m.groupBy("draw").agg((F.sum(F.col("p") * F.col("mult")) / F.sum("mult")).alias("p"))
     return m.agg(rounded(F.avg("p"), 6).alias("mean"), rounded(F.percentile("p", F.lit(0.025)), 6).alias("low"), rounded(F.percentile("p", F.lit(0.975)), 6).alias("high"))
 
 
 @query("permutation_null", f"with {LAB}, dr as (select unnest(range(20)) draw), k as (select count(*) filter (where y) k from lab), r as (select draw, s, row_number() over (partition by draw order by sha256('perm|' || draw || '|' || id), id) n from dr, lab), x as (select draw g, s, n <= k.k y, 1.0::double w from r, k), {CLS}, a as (select g, {VALUE} auc from c group by g) select round(avg(auc), 6) mean, round(stddev_pop(auc), 6) sd, count(*) filter (where auc >= 0.5::double) above from a")
-def permutation_null(spark, d):
-    x = lab(spark, d).withColumn("draw", rs.draws(20))
-    key = F.sha2(F.concat_ws("|", F.lit("perm"), F.col("draw").cast("string"), F.col("id").cast("string")), 256)
-    n = F.row_number().over(Window.partitionBy("draw").orderBy(key, "id"))
-    x = x.withColumn("n", n).crossJoin(F.broadcast(lab(spark, d).agg(F.count_if("y").alias("k"))))
-    a = rank.auc(x.withColumn("hit", F.col("n") <= F.col("k")), "s", "hit", None, ["draw"])
+def permutation_null(spark, d, draws: int = 20):
+    a = nulls.label_permutation(lab(spark, d).select("id", "s", "y"), draws, "perm")
     return a.agg(rounded(F.avg("auc"), 6).alias("mean"), rounded(F.stddev_pop("auc"), 6).alias("sd"), F.count_if(F.col("auc") >= 0.5).alias("above"))
 
 
 @query("cluster_null", f"""with {LAB}, dr as (select unnest(range(20)) draw), n as (select count(*) n from lab), num as (select id, s, y, row_number() over (order by id) - 1 k from lab),
 sw as (select draw, num.s s0, b.s s1, num.y from dr, num, n join num b on b.k = floor({U('null', 'draw', 'num.id')} * n.n)::bigint), x as (select draw g, s1 s, y, 1.0::double w from sw), {CLS}, a as (select g, {VALUE} auc from c group by g) select round(avg(auc), 6) mean, round(stddev_pop(auc), 6) sd from a""".replace("from dr, num, n join num b on b.k = floor(", "from dr cross join num cross join n join num b on b.k = floor("))
-def cluster_null(spark, d):
+def cluster_null(spark, d, draws: int = 20):
     """Each item is replaced by a random one, the same in all its rows of a draw."""
     x = lab(spark, d)
     num = x.select("id", "s", "y").withColumn("k", F.row_number().over(Window.orderBy("id")).cast("long") - 1)
     n = x.agg(F.count("*").alias("n"))
-    sw = num.withColumn("draw", rs.draws(20)).crossJoin(F.broadcast(n)).withColumn("to", F.floor(rs.uniform("null", "draw", "id") * F.col("n")).cast("long"))
+    sw = num.withColumn("draw", rs.draws(draws)).crossJoin(F.broadcast(n)).withColumn("to", F.floor(rs.uniform("null", "draw", "id") * F.col("n")).cast("long"))
     sw = sw.select("draw", "y", "to").join(num.select(F.col("k").alias("to"), "s"), "to")
     return rank.auc(sw, "s", "y", None, ["draw"]).agg(rounded(F.avg("auc"), 6).alias("mean"), rounded(F.stddev_pop("auc"), 6).alias("sd"))
 

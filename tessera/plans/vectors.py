@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as v
 from ..functions.numbers import rounded
-from ..operators import rank
+from ..operators import encode, layout, pairs, rank
 from ..operators import vectors as ops
 from ..sources import tables as t
+from ..sources.tables import with_sql
 from .registry import query
 
 DOT = "list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2]))"
@@ -200,3 +201,40 @@ def shuffled_control_auc(spark, d):
         return y.groupby(["s", "y"]).size().rename("w").reset_index().astype({"w": "float64"})
 
     return rank.auc(ops.block_pairs(s, fn, "s double, y boolean, w double", ["area"]), "s", "y", "w").select(rounded("auc", 6).alias("auc"))
+
+
+@query("sphere_fidelity", None)
+def sphere_fidelity(spark, d):
+    """What three axes keep of the vectors, and where they lie on the sphere."""
+    return layout.sphere(rows(spark, d)).select("id", *(rounded(c, 6).alias(c) for c in ("x", "y", "z", "fidelity")))
+
+
+@query("sphere_layout", None)
+def sphere_layout(spark, d, epochs: int = 6):
+    """The projection after a few rounds of pulling ten neighbours together."""
+    x = rows(spark, d)
+    return layout.layout(layout.sphere(x).filter("x IS NOT NULL"), _knn(spark, d).select("query", "id"), 10, epochs, rate=0.25, repel=0.1)
+
+
+def _between(a, b):
+    """The direction halfway between two vectors; of opposite ones, the first."""
+    import numpy as np
+
+    m = a + b
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.where(n > 1e-12, m / np.maximum(n, 1e-12), a)
+
+
+@query("rerank_novel", with_sql("paper", "cit") + f""", {U}, co as (select a.work i, b.work j, count(*)::double score from cit a join cit b on a.paper = b.paper and a.work < b.work where a.work in (select id from u) and b.work in (select id from u) group by 1, 2 order by score desc, i, j limit 2000),
+pm as (select i, j, score, a.u ui, b.u uj, list_transform(list_zip(a.u, b.u), lambda z: z[1] + z[2]) m from co join u a on a.id = i join u b on b.id = j), pu as (select *, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) p from pm),
+nv as (select i, j, 1 - max(round(list_sum(list_transform(list_zip(p, b.u), lambda z: z[1] * z[2])), 9)) novelty from pu join u b on b.id <> i and b.id <> j group by 1, 2),
+x as (select i, j, score, round(novelty, 9) novelty, round(1 - greatest(list_sum(list_transform(list_zip(p, ui), lambda z: z[1] * z[2])), list_sum(list_transform(list_zip(p, uj), lambda z: z[1] * z[2]))), 9) reach from pu join nv using (i, j)),
+r as (select *, {" + ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0::double" for c in ("score", "novelty", "reach"))} total from x)
+select i, j, score, round(novelty, 6) novelty, round(reach, 6) reach, round(total / 3, 1) novel from r""")
+def rerank_novel(spark, d):
+    """The 2,000 pairs of works most often cited together, ranked again by how new what lies between them is."""
+    x = rows(spark, d).select("id", "u")
+    ids = x.select("id")
+    cit = t.citations(spark, d).join(ids.toDF("work"), "work", "left_semi")
+    co = pairs.co_cited(cit.select(F.col("paper").alias("list"), F.col("work").alias("item"))).select("i", "j", F.col("n").cast("double").alias("score"))
+    return encode.reranked(co, x, _between, 2000).select("i", "j", "score", rounded("novelty", 6).alias("novelty"), rounded("reach", 6).alias("reach"), rounded("novel", 1).alias("novel"))

@@ -17,15 +17,20 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share (spark.checkpoint.dir), where its lineage ends; a local folder only where Spark is one process."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share (spark.checkpoint.dir); a local folder only where that is unset and Spark is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[[\d*, ]+\])?$", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table in a scratch folder, where its lineage ends."""
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

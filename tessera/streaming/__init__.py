@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streams: sources that remember where they stood."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from .records import fetched
+from ..sources.records import fetched
 
 OAI = "{http://www.openarchives.org/OAI/2.0/}"
 #: Status with which a token is refused.

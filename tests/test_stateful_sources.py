@@ -9,7 +9,8 @@ from urllib.parse import parse_qs, urlsplit
 import numpy as np
 import pytest
 
-from tessera.sources import arrays, harvest
+from tessera.sources import arrays
+from tessera.streaming import harvest
 
 NS = "http://www.openarchives.org/OAI/2.0/"
 
