@@ -13,6 +13,7 @@ from tessera.llm.pii import pii_stage
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document is packed: a row for each of its pieces; null and empty texts are one piece of one id, repeated rows are packed each, no rows give none."""
     return best_fit_packing(docs)
 
 
