@@ -33,9 +33,11 @@ THRESHOLD = 0.95
 #: Axes of the grid, and of the bounding boxes.
 AXES = 8
 BOX = 32
-#: Vectors in a block at most: about 2 MB of doubles at 64 dimensions.
-BLOCK = 4096
+#: Vectors in a block at most, and bytes of their doubles; so a pair of strips has the same size in any dimension.
+BLOCK, BYTES = 4096, 2 << 20
 LEAF = 512
+#: How far from the threshold a product's rounding can't decide.
+NARROW = 1e-9
 #: Parts of an interval of strips; blocks in a strip at most.
 FAN = 8
 STRIP = 16
@@ -79,41 +81,41 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def join(u: np.ndarray, p: np.ndarray, w: np.ndarray, q: np.ndarray, t: float, eps: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row of u, row of w) of two blocks; p, q are their rows on the leading principal axes. same: a block with itself."""
-    found, todo = [], [(0, len(u), 0, len(w))]
+def join(x: np.ndarray, u: np.ndarray, p: np.ndarray, y: np.ndarray, w: np.ndarray, q: np.ndarray, t: float, eps: float, same: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Links of two blocks, a LEAF by LEAF part at a time: where the part begins in each, and which of its pairs are linked.
+
+    x, u, p: a block's vectors, their directions, and these on the leading principal axes; y, w, q: the other's. same: a
+    block with itself, of which each pair comes once. The product decides, but for pairs so near the threshold that its
+    rounding could; these are computed by the plain formula.
+    """
+    todo = [(0, len(u), 0, len(w))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
         if same and b1 <= a0:
             continue
-        x, y = p[a0:a1], q[b0:b1]
-        if _apart((x.min(0), x.max(0)), (y.min(0), y.max(0))) > eps:
+        left, right = p[a0:a1], q[b0:b1]
+        if _apart((left.min(0), left.max(0)), (right.min(0), right.max(0))) > eps:
             continue
         if a1 - a0 <= LEAF and b1 - b0 <= LEAF:
-            i, j = np.nonzero(u[a0:a1] @ w[b0:b1].T >= t - 1e-9)
-            i, j = i + a0, j + b0
+            s = u[a0:a1] @ w[b0:b1].T
+            linked = s >= t
+            i, j = np.nonzero(np.abs(s - t) <= NARROW)
+            linked[i, j] = vectors.cosine(x[a0 + i], y[b0 + j]) >= t
             if same:
-                keep = i < j
-                i, j = i[keep], j[keep]
-            if len(i):
-                found.append((i, j))
+                linked &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)[None, :]
+            if linked.any():
+                yield a0, b0, linked
         elif a1 - a0 >= b1 - b0:
             m = (a0 + a1) // 2
             todo += [(a0, m, b0, b1), (m, a1, b0, b1)]
         else:
             m = (b0 + b1) // 2
             todo += [(a0, a1, b0, m), (a0, a1, m, b1)]
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-    out = np.zeros(len(i), bool)
-    for at in range(0, len(i), 1 << 16):
-        s = slice(at, at + (1 << 16))
-        out[s] = vectors.cosine(x[i[s]], y[j[s]]) >= t
-    return out
+def block_rows(dim: int) -> int:
+    """Vectors in a block of so many dimensions."""
+    return max(1, min(BLOCK, BYTES // (8 * dim)))
 
 
 def _blocks(kinds: DataFrame, axes: np.ndarray, eps: float, dim: int) -> DataFrame:
@@ -130,7 +132,7 @@ def _blocks(kinds: DataFrame, axes: np.ndarray, eps: float, dim: int) -> DataFra
     placed = common.with_columns_by(kinds, ["rep", "copies", "v"], {"v": F.col("v")}, place, "cell array<int>")
     cells = [F.col("cell")[k] for k in range(grid)]
     placed = placed.repartitionByRange(common.parallelism(kinds.sparkSession), *cells, "rep").sortWithinPartitions(*cells, "rep")
-    box = min(BOX, dim)
+    box, most = min(BOX, dim), block_rows(dim)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(parts):
@@ -145,11 +147,11 @@ def _blocks(kinds: DataFrame, axes: np.ndarray, eps: float, dim: int) -> DataFra
         waiting, n = [], 0
         for b in batches:
             while b.num_rows:
-                part = b.slice(0, BLOCK - n)
+                part = b.slice(0, most - n)
                 waiting.append(part)
                 n += part.num_rows
                 b = b.slice(part.num_rows)
-                if n == BLOCK:
+                if n == most:
                     yield block(waiting)
                     waiting, n = [], 0
         if waiting:
@@ -253,16 +255,16 @@ def _joined(blocks: DataFrame, axes: np.ndarray, threshold: float, eps: float, d
             for k, (_, _, nb, xb, ub, pb, bb) in enumerate(parts[m:] if same else parts, m if same else 0):
                 if not same and (not left or parts[k][0]) or _apart(ba, bb) > eps + 1e-9:
                     continue
-                i, j = join(ua, pa_, ub, pb, threshold, eps + 1e-9, m == k)
-                keep = _exact(xa, xb, i, j, threshold)
-                i, j = i[keep], j[keep]
-                if len(i):
-                    np.add.at(count, first[m] + i, nb[j])
-                    np.add.at(count, first[k] + j, na[i])
-                    i, j = first[m] + i, first[k] + j
-                    node, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-                    label = forest(at[: len(i)], at[len(i) :], len(node))
-                    tied.append((node, node[label]))
+                for a0, b0, linked in join(xa, ua, pa_, xb, ub, pb, threshold, eps + 1e-9, m == k):
+                    here, there = first[m] + a0 + np.arange(linked.shape[0]), first[k] + b0 + np.arange(linked.shape[1])
+                    count[here] += linked @ nb[b0 : b0 + len(there)]
+                    count[there] += na[a0 : a0 + len(here)] @ linked
+                    # of the part's links a forest is kept
+                    i, j = np.nonzero(linked)
+                    label = forest(i, len(here) + j, len(here) + len(there))
+                    node = np.concatenate([here, there])
+                    met = np.flatnonzero(label != np.arange(len(node)))
+                    tied.append((node[met], node[label[met]]))
         some = np.flatnonzero(count)
         if tied:
             label = forest(np.concatenate([a for a, _ in tied]), np.concatenate([b for _, b in tied]), len(ids))

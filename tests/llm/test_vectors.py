@@ -40,6 +40,35 @@ def test_grid_join_is_exact(spark, monkeypatch):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 
 
+def test_parts_of_blocks_give_every_link_once(monkeypatch):
+    """Dense and sparse blocks, and pairs at the threshold, against the plain formula over all pairs."""
+    monkeypatch.setattr(ego_join, "LEAF", 16)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(70, 12)), rng.normal(size=(1, 12)) + rng.normal(scale=0.05, size=(90, 12))])
+    flat = np.zeros((2, 12))
+    flat[0, 0], flat[1, :2] = 1, (0.95, np.sqrt(1 - 0.95**2))
+    x = np.concatenate([x, flat])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    p = u[:, :4]
+    eps = np.sqrt(2 - 2 * 0.95) + 1e-9
+    want = ego_join.vectors.cosine(x[:, None], x[None]) >= 0.95
+    got = np.zeros_like(want)
+    for a, b, linked in ego_join.join(x, u, p, x, u, p, 0.95, eps, True):
+        part = got[a : a + linked.shape[0], b : b + linked.shape[1]]
+        assert not (part & linked).any()
+        part |= linked
+    assert (got == np.triu(want, 1)).all() and got.sum() > 3000
+    got = np.zeros((100, 62), bool)
+    for a, b, linked in ego_join.join(x[:100], u[:100], p[:100], x[100:], u[100:], p[100:], 0.95, eps, False):
+        got[a : a + linked.shape[0], b : b + linked.shape[1]] |= linked
+    assert (got == want[:100, 100:]).all()
+
+
+def test_blocks_are_sized_by_bytes():
+    assert ego_join.block_rows(64) == 4096 and ego_join.block_rows(2) == 4096
+    assert all(8 * d * ego_join.block_rows(d) <= ego_join.BYTES for d in (64, 768, 4096, 100_000))
+
+
 def test_search_recall_scores_and_ties(spark):
     x, data = rows(n=600)
     got = {}
