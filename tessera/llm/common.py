@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import gc
-import os
-import re
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.dictionary import bases, in_order  # noqa: F401
+from ..sources.sinks import scratch
+
 
 #: Bytes of an Arrow batch at most, but for a single longer row.
 BATCH = 8 << 20
@@ -25,20 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset and Spark runs in one process (as in tests) a local folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
@@ -46,25 +31,6 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_order(df: DataFrame, keys: list) -> DataFrame:
-    """df sorted over its partitions by keys, written; part and spot say where a row lies: its sorted run, and its place there."""
-    at = F.monotonically_increasing_id()
-    runs = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("spot", at)
-    return written(runs.withColumn("part", F.shiftright("spot", 33)).withColumn("spot", F.col("spot").bitwiseAND((1 << 33) - 1)))
-
-
-def bases(runs: DataFrame, group: str | None = None) -> DataFrame:
-    """part, base (and group), n: base + spot is a row's place among the n of its group, the first of the sorting keys.
-
-    The window holds a row for each sorted run, not for each row.
-    """
-    names = [group] if group else []
-    counts = runs.groupBy("part", *names).agg(F.count("*").alias("size"), F.min("spot").alias("low"))
-    whole = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
-    before = F.sum("size").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    return written(counts.select("part", *names, (F.coalesce(before, F.lit(0)) - F.col("low")).alias("base"), F.sum("size").over(whole).alias("n")))
-
-
 def released(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps, whose results are written.
 
