@@ -12,7 +12,7 @@ projections are drawn from a seed, so nothing is fitted on data.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, take no part, neither
 as queries nor as candidates; rows that repeat a vec_id and its vector count once; candidates of another
-length than the query's take no part for it; a vec_id with several vectors counts with its nearest one; a query
+length than the query's take no part for it; rows with a null vec_id take no part; a vec_id with several vectors counts with its nearest one; a query
 whose buckets hold fewer than K others is searched exactly, so only fewer candidates than K give fewer rows; an
 empty table gives an empty result; other columns are ignored.
 """

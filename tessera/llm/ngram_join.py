@@ -308,6 +308,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id."""
+    """One document of each component stays: the one with the smallest id.
+
+    All rows of an id go as soon as one of them is linked to a smaller id; rows that share the smallest id stay each.
+    Null ids aren't told apart, so all their rows stay; so do null and empty texts, which are linked with nothing.
+    """
     found = near_duplicates(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -66,7 +66,7 @@ def scan(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndar
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """A row key (rid, mark) that holds for null and repeated ids; rid keeps the order of ids, null first."""
+    """A row key (rid, mark) that holds for null and repeated ids; rid keeps the order of ids, null first. Ids are whole numbers: other text in doc_id is an error."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.shiftrightunsigned(mark, 3))
     return docs.select(*more, rid.alias("rid"), mark.alias("mark"), "text")
