@@ -6,10 +6,14 @@ that few items hold, never from all against all.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
+from ..sources.sinks import settled
+from .blocks import group_count, overlaps
 
 
 def document_frequency(items: DataFrame) -> DataFrame:
@@ -40,16 +44,39 @@ def jaccard(items: DataFrame) -> DataFrame:
     return x.select("i", "j", F.col("shared").alias("overlap"), (F.col("shared") / (F.col("ni") + F.col("nj") - F.col("shared"))).alias("jaccard"))
 
 
+#: Items of a group at most, where given pairs meet their items' key sets.
+MEET = 2048
+
+
 def jaccard_of(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """i, j, overlap, jaccard of the given pairs (i, j), whole key sets compared.
 
-    A pair's sets meet as arrays of 64-bit hashes of their keys in one pass, so what travels is eight bytes for each key
-    of a pair, and a key that all items hold makes no rows.
+    Items are dealt into groups, and a pair goes to the task of its two groups, where every set comes once, as 64-bit
+    hashes of its keys: what travels is each set once for each group, whatever the number of pairs.
     """
+    spark = items.sparkSession
     sets = items.distinct().groupBy("item").agg(F.sort_array(F.collect_list(F.xxhash64("key"))).alias("keys"))
-    x = pairs.join(sets.toDF("i", "ki"), "i").join(sets.toDF("j", "kj"), "j")
-    x = x.select("i", "j", F.size("ki").alias("ni"), F.size("kj").alias("nj"), F.size(F.array_intersect("ki", "kj")).cast("long").alias("overlap"))
-    return x.select("i", "j", "overlap", (F.col("overlap") / (F.col("ni") + F.col("nj") - F.col("overlap"))).alias("jaccard"))
+    sets = settled(sets)
+    groups = group_count(sets.count(), int(spark.conf.get("spark.sql.shuffle.partitions")), MEET)
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    sides = sets.select("item", "keys", of("item").alias("p"), every.alias("q"), F.lit(0).alias("side")).unionByName(sets.select("item", "keys", every.alias("p"), of("item").alias("q"), F.lit(1).alias("side")))
+    kind = dict(sets.dtypes)["item"]
+
+    def run(wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        a, b = (found[found["side"] == k].set_index("item")["keys"] for k in (0, 1))
+        a, b = a[a.index.isin(wanted["i"])], b[b.index.isin(wanted["j"])]
+        wanted = wanted[wanted["i"].isin(a.index) & wanted["j"].isin(b.index)]
+        if not len(wanted):
+            return pd.DataFrame({"i": wanted["i"], "j": wanted["j"], "overlap": np.empty(0, np.int64), "jaccard": np.empty(0)})
+        both = overlaps(a.tolist(), b.tolist()).astype(np.int64)
+        x, y = a.index.get_indexer(wanted["i"]), b.index.get_indexer(wanted["j"])
+        size = a.str.len().to_numpy()[x] + b.str.len().to_numpy()[y]
+        n = both[x, y]
+        return pd.DataFrame({"i": wanted["i"].to_numpy(), "j": wanted["j"].to_numpy(), "overlap": n, "jaccard": n / (size - n)})
+
+    asked = pairs.select("i", "j").withColumn("p", of("i")).withColumn("q", of("j"))
+    return asked.groupBy("p", "q").cogroup(sides.groupBy("p", "q")).applyInPandas(run, f"i {kind}, j {kind}, overlap long, jaccard double")
 
 
 def eligible(pairs: DataFrame, rare_items: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """All-pairs and nearest-neighbour joins of vectors, in blocks.
 
-Rows are dealt into blocks by hash; each pair of blocks is one unit of work, a matrix product in a task.
-Block rows hold a bounded number of vectors, so memory doesn't depend on the table; pairs that the caller
-only counts are counted in the task and never leave it.
+Rows are dealt into groups by hash; each pair of groups is one task, which goes through it block by block, a matrix
+product each. A group holds a bounded number of vectors, so memory doesn't depend on the table, and a vector
+travels once for each group; pairs that the caller only counts are counted in the task and never leave it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as v
+from .blocks import group_count
 
 #: Vectors in a block, about 1 MB at 64 dimensions.
 BLOCK = 2048
@@ -30,11 +31,11 @@ def _blocks(rows: DataFrame, n: int, tag: str) -> DataFrame:
 
 
 def block_count(rows: DataFrame) -> int:
-    return max(1, -(-rows.count() // BLOCK))
+    return group_count(rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def block_pairs(rows: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, columns: list[str], blocks: int | None = None) -> DataFrame:
-    """fn(left, right, cosines) for each pair of blocks; a pair of ids appears once, as left id < right id (others are NaN)."""
+    """fn(left, right, cosines) for each pair of blocks; a pair of ids appears once, within a group as left id < right id (others are NaN)."""
     n = blocks or block_count(rows)
     x = _blocks(rows.select("id", "u", *columns), n, "b")
     left = x.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("p", F.least("b", "w")).withColumn("q", F.greatest("b", "w"))
@@ -44,10 +45,18 @@ def block_pairs(rows: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame, np.nd
         a, b = pdf[pdf["b"] == p], pdf[pdf["b"] == q]
         if not len(a) or not len(b):
             return fn(a.iloc[:0], b.iloc[:0], np.empty((0, 0)))
-        s = np.clip(np.stack(a["u"].to_numpy()) @ np.stack(b["u"].to_numpy()).T, -1, 1)
-        if p == q:
-            s[a["id"].to_numpy()[:, None] >= b["id"].to_numpy()[None, :]] = np.nan
-        return fn(a, b, s)
+        if p == q:  # in the order of ids the blocks below the diagonal hold nothing
+            a = b = a.sort_values("id")
+        u, w = np.stack(a["u"].to_numpy()), np.stack(b["u"].to_numpy())
+        out = []
+        for i in range(0, len(a), BLOCK):
+            for j in range(i if p == q else 0, len(b), BLOCK):
+                left, right = a.iloc[i : i + BLOCK], b.iloc[j : j + BLOCK]
+                s = np.clip(u[i : i + BLOCK] @ w[j : j + BLOCK].T, -1, 1)
+                if p == q:
+                    s[left["id"].to_numpy()[:, None] >= right["id"].to_numpy()[None, :]] = np.nan
+                out.append(fn(left, right, s))
+        return out[0] if len(out) == 1 else pd.concat(out)
 
     return left.groupBy("p", "q").applyInPandas(run, schema)
 
@@ -67,8 +76,8 @@ def largest(s: np.ndarray, k: int) -> np.ndarray:
 def knn(rows: DataFrame, queries: DataFrame, k: int, columns: list[str] | None = None, blocks: int | None = None) -> DataFrame:
     """query, id, sim, rank and kept columns of the k nearest rows of each query, itself excluded, ties by id.
 
-    Each task takes one block of rows and all queries of one block and keeps k of them for each query, so
-    what is shuffled next is k rows for each query and block.
+    Each task takes one group of rows and all queries of one group, 512 at a time, and keeps k rows for each query, so
+    what is shuffled next is k rows for each query and group.
     """
     columns = columns or []
     n = blocks or block_count(rows)

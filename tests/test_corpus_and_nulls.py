@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import blocks
 from tessera.operators import corpus as cp
 from tessera.operators import dictionary as dic
-from tessera.operators import greedy, models, nulls, resample
+from tessera.operators import greedy, models, nulls, pairs, resample
 
 
 def test_numbers_follow_the_keys_alone(spark):
@@ -64,9 +65,7 @@ def brute(data, width, low=0.05):
     return feat, hist
 
 
-def test_walk_and_features_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(cp, "DENSE", 3000)
-    monkeypatch.setattr(cp, "SPELLED", 50)
+def test_walk_and_features_equal_brute_force(spark):
     data = items()
     corpus = cp.assemble(*frames(spark, data))
     feat, hist = brute(data, 5.0)
@@ -83,16 +82,33 @@ def test_walk_and_features_equal_brute_force(spark, monkeypatch):
 
 @pytest.mark.parametrize("size", [40, 3])
 def test_overlaps_by_dense_columns_and_by_spelling_out(monkeypatch, size):
-    monkeypatch.setattr(cp, "DENSE", 400)
-    monkeypatch.setattr(cp, "SPELLED", 7)
+    monkeypatch.setattr(blocks, "DENSE", 400)
+    monkeypatch.setattr(blocks, "SPELLED", 7)
     rng = np.random.default_rng(size)
     a, b = ([np.unique(rng.integers(0, 50, rng.integers(0, size))) for _ in range(n)] for n in (23, 31))
-    assert (cp.overlaps(a, b) == [[len(set(x) & set(y)) for y in b] for x in a]).all()
-    assert cp.overlaps([np.array([], int)], b).sum() == 0
+    assert (blocks.overlaps(a, b) == [[len(set(x) & set(y)) for y in b] for x in a]).all()
+    assert blocks.overlaps([np.array([], int)], b).sum() == 0
+
+
+def test_groups_hold_enough_and_not_too_much():
+    assert blocks.group_count(0, 8) == 1 and blocks.group_count(200, 8) == 1 and blocks.group_count(2000, 8) == 6 and blocks.group_count(10**6, 8) == 62
+    assert blocks.group_count(10**9, 4000) == -(-(10**9) // blocks.GROUP)
+
+
+def test_jaccard_of_given_pairs_over_groups(spark):
+    rng = random.Random(7)
+    held = {k: {rng.randint(0, 60) for _ in range(rng.randint(1, 25))} for k in range(900)}
+    frame = spark.createDataFrame([(k, f"t{x}") for k, s in held.items() for x in s], "item long, key string")
+    asked = {tuple(sorted(rng.sample(range(900), 2))) for _ in range(3000)}
+    got = {(r["i"], r["j"]): (r["overlap"], r["jaccard"]) for r in pairs.jaccard_of(spark.createDataFrame(sorted(asked) + [(1, 5000)], "i long, j long"), frame).collect()}
+    assert set(got) == asked
+    assert all(v == (len(held[i] & held[j]), len(held[i] & held[j]) / len(held[i] | held[j])) for (i, j), v in got.items())
 
 
 def test_assembly_fails_closed(spark):
     data = list(items(12))
+    with pytest.raises(Exception, match="several areas"):
+        cp.assemble(*frames(spark, [data[0], [*data[1], ("n001", "z")], *data[2:]]))
     with pytest.raises(Exception, match="several vectors"):
         cp.assemble(*frames(spark, [data[0] + data[0][:1], *data[1:]]))
     with pytest.raises(Exception, match="no direction"):
