@@ -63,18 +63,47 @@ def cross_listed(cit: DataFrame, secondary: DataFrame, cutoff: int) -> DataFrame
     return h.join(secondary, "paper").groupBy("work", F.col("area2").alias("area")).agg(F.count("*").alias("xlist"))
 
 
+#: Areas of a mask; areas beyond have masks of their own, told apart by `word`.
+BITS = 63
+
+
+def area_codes(areas: DataFrame) -> DataFrame:
+    """area, code: the distinct areas numbered from 0; areas are few by definition."""
+    x = areas.select("area").filter(F.col("area").isNotNull()).distinct()
+    return F.broadcast(x.withColumn("code", F.row_number().over(Window.orderBy("area")) - 1))
+
+
+def masked(df: DataFrame, by: str, codes: DataFrame) -> DataFrame:
+    """by, word, mask: the set of areas of each `by`, one bit for each area; tasks put sets together before they travel."""
+    x = df.join(codes, "area").select(by, F.floor(F.col("code") / BITS).cast("int").alias("word"), (F.col("code") % BITS).alias("__bit"))
+    return x.groupBy(by, "word").agg(F.expr("bit_or(shiftleft(1L, __bit))").alias("mask"))
+
+
+def unmasked(masks: DataFrame, codes: DataFrame) -> DataFrame:
+    """work, area: the areas of each work's sets (work, word, mask), each once."""
+    x = masks.groupBy("work", "word").agg(F.bit_or("mask").alias("mask"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.getbit("mask", b) == 1)
+    x = x.select("work", "word", F.explode(bits).alias("__bit")).select("work", (F.col("word") * BITS + F.col("__bit")).alias("code"))
+    return x.join(codes, "code").select("work", "area")
+
+
 def shared_authors(cit: DataFrame, papers: DataFrame, authors: DataFrame, cutoff: int) -> DataFrame:
-    """work, area: an author wrote a citer of the work and a paper of the area, both up to the cutoff."""
-    mine = history(cit, cutoff).select("paper", "work").join(authors, "paper").select("work", "author").distinct()
-    theirs = papers.filter(F.col("year") <= cutoff).join(authors, "paper").select("author", "area").distinct()
-    return mine.join(theirs, "author").select("work", "area").distinct()
+    """work, area: an author wrote a citer of the work and a paper of the area, both up to the cutoff.
+
+    An author's areas come as one set, so a work meets each of its authors once, not once for each of their areas.
+    """
+    mine = history(cit, cutoff).select("paper", "work").join(authors, "paper").select("work", "author")
+    theirs = papers.filter(F.col("year") <= cutoff).join(authors, "paper").select("author", "area")
+    codes = area_codes(papers)
+    return unmasked(mine.join(masked(theirs, "author", codes), "author").select("work", "word", "mask"), codes)
 
 
 def second_hand(cit: DataFrame, papers: DataFrame, refs: DataFrame, cutoff: int) -> DataFrame:
     """work, area: a paper of the area cites a citer of the work, both up to the cutoff."""
     mine = history(cit, cutoff).select(F.col("paper").alias("cited"), "work")
-    theirs = papers.filter(F.col("year") <= cutoff).join(refs, "paper").select("cited", "area").distinct()
-    return mine.join(theirs, "cited").select("work", "area").distinct()
+    theirs = papers.filter(F.col("year") <= cutoff).join(refs, "paper").select("cited", "area")
+    codes = area_codes(papers)
+    return unmasked(mine.join(masked(theirs, "cited", codes), "cited").select("work", "word", "mask"), codes)
 
 
 def ladder(cells: DataFrame, xlist: DataFrame, shared: DataFrame, second: DataFrame, flow: DataFrame, quantile: float = 0.75) -> DataFrame:
@@ -82,7 +111,7 @@ def ladder(cells: DataFrame, xlist: DataFrame, shared: DataFrame, second: DataFr
     mark = lambda df, name: df.select("work", "area", F.lit(True).alias(name)).distinct()
     keys = ["work", "area"]
     x = cells.join(mark(xlist, "one"), keys, "left").join(mark(shared, "two"), keys, "left").join(mark(second, "three"), keys, "left")
-    x = x.join(flow, keys, "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
+    x = sinks.settled(x.join(flow, keys, "left").withColumn("flow", F.coalesce("flow", F.lit(0.0))))
     edge = quantiles(x, "flow", [quantile]).select(F.get("edges", F.lit(0)).alias("edge"))
     rung = F.when(F.col("one"), 1).when(F.col("two"), 2).when(F.col("three"), 3).when(F.col("flow") >= F.col("edge"), 4).otherwise(5)
     return x.crossJoin(F.broadcast(edge)).select(*cells.columns, "flow", rung.cast("long").alias("rung"))
@@ -92,12 +121,13 @@ def six_rungs(cells: DataFrame, cit: DataFrame, areas: DataFrame, xlist: DataFra
     """As ladder, with 4 a citer in an area of the same parent, 5 flow in the top quarter of the positive ones, 6 cold."""
     mark = lambda df, name: df.select("work", "area", F.lit(True).alias(name)).distinct()
     keys = ["work", "area"]
-    parents = history(cit, cutoff).join(F.broadcast(areas), "area").select("work", "parent").distinct()
-    near = parents.join(F.broadcast(areas), "parent")
+    siblings = areas.select(F.col("area").alias("own"), "parent").join(areas, "parent")  # of a fixed size, as areas
+    codes = area_codes(areas)
+    near = unmasked(history(cit, cutoff).select("work", F.col("area").alias("own")).join(F.broadcast(masked(siblings, "own", codes)), "own"), codes)
     x = cells
     for df, name in ((xlist, "one"), (shared, "two"), (second, "three"), (near, "four")):
         x = x.join(mark(df, name), keys, "left")
-    x = x.join(flow, keys, "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
+    x = sinks.settled(x.join(flow, keys, "left").withColumn("flow", F.coalesce("flow", F.lit(0.0))))
     edge = quantiles(x.filter("flow > 0"), "flow", [0.75]).select(F.get("edges", F.lit(0)).alias("edge"))
     warm = (F.col("flow") > 0) & (F.col("flow") >= F.col("edge"))
     rung = F.when(F.col("one"), 1).when(F.col("two"), 2).when(F.col("three"), 3).when(F.col("four"), 4).when(warm, 5).otherwise(6)
