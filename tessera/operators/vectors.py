@@ -87,14 +87,38 @@ def largest(s: np.ndarray, k: int) -> np.ndarray:
     return top
 
 
+def nearest(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, column, value to nine decimals of the k largest values of each row, largest first, ties by column; what isn't finite is left out.
+
+    The k-th largest of the maxima of stripes of columns is a bound that few other values reach, so no row is ordered whole.
+    """
+    if np.isnan(s).any():
+        s = np.where(np.isnan(s), -np.inf, s)
+    stripes = s.shape[1] // 64
+    if stripes >= k:
+        most = s[:, : stripes * 64].reshape(len(s), 64, stripes).max(axis=1)
+        bound = np.partition(most, stripes - k, axis=1)[:, stripes - k]
+    else:
+        bound = np.full(len(s), -np.inf)
+    row, col = np.nonzero(s >= bound[:, None] - 2e-9)  # what rounds to the bound, too
+    value = s[row, col]
+    ok = np.isfinite(value)
+    row, col, value = row[ok], col[ok], np.round(value[ok], 9)
+    order = np.lexsort((col, -value, row))
+    row, col, value = row[order], col[order], value[order]
+    first = np.searchsorted(row, row)
+    some = np.arange(len(row)) - first < k
+    return row[some], col[some], value[some]
+
+
 def knn(rows: DataFrame, queries: DataFrame, k: int, columns: list[str] | None = None, blocks: int | None = None) -> DataFrame:
     """query, id, sim, rank and kept columns of the k nearest rows of each query, itself excluded, ties by id.
 
-    Each task takes one group of rows and all queries of one group, 512 at a time, and keeps k rows for each query, so
-    what is shuffled next is k rows for each query and group.
+    Each task takes one group of rows and all queries of one group, 128 at a time, and keeps k rows for each query, so
+    what is shuffled next is k rows for each query and group; groups are as large as COUNTED, so these are few.
     """
     columns = columns or []
-    n = blocks or block_count(rows)
+    n = blocks or group_count(rows.count(), rows.sparkSession.sparkContext.defaultParallelism, COUNTED)
     x = _blocks(rows.select("id", "u", *columns), n, "p").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     # names of its own: the queries may be the rows themselves
     y = _blocks(queries.select("id", "u"), n, "q").select(F.col("id").alias("qid"), F.col("u").alias("qu"), "q").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -106,14 +130,13 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, columns: list[str] | None =
         if len(a) and len(b):
             a = a.sort_values("id")
             ids, u = a["id"].to_numpy(), np.stack(a["u"].to_numpy()).T
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
-                s = np.round(np.stack(part["qu"].to_numpy()) @ u, 9)
-                s[part["qid"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                top = largest(s, k)
-                for q, row, sims in zip(part["qid"], top, np.take_along_axis(s, top, axis=1), strict=True):
-                    ok = np.isfinite(sims)
-                    out.append(a.iloc[row[ok]][["id", *columns]].assign(query=q, sim=sims[ok]))
+            qids, v = b["qid"].to_numpy(), np.stack(b["qu"].to_numpy())
+            for at in range(0, len(b), 128):
+                q = qids[at : at + 128]
+                s = v[at : at + 128] @ u
+                s[q[:, None] == ids[None, :]] = -np.inf
+                row, col, sims = nearest(s, k)
+                out.append(pd.DataFrame({"query": q[row], "id": ids[col], "sim": sims, **{c: a[c].to_numpy()[col] for c in columns}}))
         cols = ["query", "id", "sim", *columns]
         return pd.concat(out)[cols] if out else pd.DataFrame({c: [] for c in cols})
 
