@@ -22,6 +22,10 @@ from . import resample
 from .dictionary import numbered
 
 
+#: Columns of a matrix whose products of columns go to the driver, 32 MB at most.
+GRAM = 2048
+
+
 def moments(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each feature: one row to the driver."""
     row = df.agg(*(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_pop(f).alias(f"s_{f}") for f in features)).first()
@@ -141,7 +145,12 @@ def svd(rows: DataFrame, id_: str, key: str, weight: str, k: int) -> DataFrame:
     if n > 20_000:
         raise ValueError("hash the keys into fewer columns first")
     matrix = RowMatrix(grouped.rdd.map(lambda r: Vectors.sparse(n, [x[0] for x in r["e"]], [x[1] for x in r["e"]])))
-    v = matrix.computeSVD(k, computeU=False).V.toArray().tolist()
+    if n <= GRAM:  # one pass over the rows; the iterations of computeSVD would each read them again
+        values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+        values, vectors = np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1]
+        v = vectors[:, :k][:, values[:k] > 1e-9 * values[0]].tolist()
+    else:
+        v = matrix.computeSVD(k, computeU=False).V.toArray().tolist()
     basis = rows.sparkSession.createDataFrame([(i, row) for i, row in enumerate(v)], f"{key} int, b array<double>")
     x = rows.join(F.broadcast(basis), key).select(id_, F.posexplode("b").alias("p", "b"), weight)
     x = x.groupBy(id_, "p").agg(F.sum(F.col(weight) * F.col("b")).alias("c")).groupBy(id_).agg(F.sort_array(F.collect_list(F.struct("p", "c"))).alias("c"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import certify, greedy, grid, models, pairs, rank
 from ..sources import tables as t
+from ..sources.sinks import settled
 from . import grid as g
 from .registry import query
 
@@ -219,7 +220,7 @@ def svd_similarity(spark, d):
     """Cosines of language profiles on the leading directions of hashed TF-IDF rows."""
     docs = t.load(spark, d, "documents", ["doc_id", "text", "lang"])
     w = tx.tfidf(tx.counts(docs, "doc_id", "text"), docs.agg(F.count("*").alias("n")))
-    x = w.groupBy("item", F.pmod(F.xxhash64("key"), F.lit(512)).cast("int").alias("col")).agg(F.sum("w").alias("w"))
+    x = settled(w.groupBy("item", F.pmod(F.xxhash64("key"), F.lit(512)).cast("int").alias("col")).agg(F.sum("w").alias("w")))
     v = models.svd(x, "item", "col", "w", 8).join(docs.select(F.col("doc_id").alias("item"), "lang"), "item")
     m = v.select("lang", F.posexplode("v").alias("p", "x")).groupBy("lang", "p").agg(F.avg("x").alias("x"))
     a, b = m.toDF("a", "p", "xa"), m.toDF("b", "p", "xb")
