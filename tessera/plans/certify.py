@@ -176,7 +176,7 @@ def _features(spark, d):
 @query("oof_logistic_auc", None)
 def oof_logistic_auc(spark, d):
     """AUC of out-of-fold scores, folds by work, with and without the flow."""
-    x = _features(spark, d)
+    x = settled(_features(spark, d))  # every fit reads it several times
     base = ["cites", "recent", "reach"]
     a = rank.auc(models.out_of_fold(x, base, "pos", "work"), "score", "pos").select(F.lit("base").alias("model"), "auc")
     return a.union(rank.auc(models.out_of_fold(x, [*base, "flow"], "pos", "work"), "score", "pos").select(F.lit("base+flow"), "auc"))
