@@ -53,15 +53,17 @@ def endpoints(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("i").alias("e")).union(pairs.select("j")).distinct()
 
 
-def _wired(pairs: DataFrame, xi: Column, xj: Column) -> DataFrame:
-    moved = pairs.select("draw", F.least(xi, xj).alias("i"), F.greatest(xi, xj).alias("j"))
-    return moved.filter("i <> j").distinct()
+def _wired(pairs: DataFrame, xi: Column, xj: Column, once: bool) -> DataFrame:
+    moved = pairs.select("draw", F.least(xi, xj).alias("i"), F.greatest(xi, xj).alias("j")).filter("i <> j")
+    return moved.distinct() if once else moved
 
 
-def substituted(pairs: DataFrame, items: int, draws: int, seed: str) -> DataFrame:
-    """draw, i, j: every endpoint is any of `items` items, the same in all its pairs of a draw."""
+def substituted(pairs: DataFrame, items: int, draws: int, seed: str, once: bool = True) -> DataFrame:
+    """draw, i, j: every endpoint is any of `items` items, the same in all its pairs of a draw. once: pairs that fall together are one row."""
     to = lambda c: F.floor(rs.uniform(seed, "draw", c) * items)
-    return _wired(pairs.select("i", "j").withColumn("draw", rs.draws(draws)), to("i"), to("j"))
+    # dealt out first: a short table lies in few tasks, and its draws would
+    dealt = pairs.select("i", "j").repartition(3 * pairs.sparkSession.sparkContext.defaultParallelism, "i", "j")
+    return _wired(dealt.withColumn("draw", rs.draws(draws)), to("i"), to("j"), once)
 
 
 def slots(points: DataFrame, draws: int, seed: str, size: int = CLASS) -> DataFrame:
@@ -95,33 +97,54 @@ def label_permutation(items: DataFrame, draws: int, seed: str, size: int = CLASS
     return s.select("draw", F.when(rest > 0, (F.col("r") - k * (k + 1) / 2) / (k * rest)).alias("auc"))
 
 
-def permuted(pairs: DataFrame, draws: int, seed: str, size: int = CLASS) -> DataFrame:
-    """draw, i, j: the endpoints of the pairs change places among themselves."""
+def permuted(pairs: DataFrame, draws: int, seed: str, size: int = CLASS, once: bool = True) -> DataFrame:
+    """draw, i, j: the endpoints of the pairs change places among themselves. once: as in substituted."""
     to = permutation(endpoints(pairs), draws, seed, size)
-    x = pairs.select("i", "j").join(to.toDF("draw", "i", "xi"), "i").join(to.toDF("draw", "j", "xj"), ["draw", "j"])
-    return _wired(x, F.col("xi"), F.col("xj"))
+    # merged: a table that looks small before its draws are spelled out would be broadcast
+    x = pairs.select("i", "j").join(to.toDF("draw", "i", "xi").hint("merge"), "i").join(to.toDF("draw", "j", "xj").hint("merge"), ["draw", "j"])
+    return _wired(x, F.col("xi"), F.col("xj"), once)
 
 
-def scored(drawn: DataFrame, corpus: DataFrame, pop: DataFrame, subset: str, width: float, least: int = LEAST) -> DataFrame:
-    """draw, k, auc of the draws that keep enough pairs in the subset; features are found once for each distinct pair."""
-    found = cp.pair_features(corpus, drawn.select("i", "j").distinct(), width).filter(subset).select("i", "j", "bin")
-    x = drawn.join(found, ["i", "j"]).join(F.broadcast(pop), "bin")
-    s = x.groupBy("draw").agg(F.count("*").alias("k"), F.sum("place").alias("s"), F.max("total").alias("t")).filter(F.col("k") >= least)
-    return s.select("draw", "k", auc_of(F.col("s"), F.col("k"), F.col("t")).alias("auc"))
+def scored(drawn: DataFrame, corpus: DataFrame, pop: DataFrame, subset: str, width: float, least: int = LEAST, count: int | None = None, groups: int | None = None) -> DataFrame:
+    """draw, k, auc of the draws that keep enough pairs in the subset; pairs of a draw that fall together count once.
+
+    count: how many pairs all draws have, about. A task finds the pairs of two groups of items and gives sums for each draw.
+    """
+    at, place, total, _ = _bins(pop)
+
+    def run(wanted: pd.DataFrame, bins: np.ndarray, *flags: np.ndarray) -> pd.DataFrame:
+        spot = np.searchsorted(at, bins)
+        ok = cp.masks(*flags)[subset] & (spot < len(at))
+        ok[ok] = at[spot[ok]] == bins[ok]
+        x = wanted[["draw", "i", "j"]].assign(place=np.append(place, 0.0)[spot])[ok].drop_duplicates(["draw", "i", "j"])
+        return x.groupby("draw", as_index=False).agg(k=("place", "size"), s=("place", "sum"))
+
+    few = subset in ("low", "hard")
+    s = cp.features_at(corpus, drawn.select("draw", "i", "j"), run, "draw long, k long, s double", width, few=few, count=count, groups=groups)
+    s = s.groupBy("draw").agg(F.sum("k").alias("k"), F.sum("s").alias("s")).filter(F.col("k") >= least)
+    return s.select("draw", "k", auc_of(F.col("s"), F.col("k"), F.lit(total)).alias("auc"))
+
+
+def _bins(pop: DataFrame) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """bin, place, total and upto (pairs up to the bin) of a population; bins are of a fixed number."""
+    rows = pop.orderBy("bin").select("bin", "below", "n", "place", "total").collect()
+    of = lambda f, kind: np.array([f(r) for r in rows], kind)
+    return of(lambda r: r["bin"], np.int64), of(lambda r: r["place"], float), rows[0]["total"] if rows else 0, of(lambda r: r["below"] + r["n"], np.int64)
 
 
-def independent(sizes: DataFrame, pop: DataFrame, seed: str) -> DataFrame:
-    """draw, auc of as many independent pairs of the population as sizes (draw, k) says."""
-    rows = pop.orderBy("bin").select("bin", "below", "n", "place", "total").collect()  # bins, of a fixed number
-    total = rows[0]["total"] if rows else 0
-    upto, place = np.array([r["below"] + r["n"] for r in rows]), np.array([r["place"] for r in rows])
+def independent(sizes: DataFrame, pop: DataFrame, seed: str, chunk: int = CLASS) -> DataFrame:
+    """draw, auc of as many independent pairs of the population as sizes (draw, k) says; a draw is spelled out in chunks, in several tasks."""
+    _, place, total, upto = _bins(pop)
 
     @F.pandas_udf("double")
     def at(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for u in parts:
             yield pd.Series(place[np.searchsorted(upto, np.floor(u.to_numpy() * total), side="right")])
 
-    x = sizes.select("draw", "k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("p"))
+    first = F.sequence(F.lit(1).cast("long"), F.col("k"), F.lit(chunk).cast("long"))
+    x = sizes.filter("k > 0").select("draw", F.col("k").cast("long").alias("k")).withColumn("p", F.explode(first))
+    x = x.repartition(8 * sizes.sparkSession.sparkContext.defaultParallelism, "draw", "p")
+    x = x.select("draw", "k", F.explode(F.sequence("p", F.least(F.col("p") + (chunk - 1), "k"))).alias("p"))
     s = x.withColumn("place", at(rs.uniform(seed, "draw", "p"))).groupBy("draw").agg(F.max("k").alias("k"), F.sum("place").alias("s"))
     return s.select("draw", auc_of(F.col("s"), F.col("k"), F.lit(total)).alias("auc"))
 
