@@ -58,9 +58,12 @@ def flows(cit: DataFrame, home: DataFrame, cutoff: int, recent: int) -> DataFram
 
 
 def cross_listed(cit: DataFrame, secondary: DataFrame, cutoff: int) -> DataFrame:
-    """work, area, xlist: citers up to the cutoff with the area among their secondary ones."""
-    h = history(cit, cutoff).select("paper", "work")
-    return h.join(secondary, "paper").groupBy("work", F.col("area2").alias("area")).agg(F.count("*").alias("xlist"))
+    """work, area, xlist: citers up to the cutoff with the area among their secondary ones. Tasks are as many as the rows of both need."""
+    h = sinks.settled(history(cit, cutoff).select("paper", "work"))
+    second = sinks.settled(secondary.select("paper", F.col("area2").alias("area")))
+    n = sinks.partitions(h, 2 * (h.count() + second.count()))
+    x = h.repartition(n, "paper").join(second.repartition(n, "paper").hint("merge"), "paper").select("work", "area")
+    return x.repartition(n, "work", "area").groupBy("work", "area").agg(F.count("*").alias("xlist"))
 
 
 #: Areas of a mask; areas beyond have masks of their own, told apart by `word`.
