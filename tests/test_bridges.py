@@ -75,3 +75,14 @@ def test_pairs_of_keys_make_fewer_rows_than_pairs_of_items(spark, monkeypatch):
     monkeypatch.setattr(bridges, "settled", lambda df: sizes.append(df.count()) or df)
     got = {(r["c"], r["x"], r["shared"]) for r in bridges.by_key_pairs(held, 2).collect()}
     assert got == {(3, 9, 2), (9, 3, 2)} and max(sizes) == 2
+
+
+def test_reasons_ask_for_the_files_of_the_pairs_alone(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "item long, cited long")
+    files = spark.createDataFrame([(i, i // 2) for i in range(301)], "item long, file long")
+    asked = spark.createDataFrame([(1, 3), (10, 11), (100, 200)], "a long, b long")
+    sizes = []
+    monkeypatch.setattr(pairs, "settled", lambda df: sizes.append(df.count()) or df)
+    got = {(r["a"], r["b"]): r["reason"] for r in pairs.link_reasons(asked, edges, files).collect()}
+    assert got == {(1, 3): "files use each other", (10, 11): "same file", (100, 200): "kept"}
+    assert sorted(sizes)[-2] < 20  # the edges themselves aside
