@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import settled
+
 
 class CheckError(ValueError):
     """A check found violations."""
@@ -96,13 +98,13 @@ def close_pairs(vectors: DataFrame, tolerance: float, axes: int = 3, seed: int =
     width, and only neighbouring cells meet. Equal vectors are one point; of each group its first id stands for it, and
     the others are given against that.
     """
-    point = vectors.select("id", "v").groupBy("v").agg(F.min("id").alias("a"))
+    point = settled(vectors.select("id", "v").groupBy("v").agg(F.min("id").alias("a")))
     first = point.join(vectors.select(F.col("id").alias("b"), "v"), "v").filter("a < b").select("a", "b", F.lit(0.0).alias("distance"))
     size = vectors.agg(F.max(F.size("v"))).first()[0] or 1
     turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(axes, size))))[0].T.tolist()
     along = lambda w: F.aggregate(F.zip_with("v", F.lit(w), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     names = [f"c{k}" for k in range(len(turn))]
-    cell = point.select("a", *(F.floor(along(w) / tolerance).cast("long").alias(n) for n, w in zip(names, turn, strict=True)))
+    cell = settled(point.select("a", *(F.floor(along(w) / tolerance).cast("long").alias(n) for n, w in zip(names, turn, strict=True))))
     near = cell.withColumnRenamed("a", "b")
     for n in names:
         near = near.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
@@ -123,17 +125,22 @@ def vector_faults(vectors: DataFrame, repeat: DataFrame, tokens: DataFrame, drif
     n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fault = lambda df, name, a="id", b=None, value=None: df.select(F.lit(name).alias("fault"), F.col(a).alias("a"), (F.col(b) if b else F.lit(None)).cast("long").alias("b"), (value if value is not None else F.lit(None)).cast("double").alias("value"))
+    # every check reads them, so they are made, looked at and measured once
     both = [x.select("id", F.transform("v", lambda c: c.cast("double")).alias("v")).withColumn("ok", F.coalesce(fine, F.lit(False))) for x in (vectors, repeat)]
+    both = [settled(x.withColumn("length", F.when(F.col("ok"), n))) for x in both]
     gone = [fault(x.join(y, "id", "left_anti"), "missing") for x, y in (both, both[::-1])]
     wild = [fault(x.filter("NOT ok"), "nonfinite") for x in both]
-    off = [fault(x.filter("ok").filter(F.abs(n - 1) > length), "nonunit", value=n) for x in both]
+    off = [fault(x.filter(F.abs(F.col("length") - 1) > length), "nonunit", value=F.col("length")) for x in both]
     x, y = (z.filter("ok").select("id", "v") for z in both)
     d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e))
-    moved = x.join(y.toDF("id", "w"), "id").withColumn("d", d)
+    moved = settled(x.join(y.toDF("id", "w"), "id").select("id", d.alias("d")))
     most = moved.agg(F.max("d")).first()[0] or 0.0
     close = close_pairs(x, max(drift, 10 * most))
-    said = tokens.filter("tokens IS NOT NULL").groupBy("tokens").agg(F.min("id").alias("a"), F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
-    said = said.select("a", F.explode("ids").alias("b")).filter("a <> b")
+    # of a list its SHA-256 travels, never the list or all ids that have it
+    plain = F.col("tokens") if dict(tokens.dtypes)["tokens"] == "string" else F.to_json(F.struct("tokens"))
+    said = settled(tokens.filter("tokens IS NOT NULL").select(F.col("id").alias("b"), F.sha2(plain, 256).alias("h")))
+    least = said.groupBy("h").agg(F.min("b").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    said = said.join(least, "h").filter("a <> b").select("a", "b")
     parts = [*gone, *wild, *off, fault(moved.filter(F.col("d") > drift), "drift", value=F.col("d")), fault(close, "collapse", "a", "b", F.col("distance")), fault(said, "tokens", "a", "b")]
     return reduce(DataFrame.unionByName, parts)
 
