@@ -166,10 +166,11 @@ def greedy_arm_fill(spark, d):
     return greedy.fill(x, ["even", "odd"], 25)
 
 
-def _features(spark, d):
-    x = g.labelled(spark, d)
-    f = grid.work_features(t.citations(spark, d), g.CUT, g.RECENT, g.CITES)
-    flow = grid.flows(t.citations(spark, d), t.work_areas(spark, d), g.CUT, g.RECENT)
+def _features(spark, d, cit=None):
+    cit = settled(t.citations(spark, d)) if cit is None else cit
+    x = g.labelled(spark, d, cit)
+    f = grid.work_features(cit, g.CUT, g.RECENT, g.CITES)
+    flow = grid.flows(cit, t.work_areas(spark, d), g.CUT, g.RECENT)
     return x.join(f, "work").join(flow, ["work", "area"], "left").fillna(0.0, ["flow"])
 
 
@@ -185,12 +186,13 @@ def oof_logistic_auc(spark, d):
 @query("train_forward_lists", None)
 def train_forward_lists(spark, d):
     """Trained at one cutoff, applied at the next: the 10 best empty cells of each area."""
-    x = _features(spark, d)
+    cit = settled(t.citations(spark, d))
     names = ["cites", "recent", "reach", "flow"]
+    x = settled(_features(spark, d, cit).select(*names, "pos"))  # the fit reads it several times
     model, how = models.logistic(x, names, "pos")
-    later = grid.empty_cells(t.citations(spark, d), t.areas(spark, d), g.CUT + 2, g.CITES, t.work_areas(spark, d))
-    f = grid.work_features(t.citations(spark, d), g.CUT + 2, g.RECENT, g.CITES)
-    flow = grid.flows(t.citations(spark, d), t.work_areas(spark, d), g.CUT + 2, g.RECENT)
+    later = grid.empty_cells(cit, t.areas(spark, d), g.CUT + 2, g.CITES, t.work_areas(spark, d))
+    f = grid.work_features(cit, g.CUT + 2, g.RECENT, g.CITES)
+    flow = grid.flows(cit, t.work_areas(spark, d), g.CUT + 2, g.RECENT)
     later = later.join(f, "work").join(flow, ["work", "area"], "left").fillna(0.0, ["flow"])
     return rank.top_per(models.score(later, model, how), "area", "score", ["work"], 10).select("area", "work", "rank", "score")
 

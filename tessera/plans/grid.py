@@ -14,8 +14,8 @@ from .registry import query
 CUT, FIRST, LAST, RECENT, CITES, POS = 1997, 1998, 2001, 2, 5, 2
 
 
-def cells(spark, d):
-    return grid.empty_cells(t.citations(spark, d), t.areas(spark, d), CUT, CITES, t.work_areas(spark, d))
+def cells(spark, d, cit=None):
+    return grid.empty_cells(t.citations(spark, d) if cit is None else cit, t.areas(spark, d), CUT, CITES, t.work_areas(spark, d))
 
 
 HIST = f"hist as (select * from cit where year <= {CUT})"
@@ -37,8 +37,8 @@ pairs as (select x.area a, y.area b, count(*) n from used x join used y on x.wor
 f as (select p.a, p.b, p.n::double / o.n f from pairs p join pairs o on o.a = p.b and o.b = p.b)"""
 
 
-def labelled(spark, d):
-    return grid.outcomes(cells(spark, d), t.citations(spark, d), FIRST, LAST, POS)
+def labelled(spark, d, cit=None):
+    return grid.outcomes(cells(spark, d, cit), t.citations(spark, d) if cit is None else cit, FIRST, LAST, POS)
 
 
 @query("grid_cells", f"{BASE} select work, area, outcome, pos from cells")
