@@ -219,14 +219,15 @@ def negatives(anchors: DataFrame, cit: DataFrame) -> DataFrame:
     before, so no area is ordered in one place. An anchor without a negative isn't returned.
     """
     h = F.sha2(F.concat_ws("|", "home", "paper"), 256)
-    pool = cit.select(F.col("area").alias("home"), "paper").distinct().withColumn("h", h).withColumn("lot", F.substring("h", 1, 2))
+    pool = sinks.settled(cit.select(F.col("area").alias("home"), "paper").distinct()).withColumn("h", h).withColumn("lot", F.substring("h", 1, 2))
     lots = pool.groupBy("home", "lot").agg(F.count("*").alias("n"))
     before = Window.partitionBy("home").orderBy("lot")
     lots = lots.withColumn("first", F.sum("n").over(before) - F.col("n")).withColumn("size", F.sum("n").over(Window.partitionBy("home"))).drop("n")
     place = F.row_number().over(Window.partitionBy("home", "lot").orderBy("h"))
-    pool = pool.withColumn("k", place).join(lots, ["home", "lot"]).select("home", (F.col("first") + F.col("k") - 1).alias("place"), F.col("paper").alias("negative"))
+    # every round reads the pool
+    pool = sinks.settled(pool.withColumn("k", place).join(lots, ["home", "lot"]).select("home", (F.col("first") + F.col("k") - 1).alias("place"), F.col("paper").alias("negative")))
     sizes = lots.select("home", "size").distinct()
-    cites = cit.select("work", F.col("paper").alias("negative")).distinct()
+    cites = cit.select("work", F.col("paper").alias("negative"))
     open_ = sinks.settled(anchors.join(sizes, "home").withColumn("start", F.pmod(F.xxhash64("work", "anchor"), F.col("size"))))
     found, at, more = [], 0, OFFERED
     keys = ["work", "anchor", "home"]

@@ -243,11 +243,11 @@ def hull_relation(spark, d):
 @query("jump_triplets", None)
 def jump_triplets(spark, d):
     """Anchor: a paper of an area new to the work; positive: an earlier citer; negative: a citer of another work from the positive's area. Hash order picks."""
-    cit = t.citations(spark, d)
+    cit = settled(t.citations(spark, d))  # seven steps read them
     first = grid.arrivals(cit, 5, 3)
     h = lambda *c: F.sha2(F.concat_ws("|", *(F.col(x).cast("string") for x in c)), 256)
     jump = first.join(cit.withColumnRenamed("year", "y"), ["work", "area"]).filter("y = year").select("work", "area", "year", F.col("paper").alias("anchor"))
     early = cit.select("work", F.col("paper").alias("positive"), F.col("year").alias("py"), F.col("area").alias("home"))
     x = jump.join(early, "work").filter("py < year").groupBy("work", "area", "anchor").agg(F.min_by(F.struct("positive", "home"), h("anchor", "positive")).alias("p"))
-    x = x.select("work", "area", "anchor", "p.positive", "p.home")
+    x = settled(x.select("work", "area", "anchor", "p.positive", "p.home"))
     return grid.negatives(x, cit).select("work", "area", "anchor", "positive", "negative")

@@ -17,3 +17,14 @@ def test_vector_faults_read_the_vectors_and_texts_once(spark, tmp_path):
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["a"], r["b"]) for r in got.filter("fault = 'tokens'").collect()} == {(1, 3), (1, 5), (1, 7), (0, 2), (0, 4)}
     assert {(r["a"], r["b"]) for r in got.filter("fault = 'collapse'").collect()} == {(k % 3, k) for k in range(3, 9)}
+
+
+def test_a_fit_and_the_draws_read_the_citations_once(spark, monkeypatch):
+    from tessera.plans import certify as plans
+
+    read = []
+    citations = plans.t.citations
+    monkeypatch.setattr(plans.t, "citations", lambda *a: read.append(1) or citations(*a))
+    assert plans.train_forward_lists(spark, "/root/testdata/sf0.001").columns == ["area", "work", "rank", "score"] and len(read) == 1
+    files = plans.jump_triplets(spark, "/root/testdata/sf0.001").inputFiles()
+    assert len(read) == 2 and not [f for f in files if "/root/testdata" in f]
