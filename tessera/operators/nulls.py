@@ -69,19 +69,22 @@ def substituted(pairs: DataFrame, items: int, draws: int, seed: str, once: bool
 def slots(points: DataFrame, draws: int, seed: str, size: int = CLASS) -> DataFrame:
     """draw, e, slot: every draw's order of the points e, by hash, from 0."""
     classes = max(1, -(-points.count() // size))
-    x = points.withColumn("draw", rs.draws(draws)).withColumn("u", rs.uniform(seed, "draw", "e"))
+    # dealt out first, as in substituted
+    dealt = points.repartition(3 * points.sparkSession.sparkContext.defaultParallelism, "e")
+    x = dealt.withColumn("draw", rs.draws(draws)).withColumn("u", rs.uniform(seed, "draw", "e"))
     x = x.withColumn("c", F.floor(F.col("u") * classes))
     sizes = x.groupBy("draw", "c").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("draw").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = F.row_number().over(Window.partitionBy("draw", "c").orderBy("u", "e")) - 1
-    x = x.withColumn("at", at).join(before.select("draw", "c", "before"), ["draw", "c"])
+    # merged, here and where slots meet others: a table that looks small before its draws are spelled out would be broadcast
+    x = x.withColumn("at", at).join(before.select("draw", "c", "before").hint("merge"), ["draw", "c"])
     return x.select("draw", "e", (F.col("before") + F.col("at")).alias("slot"))
 
 
 def permutation(points: DataFrame, draws: int, seed: str, size: int = CLASS) -> DataFrame:
     """draw, e, to: in every draw the points e change places among themselves."""
     own = numbered(points.select(F.col("e").alias("to")), ["to"], "slot")
-    return slots(points.select("e"), draws, seed, size).join(own, "slot").select("draw", "e", "to")
+    return slots(points.select("e"), draws, seed, size).join(own.hint("merge"), "slot").select("draw", "e", "to")
 
 
 def label_permutation(items: DataFrame, draws: int, seed: str, size: int = CLASS) -> DataFrame:
@@ -91,7 +94,7 @@ def label_permutation(items: DataFrame, draws: int, seed: str, size: int = CLASS
     """
     ranked = midranks(items.select(F.col("id").alias("e"), "s"), "s", "__rank").select("e", "__rank")
     n = items.agg(F.count("*").alias("n"), F.count_if("y").alias("k"))
-    x = slots(items.select(F.col("id").alias("e")), draws, seed, size).crossJoin(F.broadcast(n)).filter("slot < k").join(ranked, "e")
+    x = slots(items.select(F.col("id").alias("e")), draws, seed, size).crossJoin(F.broadcast(n)).filter("slot < k").join(ranked.hint("merge"), "e")
     s = x.groupBy("draw").agg(F.sum("__rank").alias("r"), F.max("k").alias("k"), F.max("n").alias("n"))
     k, rest = F.col("k"), F.col("n") - F.col("k")
     return s.select("draw", F.when(rest > 0, (F.col("r") - k * (k + 1) / 2) / (k * rest)).alias("auc"))
@@ -100,7 +103,6 @@ def label_permutation(items: DataFrame, draws: int, seed: str, size: int = CLASS
 def permuted(pairs: DataFrame, draws: int, seed: str, size: int = CLASS, once: bool = True) -> DataFrame:
     """draw, i, j: the endpoints of the pairs change places among themselves. once: as in substituted."""
     to = permutation(endpoints(pairs), draws, seed, size)
-    # merged: a table that looks small before its draws are spelled out would be broadcast
     x = pairs.select("i", "j").join(to.toDF("draw", "i", "xi").hint("merge"), "i").join(to.toDF("draw", "j", "xj").hint("merge"), ["draw", "j"])
     return _wired(x, F.col("xi"), F.col("xj"), once)
 
